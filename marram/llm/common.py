@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only if it has at most so many rows; every caller's rows are of a bounded width.
 BROADCAST_ROWS = 200_000
+#: Rows that a Python function handles at once.
+SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +43,26 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def extend(df: DataFrame, text_col: str, columns: str, make, kind: str = "string") -> DataFrame:
+    """df with more columns, made from the Arrow array of one column (cast to `kind`) by make(array) -> arrays.
+
+    Every row and column passes through; a column of df that has the name of a new one, in any case, gives way to it.
+    """
+    spark = df.sparkSession
+    added = spark.createDataFrame([], columns).schema
+    names = {f.name.lower() for f in added}
+    kept = [c for c in df.columns if c.lower() not in names]
+    text = free_name(df, "text_in")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast(kind).alias(text))
+    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
+    last, titles = len(kept), [*kept, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *make(part.column(last))], names=titles)
+
+    return source.mapInArrow(run, schema)

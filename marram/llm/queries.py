@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.llm import bpe, language_id
+from marram.llm.decontamination import decontaminate
 from marram.llm.minhash_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,13 +42,54 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a =
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = f"regexp_extract_all({_LOWER}, {_ALNUM})"
+OP2_SQL = rf"""
+WITH b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+v AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [ws] ELSE list_transform(range(1, len(ws) - 8), lambda i: ws[i:i + 9]) END) AS win FROM b),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+k AS (SELECT DISTINCT len(win) AS k FROM v),
+g AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, ws FROM d, k WHERE len(ws) >= k),
+hits AS (SELECT g.doc_id, g.p, g.k, v.item_id FROM g JOIN v ON ws[p:p + k - 1] = v.win AND len(v.win) = g.k),
+marked AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(m.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(m.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked m USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+
+#: The tokenizer file, as installed on the driver.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_decontamination": op2_decontamination,
+        "op6_bpe": op6_bpe,
+        "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": OP1_SQL,
+        "op2_decontamination": OP2_SQL,
     }

@@ -64,13 +64,16 @@ _powers = _Powers()
 
 @dataclass
 class Words:
-    """Words of a run of texts: `bounds[i]:bounds[i + 1]` are the words of the i-th; null texts have none."""
+    """Words of a run of texts: `bounds[i]:bounds[i + 1]` are the words of the i-th; null texts have none.
+
+    `starts`, `ends` and `origin`, where each text begins, count bytes of `data`."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     bounds: np.ndarray
+    origin: np.ndarray
 
     def text(self, a: int, b: int) -> tuple[bytes, ...]:
         """Words a to b, exclusive, for checks of what the hashes say."""
@@ -137,4 +140,4 @@ def _words(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, rule: np.nd
         keep = np.repeat(valid, np.diff(bounds))
         starts, ends, hashes = starts[keep], ends[keep], hashes[keep]
         bounds = np.concatenate([[0], np.cumsum(np.where(valid, np.diff(bounds), 0))])
-    return Words(data, starts, ends, hashes, bounds)
+    return Words(data, starts, ends, hashes, bounds, offsets[:-1])
