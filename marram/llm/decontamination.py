@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import extend, free_name
+from marram.llm.common import extend, free_name, materialise
 from marram.llm.words import ALNUM, U, Words, pieces
 
 WINDOW = 10
@@ -157,7 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 def _by_join(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     """The same by a shuffled join of all windows, for more windows than can be broadcast."""
     row = free_name(docs, "row_key")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))  # read twice: row keys must not change
     source = keyed.select(F.col(row).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lengths = [r[0] for r in windows.select("length").distinct().collect()]
     met = source.mapInArrow(_windows(lengths, False), "id long, length int, start int, hash long, words binary").join(windows, ["length", "hash", "words"])

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from marram.llm import bpe, language_id
 from marram.llm.decontamination import decontaminate
+from marram.llm.license_scan import COVERAGE, GRAM, NEAR, NOTICES, PHRASES, scan_licenses
 from marram.llm.minhash_dedup import near_duplicates
+from marram.llm.sharding import SHARDS, assign_shards
+from marram.llm.url_filter import DEFAULT, RULES, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,49 @@ FROM d LEFT JOIN marked m USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_TEMPLATES = ", ".join(f"({i}, {base}, '{label}', '{text}')" for i, (base, label, text) in enumerate([*((True, *p) for p in PHRASES), *((False, *n) for n in NOTICES)]))
+OP3_SQL = rf"""
+WITH t AS (SELECT template, base, label, {_WORDS} AS ws FROM (VALUES {_TEMPLATES}) v(template, base, label, text)),
+tg AS (SELECT template, base, label, len(ws) - {GRAM - 1} AS grams, p AS tpos, ws[p:p + {GRAM - 1}] AS gram FROM t, unnest(range(1, len(ws) - {GRAM - 2})) u(p)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dg AS (SELECT doc_id, p, ws[p:p + {GRAM - 1}] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {GRAM - 2})) AS p FROM d)),
+votes AS (SELECT doc_id, template, base, label, grams, p - tpos AS diagonal, count(*) AS votes, min(p) - 1 AS a FROM dg JOIN tg USING (gram) GROUP BY ALL),
+edged AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER o <= {NEAR} THEN 0 ELSE 1 END AS begins FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+spans AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM edged),
+shares AS (SELECT doc_id, template, base, label, least(1.0::DOUBLE, sum(votes)::DOUBLE / grams) AS share, min(a) AS a FROM spans GROUP BY doc_id, template, base, label, grams, span),
+r AS (SELECT doc_id, count(*) FILTER (base AND share >= 1) AS n_base, min(a) FILTER (base AND share >= 1) AS f, max(a) FILTER (base AND share >= 1) AS l,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND share >= 1) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND share >= 1) OR (NOT base AND share >= {COVERAGE})) AS al, max(share) AS score FROM shares GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"))
+    return assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = rf"""
+WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(verdict, rhost, rpath) AS (VALUES {", ".join(map(str, RULES))}),
+m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS v FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, '{DEFAULT}') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 #: The tokenizer file, as installed on the driver.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,6 +129,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_license_scan": op3_license_scan,
+        "op4_sharding": op4_sharding,
+        "op5_url_filter": op5_url_filter,
         "op6_bpe": op6_bpe,
         "op9_language_id": op9_language_id,
     }
@@ -92,4 +141,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": OP1_SQL,
         "op2_decontamination": OP2_SQL,
+        "op3_license_scan": OP3_SQL,
+        "op5_url_filter": OP5_SQL,
     }
