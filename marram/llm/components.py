@@ -23,6 +23,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+#: Edges that are worth a task.
+EDGES_PER_TASK = 100_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
 
@@ -35,6 +39,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     nodes = edges
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     loops = nodes.where("a = b").select("a").distinct()
 
@@ -45,7 +50,10 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = materialise(_small_star(_large_star(edges).distinct()).distinct())
+        # few edges take few tasks: else a round's shuffles are thousands of files with next to nothing in them
+        tasks = min(most, before[0] // EDGES_PER_TASK + 1)
+        large = _large_star(edges.coalesce(tasks)).coalesce(tasks)
+        edges = materialise(_small_star(large).coalesce(tasks).distinct().coalesce(tasks))
         after = mark(edges)
         if after == before:
             break
