@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import bpe, language_id
+from marram.llm import bpe, language_id, warc
 from marram.llm.decontamination import decontaminate
+from marram.llm.embedding_dedup import near_duplicate_vectors
+from marram.llm.html_extraction import extract_text
 from marram.llm.license_scan import COVERAGE, GRAM, NEAR, NOTICES, PHRASES, scan_licenses
 from marram.llm.minhash_dedup import near_duplicates
 from marram.llm.sharding import SHARDS, assign_shards
@@ -119,12 +121,56 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, string_agg(b, chr(10) ORDER BY k) AS t FROM (
+  SELECT page_id, url, k, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM (
+    SELECT page_id, url, unnest(bs) AS raw, generate_subscripts(bs, 1) AS k,
+      replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS b
+    FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:h1|p)>') AS bs FROM pages))
+  ) WHERE b <> '' GROUP BY page_id, url)
+SELECT p.page_id, p.url, coalesce(a.t, '') AS text, length(coalesce(a.t, ''))::BIGINT AS n_chars FROM pages p LEFT JOIN a ON a.page_id = p.page_id
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    found = warc.read_archives(warc.write_archives(pages, folder), folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN least <> page_id THEN least END AS refers_to FROM q
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT x AS a, x AS b FROM links UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c, e.vec_id)::BIGINT AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN least ON least.a = e.vec_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -133,7 +179,10 @@ def queries() -> dict[str, Query]:
         "op4_sharding": op4_sharding,
         "op5_url_filter": op5_url_filter,
         "op6_bpe": op6_bpe,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
@@ -143,4 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": OP2_SQL,
         "op3_license_scan": OP3_SQL,
         "op5_url_filter": OP5_SQL,
+        "op7_html_extraction": OP7_SQL,
+        "op8_warc": OP8_SQL,
+        "op10_embedding_dedup": OP10_SQL,
     }
