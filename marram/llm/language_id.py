@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     A text that is null or has no letter gets `und` and score 0, and so does every text without a model. Ties go to the
     first language by name. Columns of docs with the new names give way; all rows, repeated ones too, and all other
-    columns pass through.
+    columns pass through. Scores are single-precision sums: repeated texts may differ from the sixth digit on.
     """
 
     def make(column: pa.Array) -> list[pa.Array]:

@@ -26,7 +26,8 @@ RULES = [
 #: What a URL gets that no rule fits.
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_END = F.unhex(F.lit("FF"))
+#: A byte that UTF-8 never has: behind every key that starts like the one before it.
+_END = b"\xff"
 
 
 def host_and_path(url):
@@ -54,7 +55,7 @@ def _boundaries(rules: DataFrame) -> DataFrame:
     outer = prefixes.join(keyed, "key").groupBy("inner").agg(F.array_sort(F.collect_list("own")).alias("outer"))
     stacks = inner.join(outer, "inner", "left").withColumn("outer", F.coalesce("outer", F.array().cast("array<struct<length:int,rule:string,verdict:string>>")))
     opens = stacks.select(F.col("inner").alias("key"), F.concat("outer", F.array("own")).alias("stack"))
-    return opens.union(stacks.select(F.concat("inner", _END), F.col("outer")))
+    return opens.union(stacks.select(F.concat("inner", F.lit(_END)), F.col("outer")))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame | None = None, url_col: str = "url", default: str = DEFAULT) -> DataFrame:
