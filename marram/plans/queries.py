@@ -337,7 +337,7 @@ def funnel(spark, sf_dir):
 @query(
     "names_and_keys",
     f"""SELECT seq, coalesce({_name('operator_name')}, '') AS name, concat(lower(state), ':', replace(lower({_AREA}), ' ', '-'), ':', replace({_name('operator_name')}, ' ', '-')) AS operator_key, {_AREA} AS area,
-    area <> 'Some Place' AS is_known_area, concat('+234', substr(phone, 2)) AS phone, right(concat('+234', substr(phone, 2)), 9) AS phone_key,
+    area <> 'Some Place' AS is_known_area, '+234' || substr(phone, 2) AS phone, right('+234' || substr(phone, 2), 9) AS phone_key,
     regexp_replace(website, '^https://www\\.([^/]*)/.*$', '\\1') AS domain, concat('listing_', substr(sha256(concat(source, chr(31), source_listing_id)), 1, 24)) AS listing_pk FROM fx_listings""",
 )
 def names_and_keys(spark, sf_dir):
