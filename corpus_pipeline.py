@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, language_id
-from marram.llm.common import shared_dir
+from marram.llm.common import broadcast_if_small, materialise, shared_dir
 from marram.llm.decontamination import decontaminate
 from marram.llm.minhash_dedup import near_duplicates
 
@@ -32,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
