@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 from marram.functions import dates, geo, money, text, web
 from marram.functions.constants import FEE_POLICIES, LEGAL_SUFFIXES, OCCUPYING_STATUSES, PRICE_BANDS
-from marram.operators import availability, entities, history, leads, pricing, reports, search, upserts
+from marram.operators import availability, entities, extraction, history, leads, pricing, publish, reports, search, upserts, validation
+from marram.operators.graph import checkpoint_folder
+from marram.plans.pipeline import run_listings
 from marram.plans.views import table, view, with_views
+from marram.sources import crawl
+from marram.streaming import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -641,6 +646,171 @@ def merge_leads(spark, sf_dir):
     return leads.merge_leads(rows).select("id", "listing_count", F.size("observed_rates").cast("long").alias("rates"), "contact.phone", "contact.website", "display_name")
 
 
+# ---- pages --------------------------------------------------------------------------------------------------------
+
+_UNESCAPE = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_HEADING = _UNESCAPE.format("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g')")
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+
+#: The example hosts of the pages table as a source: a listing's path ends in a number.
+_PAGE_RULES = [(f"example_{tld}", f"example.{tld}", r"/\d+(?:\.html)?/?$", r"(\d+)(?:\.html)?/?$", True) for tld in ("com", "net", "org")]
+
+
+@query("page_names", f"SELECT page_id, nullif(trim({_HEADING}), '') AS name FROM pages")
+def page_names(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("items", extraction.json_ld_items("html"))
+    return p.select("page_id", extraction.property_name("html", "items").alias("name"))
+
+
+@query(
+    "page_hosts",
+    f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), b AS (SELECT *, regexp_replace(replace(host, 'www.', ''), '\\.(com|org|net)$', '') AS bare FROM h)
+    SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS registrable, CASE WHEN length(split_part(bare, '.', 1)) >= 3 THEN upper(bare[1]) || substr(split_part(bare, '.', 1), 2) END AS label FROM b""",
+)
+def page_hosts(spark, sf_dir):
+    host = web.authority("url")
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), web.registrable_domain(host).alias("registrable"), extraction.name_from_domain("url").alias("label"))
+
+
+@query(
+    "page_links",
+    f"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"#][^"]*)"', 1)) AS href FROM pages)
+    SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_extract(href, '^[^?#]*') AS link FROM l""",
+)
+def page_links(spark, sf_dir):
+    return crawl.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "extract_listings",
+    f"""WITH p AS (SELECT *, {_HOST} AS host, regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '([0-9]+)(?:\\.html)?/?$', 1) AS lid FROM pages)
+    SELECT page_id AS seq, replace(regexp_extract(host, 'example\\.[a-z]+$'), '.', '_') AS source, regexp_extract(url, '^[^?#]*') AS source_url, lid AS source_listing_id, substr(nullif(trim({_HEADING}), ''), 1, 200) AS property_name, 'NGN' AS currency
+    FROM p WHERE regexp_matches(host, '(^|\\.)example\\.(com|net|org)$') AND lid <> '' AND trim({_HEADING}) <> ''""",
+)
+def extract_listings(spark, sf_dir):
+    rules = spark.createDataFrame(_PAGE_RULES, "source string, rule_host string, path_pattern string, id_pattern string, names_identify boolean")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", "html")
+    return extraction.extract_listings(pages, rules).select("seq", "source", "source_url", "source_listing_id", "property_name", "currency")
+
+
+# ---- the directory and the whole run ------------------------------------------------------------------------------
+
+_MORE = ["email", "instagram", "pms_detected", "availability_hint_url", "booking_url", "operator_hint", "price_basis", "title_document", "cover_image_url", "city"]
+
+
+def _listings(spark, sf_dir):
+    """fx_listings with every column of a listing."""
+    x = view(spark, sf_dir, "fx_listings")
+    url = F.concat(F.lit("https://"), F.replace("source", F.lit("#"), F.lit("-")), F.lit(".ng/"), "source_listing_id")
+    return x.select("*", url.alias("source_url"), F.lit("NGN").alias("currency"), F.lit(None).cast("int").alias("bathrooms"), F.lit(None).cast("array<string>").alias("media"), *[F.lit(None).cast("string").alias(c) for c in _MORE])
+
+
+@query(
+    "build_directory",
+    """SELECT concat(source, ':', source_listing_id) AS id, CASE WHEN advertised_price BETWEEN 100000 AND 2000000000 THEN advertised_price END AS advertised_price,
+    CASE WHEN phone IS NOT NULL THEN 'PHONE' WHEN website IS NOT NULL THEN 'WEBSITE' ELSE 'NONE' END AS kind, CASE WHEN phone IS NOT NULL THEN concat('tel:', phone) ELSE website END AS href FROM fx_listings""",
+)
+def build_directory(spark, sf_dir):
+    return publish.build_directory(_listings(spark, sf_dir), TODAY, "by the source").select("id", "advertised_price", F.col("contact_route.kind").alias("kind"), F.col("contact_route.href").alias("href"))
+
+
+@query("directory_counts", "SELECT count(*) AS places, count(*) FILTER (phone IS NOT NULL OR website IS NOT NULL) AS contactable, 0::BIGINT AS with_photographs FROM fx_listings")
+def directory_counts(spark, sf_dir):
+    return reports.directory_counts(publish.build_directory(_listings(spark, sf_dir), TODAY, "by the source"))
+
+
+@query("validate_places", "SELECT count(*) AS places, count(*) FILTER (seq % 4 = 3) AS unplaced FROM fx_listings")
+def validate_places(spark, sf_dir):
+    places, _ = validation.validate_places(publish.build_directory(_listings(spark, sf_dir), TODAY, "by the source"))
+    return places.agg(F.count("*").alias("places"), F.count_if(F.col("area") == "Some Place").alias("unplaced"))
+
+
+@query("ingest_report", "SELECT CASE WHEN operator_name IS NULL THEN 'property_name is required' END AS reason, count(*) AS rows FROM fx_listings GROUP BY 1")
+def ingest_report(spark, sf_dir):
+    x = _listings(spark, sf_dir)
+    return validation.ingest_report(x.withColumn("property_name", F.col("operator_name")))
+
+
+@query(
+    "place_rows",
+    """SELECT concat(source, ':', source_listing_id) AS id, concat(CAST(bedrooms AS VARCHAR), '-bedroom ', replace(lower(property_type), '_', ' ')) AS descriptor,
+    concat(area, ', ', CASE state WHEN 'LA' THEN 'Lagos' WHEN 'FC' THEN 'FCT Abuja' WHEN 'OY' THEN 'Oyo' WHEN 'IM' THEN 'Imo' ELSE 'Akwa Ibom' END) AS location FROM fx_listings""",
+)
+def place_rows(spark, sf_dir):
+    x = _listings(spark, sf_dir)
+    return x.select(F.concat_ws(":", "source", "source_listing_id").alias("id"), publish.place_descriptor("bedrooms", "property_type").alias("descriptor"), publish.place_location("area", "city", "state").alias("location"))
+
+
+@query(
+    "search_batch",
+    f"""WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS q_state, CAST(6350 + s_suppkey % 200 AS DOUBLE) / 1000 AS q_lat,
+      CAST(3400 + s_suppkey % 173 AS DOUBLE) / 1000 AS q_lng, CASE WHEN s_suppkey % 2 = 0 THEN 5.0 END AS q_radius, 2 + s_suppkey % 3 AS q_guests FROM supplier),
+    m AS (SELECT query_id, unit_id FROM q JOIN fx_units u ON state = q_state AND max_guests >= q_guests AND min_nights <= 3 AND max_nights >= 3 AND partner_id IN (SELECT s_suppkey FROM supplier)
+      WHERE q_radius IS NULL OR ({_BOX} AND {_KM} <= q_radius))
+    SELECT query_id, count(*) AS results, min(unit_id) AS least_unit FROM m GROUP BY 1""",
+)
+def search_batch(spark, sf_dir):
+    k = F.col("s_suppkey")
+    state = F.element_at(F.array(*[F.lit(s) for s in ("LA", "FC", "OY", "IM", "AK")]), (k % 5 + 1).cast("int"))
+    queries_ = table(spark, sf_dir, "supplier").select(
+        k.alias("query_id"), state.alias("q_state"), F.lit(None).cast("string").alias("q_area"), (2 + k % 3).cast("int").alias("q_guests"), F.lit(0).alias("q_bedrooms"), ((6350 + k % 200).cast("double") / 1000).alias("q_lat"),
+        ((3400 + k % 173).cast("double") / 1000).alias("q_lng"), F.when(k % 2 == 0, 5.0).alias("q_radius"), F.lit(3).alias("nights"),
+    )
+    found = search.search_batch(_units(spark, sf_dir), _partners(spark, sf_dir), pricing.default_fee_policies(spark), queries_)
+    return found.where(F.size("reasons") == 0).groupBy("query_id").agg(F.count("*").alias("results"), F.min("unit_id").alias("least_unit"))
+
+
+@query(
+    "run_pipeline",
+    f"""WITH l AS (SELECT source, source_listing_id, advertised_price AS p FROM fx_listings), k AS (SELECT source, source_listing_id, CASE WHEN seq % 2 = 0 THEN advertised_price ELSE advertised_price + 100 END AS p FROM fx_listings WHERE seq % 10 <> 0)
+    SELECT count(*) FILTER (k.source IS NULL) AS new_listings, count(*) FILTER (k.p <> l.p) AS price_changes, 0::BIGINT AS delisted, count(*) FILTER (k.source IS NOT NULL AND (k.p <> l.p) IS NOT TRUE) AS unchanged
+    FROM l LEFT JOIN k ON k.source = l.source AND k.source_listing_id = l.source_listing_id""",
+)
+def run_pipeline(spark, sf_dir):
+    x = _listings(spark, sf_dir)
+    price = F.when(F.col("seq") % 2 == 0, F.col("advertised_price")).otherwise(F.col("advertised_price") + 100)
+    before = x.where("seq % 10 <> 0").select("source", "source_listing_id", F.lit(MIDDLE).cast("date").alias("observed_on"), price.alias("advertised_price"))
+    return run_listings(x, before, TODAY, "by the source").summary
+
+
+@query("marketplace_metrics", """WITH b AS (SELECT l_orderkey AS id, sum(nights) AS nights, sum(nightly_rate_kobo) AS total FROM fx_charges GROUP BY 1), s AS (SELECT stay_id AS id, status FROM fx_stays),
+    j AS (SELECT status, nights, total FROM b JOIN s USING (id)), n AS (SELECT sum(CAST(check_out - check_in AS INT)) AS open_nights FROM fx_stays WHERE check_out > check_in)
+    SELECT sum(nights) FILTER (status = 'F')::DOUBLE / (SELECT open_nights FROM n) AS fill_rate, count(*) FILTER (status = 'F')::DOUBLE / count(*) AS paid_rate, count(*) FILTER (status = 'P')::DOUBLE / count(*) AS cancel_rate, 1.0::DOUBLE AS take_rate FROM j""")
+def marketplace_metrics(spark, sf_dir):
+    charges = view(spark, sf_dir, "fx_charges").groupBy("l_orderkey").agg(F.sum("nights").alias("nights"), F.sum("nightly_rate_kobo").alias("total_kobo"))
+    stays = view(spark, sf_dir, "fx_stays")
+    bookings = charges.join(stays, charges["l_orderkey"] == stays["stay_id"]).select(F.col("status"), "nights", "total_kobo", F.col("total_kobo").alias("platform_net_kobo")).replace(_STATUSES, subset=["status"])
+    return reports.marketplace_metrics(bookings, stays.select(F.explode(dates.each_night("check_in", "check_out")).alias("night")))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir):
+    """The events as a stream of files: rewritten in a few parts, whole days each, into the session's shared folder."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = view(spark, sf_dir, "fx_observations")
+    events.repartitionByRange(3, "observed_on").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+@query("stream_upsert", f"WITH {_HISTORY} SELECT source, source_listing_id, observed_on, advertised_price FROM h")
+def stream_upsert(spark, sf_dir):
+    """The observations merged batch by batch: the same state as the batch history."""
+    stream, folder = _event_stream(spark, sf_dir)
+    ledger.stream_upsert(stream, f"{folder}/state", ["source", "source_listing_id", "observed_on"], f"{folder}/checkpoint").awaitTermination()
+    return ledger.read_state(spark, f"{folder}/state").select("source", "source_listing_id", "observed_on", "advertised_price")
+
+
+@query("stream_dedupe", "SELECT DISTINCT source, source_listing_id, observed_on FROM fx_observations")
+def stream_dedupe(spark, sf_dir):
+    """One observation for each listing and day, by watermark: within the delay no batch order matters for the keys."""
+    stream, folder = _event_stream(spark, sf_dir)
+    days = ledger.dedupe_observations(stream.select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "seq"), delay="60 days")
+    days.select("source", "source_listing_id", "observed_on").writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
