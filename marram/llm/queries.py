@@ -93,7 +93,7 @@ FROM d LEFT JOIN r USING (doc_id)
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
     return assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
