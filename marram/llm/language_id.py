@@ -206,9 +206,12 @@ def pooled(model: Model, column: pa.Array) -> np.ndarray:
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list:
     """(lang, window) of the sample: the rows with the least hashes among the labelled rows outside the held-out fifth."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
-    chosen = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("key")).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
+    # a hash range wide enough for four times the sample goes into the ranking, so no task ranks a language's every row
+    shares = narrow.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("share"))
+    near = narrow.join(shares, "lang").where(F.pmod("key", F.lit(10**15)) < F.col("share") * 10**15)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(10**15)), "id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_language)
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "lang", "key").distinct()), ["id", "lang"])
     # windows at a hashed place, of characters, in the middle of words as often as not
     rows = []
