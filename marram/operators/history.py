@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.constants import DELIST_GRACE_DAYS
+from marram.functions.facts import price_movement_note
 from marram.functions.money import price_change_percent, price_direction
 
 KEY = ["source", "source_listing_id"]
@@ -38,6 +39,17 @@ def price_changes(history: DataFrame) -> DataFrame:
     )
 
 
+def price_history(history: DataFrame) -> DataFrame:
+    """The (day, price) series of each listing, in order."""
+    return history.select(*KEY, "observed_on", "advertised_price").orderBy(*KEY, "observed_on")
+
+
+def movement_notes(history: DataFrame) -> DataFrame:
+    """(source, source_listing_id, note): a sentence on each listing's last price movement, where it is large enough."""
+    moves = price_changes(history).groupBy(*KEY).agg(F.max_by("previous", "changed_on").alias("previous"), F.max_by("current", "changed_on").alias("current"), F.count("*").alias("movements"))
+    return moves.select(*KEY, price_movement_note("previous", "current", "movements").alias("note")).where("note is not null")
+
+
 def detect_changes(history: DataFrame, current: DataFrame, today: str, grace_days: int = DELIST_GRACE_DAYS) -> DataFrame:
     """Each current observation as new_listing, price_change or unchanged, and known listings that have been missing for
     more than grace_days as delisted.

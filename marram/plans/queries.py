@@ -75,6 +75,16 @@ def price_changes(spark, sf_dir):
     return history.price_changes(_history(spark, sf_dir)).drop("percent")
 
 
+@query(
+    "movement_notes",
+    f"""WITH {_HISTORY}, {_CHANGED}, m AS (SELECT source, source_listing_id, count(*) AS n, max(struct_pack(d := observed_on, p := previous, c := advertised_price)) AS l FROM c WHERE previous <> advertised_price GROUP BY 1, 2),
+    p AS (SELECT *, floor((l.c - l.p)::DOUBLE / l.p * 100 + 0.5)::BIGINT AS pct FROM m WHERE l.p > 0)
+    SELECT source, source_listing_id, concat('Advertised rate ', CASE WHEN pct < 0 THEN 'cut' ELSE 'raised' END, ' ', abs(pct), '%', CASE WHEN n > 1 THEN concat(' ', n, ' times') ELSE '' END, ' since we began tracking.') AS note FROM p WHERE abs(pct) >= 5""",
+)
+def movement_notes(spark, sf_dir):
+    return history.movement_notes(_history(spark, sf_dir))
+
+
 def _detect_sql(day: str) -> str:
     return f"""WITH {_HISTORY}, k AS (SELECT * FROM h WHERE observed_on < DATE '{day}'), n AS (SELECT * FROM h WHERE observed_on = DATE '{day}'),
     e AS (SELECT source, source_listing_id, max(observed_on) AS last_seen, max(struct_pack(d := observed_on, p := advertised_price)).p AS p FROM k GROUP BY 1, 2),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.functions.facts import describe_factually
 from marram.functions.text import blank_to_null
 from marram.operators.history import listing_history
-from marram.operators.publish import place_descriptor
 from marram.operators.reports import directory_counts
 from marram.schemas import LISTING, OBSERVATION, PLACE, REGISTRY, names
 
@@ -39,7 +39,7 @@ def read_listing_records(spark: SparkSession, path: str, form: str = "lines") ->
         {
             "source": F.coalesce(blank_to_null("source"), F.when(has_colon, F.split_part("id", F.lit(":"), F.lit(1)))),
             "source_listing_id": F.coalesce(blank_to_null("source_listing_id"), F.when(has_colon, F.substr("id", F.instr("id", ":") + 1)), blank_to_null("id")),
-            "property_name": F.coalesce(blank_to_null("property_name"), F.concat_ws(", ", place_descriptor("bedrooms", "property_type"), "area")),
+            "property_name": F.coalesce(blank_to_null("property_name"), describe_factually("bedrooms", "property_type", "area", "city")),
             "currency": F.coalesce("currency", F.lit("NGN")),
         }
     )

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marram.functions import dates, geo, money, text, web
+from marram.functions import dates, facts, geo, money, text, web
 from marram.operators import publish
 
 S = lambda x: F.lit(x).cast("string")
@@ -99,3 +99,13 @@ def test_places(spark):
     assert value(spark, publish.place_href(S("npc:1 2"))) == "/stay/npc%3A1%202"
     row = spark.createDataFrame([("Lekki", " ", "LA"), ("Lagos", "Lagos", "LA"), (None, None, None)], "area string, city string, state string")
     assert [r.v for r in row.select(publish.place_location("area", "city", "state").alias("v")).collect()] == ["Lekki, Lagos", "Lagos", ""]
+
+
+def test_facts(spark):
+    i = lambda x: F.lit(x).cast("int")
+    assert value(spark, facts.describe_factually(i(3), S("SERVICED_APARTMENT"), S(" "), S("Lagos"))) == "3-bedroom serviced apartment, Lagos"
+    assert value(spark, facts.describe_factually(i(0), S(None), S(None), S(None))) == "Shortlet"
+    assert value(spark, facts.parse_title_documents(S("c_of_o, x ,FREEHOLD"))) == ["C_OF_O", "FREEHOLD"] and value(spark, facts.parse_title_documents(S(None))) == []
+    assert (value(spark, facts.title_risk(S("UNREGISTERED"))), value(spark, facts.title_label(S("odd")))) == ("high", None)
+    assert value(spark, facts.price_movement_note(L(200), L(170), i(3))) == "Advertised rate cut 15% 3 times since we began tracking."
+    assert value(spark, facts.price_movement_note(L(200), L(205), i(1))) is None and value(spark, facts.price_movement_note(L(0), L(5), i(1))) is None
