@@ -20,30 +20,53 @@ LEAST_SCORE = 0.3
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs as (row, text): all other columns in a struct, so that none of them can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").alias("text"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told. Those without a letter, null texts among them, go."""
+    """Documents in which a language can be told, as they are; repeated ones each stay.
+
+    Null texts, and texts without a letter, go, as do those whose best language stays under LEAST_SCORE. Without a labelled
+    row to learn from, only texts without a letter go; no rows give no rows."""
     model = language_id.fit(docs)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    # the operator gives its columns names that documents doesn't have
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(_packed(docs), model)
+    return _unpacked(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One document of each group of near-duplicates: the one with the least doc_id.
+
+    Of rows that repeat a doc_id one stays, the one with the least text. Rows without a doc_id can't be named and stay, as do
+    texts without words, which are nobody's duplicates; no rows give no rows."""
     gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left
+    repeated = broadcast_if_small(repeated)
+    again = _packed(left.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    once = again.groupBy("row.doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("order"), "text", "row")).alias("first")).select("first.text", "first.row")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(_unpacked(once, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs, as they are; repeated ones each stay, and so do null and
+    empty texts. An empty benchmark drops nothing; no rows give no rows."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, items).where(~F.col("contaminated")).select(*docs.columns)
+    return _unpacked(decontaminate(_packed(docs), items).where(~F.col("contaminated")), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids (little-endian unsigned 32-bit integers), their number, and digests of ids and decoded text."""
+    """Each document's token ids (little-endian unsigned 32-bit integers), their number, and digests of ids and decoded text.
+    A null text counts as empty; every row is encoded, repeated ones too; no rows give no rows."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -54,15 +54,16 @@ def extend(df: DataFrame, text_col: str, columns: str, make, kind: str = "string
     added = spark.createDataFrame([], columns).schema
     names = {f.name.lower() for f in added}
     kept = [c for c in df.columns if c.lower() not in names]
-    text = free_name(df, "text_in")
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast(kind).alias(text))
-    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
-    last, titles = len(kept), [*kept, *added.names]
+    same = text_col in kept and df.schema[text_col].dataType.simpleString() == kind  # then it need not travel twice
+    extra = [] if same else [F.col(f"`{text_col}`").cast(kind).alias(free_name(df, "text_in"))]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *extra)
+    schema = T.StructType([*source.schema.fields[: len(kept)], *added.fields])
+    last, at_text, titles = len(kept), kept.index(text_col) if same else len(kept), [*kept, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], *make(part.column(last))], names=titles)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *make(part.column(at_text))], names=titles)
 
     return source.mapInArrow(run, schema)
