@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: Rows that a Python function handles at once.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch. Texts are long: at Spark's default a batch takes tens of megabytes on both sides of the pipe.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -51,6 +60,7 @@ def extend(df: DataFrame, text_col: str, columns: str, make, kind: str = "string
     Every row and column passes through; a column of df that has the name of a new one, in any case, gives way to it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     added = spark.createDataFrame([], columns).schema
     names = {f.name.lower() for f in added}
     kept = [c for c in df.columns if c.lower() not in names]
