@@ -20,7 +20,29 @@ ENTITIES = {
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "pound": "£", "euro": "€", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
     "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "amp": "&",
 }
+# Patterns of the facts in a page.
 PRICE = r"(?i)(?:₦|&#8358;|NGN|N)\s?([\d][\d,\.]{2,})"
+BEDROOMS = r"(?i)\b(\d+)\s*(?:bedroom|bedrooms|bed|br)\b"
+BATHROOMS = r"(?i)\b(\d+)\s*(?:bathroom|bathrooms|bath)\b"
+HEADING = r"(?is)<h1[^>]*>(.*?)</h1>"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+OG_TITLE = r"""(?i)property=["']og:title["'][^>]*content=["']([^"']+)"""
+OG_URL = r"""(?i)property=["']og:url["'][^>]*content=["']([^"']+)"""
+CANONICAL = r"""(?i)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)"""
+JSON_LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+TEL = r'(?i)href="tel:([^"]+)"'
+MAILTO = r'(?i)href="mailto:([^"?]+)'
+WHATSAPP = r"(?i)(?:wa\.me/?|api\.whatsapp\.com/send\?phone=)(\+?\d{7,15})"
+INSTAGRAM = r"(?i)instagram\.com/([A-Za-z0-9_.]{2,30})"
+BUSINESS_MAIL = r"(?i)^[a-z0-9._%+-]+@(?![a-z0-9.-]*\.(?:gmail|yahoo|hotmail|outlook|icloud)\.)"
+BUSINESS_NAME = r"^[A-Za-z0-9&'.,\- ]{3,60}$"
+CALENDAR = r'(?i)href="([^"]+\.ics[^"]*)"'
+AVAILABILITY = r'(?i)href="([^"]*(?:availab|booking|book-now|reserve|check-?in)[^"]*)"'
+REGION_LINK = r'(?i)<a href="[^"]*region,[^"]+">([^<]+)</a>'
+LABELLED_BLOCK = (
+    r'(?is)<(?:div|span|p|a|h[2-4])[^>]+(?:class|id)="[^"]*(?:agent|agency|estate-?agent|company|developer|owner|advertiser|lister|provider|brand)'
+    r'[^"]*"[^>]*>(.*?)</(?:div|span|p|a|h[2-4])>'
+)
 MEDIA_MARK = "about:blank#removed"
 # Parts of URLs that tell chrome, branded and proxied images.
 CHROME_IMAGES = (
@@ -96,7 +118,7 @@ def strip_tags(c: Column | str) -> Column:
 
 def json_ld_items(html: Column | str) -> Column:
     """The objects of all ld+json blocks in order, as JSON strings; malformed blocks left out, lists flattened."""
-    blocks = all_of(col(html), r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""")
+    blocks = all_of(col(html), JSON_LD)
     blocks = F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: F.try_parse_json(b).isNotNull())
     return F.flatten(F.transform(blocks, lambda b: F.when(F.startswith(b, F.lit("[")), F.coalesce(F.from_json(b, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(b))))
 
@@ -112,10 +134,10 @@ def property_name(html: Column | str, items: Column | str) -> Column:
     """og:title, else the JSON-LD name, else the first h1, else the title before `|`."""
     html = col(html)
     return F.coalesce(
-        F.trim(unescape(group(html, r"""(?i)property=["']og:title["'][^>]*content=["']([^"']+)"""))),
+        F.trim(unescape(group(html, OG_TITLE))),
         blank_to_null(json_ld(items, "name")),
-        F.nullif(strip_tags(group(html, r"(?is)<h1[^>]*>(.*?)</h1>")), F.lit("")),
-        blank_to_null(F.split_part(strip_tags(group(html, r"(?is)<title[^>]*>(.*?)</title>")), F.lit("|"), F.lit(1))),
+        F.nullif(strip_tags(group(html, HEADING)), F.lit("")),
+        blank_to_null(F.split_part(strip_tags(group(html, TITLE)), F.lit("|"), F.lit(1))),
     )
 
 
@@ -161,33 +183,33 @@ def best_price(plain: Column | str, items: Column | str) -> Column:
 
 
 def bedrooms(plain: Column | str, most: int | None = None) -> Column:
-    n = group(col(plain), r"(?i)\b(\d+)\s*(?:bedroom|bedrooms|bed|br)\b").try_cast("int")
+    n = group(col(plain), BEDROOMS).try_cast("int")
     return n if most is None else F.when(n.between(1, most), n)
 
 
 def bathrooms(plain: Column | str) -> Column:
-    return group(col(plain), r"(?i)\b(\d+)\s*(?:bathroom|bathrooms|bath)\b").try_cast("int")
+    return group(col(plain), BATHROOMS).try_cast("int")
 
 
 def find_phones(html: Column | str) -> Column:
     """Distinct `tel:` numbers in the order of the page; WhatsApp numbers only where there are none."""
     clean = lambda found: F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
-    tel = clean(all_of(col(html), r'(?i)href="tel:([^"]+)"'))
-    chat = clean(all_of(col(html), r"(?i)(?:wa\.me/?|api\.whatsapp\.com/send\?phone=)(\+?\d{7,15})"))
+    tel = clean(all_of(col(html), TEL))
+    chat = clean(all_of(col(html), WHATSAPP))
     return F.when(F.size(tel) > 0, tel).otherwise(chat)
 
 
 def find_email(html: Column | str) -> Column:
-    return F.lower(F.trim(group(col(html), r'(?i)href="mailto:([^"?]+)')))
+    return F.lower(F.trim(group(col(html), MAILTO)))
 
 
 def find_instagram(html: Column | str) -> Column:
-    handle = group(col(html), r"(?i)instagram\.com/([A-Za-z0-9_.]{2,30})")
+    handle = group(col(html), INSTAGRAM)
     return F.when(~F.lower(handle).isin("p", "explore", "reel", "reels", "accounts"), handle)
 
 
 def is_business_email(email: Column | str) -> Column:
-    return F.coalesce(col(email).rlike(r"(?i)^[a-z0-9._%+-]+@(?![a-z0-9.-]*\.(?:gmail|yahoo|hotmail|outlook|icloud)\.)"), F.lit(False))
+    return F.coalesce(col(email).rlike(BUSINESS_MAIL), F.lit(False))
 
 
 def operator_website(html: Column | str) -> Column:
@@ -208,7 +230,7 @@ def name_from_domain(url: Column | str) -> Column:
 
 
 def looks_like_business(name: Column) -> Column:
-    fits = name.rlike(r"^[A-Za-z0-9&'.,\- ]{3,60}$") & name.rlike("[A-Za-z]")
+    fits = name.rlike(BUSINESS_NAME) & name.rlike("[A-Za-z]")
     return F.coalesce(fits & ~F.lower(name).isin(GENERIC_OPERATOR_LABELS) & ~name.rlike(PROPERTY_WORDS), F.lit(False))
 
 
@@ -227,8 +249,7 @@ def extract_operator(html: Column | str, items: Column | str, website: Column |
         value = json_ld(items, key, string=False)
         name = F.coalesce(F.get_json_object(F.when(value.startswith("{"), value), "$.name"), F.when(~value.rlike(r"^\s*[\[{]"), value))
         claims.append(claim(clean(name), "high", F.lit(f"json-ld {key}")))
-    label = r"agent|agency|estate-?agent|company|developer|owner|advertiser|lister|provider|brand"
-    blocks = all_of(col(html), rf'(?is)<(?:div|span|p|a|h[2-4])[^>]+(?:class|id)="[^"]*(?:{label})[^"]*"[^>]*>(.*?)</(?:div|span|p|a|h[2-4])>')
+    blocks = all_of(col(html), LABELLED_BLOCK)
     names = F.transform(blocks, lambda b: F.trim(F.split_part(clean(b), F.lit("\n"), F.lit(1))))
     claims.append(claim(F.get(F.filter(names, looks_like_business), F.lit(0)), "medium", F.lit("labelled block")))
     domain = name_from_domain(website)
@@ -247,7 +268,7 @@ def booking_url(html: Column | str) -> Column:
 
 
 def ical_feed(html: Column | str) -> Column:
-    return group(col(html), r'(?i)href="([^"]+\.ics[^"]*)"')
+    return group(col(html), CALENDAR)
 
 
 def absolute(url: Column | str, page_url: Column | str) -> Column:
@@ -270,7 +291,7 @@ def absolute(url: Column | str, page_url: Column | str) -> Column:
 
 def availability_hint(html: Column | str, page_url: Column | str) -> Column:
     """The first link that looks like availability, if it leaves the page's own registrable domain."""
-    found = absolute(group(col(html), r'(?i)href="([^"]*(?:availab|booking|book-now|reserve|check-?in)[^"]*)"'), page_url)
+    found = absolute(group(col(html), AVAILABILITY), page_url)
     host = authority(found)
     return F.when((host != "") & (registrable_domain(host) != registrable_domain(authority(page_url))), found)
 
@@ -352,7 +373,7 @@ def location_from_address(items: Column | str) -> Column:
 
 def location_from_breadcrumb(html: Column | str) -> Column:
     """A struct of city and area from region links: a known city's label is the city, the last other label the area."""
-    labels = F.transform(all_of(col(html), r'(?i)<a href="[^"]*region,[^"]+">([^<]+)</a>'), lambda x: F.trim(x))
+    labels = F.transform(all_of(col(html), REGION_LINK), lambda x: F.trim(x))
     cities = ["lagos", "abuja", "ibadan", "owerri", "uyo"]
     other = F.filter(labels, lambda x: ~F.lower(x).isin(cities) & ~x.isin("Home", "Residential Short Lets"))
     return F.struct(F.try_element_at(F.filter(labels, lambda x: F.lower(x).isin(cities)), F.lit(-1)).alias("city"), F.try_element_at(other, F.lit(-1)).alias("area"))
@@ -386,7 +407,7 @@ def extract_listings(pages: DataFrame, rules: DataFrame | None = None) -> DataFr
     page_host = F.regexp_replace(authority("url"), r"^www\.", "")
     rows = pages.withColumn("page_host", page_host).join(rules, (F.col("page_host") == F.col("rule_host")) | F.endswith("page_host", F.concat(F.lit("."), F.col("rule_host"))))
     rows = rows.withColumn("html", strip_media("html"))
-    canonical = absolute(F.coalesce(group(F.col("html"), r"""(?i)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)"""), group(F.col("html"), r"""(?i)property=["']og:url["'][^>]*content=["']([^"']+)""")), "url")
+    canonical = absolute(F.coalesce(group(F.col("html"), CANONICAL), group(F.col("html"), OG_URL)), "url")
     shaped = lambda u: F.call_function("rlike", url_path(u), F.col("path_pattern"))
     same = F.endswith(authority(canonical), F.col("rule_host"))
     rows = rows.withColumn("source_url", F.regexp_extract(F.when(F.coalesce(same & shaped(canonical), F.lit(False)), canonical).otherwise(F.col("url")), "^[^?#]*", 0)).where(shaped("source_url"))
