@@ -68,7 +68,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Each document's token ids (little-endian unsigned 32-bit integers), their number, and digests of ids and decoded text.
     A null text counts as empty; every row is encoded, repeated ones too; no rows give no rows."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    found = bpe.round_trip(docs.select("doc_id", "text"), path)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

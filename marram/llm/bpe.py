@@ -166,3 +166,15 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
         return [pa.array([None if x is None else bpe.decode(x) for x in column.to_pylist()], pa.string())]
 
     return extend(df, ids_col, "decoded string", make, kind="binary")
+
+
+def round_trip(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """df with ids, n_tokens and decoded: encode and then decode in one pass, so that a task needs one Python worker."""
+    content = _read(df, vocabulary)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        bpe = _load(content)
+        ids = [bpe.encode(t or "") for t in column.to_pylist()]
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())]
+
+    return extend(df, text_col, "ids binary, n_tokens long, decoded string", make)

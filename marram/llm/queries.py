@@ -117,7 +117,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.decode(bpe.encode(docs, VOCABULARY).drop("text"), VOCABULARY)
+    found = bpe.round_trip(docs, VOCABULARY)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -128,7 +128,9 @@ def test_bpe_in_spark(spark, vocabulary):
     assert len(got) == len(rows)
     for r in got:
         assert r.decoded == (r.text or "") and r.n_tokens * 4 == len(r.ids)
-    assert bpe.encode(df.limit(0), vocabulary).count() == 0
+    once = bpe.round_trip(df, vocabulary).select("doc_id", "ids", "n_tokens", "decoded").collect()
+    assert sorted(map(str, once)) == sorted(str(r) for r in bpe.decode(bpe.encode(df, vocabulary), vocabulary).select("doc_id", "ids", "n_tokens", "decoded").collect())
+    assert bpe.encode(df.limit(0), vocabulary).count() == bpe.round_trip(df.limit(0), vocabulary).count() == 0
 
 
 def test_language_id_learns_without_the_held_out_rows(spark):
