@@ -286,3 +286,41 @@ def test_transitions(spark):
     rows = [("b", n, dt.datetime(2026, 1, 1, n), s) for n, s in enumerate(["HELD", "AWAITING_PAYMENT", "CONFIRMED", "COMPLETED", "HELD"])]
     got = availability.transition_audit(spark.createDataFrame(rows, "booking_id string, seq int, created_at timestamp, to_status string")).orderBy("seq").collect()
     assert [r.allowed for r in got] == [True, True, True, True, False]
+
+
+def test_source_health(spark):
+    schema = "source string, error boolean, found boolean, loaded boolean, parsed boolean, has_rate boolean, has_contact boolean"
+    rows = [("ok", False, True, True, True, True, True), ("ok", True, False, False, False, False, False), ("err", True, False, False, False, False, False), ("none", False, False, False, False, False, False), ("load", False, True, False, False, False, False), ("nowhere", False, True, True, False, False, False), ("idle", False, True, True, True, True, False)]
+    got = {r.source: r.health for r in reports.source_health(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"ok": "OK", "err": "ERROR", "none": "NO LISTINGS", "load": "WOULD NOT LOAD", "nowhere": "WENT NOWHERE", "idle": "NOT ACTIONABLE"}
+
+
+def test_affiliates(spark):
+    base = {"id": "a", "source": "s", "source_url": "u", "attribution": "t", "affiliate_partner": "p", "affiliate_disclosure": "d", "first_seen_at": "2026-01-01", "last_seen_at": "2026-01-01", "affiliate_url": "https://p.ng/1"}
+    rows = [tuple({**base, **kw}.values()) for kw in ({}, {"id": " "}, {"affiliate_url": "p.ng"}, {"affiliate_disclosure": None})]
+    fine, bad = publish.affiliate_rows(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in base)))
+    assert [(r.distribution, r.contact_route.kind) for r in fine.collect()] == [("AFFILIATE", "AFFILIATE_URL")]
+    assert sorted(r.reason for r in bad.collect()) == ["destination is no absolute HTTP(S) URL", "no affiliate_disclosure", "no id"]
+    clicks = publish.affiliate_clicks(spark.createDataFrame([("a",), ("b",)], "id string"), fine)
+    assert {r.id: (r.destination, r.status) for r in clicks.collect()} == {"a": ("https://p.ng/1", 302), "b": (None, 404)}
+
+
+def test_frontier_and_small_reports(spark):
+    host = "https://www.portal.ng/for-rent/short-let"
+    urls = spark.createDataFrame([(f"{host}/lagos/lekki/x-1",), (f"{host}/abuja/y-2",), ("https://other.ng/for-rent/short-let/lagos/x",), (f"{host}/lagos",), ("https://www.portal.ng/for-sale/lagos/z",)], "url string")
+    assert validation.frontier_filter(urls, "lagos", "portal.ng").count() == 2
+    assert validation.frontier_filter(urls, "lagos", "portal.ng", area="Lekki").count() == 1
+    table = listings(spark, [{"source_listing_id": "lekki", "source_url": "https://s/x?page=2"}, {"source_listing_id": "12345"}, {"source_url": "https://s.ng/1"}])
+    assert [r.source_listing_id for r in reports.place_name_ids(table).collect()] == ["lekki"]
+    assert [r.source_listing_id for r in reports.list_page_urls(table).collect()] == ["lekki"]
+    assert {r.source_listing_id for r in reports.junk_ids(table).collect()} == {"L2"}
+    rates = validation.bookable_rates(spark.createDataFrame([("PARTNER_RATE", 5), ("OBSERVED", 5), ("PARTNER_RATE", 0)], "kind string, amount_kobo long")).collect()
+    assert [r.reason is None for r in rates] == [True, False, False]
+    states = spark.createDataFrame([("LA", 1), ("KN", 9)], "state string, launch_order int")
+    assert validation.live_states(states, 1).count() == 1 and validation.live_states(states, None).count() == 2
+    places = publish.build_directory(table, "2026-09-01", "t")
+    assert publish.group_by_state(places).first().state == "UNKNOWN" and publish.top_places(places, 2).count() == 2
+    assert search.places_to_partners(places).count() == 3 and reports.operator_count(search.places_to_partners(places)).first().operators == 3
+    assert publish.places_for_ids(places, places.select("id").limit(1)).count() == 1
+    link = spark.range(1).select(publish.affiliate_deep_link(F.lit("https://p/x?a=1"), F.lit("2026-01-01"), F.lit("2026-01-03"), F.lit(2)).alias("l")).first().l
+    assert link == "https://p/x?a=1&checkin=2026-01-01&checkout=2026-01-03&guests=2"
