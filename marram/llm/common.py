@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once for a context, so that their Python finds it wherever the driver does.
+
+    A package that is no folder, as one sent with --py-files, is there already."""
+    import marram
+
+    context, folder = spark.sparkContext, Path(marram.__file__).parent
+    if getattr(context, "_marram_sent", False) or not folder.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="marram-package-")) / "marram_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(folder.rglob("*.py")):
+            z.write(f, f.relative_to(folder.parent))
+    context.addPyFile(str(target))
+    context._marram_sent = True
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for Python in tasks: the package is sent, and Arrow batches are lowered to BATCH_ROWS rows where they
+    are larger."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -60,7 +81,7 @@ def extend(df: DataFrame, text_col: str, columns: str, make, kind: str = "string
     Every row and column passes through; a column of df that has the name of a new one, in any case, gives way to it.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    prepare(spark)
     added = spark.createDataFrame([], columns).schema
     names = {f.name.lower() for f in added}
     kept = [c for c in df.columns if c.lower() not in names]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import extend, free_name, materialise
+from marram.llm.common import extend, free_name, materialise, prepare
 from marram.llm.words import ALNUM, U, Words, pieces
 
 WINDOW = 10
@@ -130,6 +130,7 @@ def _scan(index):
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(length, hash, words, items): the distinct windows of the items and the ids, as strings, that they come from."""
+    prepare(items.sparkSession)
     source = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(_windows(None, True), "id string, length int, start int, hash long, words binary")
     return rows.groupBy("length", "hash", "words").agg(F.collect_set("id").alias("items"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import materialise
+from marram.llm.common import materialise, prepare
 from marram.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -153,6 +153,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     come. Other columns are not read; no rows give no rows. Work within a label grows with the square of its vectors, in
     blocks.
     """
+    prepare(vectors.sparkSession)
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
     coded = materialise(source.mapInArrow(_code, "vec_id long, label string, key binary, size int, vector binary, code binary, factor double"))
     valid = coded.where("vec_id is not null and key is not null")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import broadcast_if_small, materialise, small_batches
+from marram.llm.common import broadcast_if_small, materialise, prepare
 from marram.llm.components import connected_components
 from marram.llm.words import SPACED, U, mix, pieces
 
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned as often as they come, each with the same result; rows that share an id but not a text are one node,
     linked by either text. Other columns of docs, whatever their names, are not read. No rows give no rows.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(source.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, sign binary, bands array<long>"))
     with_id = signed.where("doc_id is not null and print is not null")

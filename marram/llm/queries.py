@@ -129,7 +129,7 @@ OP7_SQL = r"""
 WITH a AS (SELECT page_id, url, string_agg(b, chr(10) ORDER BY k) AS t FROM (
   SELECT page_id, url, k, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM (
     SELECT page_id, url, unnest(bs) AS raw, generate_subscripts(bs, 1) AS k,
-      replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS b
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS b
     FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:h1|p)>') AS bs FROM pages))
   ) WHERE b <> '' GROUP BY page_id, url)
 SELECT p.page_id, p.url, coalesce(a.t, '') AS text, length(coalesce(a.t, ''))::BIGINT AS n_chars FROM pages p LEFT JOIN a ON a.page_id = p.page_id

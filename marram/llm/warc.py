@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import broadcast_if_small, materialise, shared_dir, small_batches
+from marram.llm.common import broadcast_if_small, materialise, prepare, shared_dir
 
 #: Payloads of fewer bytes are stored each time.
 LEAST_SHARED_BYTES = 100
@@ -218,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     between executors unless the groups of copies are too many to broadcast. A URL is percent-encoded where a header line
     could not hold it. No rows give no archives.
     """
-    small_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     source = source.withColumn("digest", F.sha2("payload", 256))
     groups = source.where(F.octet_length("payload") >= LEAST_SHARED_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).where("least <> most")
@@ -234,6 +234,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
     The payload of a revisit is null: it is that of the page it refers to. payloads=False leaves payloads out of the
     result; they are decoded and checked all the same. A record that breaks a rule is an error.
     """
+    prepare(archives.sparkSession)
     return archives.select("name", "records").mapInArrow(_read(folder, payloads), ROW)
 
 
