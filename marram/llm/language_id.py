@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import extend
+from marram.llm.common import broadcast_if_small, extend, materialise
 from marram.llm.words import _offsets
 
 WINDOW = 48
@@ -209,7 +209,7 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
     # a hash range wide enough for four times the sample goes into the ranking, so no task ranks a language's every row
     shares = narrow.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("share"))
-    near = narrow.join(shares, "lang").where(F.pmod("key", F.lit(10**15)) < F.col("share") * 10**15)
+    near = narrow.join(broadcast_if_small(materialise(shares)), "lang").where(F.pmod("key", F.lit(10**15)) < F.col("share") * 10**15)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(10**15)), "id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_language)
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "lang", "key").distinct()), ["id", "lang"])
