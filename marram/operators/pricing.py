@@ -58,37 +58,34 @@ def best_discount(nights: Column | str, rules: list[tuple[str, int, int]]) -> Co
     return best
 
 
-def quote_columns(
-    nights: Column | str, nightly_rate: Column | str, policy: Column | str = "policy", extra_guests: Column | str | None = None, extra_fee: Column | str | None = None,
-    cleaning_fee: Column | str | None = None, discount_bps: Column | str | None = None,
-) -> dict[str, Column]:
-    """The parts of a quote by name. Missing extras count as 0. The fee is the rate of room less discount plus add-ons,
-    within its bounds, rounded to the policy's step; VAT is on the fee, rounded likewise."""
-    zero = F.lit(0).cast("long")
-    part = lambda c: zero if c is None else F.coalesce(col(c).cast("long"), zero)
-    p, n, rate = col(policy), col(nights).cast("long"), col(nightly_rate).cast("long")
-    room = rate * n
-    guests, each = part(extra_guests), part(extra_fee)
-    addons = F.when((guests > 0) & (each > 0), each * guests * n).otherwise(zero)
-    discount = apply_bps(room, part(discount_bps))
-    cleaning = F.greatest(part(cleaning_fee), zero)
-    floor = F.greatest(p["min_fee_kobo"], F.coalesce(p["min_nightly_fee_kobo"], zero) * n)
-    fee = round_to_step(clamp_kobo(apply_bps(room - discount + addons, p["rate_bps"]), floor, p["max_fee_kobo"]), p["rounding_step_kobo"])
-    vat = round_to_step(apply_bps(fee, p["vat_rate_bps"]), p["rounding_step_kobo"])
-    partner = room - discount + addons + cleaning
-    return {
-        "room_kobo": room, "discount_kobo": discount, "addon_kobo": addons, "cleaning_kobo": cleaning, "fee_kobo": fee, "vat_kobo": vat,
-        "total_kobo": partner + fee + vat, "partner_net_kobo": partner, "platform_net_kobo": fee + vat, "policy_id": p["id"],
-    }
-
-
-def compute_quotes(stays: DataFrame, rate_col: str = "nightly_rate_kobo", **parts: str) -> DataFrame:
+def compute_quotes(
+    stays: DataFrame, rate_col: str = "nightly_rate_kobo", extra_guests: str | None = None, extra_fee: str | None = None, cleaning_fee: str | None = None, discount_bps: str | None = None,
+) -> DataFrame:
     """stays (with nights, a rate and a policy) with a quote's columns and problem: why a stay can't be priced, else null.
 
-    parts: extra_guests, extra_fee, cleaning_fee, discount_bps, as names of columns."""
-    quoted = stays.withColumns(quote_columns("nights", rate_col, **parts))
+    Missing extras count as 0. The fee is the rate of room less discount plus add-ons, within its bounds, rounded to the
+    policy's step; VAT is on the fee, rounded likewise. Each step is a projection of its own, so that what it uses twice is
+    computed once."""
+    zero, p = F.lit(0).cast("long"), F.col("policy")
+    part = lambda c: zero if c is None else F.coalesce(F.col(c).cast("long"), zero)
+    n, guests, each = F.col("nights").cast("long"), part(extra_guests), part(extra_fee)
+    base = F.col("room_kobo") - F.col("discount_kobo") + F.col("addon_kobo")
+    floor = F.greatest(p["min_fee_kobo"], F.coalesce(p["min_nightly_fee_kobo"], zero) * n)
+    steps = [
+        {"room_kobo": F.col(rate_col).cast("long") * n, "addon_kobo": F.when((guests > 0) & (each > 0), each * guests * n).otherwise(zero), "cleaning_kobo": F.greatest(part(cleaning_fee), zero)},
+        {"discount_kobo": apply_bps("room_kobo", part(discount_bps))},
+        {"partner_net_kobo": base + F.col("cleaning_kobo"), "fee_kobo": apply_bps(base, p["rate_bps"])},
+        {"fee_kobo": clamp_kobo("fee_kobo", floor, p["max_fee_kobo"])},
+        {"fee_kobo": round_to_step("fee_kobo", p["rounding_step_kobo"])},
+        {"vat_kobo": apply_bps("fee_kobo", p["vat_rate_bps"])},
+        {"vat_kobo": round_to_step("vat_kobo", p["rounding_step_kobo"])},
+        {"platform_net_kobo": F.col("fee_kobo") + F.col("vat_kobo"), "total_kobo": F.col("partner_net_kobo") + F.col("fee_kobo") + F.col("vat_kobo"), "policy_id": p["id"]},
+    ]
+    quoted = stays
+    for step in steps:
+        quoted = quoted.withColumns(step)
     problem = F.coalesce(
-        F.when(F.col("policy").isNull(), "no fee policy"), policy_problem(), F.when(F.coalesce(F.col(rate_col), F.lit(0)) <= 0, "rate must be positive"),
+        F.when(p.isNull(), "no fee policy"), policy_problem(), F.when(F.coalesce(F.col(rate_col), F.lit(0)) <= 0, "rate must be positive"),
         F.when(F.coalesce(F.col("nights"), F.lit(0)) <= 0, "check-out must be after check-in"), F.when(F.col("partner_net_kobo") <= 0, "partner net must be positive"),
         F.when(F.col("partner_net_kobo") + F.col("platform_net_kobo") != F.col("total_kobo"), "parts don't make the total"),
     )
