@@ -766,7 +766,7 @@ def search_batch(spark, sf_dir):
         k.alias("query_id"), state.alias("q_state"), F.lit(None).cast("string").alias("q_area"), (2 + k % 3).cast("int").alias("q_guests"), F.lit(0).alias("q_bedrooms"), ((6350 + k % 200).cast("double") / 1000).alias("q_lat"),
         ((3400 + k % 173).cast("double") / 1000).alias("q_lng"), F.when(k % 2 == 0, 5.0).alias("q_radius"), F.lit(3).alias("nights"),
     )
-    found = search.search_batch(_units(spark, sf_dir), _partners(spark, sf_dir), pricing.default_fee_policies(spark), queries_)
+    found = search.search_batch(_units(spark, sf_dir), _partners(spark, sf_dir), pricing.default_fee_policies(spark), queries_, with_excluded=False)
     return found.where(F.size("reasons") == 0).groupBy("query_id").agg(F.count("*").alias("results"), F.min("unit_id").alias("least_unit"))
 
 
