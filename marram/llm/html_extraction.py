@@ -1,6 +1,7 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-Pages of a host are sorted by URL path; each is paired with the neighbour that shares the longer start of the path. Their
+Pages of a host are sorted by URL path; each is paired with the neighbour that shares the longer start of the path, where
+pages with the same lines are one: differencing a page with its copy would delete all of it. Their
 lines (the texts of blocks) are aligned by a longest common subsequence and shared lines are deleted as the site's frame.
 Two pages may well share sentences of their articles, so lines inside an <article> or <main> take no part and are kept:
 where a page marks its main text, that is its text, whatever its neighbour says. Lines in elements that hold no main text
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import broadcast_if_small, extend, free_name, materialise
+from marram.llm.common import SLICE_ROWS, broadcast_if_small, extend, free_name, materialise
 
 # HTML element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,40 +165,74 @@ def _common_start(a: str, b: str) -> int:
 
 
 def _difference(edges):
-    """Streams a partition sorted by host and path; edges.value: the first and last row of each partition."""
+    """Streams a partition sorted by host and path, as runs of pages of a host with the same lines: a copy tells nothing of
+    the frame, so the neighbours of a page are the pages before and after its run. Marked pages get no row, nor do pages
+    that share nothing. edges.value: by partition, the page before its first run and the page after its last one."""
 
-    def nearest(row: tuple, before: tuple | None, after: tuple | None) -> list[int]:
-        near = [x for x in (before, after) if x is not None and x[0] == row[0]]
-        if not near:
-            return []
-        return shared_lines(row[3], max(near, key=lambda x: _common_start(row[1], x[1]))[3])
+    def neighbours(page: tuple, before: tuple | None, after: tuple | None) -> list[tuple]:
+        return [x for x in (before, after) if x is not None and x[0] == page[0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = row = None
+        before = first = None  # the page before the run, and the first page of the run
         part = 0
+        waiting: list[tuple] = []  # (path, row) of the run's unmarked pages
         ids, gone = [], []
+
+        def close(after: tuple | None) -> None:
+            near = neighbours(first, before, after) if waiting else []
+            if near:
+                shared = [shared_lines(first[3], x[3]) for x in near]
+                for path, row in waiting:
+                    found = shared[max(range(len(near)), key=lambda i: _common_start(path, near[i][1]))]
+                    if found:
+                        ids.append(row), gone.append(found)
+            waiting.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ids), SLICE_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + SLICE_ROWS], pa.int64()), pa.array(gone[at : at + SLICE_ROWS], pa.list_(pa.int32()))], ["row", "gone"])
+            ids.clear(), gone.clear()
+
+        last = None
         for batch in batches:
-            for after in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if row is None:
-                    part = after[4]
-                    before = edges.value[0].get(part)
-                else:
-                    ids.append(row[2]), gone.append(nearest(row, before, after))
-                    before = row
-                row = after
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
-            ids, gone = [], []
-        if row is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([row[2]], pa.int64()), pa.array([nearest(row, before, edges.value[1].get(part))], pa.list_(pa.int32()))], ["row", "gone"])
+            for *page, part, marked in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if first is None:
+                    before, first = edges.value[0].get(part), page
+                elif page[0] != first[0] or page[3] != first[3]:
+                    close(page)
+                    before, first = last, page
+                if not marked:
+                    waiting.append((page[1], page[2]))
+                last = page
+            yield from out()
+        if first is not None:
+            close(edges.value[1].get(part))
+            yield from out()
 
     return run
 
 
+def _across(ends: list[tuple]) -> tuple[dict, dict]:
+    """The page before the first run and after the last run of each partition. ends, in order: part, first and last page,
+    and the first page after the first run and the last page before the last run, if there are any."""
+
+    def walk(ends: list[tuple]) -> dict:
+        found, known = {}, None  # known: of the partitions passed, the last page and the last page before its run
+        for part, first, last, inner in ends:
+            same = known and (known[0]["host"], known[0]["digest"]) == (first["host"], first["digest"])
+            found[part] = before = known and (known[1] if same else known[0])
+            known = last, inner or before
+        return {part: tuple(page)[:4] for part, page in found.items() if page}
+
+    return walk([(e.part, e.first, e.last, e.before) for e in ends]), walk([(e.part, e.last, e.first, e.after) for e in reversed(ends)])
+
+
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text, the main text as lines joined by one newline (empty if there is none), and n_chars, its code points.
 
     Null or empty html gives an empty text. A null URL counts as one without host; such pages are neighbours by path
-    as others are. Repeated rows are neighbours too and are judged alike. Columns of pages called text or n_chars give
+    as others are. Copies are no neighbours: a page without marked main text is differenced with the nearest page of its host
+    whose free lines differ, and one without such a page keeps its free lines. Columns of pages called text or n_chars give
     way; no rows give no rows. The source is read twice, so it must give its rows in the same partitions each time, as
     files and checkpoints do.
     """
@@ -209,16 +244,16 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     narrow = extend(keyed.select(host.alias("host"), path.alias("path"), F.col(row).alias("row"), F.col(f"`{html_col}`").alias("html")), "html", "lines array<string>, marked boolean", _free).drop("html")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = narrow.repartitionByRange(n, "host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("part", F.spark_partition_id())
-    dealt = materialise(dealt.select("host", "path", "row", "lines", "part", "marked"))
-    key = F.struct("host", "path", "row", "lines")
-    ends = sorted(dealt.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect())  # two rows of each partition
-    before = {b["part"]: tuple(a["last"]) for a, b in zip(ends, ends[1:])}
-    after = {a["part"]: tuple(b["first"]) for a, b in zip(ends, ends[1:])}
-    edges = spark.sparkContext.broadcast((before, after))
-    gone = dealt.drop("marked").mapInArrow(_difference(edges), "row long, gone array<int>").where(F.size("gone") > 0)
-    # a page with marked main text keeps just that; its other lines have shown its neighbour what the site repeats
-    unmarked = dealt.where(~F.col("marked")).select("row")
-    gone = broadcast_if_small(materialise(gone.join(unmarked, "row", "left_semi"))).toDF(row, shared)
+    dealt = materialise(dealt.select("host", "path", "row", "lines", F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"), "part", "marked"))  # a line holds no newline
+    key = F.struct("host", "path", "row", "lines", "digest")
+    outer = dealt.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # two rows of each partition, and two more
+    runs = outer.select("part", *[F.struct(f"{c}.host", f"{c}.digest").alias(f"{c}_run") for c in ("first", "last")])
+    at = F.struct("host", "digest")
+    inner = dealt.join(F.broadcast(runs), "part").groupBy("part").agg(F.min(F.when(at != F.col("first_run"), key)).alias("after"), F.max(F.when(at != F.col("last_run"), key)).alias("before"))
+    edges = spark.sparkContext.broadcast(_across(sorted(outer.join(inner, "part").collect(), key=lambda e: e.part)))
+    # a page with marked main text keeps just that; its other lines show its neighbours what the site repeats
+    gone = dealt.drop("digest").mapInArrow(_difference(edges), "row long, gone array<int>")
+    gone = broadcast_if_small(materialise(gone)).toDF(row, shared)
 
     def final(column: pa.Array) -> list[pa.Array]:
         texts = []

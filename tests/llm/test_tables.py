@@ -113,6 +113,23 @@ def test_pages_without_markup_lose_what_their_neighbour_shares(spark, parts):
     assert got == {1: "alpha one\nbeta", 2: "gamma\nalpha two", 3: "delta", 4: "Welcome to the site\nalone\nAll rights"}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 11])
+def test_copies_of_pages_without_markup_keep_their_text(spark, parts):
+    page = lambda *body: "<body><div>Welcome</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>All rights</div></body>"
+    copies = [f"http://h.com/x/2{end}" for end in ("", "", "?q=1", "#top", "/")] * 9
+    rows = [(1, "http://h.com/x/1", page("one")), *[(10 + i, url, page("alpha", "beta")) for i, url in enumerate(copies)], (2, "http://h.com/x/3", page("three"))]
+    rows += [(60 + i, f"http://h.com/y/{i}", page("gamma")) for i in range(9)]
+    rows += [(80 + i, "http://alone.com/", page("alone")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).checkpoint()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.page_id: r.text for r in extract_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    whole = "Welcome\nalone\nAll rights"
+    assert got == {1: "one", 2: "three"} | {10 + i: "alpha\nbeta" for i in range(45)} | {60 + i: "gamma" for i in range(9)} | {80 + i: whole for i in range(9)}
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(8)
     for _ in range(200):
