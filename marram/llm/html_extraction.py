@@ -5,7 +5,9 @@ pages with the same lines are one: differencing a page with its copy would delet
 lines (the texts of blocks) are aligned by a longest common subsequence and shared lines are deleted as the site's frame.
 Two pages may well share sentences of their articles, so lines inside an <article> or <main> take no part and are kept:
 where a page marks its main text, that is its text, whatever its neighbour says. Lines in elements that hold no main text
-by their tag, role, class or id (menus, footers, forms, adverts, comments and the like) are never kept.
+by their tag, role, class or id (menus, footers, forms, adverts, comments and the like) are never kept. No class or id makes a
+page, its main text, a heading or a paragraph such an element, and within main text only a whole class token or a known
+compound does: <h2 id="social-impact"> and <section class="related-work"> are part of an article.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg math canvas audio video button select textarea input dialog menu".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg canvas audio video button select textarea input dialog menu".split())
 MAIN = frozenset(("article", "main"))
 # Words in a class or id, and roles, of elements that hold no main text.
 FRAME_WORDS = frozenset(
@@ -36,20 +38,49 @@ FRAME_WORDS = frozenset(
     "share sharing social related recommended comment comments respond disqus footer masthead toolbar widget".split()
 )
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+# Class tokens and ids that name a frame element within main text, where one word of a token tells too little.
+FRAME_COMPOUNDS = frozenset(
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle google-ad share-bar share-box share-buttons share-links share-tools sharing-buttons "
+    "social-bar social-buttons social-icons social-links social-media-links social-share social-sharing related-articles related-links related-news related-posts "
+    "related-stories comment-form comment-list comment-respond comment-section comments-area comments-list comments-section disqus-thread newsletter-box "
+    "newsletter-form newsletter-signup subscribe-box subscribe-form signup-form cookie-banner cookie-consent cookie-notice promo-banner promo-box sponsored-links "
+    "post-navigation page-navigation nav-links".split()
+)
+FRAME_IDS = FRAME_COMPOUNDS | {"comments", "respond", "disqus"}
+#: Elements that no class or id makes frame.
+NEVER_FRAME = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that a start tag of the same kind closes, and those that any block closes.
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+#: A class token of an <article> that is one comment.
+_ONE_COMMENT = re.compile(r"(?:user-|single-|blog-)?comment(?:-(?:body|item|entry|content|text|card|container|wrapper|\d+))?")
+#: A class token or id that tells of a state or a layout ("has-sidebar", "menu-open") names no frame element.
+_STATE = re.compile(r"(?:has|no|with|without)-.*|.*-(?:open|closed|enabled|disabled|on|off)")
+
+
+def _tokens(value: str | None) -> list[str]:
+    """The tokens of a class or id in lower case, their words joined by single hyphens."""
+    return re.sub(r"[-_]+", "-", _CAMEL.sub(r"\1-\2", value or "").lower()).split()
 
 
 def _is_frame(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_main):
         return True
-    if tag in ("html", "body", *MAIN) and not any(k in ("class", "id") and "comment" in (v or "").lower() for k, v in attrs):
+    if tag in MAIN:
+        return tag == "article" and any(name == "class" and any(map(_ONE_COMMENT.fullmatch, _tokens(value))) for name, value in attrs)
+    if tag in ("html", "body"):
         return False
     for name, value in attrs:
         if name == "hidden" or (name == "role" and (value or "").lower() in FRAME_ROLES):
             return True
-        if name in ("class", "id") and value and not FRAME_WORDS.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if name not in ("class", "id") or tag in NEVER_FRAME:
+            continue
+        tokens = _tokens(value)
+        if in_main:
+            if not FRAME_COMPOUNDS.isdisjoint(tokens) or not (FRAME_WORDS if name == "class" else FRAME_IDS).isdisjoint(tokens):
+                return True
+        elif any(not _STATE.fullmatch(t) and not FRAME_WORDS.isdisjoint(_WORD.findall(t)) for t in tokens):
             return True
     return False
 

@@ -113,6 +113,24 @@ def test_pages_without_markup_lose_what_their_neighbour_shares(spark, parts):
     assert got == {1: "alpha one\nbeta", 2: "gamma\nalpha two", 3: "delta", 4: "Welcome to the site\nalone\nAll rights"}
 
 
+@pytest.mark.parametrize(
+    ("html", "main"),
+    [
+        ('<body class="comments-open has-sidebar"><article class="has-comments">a</article>', ["a"]),
+        ('<html class="no-ads"><div class="with-sidebar"><main id="comment-page"><article id="related">a</article></main></div>', ["a"]),
+        ('<article><h2 id="social-impact">a</h2><p class="notice">b</p><section class="related-work">c</section><div id="menu">d</div></article>', list("abcd")),
+        ('<main><h2 id="share">a</h2><span class="social-policy">b</span><section id="widget"><p>c</p></section></main>', list("abc")),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", ["so x=2 holds"]),
+        ('<article><p>a</p><div class="ad">x</div><div class="shareButtons big">x</div><div id="disqus_thread">x</div><p hidden>x</p></article>', ["a"]),
+        ('<article><p>a</p><article class="comment-body odd"><p>x</p></article></article><article class="comment"><p>x</p></article>', ["a"]),
+        ('<div class="top-banner">x</div><div id="mainMenu">x</div><article>a</article>', ["a"]),
+    ],
+)
+def test_class_and_id_words_drop_no_main_text(html, main):
+    lines = page_lines(html)
+    assert [t for t, kind in lines if kind == "main"] == main and all(kind == "frame" for t, kind in lines if t == "x")
+
+
 @pytest.mark.parametrize("parts", [1, 2, 5, 11])
 def test_copies_of_pages_without_markup_keep_their_text(spark, parts):
     page = lambda *body: "<body><div>Welcome</div>" + "".join(f"<p>{b}</p>" for b in body) + "<div>All rights</div></body>"
