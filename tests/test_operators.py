@@ -157,6 +157,19 @@ def test_search_gives_reasons(spark):
     assert {r.unit_id for r in batch.collect() if not r.reasons and r.query_id == 2} == {"u", "flat"}
 
 
+def test_batch_search_finds_the_same_without_the_excluded(spark):
+    names_ = [c.split()[0] for c in UNITS.split(", ")]
+    good = dict(zip(names_, ("u", "p", 4, 2, 1, 30, 10_000_000, 0, "LA", "Lekki", 6.45, 3.47, "C_OF_O", "LISTED")))
+    changes = [{}, *[{"unit_id": f"no {c}", c: None} for c in ("max_guests", "bedrooms", "min_nights", "max_nights")], {"unit_id": "small", "max_guests": 1}, {"unit_id": "long", "min_nights": 5}, {"unit_id": "orphan", "partner_id": "q"}, {"unit_id": "nobody", "partner_id": None}]
+    units = spark.createDataFrame([tuple((good | c).values()) for c in changes], UNITS)
+    queries = spark.createDataFrame([(1, "LA", None, 2, 0, None, None, None, 2), (2, "LA", None, 2, 3, 6.45, 3.47, 5.0, 2)], "query_id int, q_state string, q_area string, q_guests int, q_bedrooms int, q_lat double, q_lng double, q_radius double, nights int")
+    found = [
+        {(r.query_id, r.unit_id) for r in search.search_batch(units, spark.createDataFrame([("p",)], "partner_id string"), pricing.default_fee_policies(spark), queries, with_excluded=x).collect() if not r.reasons}
+        for x in (True, False)
+    ]
+    assert found[0] == found[1] == {(1, u) for u in ("u", "no max_guests", "no bedrooms", "no min_nights", "no max_nights")} | {(2, "no bedrooms")}
+
+
 def test_radius_edge(spark):
     from marram.functions.geo import haversine_km
 
