@@ -814,9 +814,11 @@ def stream_upsert(spark, sf_dir):
 
 @query("stream_dedupe", "SELECT DISTINCT source, source_listing_id, observed_on FROM fx_observations")
 def stream_dedupe(spark, sf_dir):
-    """One observation for each listing and day, by watermark: within the delay no batch order matters for the keys."""
+    """One observation for each listing and day, by watermark: the delay is longer than the days that the table spans, so that
+    nothing is late in whatever order the files come."""
     stream, folder = _event_stream(spark, sf_dir)
-    days = ledger.dedupe_observations(stream.select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "seq"), delay="60 days")
+    span = view(spark, sf_dir, "fx_observations").agg(F.datediff(F.max("observed_on"), F.min("observed_on"))).first()[0] or 0
+    days = ledger.dedupe_observations(stream.select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "seq"), delay=f"{span + 1} days")
     days.select("source", "source_listing_id", "observed_on").writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", format="parquet").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 

@@ -1,6 +1,7 @@
 """What the plans of the registered listing queries look like, and that all of them run on small data."""
 
 import re
+import time
 
 import pytest
 
@@ -49,6 +50,25 @@ def test_search_prunes_before_it_quotes(spark):
     assert "BroadcastNestedLoopJoin" in text and "CartesianProduct" not in text
 
 
+def test_stream_dedupe_has_no_late_rows(spark, tmp_path, monkeypatch):
+    """The latest days land first on a table that spans 400 days."""
+    rows = [(day, user) for user in range(5) for day in (0, 1, 150, 300, 399)]
+    events = spark.createDataFrame(rows, "day int, user_id long")
+    events = events.selectExpr("user_id as seq", "'a' as source", "cast(user_id as string) as source_listing_id", "date_add(date'2024-01-01', day) as observed_on")
+    monkeypatch.setattr(queries, "view", lambda *_: events)
+
+    def stream(spark, sf_dir):
+        for k, part in enumerate(("day = 399", "day = 150 or day = 300", "day < 100")):
+            days = events.where(part.replace("day", "datediff(observed_on, date'2024-01-01')")).coalesce(1)
+            days.write.mode("append").parquet(f"{tmp_path}/in")
+            if k < 2:
+                time.sleep(1.1)
+        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), str(tmp_path)
+
+    monkeypatch.setattr(queries, "_event_stream", stream)
+    assert queries.queries()["stream_dedupe"](spark, SF).count() == len(rows)
+
+
 def test_schemas_and_tables():
     assert len(names(LISTING)) == 26 and len(names(PLACE)) == 28 and names(PLACE)[19] == "first_seen_at"
     assert len(AREA_ALIASES) == 38
