@@ -10,17 +10,31 @@ from marram.functions.money import int_div
 from marram.functions.web import best_channel
 
 
-def merge_leads(leads: DataFrame, seq: str = "seq") -> DataFrame:
-    """One lead for each id: counts summed, rates and systems collected in order, the first contact of each kind that any
-    row has, the earliest contact made, the latest retention; other facts from the first row."""
-    ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(c).alias("v")))), lambda x: x["v"]))
+def merge_leads(leads: DataFrame, seq: str = "seq", with_rates: bool = True) -> DataFrame:
+    """One lead for each id: counts summed, systems collected in order, the first contact of each kind that any row has, the
+    earliest contact made, the latest retention; other facts from the first row; rate_count and lowest_rate of its rates.
+
+    with_rates also collects observed_rates in order, an array of every rate of an id. Without it no array grows with the
+    rows of an id, and lead_rates has the rates as rows."""
     contact = lambda f: F.min_by(F.col(f"contact.{f}"), F.when(F.coalesce(F.col(f"contact.{f}") != "", F.lit(False)), F.col(seq))).alias(f)
     first = lambda c: F.min_by(c, seq).alias(c)
-    return leads.groupBy("id").agg(
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("observed_rates").alias("v")))), lambda x: x["v"]))
+    merged = leads.groupBy("id").agg(
         first("display_name"), first("area"), first("state_code"), first("identity_status"), contact("phone"), contact("email"),
-        contact("website"), contact("instagram"), F.sum("listing_count").alias("listing_count"), ordered("observed_rates").alias("observed_rates"),
-        F.array_distinct(ordered("pms_fingerprints")).alias("pms_fingerprints"), F.min("contacted_at").alias("contacted_at"), F.max("retain_until").alias("retain_until"),
+        contact("website"), contact("instagram"), F.sum("listing_count").alias("listing_count"), *([ordered.alias("observed_rates")] if with_rates else []),
+        F.sum(F.coalesce(F.array_size("observed_rates"), F.lit(0))).alias("rate_count"), F.min(F.array_min("observed_rates")).alias("lowest_rate"),
+        F.min("contacted_at").alias("contacted_at"), F.max("retain_until").alias("retain_until"),
     ).withColumn("contact", F.struct("phone", "email", "website", "instagram")).drop("phone", "email", "website", "instagram")
+    # each system of an id once before they are collected
+    systems = leads.select("id", F.col(seq).alias("s"), F.posexplode("pms_fingerprints").alias("p", "system")).groupBy("id", "system").agg(F.min(F.struct("s", "p")).alias("at"))
+    systems = systems.groupBy(F.col("id").alias("of_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "system"))), lambda x: x["system"]).alias("pms_fingerprints"))
+    joined = merged.join(systems, F.col("id").eqNullSafe(F.col("of_id")), "left").drop("of_id")
+    return joined.withColumn("pms_fingerprints", F.coalesce("pms_fingerprints", F.array().cast(leads.schema["pms_fingerprints"].dataType)))
+
+
+def lead_rates(leads: DataFrame, seq: str = "seq") -> DataFrame:
+    """(id, seq, place, rate): every observed rate of each lead as a row; by seq and place they are in order."""
+    return leads.select("id", F.col(seq).alias("seq"), F.posexplode("observed_rates").alias("place", "rate"))
 
 
 def median_rates(rates: DataFrame, keys: list[str], rate_col: str = "rate") -> DataFrame:

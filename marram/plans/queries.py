@@ -653,7 +653,7 @@ def merge_leads(spark, sf_dir):
         F.col("source").alias("id"), "seq", F.col("property_name").alias("display_name"), "area", F.col("state").alias("state_code"), F.lit("UNIDENTIFIED").alias("identity_status"), F.struct("phone", none.alias("email"), "website", none.alias("instagram")).alias("contact"),
         F.lit(1).alias("listing_count"), F.array_compact(F.array("advertised_price")).alias("observed_rates"), F.array().cast("array<string>").alias("pms_fingerprints"), F.lit(None).cast("timestamp").alias("contacted_at"), F.lit(NOW).cast("timestamp").alias("retain_until"),
     )
-    return leads.merge_leads(rows).select("id", "listing_count", F.size("observed_rates").cast("long").alias("rates"), "contact.phone", "contact.website", "display_name")
+    return leads.merge_leads(rows, with_rates=False).select("id", "listing_count", F.col("rate_count").alias("rates"), "contact.phone", "contact.website", "display_name")
 
 
 # ---- pages --------------------------------------------------------------------------------------------------------

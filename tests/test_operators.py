@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +199,20 @@ def test_availability(spark):
 LEAD = "seq long, id string, display_name string, area string, state_code string, identity_status string, contact struct<phone: string, email: string, website: string, instagram: string>, listing_count int, observed_rates array<long>, pms_fingerprints array<string>, contacted_at timestamp, retain_until timestamp"
 
 
+def test_merged_leads_hold_no_array_of_all_rows(spark):
+    contact = ("p", None, None, None)
+    rows = [(i, None if i % 2 else "a", "A", "Lekki", "LA", "IDENTIFIED", contact, 1, [100 - i, None, 7 + i], ["smoobu", f"s{i // 40 % 3}"] if i else None, None, dt.datetime(2027, 1, 1)) for i in range(200)]
+    source = spark.createDataFrame(rows, LEAD)
+    merged = leads.merge_leads(source, with_rates=False)
+    assert "observed_rates" not in merged.columns
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and re.search(r"collect_list\(struct\(at, at#\d+, system", plan)
+    got = {r.id: (r.listing_count, r.rate_count, r.lowest_rate, r.pms_fingerprints) for r in merged.collect()}
+    assert got == {"a": (100, 300, -98, ["smoobu", "s0", "s1", "s2"]), None: (100, 300, -99, ["smoobu", "s0", "s1", "s2"])}
+    rates = [r.rate for r in leads.lead_rates(source).where("id = 'a'").orderBy("seq", "place").collect()]
+    assert rates == leads.merge_leads(source).where("id = 'a'").first().observed_rates and len(rates) == 300
+
+
 def test_leads(spark):
     until, past = dt.datetime(2027, 1, 1), dt.datetime(2026, 1, 1)
     none = (None, None, None, None)
