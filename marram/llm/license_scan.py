@@ -1,10 +1,12 @@
 """License scan by diagonal voting, with DataFrame functions only.
 
-All rolling word 3-gram hashes of every text are joined to the positions of the same grams in a table of templates: short
+The rolling word 3-gram hashes of every text are joined to the positions of the same grams in a table of templates: short
 phrases, and the notices by which licences are commonly stated. A match votes for the diagonal (position in the text minus
-position in the template). A phrase stands wherever one diagonal has all its votes. For a notice, diagonals that lie close
-are merged, so that words left out or put in don't split it, and the merged span's share of the notice's grams decides.
-Every match is verified on its words before it votes.
+position in the template). A phrase stands wherever its diagonal has all its votes. For a notice, each run of NEAR + 1
+neighbouring diagonals is one span, so that words left out or put in don't split it and no span is longer than the notice
+by more than NEAR words. Grams are compared by their words, and a span is verified in order: its share is the longest chain
+of its votes that goes forward in the text and in the notice, so no gram of the notice counts twice, divided by the
+notice's grams.
 """
 
 from __future__ import annotations
@@ -12,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import free_name
+from marram.llm.common import broadcast_if_small, free_name
 
 GRAM = 3
-#: Diagonals at most so far apart belong to one span.
-NEAR = 4
+#: So many diagonals beyond the first belong to one span of a notice.
+NEAR = 8
 #: Least share of a notice's grams that a span must hold.
 COVERAGE = 0.7
-#: The template table is broadcast; it is refused beyond this.
-MAX_TEMPLATE_GRAMS = 200_000
+#: Up to so many grams of templates, texts are first searched for their hashes; beyond it every gram goes into the join.
+LISTED_GRAMS = 10_000
 
 # Phrases and the labels they stand for.
 PHRASES = [
@@ -51,51 +53,78 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def _grams(words: Column) -> Column:
-    """Hashes of the rolling grams; none for fewer words than a gram has."""
+def _hash(words: Column, at: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + j) for j in range(GRAM)))
+
+
+def _grams(words: Column, listed: list[int] | None = None) -> Column:
+    """(pos, hash, gram) of the rolling grams, of those whose hash is listed where there is a list; none for fewer words than
+    a gram has. Only these few leave the row that holds all words."""
     n = F.size(words) - GRAM
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(GRAM)))))
+    places = F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+    if listed is not None:
+        places = F.filter(places, lambda i: _hash(words, i).isin(listed))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), _hash(words, i).alias("hash"), F.slice(words, i + 1, GRAM).alias("gram")))
 
 
 def _templates(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(hash, template, base, label, grams, tpos, gram): a row for each gram of each template."""
+    """(hash, gram, template, base, label, grams, tpos): a row for each gram of each template."""
     rows = [(i, base, label, text) for i, (base, label, text) in enumerate([*((True, *p) for p in phrases), *((False, *n) for n in notices)])]
     table = spark.createDataFrame(rows, "template int, base boolean, label string, text string").withColumn("w", words_of(F.col("text")))
-    table = table.select("template", "base", "label", (F.size("w") - GRAM + 1).alias("grams"), "w", F.posexplode(_grams(F.col("w"))).alias("tpos", "hash"))
-    return table.select("hash", "template", "base", "label", "grams", "tpos", F.slice("w", F.col("tpos") + 1, GRAM).alias("gram"))
+    table = table.select("template", "base", "label", (F.size("w") - GRAM + 1).alias("grams"), F.explode(_grams(F.col("w"))).alias("g"))
+    return table.select("g.hash", "g.gram", "template", "base", "label", "grams", F.col("g.pos").alias("tpos"))
+
+
+def _longest_chain(votes: Column) -> Column:
+    """Length of the longest chain of (pos, back) that goes forward in pos and backward in back, votes in order.
+
+    The state is the greatest `back` that ends a chain of each length; votes of one place come with the least back first, so
+    that none follows another."""
+
+    def add(ends: Column, vote: Column) -> Column:
+        shorter = F.size(F.filter(ends, lambda x: x > vote["back"]))
+        return F.concat(F.slice(ends, F.lit(1), shorter), F.array(vote["back"]), F.slice(ends, shorter + 2, F.size(ends)))
+
+    return F.size(F.aggregate(votes, F.expr("cast(array() as array<int>)"), add))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs without its text, and n_words, n_base (places of phrases), first_word, last_word (least and greatest start of
     a phrase, words from 0; else null), base_labels, labels (distinct, sorted, comma-joined; with the notices' labels),
-    score (greatest share of a template found, 0 to 1) and spans (of phrases and notices: label, start, stop in words).
+    score (greatest share of a template found, 0 to 1) and spans (of phrases and notices: label, start, stop in words; of
+    notice spans that overlap, the best).
 
-    A template needs three words at least. Null texts count as empty: no words, nothing found. A template with more than
-    MAX_TEMPLATE_GRAMS grams in all is refused. Every row is judged by itself, so repeated rows get the same result;
-    columns of docs with the new names give way.
+    A template needs three words at least. Null texts count as empty: no words, nothing found. Every row is judged by
+    itself, so repeated rows get the same result; columns of docs with the new names give way. Work grows with a text's
+    length, whatever it repeats.
     """
     spark = docs.sparkSession
-    phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
-    if sum(len(t.split()) for _, t in [*phrases, *notices]) > MAX_TEMPLATE_GRAMS:
-        raise ValueError("too many templates to broadcast")
-    templates = F.broadcast(_templates(spark, phrases, notices))
+    templates = _templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    known = [r[0] for r in templates.select("hash").distinct().limit(LISTED_GRAMS + 1).collect()]
     new = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"}
     kept = [c for c in docs.columns if c.lower() not in new and c != text_col]
     packed, row = free_name(docs, "packed"), free_name(docs, "row_key")
     words = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(packed) if kept else F.struct(F.lit(1)).alias(packed), F.monotonically_increasing_id().alias(row), words_of(F.col(f"`{text_col}`")).alias("w"))
-    # a first element, at 0, keeps a line for each row; it votes for nothing
-    grams = F.concat(F.array(F.lit(0).cast("long")), F.coalesce(_grams(F.col("w")), F.expr("cast(array() as array<bigint>)")))
-    exploded = words.select(packed, row, "w", F.size("w").cast("long").alias("n_words"), F.posexplode(grams).alias("at", "hash"))
-    met = exploded.join(templates, "hash", "left").where((F.col("at") == 0) | (F.slice("w", F.col("at"), GRAM) == F.col("gram")))
-    real = F.when(F.col("at") > 0, F.col("template"))
-    votes = met.select(F.when(F.col("at") == 0, F.col(packed)).alias(packed), row, "n_words", real.alias("template"), "base", "label", "grams", (F.col("at") - 1 - F.col("tpos")).alias("diagonal"), (F.col("at") - 1).alias("pos"))
-    votes = votes.repartition(row)  # all that follows groups by row, so this is the only shuffle
-    lines = votes.groupBy(row, "template", "base", "label", "grams", "diagonal").agg(F.first(packed, ignorenulls=True).alias(packed), F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.min("pos").alias("a"), F.max("pos").alias("b"))
-    order = Window.partitionBy(row, "template").orderBy("diagonal")
-    # a phrase is one diagonal; of a notice, diagonals near each other are one span
-    begins = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), F.lit(True))
-    spans = lines.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(order)).groupBy(row, "template", "base", "label", "grams", "span")
-    spans = spans.agg(F.first(packed, ignorenulls=True).alias(packed), F.max("n_words").alias("n_words"), F.when(F.col("grams") > 0, F.least(F.lit(1.0), F.sum("votes") / F.col("grams"))).alias("share"), F.min("a").alias("a"), F.max("b").alias("b"))
+    # a first element, at -1, keeps a line for each row; it votes for nothing
+    keeper = F.expr("array(named_struct('pos', -1, 'hash', 0L, 'gram', cast(array() as array<string>)))")
+    exploded = words.select(packed, row, F.size("w").cast("long").alias("n_words"), F.explode(F.concat(keeper, _grams(F.col("w"), known if len(known) <= LISTED_GRAMS else None))).alias("g"))
+    lines = exploded.select(F.when(F.col("g.pos") < 0, F.col(packed)).alias(packed), row, F.when(F.col("g.pos") < 0, F.col("n_words")).alias("n_words"), "g.pos", "g.hash", "g.gram")
+    met = lines.join(broadcast_if_small(templates), ["hash", "gram"], "left").where((F.col("pos") < 0) | F.col("template").isNotNull())
+    votes = met.select(packed, row, "n_words", "template", "base", "label", "grams", "pos", "tpos").repartition(row)  # all that follows groups by row, so this is the only shuffle
+    diagonal = F.col("pos") - F.col("tpos")
+    anchors = F.when(F.col("pos") >= 0, F.sequence(diagonal - F.when(F.col("base"), 0).otherwise(NEAR), diagonal)).otherwise(F.array(F.lit(None).cast("int")))
+    windows = votes.select("*", F.explode(anchors).alias("anchor")).groupBy(row, "template", "base", "label", "grams", "anchor")
+    windows = windows.agg(
+        F.first(packed, ignorenulls=True).alias(packed),
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", (-F.col("tpos")).alias("back"))))).alias("votes"),
+        F.min("pos").alias("a"),
+        F.max("pos").alias("b"),
+    )
+    shares = windows.withColumn("share", F.when(F.col("grams") > 0, _longest_chain(F.col("votes")) / F.col("grams"))).drop("votes")
+    nearby = Window.partitionBy(row, "template").orderBy("anchor").rangeBetween(-NEAR, NEAR)
+    best = F.max(F.struct("share", -F.col("anchor"))).over(nearby) == F.struct("share", -F.col("anchor"))
+    spans = shares.withColumn("best", best)
     phrase = F.col("base") & (F.col("share") >= 1)
     notice = ~F.col("base") & (F.col("share") >= COVERAGE)
     joined = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")
@@ -108,6 +137,6 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", phrases: list[tuple[s
         joined(phrase).alias("base_labels"),
         joined(phrase | notice).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(phrase | notice, F.struct(F.col("a").alias("start"), (F.col("b") + GRAM).alias("stop"), "label")))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(phrase | (notice & F.col("best")), F.struct(F.col("a").alias("start"), (F.col("b") + GRAM).alias("stop"), "label")))).alias("spans"),
     )
     return out.select(*[F.col(f"`{packed}`.`{c}`").alias(c) for c in kept], "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

@@ -75,15 +75,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEMPLATES = ", ".join(f"({i}, {base}, '{label}', '{text}')" for i, (base, label, text) in enumerate([*((True, *p) for p in PHRASES), *((False, *n) for n in NOTICES)]))
 OP3_SQL = rf"""
-WITH t AS (SELECT template, base, label, {_WORDS} AS ws FROM (VALUES {_TEMPLATES}) v(template, base, label, text)),
+WITH RECURSIVE t AS (SELECT template, base, label, {_WORDS} AS ws FROM (VALUES {_TEMPLATES}) v(template, base, label, text)),
 tg AS (SELECT template, base, label, len(ws) - {GRAM - 1} AS grams, p AS tpos, ws[p:p + {GRAM - 1}] AS gram FROM t, unnest(range(1, len(ws) - {GRAM - 2})) u(p)),
 d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-dg AS (SELECT doc_id, p, ws[p:p + {GRAM - 1}] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {GRAM - 2})) AS p FROM d)),
-votes AS (SELECT doc_id, template, base, label, grams, p - tpos AS diagonal, count(*) AS votes, min(p) - 1 AS a FROM dg JOIN tg USING (gram) GROUP BY ALL),
-edged AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER o <= {NEAR} THEN 0 ELSE 1 END AS begins FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-spans AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM edged),
-shares AS (SELECT doc_id, template, base, label, least(1.0::DOUBLE, sum(votes)::DOUBLE / grams) AS share, min(a) AS a FROM spans GROUP BY doc_id, template, base, label, grams, span),
-r AS (SELECT doc_id, count(*) FILTER (base AND share >= 1) AS n_base, min(a) FILTER (base AND share >= 1) AS f, max(a) FILTER (base AND share >= 1) AS l,
+dg AS (SELECT doc_id, p AS pos, ws[p:p + {GRAM - 1}] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {GRAM - 2})) AS p FROM d)),
+votes AS (SELECT doc_id, template, base, label, grams, pos, tpos FROM dg JOIN tg USING (gram)),
+phrases AS (SELECT doc_id, label, pos - tpos AS start, count(*)::DOUBLE / any_value(grams) AS share FROM votes WHERE base GROUP BY doc_id, template, label, pos - tpos),
+-- a span holds the votes of neighbouring diagonals; a chain goes forward in the text and in the notice
+spans AS (SELECT doc_id, template, label, grams, pos, tpos, unnest(range(pos - tpos - {NEAR}, pos - tpos + 1)) AS anchor FROM votes WHERE NOT base),
+chains AS (SELECT *, 1 AS n FROM spans
+  UNION SELECT s.doc_id, s.template, s.label, s.grams, s.pos, s.tpos, s.anchor, c.n + 1 FROM chains c JOIN spans s ON s.doc_id = c.doc_id AND s.template = c.template AND s.anchor = c.anchor AND s.pos > c.pos AND s.tpos > c.tpos),
+shares AS (SELECT doc_id, true AS base, label, start, share FROM phrases UNION ALL SELECT doc_id, false, label, NULL, max(n)::DOUBLE / any_value(grams) FROM chains GROUP BY doc_id, template, label, anchor),
+r AS (SELECT doc_id, count(*) FILTER (base AND share >= 1) AS n_base, min(start) FILTER (base AND share >= 1) AS f, max(start) FILTER (base AND share >= 1) AS l,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND share >= 1) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND share >= 1) OR (NOT base AND share >= {COVERAGE})) AS al, max(share) AS score FROM shares GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN r USING (doc_id)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marram.llm import bpe, language_id
+from marram.llm import bpe, language_id, license_scan, queries
 from marram.llm.decontamination import decontaminate
 from marram.llm.license_scan import scan_licenses
 
@@ -95,6 +96,90 @@ def test_license_scan(spark):
     assert scan_licenses(spark.createDataFrame(docs[:1], "doc_id long, text string, Score int").limit(0)).count() == 0
 
 
+def brute_licenses(text, phrases=license_scan.PHRASES, notices=license_scan.NOTICES):
+    """(n_base, starts, labels, score) from the rules: phrases word by word; of a notice, the longest chain of equal grams, in order
+    in text and notice, whose shifts differ by NEAR at most."""
+    ws = words(text)
+    starts, labels, score = [], set(), 0.0
+    for label, phrase in phrases:
+        pw = words(phrase)
+        for p in range(-len(pw), len(ws)):
+            same = sum(0 <= p + i < len(ws) - 2 and ws[p + i : p + i + 3] == pw[i : i + 3] for i in range(len(pw) - 2))
+            score = max(score, same / (len(pw) - 2))
+            if ws[max(p, 0) : p + len(pw)] == pw:
+                starts.append(p), labels.add(label)
+    for label, notice in notices:
+        nw = words(notice)
+        pairs = sorted((p, t) for p in range(len(ws) - 2) for t in range(len(nw) - 2) if ws[p : p + 3] == nw[t : t + 3])
+        for low in {p - t for p, t in pairs}:
+            best = {}
+            for p, t in (x for x in pairs if low <= x[0] - x[1] <= low + license_scan.NEAR):
+                best[p, t] = 1 + max((n for (q, u), n in best.items() if q < p and u < t), default=0)
+            share = max(best.values()) / (len(nw) - 2)
+            score = max(score, share)
+            if share >= license_scan.COVERAGE:
+                labels.add(label)
+    return len(starts), (min(starts, default=None), max(starts, default=None)), ",".join(sorted(labels)), score
+
+
+def test_license_scan_matches_brute_force(spark):
+    rnd = random.Random(11)
+    templates = [words(t) for _, t in [*license_scan.PHRASES, *license_scan.NOTICES]]
+    texts = ["licensed under the " * 6, "gnu general public " * 5, "licensed under the gnu general public " * 3, "to deal in the software without restriction " * 9, None, "", "a b"]
+    for _ in range(60):
+        out = []
+        for _ in range(rnd.randint(1, 3)):
+            ws = list(rnd.choice(templates))
+            for _ in range(rnd.choice([0, 1, 2, 5])):
+                at = rnd.randrange(len(ws) + 1)
+                if rnd.random() < 0.5:
+                    ws[at:at] = [rnd.choice(["x", "the", "license"])] * rnd.randint(1, 6)
+                else:
+                    del ws[at : at + rnd.randint(1, 4)]
+            out += ws[: rnd.choice([4, 99, 99])] + ["y"] * rnd.randint(0, 2)
+        texts.append(" ".join(out))
+    docs = [(i, t) for i, t in enumerate(texts)]
+    for listed in (license_scan.LISTED_GRAMS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(license_scan, "LISTED_GRAMS", listed)
+            got = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            n, ends, labels, score = brute_licenses(texts[r.doc_id])
+            assert (r.n_base, (r.first_word, r.last_word), r.labels, r.score) == (n, ends, labels, pytest.approx(score)), texts[r.doc_id]
+            assert {s.label for s in r.spans} == set(filter(None, r.labels.split(",")))
+    assert [brute_licenses(t)[2] for t in texts[:2]] == ["", ""]  # one gram, however often, is no notice
+
+
+def test_license_scan_sql_equals_the_query(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    notice = license_scan.NOTICES[4][1]
+    texts = ["licensed under the " * 6, f"x {notice} y {notice}", "licensed under the gnu general public x license", "under the mit license cc by nc", None, "gnu general public license by the " * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_license_scan(spark, str(tmp_path)).orderBy("doc_id")
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = base.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.OP3_SQL}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_license_scan_of_one_long_text_costs_as_much_as_of_many(spark):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["under", "the", "license", "alpha", "beta", "gamma"])
+    parts = [" ".join(word() for _ in range(10_000)) for _ in range(16)]
+
+    def seconds(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).cache()
+        df.count()
+        began = time.time()
+        scan_licenses(df).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(parts)  # compiled
+    assert seconds([" ".join(parts)]) < 2 * seconds(parts) + 2
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return public_tokenizers.path("byte_bpe_50k.json")
