@@ -105,10 +105,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", phrases: list[tuple[s
     kept = [c for c in docs.columns if c.lower() not in new and c != text_col]
     packed, row = free_name(docs, "packed"), free_name(docs, "row_key")
     words = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(packed) if kept else F.struct(F.lit(1)).alias(packed), F.monotonically_increasing_id().alias(row), words_of(F.col(f"`{text_col}`")).alias("w"))
-    # a first element, at -1, keeps a line for each row; it votes for nothing
-    keeper = F.expr("array(named_struct('pos', -1, 'hash', 0L, 'gram', cast(array() as array<string>)))")
-    exploded = words.select(packed, row, F.size("w").cast("long").alias("n_words"), F.explode(F.concat(keeper, _grams(F.col("w"), known if len(known) <= LISTED_GRAMS else None))).alias("g"))
-    lines = exploded.select(F.when(F.col("g.pos") < 0, F.col(packed)).alias(packed), row, F.when(F.col("g.pos") < 0, F.col("n_words")).alias("n_words"), "g.pos", "g.hash", "g.gram")
+    # a first element, at -1, keeps a line for each row and what belongs to it; it votes for nothing. Neither the words nor
+    # the other columns stand beside the elements, so none of them is copied for each gram
+    keeper = F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("hash"), F.expr("cast(array() as array<string>)").alias("gram"), F.struct(F.size("w").cast("long").alias("n_words"), F.col(packed).alias("columns")).alias("own"))
+    grams = F.transform(_grams(F.col("w"), known if len(known) <= LISTED_GRAMS else None), lambda g: g.withField("own", F.lit(None)))
+    lines = words.select(row, F.explode(F.concat(F.array(keeper), grams)).alias("g")).select(row, "g.pos", "g.hash", "g.gram", F.col("g.own.n_words").alias("n_words"), F.col("g.own.columns").alias(packed))
     met = lines.join(broadcast_if_small(templates), ["hash", "gram"], "left").where((F.col("pos") < 0) | F.col("template").isNotNull())
     votes = met.select(packed, row, "n_words", "template", "base", "label", "grams", "pos", "tpos").repartition(row)  # all that follows groups by row, so this is the only shuffle
     diagonal = F.col("pos") - F.col("tpos")
