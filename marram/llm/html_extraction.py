@@ -1,24 +1,26 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-Pages of a host are sorted by URL path; each is paired with the neighbour that shares the longer start of the path, where
-pages with the same lines are one: differencing a page with its copy would delete all of it. Their
-lines (the texts of blocks) are aligned by a longest common subsequence and shared lines are deleted as the site's frame.
-Two pages may well share sentences of their articles, so lines inside an <article> or <main> take no part and are kept:
-where a page marks its main text, that is its text, whatever its neighbour says. Lines in elements that hold no main text
-by their tag, role, class or id (menus, footers, forms, adverts, comments and the like) are never kept. No class or id makes a
-page, its main text, a heading or a paragraph such an element, and within main text only a whole class token or a known
-compound does: <h2 id="social-impact"> and <section class="related-work"> are part of an article.
+Pages of a host are sorted by URL path, copies (pages with the same lines) being one, and each is paired with the neighbour
+that shares the longer start of the path. The lines of both (the texts of all visible blocks, inside and outside the main
+text) are aligned by a longest common subsequence, and shared lines are deleted as the site's frame.
+Two pages may well share sentences of their articles, so lines inside an <article> or <main> are protected: they stay though
+they are shared. What differencing leaves of other lines is the text only where a page marks no main text, and lines in
+elements that hold none by their tag, role, class or id (menus, footers, forms, adverts, comments and the like) go in any
+case, since frames that differ from page to page aren't shared. No class or id makes a page, its main text, a heading or a
+paragraph such an element, and within main text only a whole class token or a known compound does: <h2 id="social-impact">
+and <section class="related-work"> are part of an article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.llm.common import SLICE_ROWS, broadcast_if_small, extend, free_name, materialise
@@ -30,6 +32,8 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
 DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg canvas audio video button select textarea input dialog menu".split())
+#: Of these, what holds no line of a page.
+SILENT = frozenset("head title script style noscript template iframe object svg canvas audio video".split())
 MAIN = frozenset(("article", "main"))
 # Words in a class or id, and roles, of elements that hold no main text.
 FRAME_WORDS = frozenset(
@@ -86,7 +90,7 @@ def _is_frame(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> b
 
 
 class _Lines(HTMLParser):
-    """Collects (text, kind) of the blocks of a page in order; kind: 'main', 'frame' or 'free'."""
+    """Collects (text, kind) of the visible blocks of a page in order; kind: 'main', 'frame' or 'free'."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -126,7 +130,9 @@ class _Lines(HTMLParser):
                 self.parts.append(" ")
             return
         kind = self.kind
-        if kind != "frame":
+        if tag in SILENT:
+            kind = "silent"  # a script inside a paragraph doesn't end its line
+        elif kind not in ("frame", "silent"):
             if _is_frame(tag, attrs, kind == "main"):
                 self._end_line()
                 kind = "frame"
@@ -149,7 +155,8 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if self.kind != "silent":
+            self.parts.append(data)
 
 
 def page_lines(html: str | None) -> list[tuple[str, str]]:
@@ -163,9 +170,9 @@ def page_lines(html: str | None) -> list[tuple[str, str]]:
     return parser.lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> list[int]:
+def shared_lines(a: list, b: list) -> list[int]:
     """Places in a of a longest common subsequence with b (Hunt and Szymanski)."""
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
     ends: list[int] = []  # least end in b of a common subsequence by its length
@@ -185,9 +192,14 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def _free(column: pa.Array) -> list[pa.Array]:
+#: Bytes of a line's fingerprint.
+PRINT = 16
+
+
+def _prints(column: pa.Array) -> list[pa.Array]:
     found = [page_lines(h) for h in column.to_pylist()]
-    return [pa.array([[t for t, kind in x if kind == "free"] for x in found], pa.list_(pa.string())), pa.array([any(kind == "main" for _, kind in x) for x in found], pa.bool_())]
+    packed = [b"".join(hashlib.blake2b(t.encode(), digest_size=PRINT).digest() for t, _ in x) for x in found]
+    return [pa.array(packed, pa.binary()), pa.array([any(kind == "main" for _, kind in x) for x in found], pa.bool_())]
 
 
 def _common_start(a: str, b: str) -> int:
@@ -195,112 +207,93 @@ def _common_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _difference(edges):
-    """Streams a partition sorted by host and path, as runs of pages of a host with the same lines: a copy tells nothing of
-    the frame, so the neighbours of a page are the pages before and after its run. Marked pages get no row, nor do pages
-    that share nothing. edges.value: by partition, the page before its first run and the page after its last one."""
-
-    def neighbours(page: tuple, before: tuple | None, after: tuple | None) -> list[tuple]:
-        return [x for x in (before, after) if x is not None and x[0] == page[0]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = first = None  # the page before the run, and the first page of the run
-        part = 0
-        waiting: list[tuple] = []  # (path, row) of the run's unmarked pages
-        ids, gone = [], []
-
-        def close(after: tuple | None) -> None:
-            near = neighbours(first, before, after) if waiting else []
-            if near:
-                shared = [shared_lines(first[3], x[3]) for x in near]
-                for path, row in waiting:
-                    found = shared[max(range(len(near)), key=lambda i: _common_start(path, near[i][1]))]
-                    if found:
-                        ids.append(row), gone.append(found)
-            waiting.clear()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(ids), SLICE_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + SLICE_ROWS], pa.int64()), pa.array(gone[at : at + SLICE_ROWS], pa.list_(pa.int32()))], ["row", "gone"])
-            ids.clear(), gone.clear()
-
-        last = None
-        for batch in batches:
-            for *page, part, marked in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if first is None:
-                    before, first = edges.value[0].get(part), page
-                elif page[0] != first[0] or page[3] != first[3]:
-                    close(page)
-                    before, first = last, page
-                if not marked:
-                    waiting.append((page[1], page[2]))
-                last = page
-            yield from out()
-        if first is not None:
-            close(edges.value[1].get(part))
-            yield from out()
-
-    return run
-
-
-def _across(ends: list[tuple]) -> tuple[dict, dict]:
-    """The page before the first run and after the last run of each partition. ends, in order: part, first and last page,
-    and the first page after the first run and the last page before the last run, if there are any."""
-
-    def walk(ends: list[tuple]) -> dict:
-        found, known = {}, None  # known: of the partitions passed, the last page and the last page before its run
-        for part, first, last, inner in ends:
-            same = known and (known[0]["host"], known[0]["digest"]) == (first["host"], first["digest"])
-            found[part] = before = known and (known[1] if same else known[0])
-            known = last, inner or before
-        return {part: tuple(page)[:4] for part, page in found.items() if page}
-
-    return walk([(e.part, e.first, e.last, e.before) for e in ends]), walk([(e.part, e.last, e.first, e.after) for e in reversed(ends)])
-
-
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, gone) of the pages (part, place, host, path, digest, prints) of a sorted stream that share lines with their
+    nearest neighbour. place 0 and 2: the page before a part's first and after its last page, which gets no row here."""
+    keys, gone = [], []
+
+    def lines(page: tuple) -> list[bytes]:
+        return [page[5][i : i + PRINT] for i in range(0, len(page[5]), PRINT)]
+
+    def judge(page: tuple | None, *beside: tuple | None) -> None:
+        near = [x for x in beside if page and x and page[1] == 1 and (x[0], x[2]) == (page[0], page[2])]
+        if near:
+            found = shared_lines(lines(page), lines(max(near, key=lambda x: _common_start(page[3], x[3]))))
+            if found:
+                keys.append(page[4]), gone.append(found)
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["digest", "gone"])
+        keys.clear(), gone.clear()
+        return batch
+
+    before = page = None
+    for batch in batches:
+        for after in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            judge(page, before, after)
+            before, page = page, after
+            if len(keys) >= SLICE_ROWS:
+                yield out()
+    judge(page, before)
+    yield out()
+
+
+def _nearest(narrow: DataFrame) -> DataFrame:
+    """(digest, gone): the places of the lines that a page of (host, path, digest, prints) shares with its nearest neighbour.
+
+    Pages with one digest are one, under the least path. A host's pages may fill many partitions: the pages at a partition's
+    ends are dealt to its neighbours as rows, so that no host is gathered."""
+    n = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ("host", "path", "digest")
+    one = narrow.groupBy("digest").agg(F.min(F.struct("host", "path", "prints")).alias("x")).select("x.host", "x.path", "digest", "x.prints")
+    dealt = materialise(one.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()))
+    page = F.struct(*key, "prints")
+    ends = dealt.groupBy("part").agg(F.min(page).alias("first"), F.max(page).alias("last"))
+    in_order = Window.orderBy("part")  # a row for each partition
+    ends = ends.select("part", F.lag("last").over(in_order).alias("before"), F.lead("first").over(in_order).alias("after"))
+    beside = [ends.where(F.col(c).isNotNull()).select("part", F.lit(place).alias("place"), *[f"{c}.{x}" for x in (*key, "prints")]) for c, place in (("before", 0), ("after", 2))]
+    stream = dealt.select("part", F.lit(1).alias("place"), *key, "prints").union(beside[0]).union(beside[1])
+    return stream.repartition(n, "part").sortWithinPartitions("part", "place", *key).mapInArrow(_difference, "digest string, gone array<int>")
+
+
+#: Deleted places that may be broadcast in all.
+BROADCAST_PLACES = 2_000_000
+
+
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", report: bool = False) -> DataFrame:
     """pages with text, the main text as lines joined by one newline (empty if there is none), and n_chars, its code points.
 
+    report: also n_lines, the visible lines of the page, n_differenced, those that differencing deletes, and n_protected,
+    those that are shared but stay as part of a marked main text.
     Null or empty html gives an empty text. A null URL counts as one without host; such pages are neighbours by path
-    as others are. Copies are no neighbours: a page without marked main text is differenced with the nearest page of its host
-    whose free lines differ, and one without such a page keeps its free lines. Columns of pages called text or n_chars give
-    way; no rows give no rows. The source is read twice, so it must give its rows in the same partitions each time, as
-    files and checkpoints do.
+    as others are. Copies are no neighbours: a page is differenced with the nearest page of its host whose lines differ, and
+    without such a page nothing is deleted. Copies, which are found by their lines, are judged alike. Lines are compared by
+    fingerprints of 128 bits. Columns of pages called text or n_chars (with report: or as its columns) give way; no rows give
+    no rows. The source is read twice, so it must give its rows in the same partitions each time, as files and checkpoints do.
     """
-    spark = pages.sparkSession
     row, shared = free_name(pages, "row_key"), free_name(pages, "shared_lines")
     keyed = pages.withColumn(row, F.monotonically_increasing_id())
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
     host, path = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^(?:.*?://[^/?#]*)?([^?#]*)", 1)
-    narrow = extend(keyed.select(host.alias("host"), path.alias("path"), F.col(row).alias("row"), F.col(f"`{html_col}`").alias("html")), "html", "lines array<string>, marked boolean", _free).drop("html")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = narrow.repartitionByRange(n, "host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("part", F.spark_partition_id())
-    dealt = materialise(dealt.select("host", "path", "row", "lines", F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"), "part", "marked"))  # a line holds no newline
-    key = F.struct("host", "path", "row", "lines", "digest")
-    outer = dealt.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # two rows of each partition, and two more
-    runs = outer.select("part", *[F.struct(f"{c}.host", f"{c}.digest").alias(f"{c}_run") for c in ("first", "last")])
-    at = F.struct("host", "digest")
-    inner = dealt.join(F.broadcast(runs), "part").groupBy("part").agg(F.min(F.when(at != F.col("first_run"), key)).alias("after"), F.max(F.when(at != F.col("last_run"), key)).alias("before"))
-    edges = spark.sparkContext.broadcast(_across(sorted(outer.join(inner, "part").collect(), key=lambda e: e.part)))
-    # a page with marked main text keeps just that; its other lines show its neighbours what the site repeats
-    gone = dealt.drop("digest").mapInArrow(_difference(edges), "row long, gone array<int>")
-    gone = broadcast_if_small(materialise(gone)).toDF(row, shared)
+    narrow = extend(keyed.select(host.alias("host"), path.alias("path"), F.col(row).alias("row"), F.col(f"`{html_col}`").alias("html")), "html", "prints binary, marked boolean", _prints).drop("html")
+    narrow = materialise(narrow.withColumn("digest", F.sha2(F.concat("prints", F.lit(" ").cast("binary"), F.col("host").cast("binary")), 256)))
+    nearest = materialise(_nearest(narrow.select("host", "path", "digest", "prints")))
+    wanted = narrow if report else narrow.where(~F.col("marked"))  # what is shared of a marked page, but for its main text, is frame
+    gone = materialise(wanted.select("row", "digest").join(broadcast_if_small(nearest), "digest").select(F.col("row").alias(row), F.col("gone").alias(shared)))
+    few = (gone.agg(F.sum(F.size(shared) + 1)).first()[0] or 0) <= BROADCAST_PLACES
+    both = free_name(pages, "page_parts")
 
     def final(column: pa.Array) -> list[pa.Array]:
-        texts = []
+        texts, counts = [], []
         for packed in column.to_pylist():
-            found = page_lines(packed["html"])
-            if any(kind == "main" for _, kind in found):
-                texts.append("\n".join(t for t, kind in found if kind == "main"))
-            else:
-                out, skip = [], set(packed["gone"] or ())
-                for i, t in enumerate(t for t, kind in found if kind == "free"):
-                    if i not in skip:
-                        out.append(t)
-                texts.append("\n".join(out))
-        return [pa.array(texts, pa.string())]
-
-    both = free_name(pages, "page_parts")
-    joined = keyed.join(gone, row, "left").withColumn(both, F.struct(F.col(f"`{html_col}`").alias("html"), F.col(shared).alias("gone")))
-    done = extend(joined.drop(shared, row), both, "text string", final, kind="struct<html:string,gone:array<int>>").drop(both)
+            found, skip = page_lines(packed["html"]), set(packed["gone"] or ())
+            main = any(kind == "main" for _, kind in found)
+            texts.append("\n".join(t for i, (t, kind) in enumerate(found) if (kind == "main" if main else kind == "free" and i not in skip)))
+            protected = sum(found[i][1] == "main" for i in skip)
+            counts.append((len(found), len(skip) - protected, protected))
+        return [pa.array(texts, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3 if report else 0))]
+
+    joined = keyed.join(F.broadcast(gone) if few else gone, row, "left").withColumn(both, F.struct(F.col(f"`{html_col}`").alias("html"), F.col(shared).alias("gone")))
+    columns = "text string" + (", n_lines long, n_differenced long, n_protected long" if report else "")
+    done = extend(joined.drop(shared, row), both, columns, final, kind="struct<html:string,gone:array<int>>").drop(both)
     return done.withColumn("n_chars", F.length("text").cast("long"))

@@ -123,6 +123,7 @@ def test_pages_without_markup_lose_what_their_neighbour_shares(spark, parts):
         ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", ["so x=2 holds"]),
         ('<article><p>a</p><div class="ad">x</div><div class="shareButtons big">x</div><div id="disqus_thread">x</div><p hidden>x</p></article>', ["a"]),
         ('<article><p>a</p><article class="comment-body odd"><p>x</p></article></article><article class="comment"><p>x</p></article>', ["a"]),
+        ("<head><title>x</title></head><article><p>a <script>x</script>b<svg><text>x</text></svg></p></article>", ["a b"]),
         ('<div class="top-banner">x</div><div id="mainMenu">x</div><article>a</article>', ["a"]),
     ],
 )
@@ -148,6 +149,27 @@ def test_copies_of_pages_without_markup_keep_their_text(spark, parts):
     assert got == {1: "one", 2: "three"} | {10 + i: "alpha\nbeta" for i in range(45)} | {60 + i: "gamma" for i in range(9)} | {80 + i: whole for i in range(9)}
 
 
+def test_differencing_removes_frame_lines_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = extract_text(pages, report=True).collect()
+    assert len(found) == pages.count()
+    assert sum(r.n_differenced for r in found) > 0
+    assert all(r.n_differenced + r.n_protected <= r.n_lines for r in found)
+
+
+def test_report_counts_what_differencing_does(spark):
+    page = lambda *body: "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in body) + "</article><footer>Bye</footer>"
+    rows = [(1, "http://h/1", page("same", "a"), 5), (2, "http://h/2", page("same", "b"), 5), (3, "http://h/2", page("same", "b"), 5), (4, None, None, 5)]
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, N_Lines int"), report=True).collect()}
+    assert {i: (r.text, r.n_lines, r.n_differenced, r.n_protected) for i, r in got.items()} == {1: ("same\na", 4, 2, 1), 2: ("same\nb", 4, 2, 1), 3: ("same\nb", 4, 2, 1), 4: ("", 0, 0, 0)}
+
+
+def test_very_long_pages(spark):
+    page = lambda x: "<body><div>Welcome</div>" + "".join(f"<p>{x} {i}</p>" for i in range(20_000)) + "<div>Bye</div>"
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame([(1, "http://h/1", page("a")), (2, "http://h/2", page("b"))], "page_id long, url string, html string")).collect()}
+    assert got[1].text.split("\n") == [f"a {i}" for i in range(20_000)] and got[2].text.startswith("b 0\nb 1\n")
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(8)
     for _ in range(200):
