@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads windows of WINDOW bytes from both ends, labels every position and pools the positions' probabilities
-over the document. It is trained on the driver in numpy by backpropagation through time, on windows of a bounded sample of
-labelled rows: at most `per_language` rows of each language, chosen by a hash of the id. Prediction runs in the executors
-over every window of every text.
+over the document. It is trained on the driver in numpy by backpropagation through time, on the whole texts of a bounded
+sample of labelled rows: at most `per_language` rows of each language, chosen by a hash of id and text. Each training step draws
+windows from anywhere in these texts. Prediction runs in the executors over every window of every text.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ from marram.llm.words import _offsets
 
 WINDOW = 48
 HIDDEN = 8
-#: Bounds of the training sample: rows of a language, and windows of a row.
+#: Bound of the training sample: rows of a language.
 PER_LANGUAGE = 400
-WINDOWS_PER_ROW = 4
 STEPS = 160
 BATCH = 192
 #: What a text without a letter gets.
 UNKNOWN = "und"
-#: Windows that a task runs at once.
+#: Windows that a task runs at once; always so many, so that a window's result is the same wherever it stands.
 AT_ONCE = 2048
+#: A window's probabilities are rounded to this unit before they are summed, so that the sum doesn't depend on its order.
+UNIT = 2.0**-20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -42,6 +43,13 @@ class Model:
     languages: list[str]
 
 
+def _windows(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (WINDOW, n) of bytes from `begins` on, and which places lie before `ends`; beyond them stands 0."""
+    places = begins + np.arange(WINDOW)[:, None]
+    inside = places < ends
+    return np.where(inside, data[np.minimum(places, len(data) - 1)], np.uint8(0)), inside
+
+
 def _start(languages: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     h = HIDDEN
     w = {}
@@ -117,22 +125,24 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.
     return grads
 
 
-def train(windows: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 9) -> Model:
-    """A model of the labelled windows; the same windows give the same model. Languages are drawn equally often."""
+def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 9) -> Model:
+    """A model of the labelled texts; the same texts give the same model. Languages are drawn equally often, so are the texts
+    of a language, and so are the places of a text."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     y_all = np.array([languages.index(x) for x in labels])
     by_language = [np.flatnonzero(y_all == i) for i in range(len(languages))]
-    x_all, mask_all = np.zeros((len(windows), WINDOW), np.uint8), np.zeros((len(windows), WINDOW), bool)
-    for i, b in enumerate(windows):
-        row = np.frombuffer(b[:WINDOW], np.uint8)
-        x_all[i, : len(row)], mask_all[i, : len(row)] = row, _LETTER[row]
+    data = np.frombuffer(b"".join(texts) or b"\0", np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
     w = _start(len(languages), rng)
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v2 = {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(own, BATCH // len(languages) + 1) for own in by_language])
-        grads = _gradients(w, x_all[pick].T, mask_all[pick].T, y_all[pick])
+        begins = ends[pick] - sizes[pick] + (rng.random(len(pick)) * np.maximum(sizes[pick] - WINDOW // 2, 1)).astype(np.int64)
+        x, inside = _windows(data, begins, ends[pick])
+        grads = _gradients(w, x, inside & _LETTER[x], y_all[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = 0.03 * min(1, 2 * (1 - (step - 1) / steps))
         for k, g in grads.items():
@@ -186,9 +196,8 @@ def pooled(model: Model, column: pa.Array) -> np.ndarray:
     letters = np.zeros(len(sizes))
     for at in range(0, len(owner), AT_ONCE):
         own = owner[at : at + AT_ONCE]
-        places = begins[at : at + AT_ONCE] + np.arange(WINDOW)[:, None]
-        inside = places < ends[at : at + AT_ONCE]
-        x = np.where(inside, data[np.minimum(places, len(data) - 1)], np.uint8(0))
+        spare = np.zeros(AT_ONCE - len(own), np.int64)  # windows of nothing fill the last batch
+        x, inside = _windows(data, np.concatenate([begins[at : at + AT_ONCE], spare]), np.concatenate([ends[at : at + AT_ONCE], spare]))
         mask = inside & _LETTER[x]
         p = _scores(model.weights, "f", x)
         p += _scores(model.weights, "b", x)
@@ -196,30 +205,27 @@ def pooled(model: Model, column: pa.Array) -> np.ndarray:
         np.clip(p, -60, 60, out=p)
         np.exp(p, out=p)
         p *= (mask.astype(np.float32) / p.sum(1))[:, None]
-        by_window = p.sum(0)
+        by_window = np.rint(p.sum(0)[:, : len(own)].astype(np.float64) / UNIT)
         for k, of_language in enumerate(by_window):
             total[:, k] += np.bincount(own, of_language, len(sizes))
-        letters += np.bincount(own, mask.sum(0), len(sizes))
-    return total / np.maximum(letters, 1)[:, None]
+        letters += np.bincount(own, mask[:, : len(own)].sum(0), len(sizes))
+    return total * UNIT / np.maximum(letters, 1)[:, None]
 
 
-def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list:
-    """(lang, window) of the sample: the rows with the least hashes among the labelled rows outside the held-out fifth."""
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list:
+    """(lang, text) of the sample: of the labelled rows outside the held-out fifth, repeated ones being one, those with the
+    least hashes."""
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # a hash range wide enough for four times the sample goes into the ranking, so no task ranks a language's every row
-    shares = narrow.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("share"))
-    near = narrow.join(broadcast_if_small(materialise(shares)), "lang").where(F.pmod("key", F.lit(10**15)) < F.col("share") * 10**15)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(10**15)), "id"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_language)
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "lang", "key").distinct()), ["id", "lang"])
-    # windows at a hashed place, of characters, in the middle of words as often as not
-    rows = []
-    for i in range(WINDOWS_PER_ROW):
-        at = F.pmod(F.xxhash64("key", F.lit(i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
-        rows.append(F.col("text").substr(at.cast("int"), F.lit(WINDOW)))
-    found = texts.select("lang", "key", F.explode(F.array(*rows)).alias("window"))
-    return sorted((r["lang"], r["window"], r["key"]) for r in found.collect())
+    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("share"))
+    key = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(10**15))
+    near = labelled.join(broadcast_if_small(materialise(shares)), "lang").where(key < F.col("share") * 10**15)
+    rows = near.select("id", "lang", key.alias("key"), F.sha2("text", 256).alias("print")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", "print"))
+    chosen = materialise(rows.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank"))
+    texts = labelled.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).withColumn("print", F.sha2("text", 256))
+    found = texts.groupBy("id", "lang", "print").agg(F.first("text").alias("text")).join(F.broadcast(chosen), ["id", "lang", "print"])
+    return [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["key"], str(r["id"]), r["print"]))]
 
 
 def held_out(id_col: str):
@@ -229,9 +235,9 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Model | None:
     """A model from the rows that are not held out; None if no such row has a text and a language."""
-    rows = training_windows(docs, id_col, text_col, lang_col, per_language)
-    rows = [r for r in rows if _LETTER[np.frombuffer(r[1].encode(), np.uint8)].any()]
-    return train([r[1].encode() for r in rows], [r[0] for r in rows], steps) if rows else None
+    rows = [(lang, text.encode()) for lang, text in training_rows(docs, id_col, text_col, lang_col, per_language)]
+    rows = [(lang, text) for lang, text in rows if _LETTER[np.frombuffer(text, np.uint8)].any()]
+    return train([text for _, text in rows], [lang for lang, _ in rows], steps) if rows else None
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -239,7 +245,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     A text that is null or has no letter gets `und` and score 0, and so does every text without a model. Ties go to the
     first language by name. Columns of docs with the new names give way; all rows, repeated ones too, and all other
-    columns pass through. Scores are single-precision sums: repeated texts may differ from the sixth digit on.
+    columns pass through. A window is scored in batches of one size and its probabilities are summed as whole units, so that
+    equal texts get equal results.
     """
 
     def make(column: pa.Array) -> list[pa.Array]:

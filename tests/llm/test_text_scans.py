@@ -1,5 +1,6 @@
 """Decontamination, licence scan, BPE and language ID."""
 
+import math
 import random
 import re
 import time
@@ -271,6 +272,53 @@ def test_pooled_is_by_whole_text():
     assert np.allclose(one[0], two[0]) and one[0][1] > one[0][0] and not one[1].any()
 
 
+def test_scores_equal_a_plain_loop():
+    """The recurrence one byte at a time, with Python's own floats."""
+    model = language_id.train([b"the of and to in", b"der die und das", b"le la les"], ["en", "de", "fr"], steps=15)
+    w, hid = {k: v.astype(float).tolist() for k, v in model.weights.items()}, language_id.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(d, window):
+        h, out = [0.0] * hid, []
+        for b in window if d == "f" else reversed(window):
+            g = w[f"in_{d}"][b]
+            gates = [sigmoid(g[i] + sum(h[k] * w[f"gate_{d}"][k][i] for k in range(hid))) for i in range(2 * hid)]
+            new = [math.tanh(g[2 * hid + i] + sum(gates[hid + k] * h[k] * w[f"new_{d}"][k][i] for k in range(hid))) for i in range(hid)]
+            h = [new[i] + gates[i] * (h[i] - new[i]) for i in range(hid)]
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    for text in ("the die la 12, é", "Und so weiter, und so fort; the rest is in another window of this text, la fin.", "x"):
+        data, total, letters = text.encode(), [0.0] * 3, 0
+        for at in range(0, len(data), language_id.WINDOW):
+            window = data[at : at + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
+            f, b = states("f", window), states("b", window)
+            for t, byte in enumerate(data[at : at + language_id.WINDOW]):
+                if language_id._LETTER[byte]:
+                    s = [w["bias"][k] + sum(f[t][i] * w["out_f"][i][k] + b[t][i] * w["out_b"][i][k] for i in range(hid)) for k in range(3)]
+                    e = [math.exp(x) for x in s]
+                    total, letters = [a + x / sum(e) for a, x in zip(total, e)], letters + 1
+        assert language_id.pooled(model, pa.array([text]))[0] == pytest.approx([x / letters for x in total], abs=1e-5)
+
+
+def test_equal_texts_get_equal_results():
+    model = language_id.train([b"the of and to in", b"der die und das"], ["en", "de"], steps=10)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["the", "und", "of", "die", "xy"]) for _ in range(rnd.choice([3, 30, 900]))) for _ in range(60)]
+    alone = [language_id.pooled(model, pa.array([t]))[0].tolist() for t in texts]
+    order = rnd.sample(range(60), 60) * 2
+    assert [x.tolist() for x in language_id.pooled(model, pa.array([texts[i] for i in order]))] == [alone[i] for i in order]
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(1, f"the same row of {'x' * 300}", "en")] * 400 + [(1, f"text {i} of one id", "en") for i in range(50)] + [(i, f"row {i}", "en") for i in range(2, 100)] + [(i, f"zeile {i}", "de") for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.training_rows(docs, "doc_id", "text", "lang", 40)
+    assert sum(lang == "en" for lang, _ in found) <= 40 and len(set(found)) == len(found)
+    assert {text for lang, text in found if lang == "de"} == {f"zeile {i}" for i in range(2, 9) if zlib.crc32(str(i).encode()) % 5}
+    assert found == language_id.training_rows(docs.repartition(3), "doc_id", "text", "lang", 40)
+
+
 def test_held_out_null_id(spark):
     assert spark.range(1).select(language_id.held_out("id").alias("x")).count() == 1
     assert spark.createDataFrame([(None,)], "id long").select(language_id.held_out("id").alias("x")).first().x is True
