@@ -17,6 +17,11 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(value: Column, table: list[tuple[str, str]], test) -> Column:
     """The result of the first row of an ordered table whose key passes test(value, key); else null."""
     found = F.lit(None).cast("string")

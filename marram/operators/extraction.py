@@ -5,21 +5,22 @@ listing's. Patterns are bounded so that a large page costs time in proportion to
 
 from __future__ import annotations
 
+import html as _html
+import html.entities as _entities
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.constants import (
     ASSET_EXTENSIONS, BOOKING_SYSTEMS, DOMAIN_SUFFIXES, GENERIC_OPERATOR_LABELS, LEAST_NAIRA, MOST_NAIRA, PRICE_BASIS_PATTERNS, PRICE_BASIS_WINDOW, PROPERTY_TYPES, PROPERTY_WORDS, STATE_SLUGS, TITLE_PATTERNS,
 )
-from marram.functions.text import blank_to_null, canonical_area, city_for_state, col, first_match, title_case
+from marram.functions.text import blank_to_null, canonical_area, city_for_state, col, first_match, let, title_case
 from marram.functions.web import authority, is_non_operator_host, registrable_domain, url_path
 
-# Named character references that occur in listing pages.
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "pound": "£", "euro": "€", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "amp": "&",
-}
+#: The most frequent named references, tried before the whole table of the HTML standard.
+COMMON_REFERENCES = ("amp", "nbsp", "lt", "gt", "quot")
 # Patterns of the facts in a page.
 PRICE = r"(?i)(?:₦|&#8358;|NGN|N)\s?([\d][\d,\.]{2,})"
 BEDROOMS = r"(?i)\b(\d+)\s*(?:bedroom|bedrooms|bed|br)\b"
@@ -91,25 +92,43 @@ def strip_media(html: Column | str) -> Column:
     return F.regexp_replace(c, r"(?i)data:[a-z]+/[a-z0-9.+-]+;base64,[a-z0-9+/=]*", MEDIA_MARK)
 
 
+@lru_cache
+def _references() -> tuple[str, str, str, str]:
+    """From the standard library's tables, as JSON: named references that end in `;`, those that may lack it, and what the
+    numbers below 160 stand for; and a pattern of those that may lack it, the longest first."""
+    names = _entities.html5
+    opened = {n: t for n, t in names.items() if not n.endswith(";")}
+    small = {str(n): _html.unescape(f"&#{n};") for n in range(160)}
+    return json.dumps({n[:-1]: t for n, t in names.items() if n.endswith(";")}), json.dumps(opened), json.dumps(small), "^&(" + "|".join(sorted(opened, key=len, reverse=True)) + ")"
+
+
 def unescape(c: Column) -> Column:
-    """Character references decoded: numbers, and the named ones of ENTITIES."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?s)&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|[^&]+|&"), F.lit(0))
+    """Character references decoded as HTML does: all named ones, some of them without `;`, and numbers."""
+    *tables, open_pattern = _references()
+    closed, opened, small = (F.from_json(F.lit(t), "map<string,string>") for t in tables)
+    pattern = r"(?s)&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
+
+    def letter(n: Column) -> Column:
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        unknown = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        return F.when(unknown, "\uFFFD").when(n < 160, F.try_element_at(small, n.cast("string"))).when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
-    def letter(hexadecimal: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+    def number(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^&#[xX]?0*([0-9a-fA-F]+)", 1)
+        value = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
+        return let(F.when(F.length(digits) <= 8, value), letter)
+
+    def name(p: Column) -> Column:
+        start = lambda s: F.concat(F.try_element_at(opened, F.nullif(s, F.lit(""))), F.substr(p, F.length(s) + 2))
+        return F.coalesce(F.try_element_at(closed, F.nullif(F.regexp_extract(p, "^&(.*);$", 1), F.lit(""))), let(F.regexp_extract(p, open_pattern, 1), start), p)
 
     def one(p: Column) -> Column:
-        number = F.regexp_extract(p, r"^&#([0-9]+);$", 1).try_cast("bigint")
-        known = number.isNotNull() & (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        digits = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-        by_hex = F.conv(F.nullif(digits, F.lit("")), 16, 10).try_cast("bigint")
-        fine = by_hex.isNotNull() & (by_hex > 0) & (by_hex < 0x110000) & ~by_hex.between(0xD800, 0xDFFF)
-        return F.when(known, letter(F.hex(number))).when(fine, letter(digits)).otherwise(p)
+        out = F.when(~F.startswith(p, F.lit("&")) | (p == "&"), p)
+        for n in COMMON_REFERENCES:
+            out = out.when(p == f"&{n};", _entities.html5[f"{n};"])
+        return out.when(F.startswith(p, F.lit("&#")), number(p)).otherwise(name(p))
 
-    out = F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(c)
-    for name, text in ENTITIES.items():  # &amp; comes last
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(text))
-    return out
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), one), "")).otherwise(x))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -127,7 +146,7 @@ def json_ld(items: Column | str, key: str, string: bool = True) -> Column:
     """The first value of a key among the objects; with string=True null unless it is a string."""
     path = f"$['{key}']"
     found = F.get(F.filter(F.transform(col(items), lambda b: F.get_json_object(b, path)), lambda v: v.isNotNull()), F.lit(0))
-    return F.when(~found.rlike(r"^\s*[\[{]") & ~found.rlike(r"^-?\d+(\.\d+)?$"), found) if string else found
+    return let(found, lambda v: F.when(~v.rlike(r"^\s*[\[{]") & ~v.rlike(r"^-?\d+(\.\d+)?$"), v)) if string else found
 
 
 def property_name(html: Column | str, items: Column | str) -> Column:
@@ -143,33 +162,35 @@ def property_name(html: Column | str, items: Column | str) -> Column:
 
 def property_type(plain: Column | str, items: Column | str) -> Column:
     """By the first needle in the JSON-LD type, category or property type, else in the page's text."""
-    has = lambda v, k: F.contains(v, F.lit(k))
-    stated = [first_match(F.lower(json_ld(items, k)), PROPERTY_TYPES, has) for k in ("@type", "category", "propertyType")]
-    return F.coalesce(*stated, first_match(F.lower(col(plain)), PROPERTY_TYPES, has))
+    first = lambda c: let(F.lower(c), lambda t: first_match(t, PROPERTY_TYPES, lambda v, k: F.contains(v, F.lit(k))))
+    return F.coalesce(*[first(json_ld(items, k)) for k in ("@type", "category", "propertyType")], first(col(plain)))
 
 
 def title_document(plain: Column | str) -> Column:
-    return first_match(F.lower(col(plain)), TITLE_PATTERNS, lambda v, k: v.rlike(k))
+    return let(F.lower(col(plain)), lambda t: first_match(t, TITLE_PATTERNS, lambda v, k: v.rlike(k)))
 
 
 def parse_price_to_kobo(raw: Column | str) -> Column:
     """The digits of a price in naira, in kobo; null outside what is believable."""
     naira = F.nullif(F.regexp_replace(col(raw), r"[^0-9]", ""), F.lit("")).try_cast("bigint")
-    return F.when(naira.between(LEAST_NAIRA, MOST_NAIRA), naira * 100)
+    return let(naira, lambda n: F.when(n.between(LEAST_NAIRA, MOST_NAIRA), n * 100))
 
 
 def price_basis(window: Column | str) -> Column:
-    return first_match(col(window), [(f"(?i){p}", b) for p, b in PRICE_BASIS_PATTERNS], lambda v, k: v.rlike(k))
+    return let(col(window), lambda w: first_match(w, [(f"(?i){p}", b) for p, b in PRICE_BASIS_PATTERNS], lambda v, k: v.rlike(k)))
 
 
 def first_price(plain: Column | str) -> Column:
     """A struct of the first marked price in kobo and the basis stated within 60 characters after, else before it."""
     plain = col(plain)
-    match = group(plain, PRICE, 0)
-    at = F.call_function("instr", plain, match)
-    after = F.substr(plain, at + F.length(match), F.lit(PRICE_BASIS_WINDOW))
-    before = F.substr(plain, F.greatest(F.lit(1), at - PRICE_BASIS_WINDOW), F.least(F.lit(PRICE_BASIS_WINDOW), at - 1))
-    return F.struct(parse_price_to_kobo(match).alias("kobo"), F.coalesce(price_basis(after), price_basis(before)).alias("basis"))
+
+    def around(m: Column) -> Column:
+        after = F.substr(plain, m["at"] + F.length(m["text"]), F.lit(PRICE_BASIS_WINDOW))
+        before = F.substr(plain, F.greatest(F.lit(1), m["at"] - PRICE_BASIS_WINDOW), F.least(F.lit(PRICE_BASIS_WINDOW), m["at"] - 1))
+        return F.struct(parse_price_to_kobo(m["text"]).alias("kobo"), F.coalesce(price_basis(after), price_basis(before)).alias("basis"))
+
+    located = lambda text: F.struct(text.alias("text"), F.call_function("instr", plain, text).alias("at"))
+    return let(let(group(plain, PRICE, 0), located), around)
 
 
 def best_price(plain: Column | str, items: Column | str) -> Column:
@@ -204,8 +225,7 @@ def find_email(html: Column | str) -> Column:
 
 
 def find_instagram(html: Column | str) -> Column:
-    handle = group(col(html), INSTAGRAM)
-    return F.when(~F.lower(handle).isin("p", "explore", "reel", "reels", "accounts"), handle)
+    return let(group(col(html), INSTAGRAM), lambda h: F.when(~F.lower(h).isin("p", "explore", "reel", "reels", "accounts"), h))
 
 
 def is_business_email(email: Column | str) -> Column:
@@ -242,29 +262,28 @@ def extract_operator(html: Column | str, items: Column | str, website: Column |
         return F.regexp_replace(strip_tags(c), r"^[ ·\-|\n\t]+|[ ·\-|\n\t]+$", "")
 
     def claim(name: Column, confidence: str, evidence: Column) -> Column:
-        return F.when(looks_like_business(name), F.struct(name.alias("name"), F.lit(confidence).alias("confidence"), evidence.alias("evidence")))
+        return let(name, lambda n: F.when(looks_like_business(n), F.struct(n.alias("name"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))))
 
     claims = []
     for key in ("seller", "provider", "author", "publisher", "brand"):
-        value = json_ld(items, key, string=False)
-        name = F.coalesce(F.get_json_object(F.when(value.startswith("{"), value), "$.name"), F.when(~value.rlike(r"^\s*[\[{]"), value))
+        name = let(json_ld(items, key, string=False), lambda v: F.coalesce(F.get_json_object(F.when(v.startswith("{"), v), "$.name"), F.when(~v.rlike(r"^\s*[\[{]"), v)))
         claims.append(claim(clean(name), "high", F.lit(f"json-ld {key}")))
     blocks = all_of(col(html), LABELLED_BLOCK)
     names = F.transform(blocks, lambda b: F.trim(F.split_part(clean(b), F.lit("\n"), F.lit(1))))
     claims.append(claim(F.get(F.filter(names, looks_like_business), F.lit(0)), "medium", F.lit("labelled block")))
-    domain = name_from_domain(website)
-    claims.append(F.when(domain.isNotNull(), F.struct(domain.alias("name"), F.lit("low").alias("confidence"), F.lit("domain").alias("evidence"))))
+    claims.append(let(name_from_domain(website), lambda d: F.when(d.isNotNull(), F.struct(d.alias("name"), F.lit("low").alias("confidence"), F.lit("domain").alias("evidence")))))
     return F.coalesce(*claims)
 
 
 def detect_pms(html: Column | str) -> Column:
-    return first_match(F.lower(col(html)), BOOKING_SYSTEMS, lambda v, k: F.contains(v, F.lit(k)))
+    return let(F.lower(col(html)), lambda t: first_match(t, BOOKING_SYSTEMS, lambda v, k: F.contains(v, F.lit(k))))
 
 
 def booking_url(html: Column | str) -> Column:
     links = all_of(col(html), r'(?i)href="(https?://[^"]+)"')
     hosts = [k for k, _ in BOOKING_SYSTEMS]
-    return F.get(F.filter(links, lambda u: F.array_contains(F.transform(F.array(*[F.lit(h) for h in hosts]), lambda h: F.contains(authority(u), h)), True)), F.lit(0))
+    has_host = lambda host: F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: F.contains(host, h))
+    return F.get(F.filter(links, lambda u: let(authority(u), has_host)), F.lit(0))
 
 
 def ical_feed(html: Column | str) -> Column:
@@ -273,27 +292,30 @@ def ical_feed(html: Column | str) -> Column:
 
 def absolute(url: Column | str, page_url: Column | str) -> Column:
     """A link on a page as an absolute http(s) URL; null for other schemes and inline data."""
-    u, page = F.regexp_replace(col(url), r"""^[\s'"]+|[\s'"]+$""", ""), col(page_url)
+    page = col(page_url)
     origin = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
     scheme = F.coalesce(group(page, r"^([A-Za-z][A-Za-z0-9+.-]*):"), F.lit("https"))
-    folder = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)?", 0)
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(u == "", None)
-        .when(u.rlike("^(?i:https?)://"), u)
-        .when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(F.startswith(u, F.lit("//")), F.concat(scheme, F.lit(":"), u))
-        .when(F.startswith(u, F.lit("/")), F.concat(origin, u))
-        .when(u.rlike("^[?#]"), F.concat(F.regexp_extract(page, "^[^?#]*", 0), u))
-        .otherwise(F.concat(folder, F.regexp_replace(u, r"^(\./)+", "")))
-    )
+    folder = let(F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)?", 0), lambda f: F.when(F.endswith(f, F.lit("/")), f).otherwise(F.concat(f, F.lit("/"))))
+
+    def resolved(u: Column) -> Column:
+        return (
+            F.when(u == "", None)
+            .when(u.rlike("^(?i:https?)://"), u)
+            .when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(F.startswith(u, F.lit("//")), F.concat(scheme, F.lit(":"), u))
+            .when(F.startswith(u, F.lit("/")), F.concat(origin, u))
+            .when(u.rlike("^[?#]"), F.concat(F.regexp_extract(page, "^[^?#]*", 0), u))
+            .otherwise(F.concat(folder, F.regexp_replace(u, r"^(\./)+", "")))
+        )
+
+    return let(F.regexp_replace(col(url), r"""^[\s'"]+|[\s'"]+$""", ""), resolved)
 
 
 def availability_hint(html: Column | str, page_url: Column | str) -> Column:
     """The first link that looks like availability, if it leaves the page's own registrable domain."""
-    found = absolute(group(col(html), AVAILABILITY), page_url)
-    host = authority(found)
-    return F.when((host != "") & (registrable_domain(host) != registrable_domain(authority(page_url))), found)
+    page_domain = registrable_domain(authority(page_url))
+    leaves = lambda u: let(authority(u), lambda h: (h != "") & (registrable_domain(h) != page_domain))
+    return let(absolute(group(col(html), AVAILABILITY), page_url), lambda u: F.when(leaves(u), u))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -317,9 +339,8 @@ def srcset_largest(srcset: Column | str) -> Column:
 
 
 def has_watermark(url: Column | str) -> Column:
-    lowered = F.lower(col(url))
     brand = r"(?:^|[/._-])(?:" + "|".join(t.replace(".", r"\.") for t in BRAND_TOKENS) + r")(?:$|[/._-])"
-    return lowered.rlike(WATERMARK_ASSET) | authority(lowered).rlike(brand) | url_path(lowered).rlike(brand)
+    return let(F.lower(col(url)), lambda u: u.rlike(WATERMARK_ASSET) | authority(u).rlike(brand) | url_path(u).rlike(brand))
 
 
 def is_hotlinkable(url: Column | str) -> Column:
@@ -399,30 +420,56 @@ def selector_facts(html: Column | str) -> Column:
     return F.struct(parse_price_to_kobo(price).alias("price"), price_basis(unit).alias("basis"), bedrooms(strip_tags(group(html, r'(?is)class="pd-(?:bed|beds)"[^>]*>(.{0,80}?)</'))).alias("bedrooms"), bathrooms(strip_tags(group(html, r'(?is)class="pd-(?:bath|baths)"[^>]*>(.{0,80}?)</'))).alias("bathrooms"))
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row. A plain projection would be merged with the next one, and its
+    expressions repeated at each of their uses; a generator of one row is not."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages of the hosts, or subdomains of the hosts, that rules name: an equi-join on each suffix of a page's host."""
+    labels = F.split(authority("url"), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    few = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
+    return pages.where("url is not null").select("*", F.explode(suffixes).alias("rule_host")).join(F.broadcast(rules) if few else rules, "rule_host")
+
+
+#: Rules that may be broadcast.
+MAX_RULES = 100_000
+
+
 def extract_listings(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Listings of pages (seq, url, html): pages are met with their source's rules by host, identified by their canonical
-    link, og:url or own URL, and dropped where they are no listing's page or have no name. No Python runs in the executors."""
-    spark = pages.sparkSession
-    rules = F.broadcast(source_rules(spark) if rules is None else rules)  # a rule for each source
-    page_host = F.regexp_replace(authority("url"), r"^www\.", "")
-    rows = pages.withColumn("page_host", page_host).join(rules, (F.col("page_host") == F.col("rule_host")) | F.endswith("page_host", F.concat(F.lit("."), F.col("rule_host"))))
-    rows = rows.withColumn("html", strip_media("html"))
+    link, og:url or own URL, and dropped where they are no listing's page or have no name. No Python runs in the executors.
+
+    A page is cut in stages, each computed once: without media; its identity; its text, JSON-LD objects and links; facts.
+    The work is all in the processor, so a table of fewer partitions than there are cores is dealt to all of them first."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
+    rows = _with_rules(pages, source_rules(pages.sparkSession) if rules is None else rules)
+    rows = computed(rows, {"html": strip_media("html")})
     canonical = absolute(F.coalesce(group(F.col("html"), CANONICAL), group(F.col("html"), OG_URL)), "url")
+    rows = computed(rows, {"canonical": canonical})
     shaped = lambda u: F.call_function("rlike", url_path(u), F.col("path_pattern"))
-    same = F.endswith(authority(canonical), F.col("rule_host"))
-    rows = rows.withColumn("source_url", F.regexp_extract(F.when(F.coalesce(same & shaped(canonical), F.lit(False)), canonical).otherwise(F.col("url")), "^[^?#]*", 0)).where(shaped("source_url"))
+    same = F.endswith(authority("canonical"), F.col("rule_host"))
+    rows = computed(rows, {"source_url": F.regexp_extract(F.when(F.coalesce(same & shaped("canonical"), F.lit(False)), F.col("canonical")).otherwise(F.col("url")), "^[^?#]*", 0)}).where(shaped("source_url"))
     by_pattern = F.call_function("regexp_extract", url_path("source_url"), F.col("id_pattern"), F.lit(1))
     last = F.regexp_extract(url_path("source_url"), r"([^/]+)/?$", 1)
-    rows = rows.withColumns({"source_listing_id": F.coalesce(F.nullif(by_pattern, F.lit("")), last), "plain": strip_tags("html"), "items": json_ld_items("html"), "website": operator_website("html")})
-    rows = rows.withColumns({"property_name": F.substring(property_name("html", "items"), 1, 200), "operator": extract_operator("html", "items", "website"), "price": first_price("plain"), "best": best_price("plain", "items"), "facts": selector_facts("html")})
-    rows = rows.withColumns({"place": location_from_url("source_url"), "address": location_from_address("items"), "crumb": location_from_breadcrumb("html"), "media": gallery("html", "url", "source_listing_id")})
+    rows = computed(rows, {"source_listing_id": F.coalesce(F.nullif(by_pattern, F.lit("")), last), "plain": strip_tags("html"), "items": json_ld_items("html"), "website": operator_website("html"), "facts": selector_facts("html"), "crumb": location_from_breadcrumb("html")})
+    rows = computed(rows, {"property_name": F.substring(property_name("html", "items"), 1, 200)}).where("property_name is not null")
+    rows = computed(rows, {
+        "operator": extract_operator("html", "items", "website"), "price": first_price("plain"), "best": best_price("plain", "items"), "place": location_from_url("source_url"), "address": location_from_address("items"),
+        "media": gallery("html", "url", "source_listing_id"), "text_type": property_type("plain", "items"),
+    })
     identity = (F.col("operator.confidence") != "low") & F.col("names_identify")
     state = F.coalesce("place.state", "address.state")
     stated = F.when(F.col("price.kobo").isNotNull() & F.col("price.basis").isNotNull(), F.col("price"))
     price = F.coalesce(F.col("facts.price"), stated["kobo"], F.col("best.kobo"), F.col("price.kobo"))
     basis = F.when(F.col("facts.price").isNotNull(), F.col("facts.basis")).when(stated.isNotNull(), stated["basis"]).otherwise(F.col("best.basis"))
-    return rows.where("property_name is not null").select(
-        "seq", "source", "source_url", "source_listing_id", "property_name", F.coalesce(property_type("plain", "items"), type_from_slug("source_url")).alias("property_type"), F.coalesce("facts.bedrooms", bedrooms("plain")).alias("bedrooms"),
+    return rows.select(
+        "seq", "source", "source_url", "source_listing_id", "property_name", F.coalesce("text_type", type_from_slug("source_url")).alias("property_type"), F.coalesce("facts.bedrooms", bedrooms("plain")).alias("bedrooms"),
         F.coalesce("facts.bathrooms", bathrooms("plain")).alias("bathrooms"), price.alias("advertised_price"), F.lit("NGN").alias("currency"), state.alias("state"), F.coalesce("place.city", "crumb.city", city_for_state(state)).alias("city"),
         F.coalesce("place.area", "address.area", "crumb.area").alias("area"), F.when(identity, F.col("operator.name")).alias("operator_name"), F.when(~F.coalesce(identity, F.lit(False)), F.col("operator.name")).alias("operator_hint"),
         F.get(find_phones("html"), F.lit(0)).alias("phone"), find_email("html").alias("email"), "website", find_instagram("html").alias("instagram"), detect_pms("html").alias("pms_detected"), booking_url("html").alias("booking_url"),

@@ -11,6 +11,8 @@ from marram.functions.money import round_half_up
 PLACE_NAMES = ["lagos", "abuja", "oyo", "imo", "akwa-ibom", "lekki", "ikeja", "ikoyi", "ajah", "lagos-island"]
 LIST_PAGE_URLS = [r"\?(page|type|state|area|min_price|max_price|sort|limit)=", "/property-for-short-let/in/", "/for-rent/short-let/[a-z-]+$"]
 LIST_PAGE_LIMIT = 25
+#: Outcomes that get a column each; with more it is an error.
+MAX_OUTCOMES = 1_000
 
 
 def table_counts(**tables: DataFrame) -> DataFrame:
@@ -27,8 +29,11 @@ def distinct_sources(listings: DataFrame) -> DataFrame:
 
 
 def crawl_stats(events: DataFrame, state_col: str = "state", outcome_col: str = "outcome", outcomes: list[str] | None = None) -> DataFrame:
-    """Counts of each outcome by state and, with a null state, in total."""
-    outcomes = outcomes or [r[0] for r in events.select(outcome_col).distinct().orderBy(outcome_col).limit(100).collect()]
+    """Counts of each outcome by state and, with a null state, in total; a null outcome counts among the URLs alone."""
+    if outcomes is None:
+        outcomes = sorted(r[0] for r in events.select(outcome_col).where(F.col(outcome_col).isNotNull()).distinct().limit(MAX_OUTCOMES + 1).collect())
+        if len(outcomes) > MAX_OUTCOMES:
+            raise ValueError(f"more than {MAX_OUTCOMES} outcomes: name those to count")
     return events.rollup(state_col).agg(F.count("*").alias("urls"), *[F.count_if(F.col(outcome_col) == o).alias(o) for o in outcomes])
 
 
