@@ -703,6 +703,38 @@ def extract_listings(spark, sf_dir):
     return extraction.extract_listings(pages, rules).select("seq", "source", "source_url", "source_listing_id", "property_name", "currency")
 
 
+#: What fx_pages must give, written from the rows that its pages were rendered from.
+_PAGE_FACTS = """f AS (SELECT p_partkey AS k, (50 + p_partkey % 100) * 100000 + ((p_partkey * 100) % 1000) * 100 AS kobo FROM part WHERE p_partkey % 4 <> 3),
+g AS (SELECT *, CASE k % 4 WHEN 0 THEN 'npc' WHEN 1 THEN 'propertypro' ELSE 'jiji' END AS source, CASE k % 4 WHEN 0 THEN CAST(CASE WHEN k % 12 = 4 THEN 2000000 ELSE 1000000 END + k AS VARCHAR) WHEN 1 THEN 'A' || lpad(CAST(k AS VARCHAR), 7, '0') ELSE 'zq' || lpad(CAST(k AS VARCHAR), 6, '0') END AS lid,
+  CASE k % 5 WHEN 0 THEN 'lagos' WHEN 1 THEN 'abuja' WHEN 2 THEN 'oyo' WHEN 3 THEN 'imo' ELSE 'akwa-ibom' END AS slug, CASE k % 3 WHEN 0 THEN 'victoria-island' WHEN 1 THEN 'ajah' ELSE 'lekki' END AS place,
+  CASE WHEN k % 5 < 2 THEN concat('https://op', k % 700, '.ng/home') WHEN k % 6 = 0 THEN concat('https://book', k, '.ng/availability') WHEN k % 10 = 3 THEN concat('https://www.guesty.com/p/', k) END AS website,
+  CASE WHEN k % 5 < 2 THEN concat('Op', k % 700) WHEN k % 6 = 0 THEN concat('Book', k) WHEN k % 10 = 3 THEN 'Guesty' END AS label FROM f),
+h AS (SELECT *, CASE WHEN k % 4 = 0 THEN CASE k % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END WHEN k % 3 = 0 THEN 'LA' END AS state,
+  CASE WHEN k % 3 = 0 THEN concat('Seller ', k % 50, ' Homes') WHEN k % 7 = 3 THEN concat('Agency ', k % 40, ' Ltd') END AS stated FROM g),
+extracted AS (SELECT k AS seq, source, CASE k % 4 WHEN 0 THEN concat('https://www.nigeriapropertycentre.com/for-rent/short-let/', slug, '/', place, '/bright-place-', lid) WHEN 1 THEN concat('https://propertypro.ng/property/nice-place-', lid) ELSE concat('https://www.jiji.ng/lekki/houses/', lid, '.html') END AS source_url,
+  lid AS source_listing_id, CASE WHEN k % 5 = 0 THEN concat('OG & name ', k) WHEN k % 3 = 0 THEN concat('LD name ', k) WHEN k % 7 <> 1 THEN concat('Café stay  ', k) ELSE concat('Title ', k) END AS property_name,
+  CASE k % 3 WHEN 0 THEN 'APARTMENT' WHEN 1 THEN 'HOUSE' ELSE 'STUDIO' END AS property_type, CAST(1 + k % 5 AS INT) AS bedrooms, CASE WHEN k % 2 = 0 THEN CAST(1 + k % 3 AS INT) END AS bathrooms,
+  CASE WHEN k % 6 IN (0, 1, 2, 5) THEN kobo WHEN k % 3 = 0 THEN (60000 + k) * 100 END AS advertised_price, 'NGN' AS currency, state,
+  CASE WHEN state IS NOT NULL THEN CASE WHEN k % 8 = 1 THEN 'Lagos' ELSE CASE state WHEN 'LA' THEN 'Lagos' WHEN 'FC' THEN 'Abuja' WHEN 'OY' THEN 'Ibadan' WHEN 'IM' THEN 'Owerri' ELSE 'Uyo' END END WHEN k % 8 = 1 THEN 'Lagos' END AS city,
+  CASE WHEN k % 4 = 0 THEN CASE k % 3 WHEN 0 THEN 'Victoria Island' WHEN 1 THEN 'Ajah' ELSE 'Lekki' END WHEN k % 3 = 0 THEN 'Ikoyi' WHEN k % 8 = 1 THEN 'Yaba' END AS area,
+  CASE WHEN k % 4 <> 2 THEN stated END AS operator_name, CASE WHEN k % 4 = 2 THEN coalesce(stated, label) WHEN stated IS NULL THEN label END AS operator_hint,
+  CASE WHEN k % 2 = 1 THEN concat('+234 803 ', lpad(CAST(k AS VARCHAR), 7, '0')) WHEN k % 7 = 0 THEN concat('2348', lpad(CAST(k AS VARCHAR), 9, '0')) END AS phone, CASE WHEN k % 3 = 1 THEN concat('stay', k, '@op.ng') END AS email, website,
+  CASE WHEN k % 8 = 1 THEN concat('stay_', k) END AS instagram, CASE WHEN k % 9 = 0 THEN 'smoobu' WHEN k % 10 = 3 THEN 'guesty' END AS pms_detected, CASE WHEN k % 10 = 3 THEN concat('https://www.guesty.com/p/', k) END AS booking_url,
+  CASE WHEN k % 6 = 0 THEN concat('https://book', k, '.ng/availability') END AS availability_hint_url, CASE k % 6 WHEN 0 THEN 'PER_NIGHT' WHEN 1 THEN 'PER_WEEK' WHEN 2 THEN 'PER_MONTH' WHEN 5 THEN 'PER_YEAR' END AS price_basis,
+  CASE k % 5 WHEN 2 THEN 'C_OF_O' WHEN 3 THEN 'FREEHOLD' END AS title_document, concat(CASE WHEN k % 3 = 0 THEN concat('https://cdn.pics.ng/', lid, '/l.jpg ') ELSE '' END, 'https://cdn.pics.ng/b', k, '.webp') AS media,
+  CASE WHEN k % 3 = 0 THEN concat('https://cdn.pics.ng/', lid, '/l.jpg') ELSE concat('https://cdn.pics.ng/b', k, '.webp') END AS cover_image_url FROM h)"""
+
+
+def _extracted(spark, sf_dir):
+    return extraction.extract_listings(view(spark, sf_dir, "fx_pages"))
+
+
+@query("extract_listing_facts", f"WITH {_PAGE_FACTS} SELECT * FROM extracted")
+def extract_listing_facts(spark, sf_dir):
+    """Every column of a listing, from pages rendered of the rows of part."""
+    return _extracted(spark, sf_dir).withColumn("media", F.array_join("media", " "))
+
+
 # ---- the directory and the whole run ------------------------------------------------------------------------------
 
 _MORE = ["email", "instagram", "pms_detected", "availability_hint_url", "booking_url", "operator_hint", "price_basis", "title_document", "cover_image_url", "city"]

@@ -22,6 +22,31 @@ VIEWS = {
   CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 14 AS INT) AS check_out, 1 + o_orderkey % 6 AS guests, o_orderstatus AS status FROM {orders}""",
     "fx_booking_events": """SELECT event_id AS seq, user_id AS booking_id, ts AS created_at, CASE event_type WHEN 'signup' THEN 'HELD' WHEN 'view' THEN 'AWAITING_PAYMENT'
   WHEN 'click' THEN 'CONFIRMED' WHEN 'purchase' THEN 'COMPLETED' ELSE 'EXPIRED' END AS to_status FROM {events}""",
+    # listing pages of four sources, and pages that are no listing's; braces are written as chr, since the text is formatted
+    "fx_pages": """SELECT k AS seq, url, concat('<!DOCTYPE html><html><head><title>Title ', CAST(k AS STRING), ' | Site</title>',
+  CASE WHEN k % 12 = 4 THEN concat('<link rel="canonical" href="', regexp_replace(url, '[0-9]+([?]x=1)?$', CAST(2000000 + k AS STRING)), '">') ELSE '' END,
+  CASE WHEN k % 5 = 0 THEN concat('<meta property="og:title" content="OG &amp; name ', CAST(k AS STRING), '">') ELSE '' END,
+  CASE WHEN k % 9 = 0 THEN '<script src="https://app.smoobu.com/w.js"></script>' ELSE '' END,
+  CASE WHEN k % 3 = 0 THEN concat('<script type="application/ld+json">', chr(123), '"@type":"Apartment","name":"LD name ', CAST(k AS STRING), '","offers":', chr(123), '"price":"', CAST(60000 + k AS STRING), '"', chr(125), ',"address":', chr(123),
+    '"addressRegion":"Lagos","addressLocality":"Ikoyi"', chr(125), ',"seller":', chr(123), '"name":"Seller ', CAST(k % 50 AS STRING), ' Homes"', chr(125), chr(125), '</script>') ELSE '' END, '</head><body><video src="a.mp4">flat</video>',
+  CASE WHEN k % 7 <> 1 THEN concat('<h1 class="t">Caf&eacute; stay <b>', CAST(k AS STRING), '</b></h1>') ELSE '' END,
+  CASE WHEN k % 4 = 1 AND k % 8 = 1 THEN '<a href="/region,1">Lagos</a><a href="/region,2">Yaba</a>' ELSE '' END,
+  '<p>Lovely ', CASE k % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'duplex' ELSE 'studio' END, '. ', CAST(1 + k % 5 AS STRING), ' bedroom', CASE WHEN k % 2 = 0 THEN concat(', ', CAST(1 + k % 3 AS STRING), ' bathrooms') ELSE '' END, '.</p><p>',
+  CASE k % 6 WHEN 0 THEN concat('₦', price, ' per night') WHEN 1 THEN concat('weekly: ₦', price) WHEN 2 THEN concat('₦10,000 caution, returned to every guest who leaves the place as it was found, and then ₦', price, ' per month')
+    WHEN 4 THEN 'N500' WHEN 5 THEN concat('<span class="pd-pr"> <b>₦', price, '</b> <span>per annum</span></span>') ELSE 'ask' END, '</p>',
+  CASE k % 5 WHEN 2 THEN '<p>Certificate of Occupancy</p>' WHEN 3 THEN '<p>Freehold</p>' ELSE '' END, CASE WHEN k % 7 = 3 THEN concat('<div class="agent-name">Agency ', CAST(k % 40 AS STRING), ' Ltd</div>') ELSE '' END,
+  CASE WHEN k % 2 = 1 THEN concat('<a href="tel:+234 803 ', lpad(CAST(k AS STRING), 7, '0'), '">call</a>') ELSE '' END, CASE WHEN k % 7 = 0 THEN concat('<a href="https://wa.me/2348', lpad(CAST(k AS STRING), 9, '0'), '">chat</a>') ELSE '' END,
+  CASE WHEN k % 3 = 1 THEN concat('<a href="mailto:Stay', CAST(k AS STRING), '@Op.ng?subject=x">mail</a>') ELSE '' END, CASE WHEN k % 8 = 1 THEN concat('<a href="https://instagram.com/stay_', CAST(k AS STRING), '">pictures</a>') ELSE '' END,
+  CASE WHEN k % 5 < 2 THEN concat('<a href="https://op', CAST(k % 700 AS STRING), '.ng/a.css">s</a><a href="https://op', CAST(k % 700 AS STRING), '.ng/home">site</a>') ELSE '' END,
+  CASE WHEN k % 6 = 0 THEN concat('<a href="https://book', CAST(k AS STRING), '.ng/availability">free?</a>') ELSE '' END, CASE WHEN k % 10 = 3 THEN concat('<a href="https://www.guesty.com/p/', CAST(k AS STRING), '">g</a>') ELSE '' END,
+  '<img src="/static/logo.png"><img data-src="//cdn.pics.ng/b', CAST(k AS STRING), '.webp" width="800"><img src="p.gif" width="1" height="1">',
+  CASE WHEN k % 3 = 0 THEN concat('<img src="https://cdn.pics.ng/', lid, '/s.jpg" srcset="https://cdn.pics.ng/', lid, '/s.jpg 320w, https://cdn.pics.ng/', lid, '/l.jpg 1280w">') ELSE '' END, '</body></html>') AS html
+  FROM (SELECT k, lid, price, CASE WHEN k % 4 = 0 THEN concat('https://www.nigeriapropertycentre.com/for-rent/short-let/', CASE k % 5 WHEN 0 THEN 'lagos' WHEN 1 THEN 'abuja' WHEN 2 THEN 'oyo' WHEN 3 THEN 'imo' ELSE 'akwa-ibom' END, '/',
+      CASE k % 3 WHEN 0 THEN 'victoria-island' WHEN 1 THEN 'ajah' ELSE 'lekki' END, '/bright-place-', CAST(1000000 + k AS STRING), CASE WHEN k % 8 = 0 THEN '?x=1' ELSE '' END)
+    WHEN k % 4 = 1 THEN concat('https://propertypro.ng/property/nice-place-', lid) WHEN k % 4 = 2 THEN concat('https://www.jiji.ng/lekki/houses/', lid, '.html')
+    WHEN k % 8 = 3 THEN 'https://www.nigeriapropertycentre.com/for-rent/short-let/lagos' ELSE 'https://elsewhere.com/x' END AS url
+    FROM (SELECT p_partkey AS k, concat(CAST(50 + p_partkey % 100 AS STRING), ',', lpad(CAST((p_partkey * 100) % 1000 AS STRING), 3, '0')) AS price,
+      CASE p_partkey % 4 WHEN 0 THEN CAST(CASE WHEN p_partkey % 12 = 4 THEN 2000000 ELSE 1000000 END + p_partkey AS STRING) WHEN 1 THEN concat('A', lpad(CAST(p_partkey AS STRING), 7, '0')) ELSE concat('zq', lpad(CAST(p_partkey AS STRING), 6, '0')) END AS lid FROM {part}))""",
     "fx_charges": """SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS nightly_rate_kobo, CAST(l_quantity AS INT) % 14 + 1 AS nights,
   CASE l_suppkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS state FROM {lineitem}""",
 }
