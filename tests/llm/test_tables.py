@@ -280,3 +280,29 @@ def test_estimates_are_unbiased_and_bounded():
     found, bound = embedding_dedup.estimates(q, codes, factors)
     error = found - q @ x.T
     assert abs(error.mean()) < 0.01 and (np.abs(error) <= bound).all()
+    rounded = embedding_dedup.rounded(q @ embedding_dedup.rotation(64).T)
+    found, bound = embedding_dedup.estimates_of_rounded(*rounded, codes, factors)
+    assert (np.abs(found - q @ x.T) <= bound).all() and rounded[0].nbytes * 8 == q.nbytes
+
+
+def test_one_label_of_many_blocks_with_a_large_group(spark):
+    """A third of the vectors are near copies of one, in one label that fills many blocks."""
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=64)
+    rows = [(i, 1, [float(np.float32(v)) for v in (one + rng.normal(size=64) * 0.05 if i % 3 == 0 else rng.normal(size=64))]) for i in range(600)]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"), block=32).collect()
+    links, least = brute_vectors(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (links[i], least[i]) for i in links}
+
+
+def test_codes_spare_vectors():
+    """Of vectors of many dimensions that aren't near each other, the first pass leaves none."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 384))
+    x[1] = x[0] + rng.normal(size=384) * 0.1
+    y = embedding_dedup._units(x) @ embedding_dedup.rotation(384).T
+    (code, factor), (query, unit, loss) = embedding_dedup._encode(y), embedding_dedup.rounded(y)
+    rows = pd.DataFrame({"code": [c.tobytes() for c in code], "query": [q.tobytes() for q in query], "factor": factor, "unit": unit, "loss": loss, "block": 0, "node": range(400)})
+    assert embedding_dedup._candidates(0.93)(("a", 384, 0, 0), rows)["node"].tolist() == [0, 1]
