@@ -5,10 +5,13 @@ signature; 32 bands of 4 minima give its buckets. At a similarity of 0.75 a pair
 (1 - 0.75**4)**32 = 5e-6. Equal sets are one node from the start. Within a bucket,
 
 1. every node is compared with the bucket's least node (a star: as many pairs as members, never all pairs);
-2. buckets whose members are then in one component are done. Those left are tied into clusters; a cluster is cut
-   into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares
-   signatures as a matrix, confirms promising pairs on the full sets and returns a spanning forest of its links.
-   Blocks within one large component are not paired, so a large group of copies costs no more than its own size.
+2. buckets whose members are then in one component are done. The bucket is the unit of work for those left: its members
+   are cut into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares
+   signatures, and tells which nodes have a promising partner in another component; a pair that shares several
+   buckets is met in that of its first band alone. Sets are then fetched for just these nodes, and a second task for the
+   pair of blocks confirms promising pairs on them and returns a spanning forest of its links.
+   Blocks within one large component are not paired, so a large group of copies costs no more than its own size, and
+   chains of buckets that share members by chance cost no more than their buckets.
 
 A pair whose signatures agree so rarely that a similarity of 0.75 is over 4.5 standard deviations away is skipped;
 all others are confirmed on full sets with integer arithmetic.
@@ -19,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,15 +138,77 @@ def _confirm(percent: int):
     return run
 
 
+_KEYS = ["bucket", "band", "i", "j"]
+
+
+def _each_task(judge):
+    """Streams rows sorted by _KEYS, one task after another: judge(columns, key, from, to) gets numpy arrays of a few whole
+    tasks and the place of one. A task is two blocks at most, so what waits for its end is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = {n: table.column(n).combine_chunks() for n in table.schema.names}
+            columns = {n: c if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for n, c in columns.items()}
+            columns["sign"] = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in columns["sign"]])
+            found = [judge(columns, tuple(columns[k][lo] for k in _KEYS), lo, hi) for lo, hi in zip(edges[:-1], edges[1:])]
+            yield from (x for x in found if x is not None)
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            change = np.zeros(max(table.num_rows - 1, 0), bool)
+            for k in _KEYS:
+                column = table.column(k).to_numpy()
+                change |= column[1:] != column[:-1]
+            edges = np.concatenate([[0], np.flatnonzero(change) + 1])
+            if len(edges) > 1:
+                yield from done(table.slice(0, edges[-1]), edges)
+            held = table.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield from done(held, np.array([0, held.num_rows]))
+
+    return run
+
+
+def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows, best first) of the pairs of a task whose signatures agree in `least` places, that are in different
+    components and whose first common band is this bucket's."""
+    block, component, signs = columns["block"], columns["component"], columns["sign"]
+    left, right = lo + np.flatnonzero(block[lo:hi] == key[2]), lo + np.flatnonzero(block[lo:hi] == key[3])
+    for i in left:
+        others = right[right > i] if key[2] == key[3] else right
+        others = others[component[others] != component[i]]
+        if not len(others):
+            continue
+        same = signs[others] == signs[i]
+        agree = same.sum(1)
+        first = same.reshape(len(others), -1, ROWS).all(2).argmax(1) == key[1]
+        good = np.flatnonzero((agree >= least) & first)
+        if len(good):
+            yield i, others[good[np.argsort(-agree[good], kind="stable")]]
+
+
+def _hopeful(percent: int):
+    least = _agreeing(percent)
+
+    def judge(columns: dict, key: tuple, lo: int, hi: int) -> pa.RecordBatch | None:
+        met = np.zeros(hi - lo, bool)
+        for i, others in _promising(columns, key, lo, hi, least):
+            met[i - lo] = met[others - lo] = True
+        if not met.any():
+            return None
+        rows = np.unique(np.stack([columns[c][lo:hi][met] for c in ("block", "component", "node")]), axis=1)
+        same = [np.full(rows.shape[1], k) for k in key]
+        return pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1].astype(np.int32)), *map(pa.array, (*same[2:], *rows))], [*_KEYS, "block", "component", "node"])
+
+    return _each_task(judge)
+
+
 def _forest(percent: int):
     least = _agreeing(percent)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left = np.flatnonzero(rows["block"].to_numpy() == key[1])
-        right = np.flatnonzero(rows["block"].to_numpy() == key[2])
-        signs = np.stack([np.frombuffer(x, np.uint32) for x in rows["sign"]])
-        sets = [np.frombuffer(x, U) for x in rows["set"]]
-        names, root = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    def judge(columns: dict, key: tuple, lo: int, hi: int) -> pa.RecordBatch | None:
+        names, root = np.unique(columns["component"][lo:hi], return_inverse=True)
         parent = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -153,40 +217,36 @@ def _forest(percent: int):
                 x = parent[x]
             return x
 
-        nodes, out = rows["node"].to_numpy(), []
-        for i in left:
-            others = right[right > i] if key[1] == key[2] else right
-            others = others[root[others] != root[i]]
-            if not len(others):
-                continue
-            agree = (signs[others] == signs[i]).sum(1)
-            for j in others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]:
-                x, y = find(root[i]), find(root[j])
-                if x != y and _linked(sets[i], sets[j], percent):
+        sets = [np.frombuffer(x.as_buffer(), U) for x in columns["set"][lo:hi]]
+        nodes, out = columns["node"], []
+        for i, others in _promising(columns, key, lo, hi, least):
+            for j in others:
+                x, y = find(root[i - lo]), find(root[j - lo])
+                if x != y and _linked(sets[i - lo], sets[j - lo], percent):
                     parent[x] = y
                     out.append((nodes[i], nodes[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"]) if out else None
 
-    return run
+    return _each_task(judge)
 
 
 def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """members (cluster, component, node) with their block, and the pairs (cluster, i, j) of blocks to compare.
+    """members (bucket, component, node) with their block, and the pairs (bucket, i, j) of blocks to compare.
 
     A component of over `block` members has blocks of its own; smaller ones share blocks by hash, whole."""
-    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= block).groupBy("cluster").agg(F.sum("n").alias("m"))
-    sizes = sizes.join(small, "cluster", "left").select(
-        "cluster", "component", (F.col("n") > block).alias("own"),
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= block).groupBy("bucket").agg(F.sum("n").alias("m"))
+    sizes = sizes.join(small, "bucket", "left").select(
+        "bucket", "component", (F.col("n") > block).alias("own"),
         F.ceil(F.when(F.col("n") > block, F.col("n")).otherwise(F.col("m")) / (block // 2)).alias("parts"),
     )
     spread = F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("component")))
     name = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(spread, F.col("parts")))
-    placed = members.join(sizes, ["cluster", "component"]).select("cluster", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large"))
-    blocks = placed.select("cluster", "block", "large").distinct()
-    other = blocks.select("cluster", F.col("block").alias("j"), F.col("large").alias("large_j"))
-    pairs = blocks.withColumnRenamed("block", "i").join(other, "cluster").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("large") == F.col("large_j"), F.lit(False)))
-    return placed.drop("large"), pairs.select("cluster", "i", "j")
+    placed = members.join(sizes, ["bucket", "component"]).select("bucket", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large"))
+    blocks = placed.select("bucket", "block", "large").distinct()
+    other = blocks.select("bucket", F.col("block").alias("j"), F.col("large").alias("large_j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(other, "bucket").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("large") == F.col("large_j"), F.lit(False)))
+    return placed.drop("large"), pairs.select("bucket", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -204,9 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(with_id.groupBy("print").agg(F.min("doc_id").alias("node")))
 
     reps = with_id.select("print", F.col("doc_id").alias("node"), "bands").join(classes, ["print", "node"], "left_semi")
-    rows = reps.select("node", F.explode("bands").alias("bucket"))
+    rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where("anchor <> last")
-    members = materialise(rows.join(shared, "bucket").select("bucket", "anchor", "node").distinct())
+    members = materialise(rows.join(shared, "bucket").select("bucket", "band", "anchor", "node").distinct())
 
     wanted = materialise(members.select("node").distinct())
     texts = source.where("doc_id is not null").join(broadcast_if_small(wanted.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
@@ -218,15 +278,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(star.mapInArrow(_confirm(percent), "a long, b long").distinct())
 
     labels = connected_components(links)
-    named = members.join(labels, "node", "left").select("bucket", "anchor", "node", F.coalesce("component", "node").alias("component"))
+    named = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     named = materialise(named.join(open_, "bucket", "left_semi"))
-    ties = named.select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct()
-    clusters = connected_components(ties).withColumnRenamed("component", "cluster")
-    placed, pairs = _block_pairs(named.select("node", "component").distinct().join(clusters, "node").select("cluster", "component", "node"), block)
-    sides = pairs.select("cluster", "i", "j", F.col("i").alias("block")).union(pairs.where("i <> j").select("cluster", "i", "j", "j"))
-    tasks = placed.join(sides, ["cluster", "block"]).join(sets, "node")
-    more = tasks.groupBy("cluster", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    placed, pairs = _block_pairs(named.select("bucket", "component", "node").distinct(), block)
+    bands = named.select("bucket", "band").distinct()
+    pairs = pairs.join(bands, "bucket")
+    sides = pairs.select("bucket", "band", "i", "j", F.col("i").alias("block")).union(pairs.where("i <> j").select("bucket", "band", "i", "j", "j"))
+    tasks = placed.join(sides, ["bucket", "block"]).join(sets.select("node", "sign"), "node")
+    in_tasks = lambda df: df.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    hopeful = in_tasks(tasks).mapInArrow(_hopeful(percent), "bucket long, band int, i long, j long, block long, component long, node long")
+    more = in_tasks(hopeful.join(sets, "node")).mapInArrow(_forest(percent), "a long, b long")
 
     final = connected_components(links.union(more)).toDF("node", "least")
     found = classes.join(final, "node", "left").select("print", F.coalesce("least", "node").alias("least"))
