@@ -34,11 +34,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+# The settings of a tokenizer file under which this module encodes as the file says.
+SETTINGS = {
+    "normalizer": None, "post_processor": None, "pre_tokenizer.type": "ByteLevel", "pre_tokenizer.add_prefix_space": False, "pre_tokenizer.use_regex": True, "decoder.type": "ByteLevel", "model.type": "BPE", "model.dropout": None,
+    "model.unk_token": None, "model.continuing_subword_prefix": None, "model.end_of_word_suffix": None, "model.byte_fallback": False, "model.ignore_merges": False,
+}
+# What a file that leaves a setting out means, where that isn't null.
+DEFAULTS = {"pre_tokenizer.add_prefix_space": True, "pre_tokenizer.use_regex": True, "model.byte_fallback": False, "model.ignore_merges": False, "model.type": "BPE"}
+
+
+def refuse_other_settings(spec: dict) -> None:
+    """Raises ValueError for a file with settings that would give other ids than this module does."""
+    for name, wanted in SETTINGS.items():
+        at, _, key = name.rpartition(".")
+        found = ((spec.get(at) or {}) if at else spec).get(key, DEFAULTS.get(name))
+        if found != wanted:
+            raise ValueError(f"{name} is {found!r}; only {wanted!r} is supported")
+    for token in spec.get("added_tokens") or []:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added token {token['content']!r} has flags that aren't supported")
+
+
 class Bpe:
-    """A vocabulary with its merges, read from the text of a tokenizer file."""
+    """A vocabulary with its merges, read from the text of a tokenizer file; files with other settings are refused."""
 
     def __init__(self, content: str) -> None:
         spec = json.loads(content)
+        refuse_other_settings(spec)
         letters = _byte_letters()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]

@@ -21,9 +21,12 @@ BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the session's; one is made only where none is set, as in tests."""
+    """The folder that driver and executors share. It is the session's; one is made only where none is set and the master is
+    local, as in tests: elsewhere executors would not see it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="marram-checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, language_id, warc
+from marram.llm.common import materialise
 from marram.llm.decontamination import decontaminate
 from marram.llm.embedding_dedup import near_duplicate_vectors
 from marram.llm.html_extraction import extract_text
@@ -100,6 +101,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+OP4_SQL = f"""
+WITH RECURSIVE steps AS (SELECT i AS byte, i::BIGINT AS c, 0 AS n FROM range(256) r(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE n = 8),
+jump AS (SELECT doc_id, n, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS k, (-1)::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES ({SHARDS}), ({SHARDS + 1})) v(n)
+  UNION ALL SELECT doc_id, n, x, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((x // 8589934592)::BIGINT + 1)::DOUBLE))::BIGINT FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS x FROM jump) WHERE j < n),
+s AS (SELECT doc_id, max(b) FILTER (n = {SHARDS}) AS shard, max(b) FILTER (n = {SHARDS + 1}) AS grown FROM jump GROUP BY doc_id),
+d AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown::INT AS grown_shard,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+FROM d JOIN s USING (doc_id), crc
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -143,7 +157,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = warc.archive_folder(pages)
     found = warc.read_archives(warc.write_archives(pages, folder), folder, payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialise(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.remove_archives(folder)
+    return found
 
 
 OP8_SQL = """
@@ -194,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_dedup": OP1_SQL,
         "op2_decontamination": OP2_SQL,
         "op3_license_scan": OP3_SQL,
+        "op4_sharding": OP4_SQL,
         "op5_url_filter": OP5_SQL,
         "op7_html_extraction": OP7_SQL,
         "op8_warc": OP8_SQL,

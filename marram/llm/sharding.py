@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import free_name, materialise
+from marram.llm.common import broadcast_if_small, free_name, materialise
 
 SHARDS = 8
 # Fixed value: the generator's multiplier.
@@ -54,10 +54,11 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id")
     """df with law ('key'), shard, grown_shard (with one shard more) and slot, gapless from 0 within each shard.
 
     The key column and the number of shards alone decide the shard. Keys are longs; others are hashed to longs. Null keys
-    count as 0. Rows are numbered in the order of partitions and of rows in them: a partition's count of each shard gives
-    the offset of the next, so no task sees more than one input partition's rows of a shard, whatever key is frequent.
-    Repeated rows get slots of their own; columns of df with the new names give way; no rows give no rows. df is
-    materialised, so that both passes see the same numbering: select what the shards need before.
+    count as 0. Slots number the rows of a shard in the order of the key, null first, whatever partitions they come in; rows of
+    one key, which may be very many, are numbered in any order. Rows are range-partitioned by shard and key, and a partition's
+    count of each shard gives the offset of the next, so no task sees more than one partition's rows, whatever key is
+    frequent. Columns of df with the new names give way; no rows give no rows. df is shuffled and materialised: select
+    what the shards need before.
     """
     new = {"law", "shard", "grown_shard", "slot"}
     kept = [c for c in df.columns if c.lower() not in new]
@@ -65,11 +66,13 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id")
     if dict(df.dtypes)[key_col] not in {"tinyint", "smallint", "int", "bigint"}:
         key = F.when(key.isNotNull(), F.xxhash64(key))
     part, row = free_name(df, "part_id"), free_name(df, "row_id")
-    placed = df.select(*[f"`{c}`" for c in kept], jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"), F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(row))
-    placed = materialise(placed)
+    placed = df.select(*[f"`{c}`" for c in kept], jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"), F.monotonically_increasing_id().alias(row))
+    order = ["shard", f"`{key_col}`", row]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(placed.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
     counts = placed.groupBy("shard", part).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each partition and shard
-    within = F.row_number().over(Window.partitionBy(part, "shard").orderBy(row)) - 1
-    numbered = placed.withColumn("within", within).join(F.broadcast(offsets), ["shard", part])
+    offsets = counts.select("shard", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each shard that a partition holds
+    within = F.row_number().over(Window.partitionBy(part, "shard").orderBy(*order[1:])) - 1
+    numbered = placed.withColumn("within", within).join(broadcast_if_small(offsets), ["shard", part])
     return numbered.select(*[f"`{c}`" for c in kept], F.lit("key").alias("law"), "shard", "grown_shard", (F.col("offset") + F.col("within")).alias("slot"))

@@ -29,6 +29,8 @@ ARCHIVE_BYTES = 64 << 20
 #: The dictionary is trained on the first records of its archive, as many as make so many bytes.
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Groups of copies, each with a URL, that may be broadcast.
+MOST_GROUPS = 50_000
 # Magic numbers of the dictionary's skippable frame and of a Zstandard frame.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 _EPOCH = "1970-01-01T00:00:00Z"
@@ -37,22 +39,35 @@ _HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record. A revisit holds the HTTP header alone; its digest and size are those of the full payload."""
+def _record_id(page_id, digest: str, url) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"
+
+
+def _uri(url: str | None) -> str | None:
+    """A URL as a header line can hold it."""
+    return None if url is None else quote(url, safe="".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%"))
+
+
+def _record(page_id, url, payload: bytes, digest: str, refers_to, refers_url=None) -> bytes:
+    """One WARC record. A revisit holds the HTTP header alone; its digest and size are those of the full payload, and it names
+    the record id, URI and date of the response that it revisits."""
     head = _HEAD.format(len(payload)).encode()
     revisit = refers_to is not None
     block = head if revisit else head + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"),
+        ("WARC-Record-ID", _record_id(page_id, digest, url)),
         ("WARC-Date", _EPOCH),
-        ("WARC-Target-URI", None if url is None else quote(url, safe="".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%"))),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
         ("Content-Type", "application/http;msgtype=response"),
         ("X-Page-Id", page_id),
         ("X-Payload-Length", len(payload)),
         ("X-Refers-To-Page-Id", refers_to),
+        ("WARC-Refers-To", _record_id(refers_to, digest, refers_url) if revisit else None),
+        ("WARC-Refers-To-Target-URI", _uri(refers_url) if revisit else None),
+        ("WARC-Refers-To-Date", _EPOCH if revisit else None),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
         ("Content-Length", len(block)),
     ]
@@ -109,9 +124,9 @@ def _write(folder: str):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in part.columns)):
+                for page_id, url, payload, digest, *refers in zip(*(c.to_pylist() for c in part.columns)):
                     archive = archive or _Archive(folder)
-                    archive.add(_record(page_id, url, payload or b"", digest, refers_to))
+                    archive.add(_record(page_id, url, payload or b"", digest, *refers))
                     if archive.size >= ARCHIVE_BYTES:
                         done.append(archive.close())
                         archive = None
@@ -221,10 +236,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     prepare(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     source = source.withColumn("digest", F.sha2("payload", 256))
-    groups = source.where(F.octet_length("payload") >= LEAST_SHARED_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).where("least <> most")
-    groups = broadcast_if_small(materialise(groups.select("digest", "least")))
-    refers = F.when(F.col("least") != F.col("page_id"), F.col("least"))
-    records = source.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    groups = source.where((F.octet_length("payload") >= LEAST_SHARED_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("least"), F.max("page_id").alias("most")).where("least.page_id <> most")
+    groups = broadcast_if_small(materialise(groups.select("digest", F.col("least.page_id").alias("least"), F.col("least.url").alias("least_url"))), MOST_GROUPS)
+    revisits = F.col("least") != F.col("page_id")
+    records = source.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisits, F.col("least")).alias("refers_to"), F.when(revisits, F.col("least_url")).alias("refers_url"))
     return materialise(records.mapInArrow(_write(folder), "name string, records long"))
 
 
@@ -238,6 +253,12 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
     return archives.select("name", "records").mapInArrow(_read(folder, payloads), ROW)
 
 
+def remove_archives(folder: str) -> None:
+    """Removes a folder of archives with all that is in it, what failed attempts left there too."""
+    files, root = fs.FileSystem.from_uri(folder)
+    files.delete_dir(root)
+
+
 def archive_folder(pages: DataFrame) -> str:
     """A new folder for archives below the one that driver and executors share."""
     base = shared_dir(pages.sparkSession)

@@ -41,6 +41,10 @@ def test_shards(spark):
     got = assign_shards(df, 8).collect()
     assert len(got) == len(rows)
     by_shard = {}
+    for r in assign_shards(df.distinct(), 8).collect():
+        by_shard.setdefault(r.shard, []).append((r.slot, r.doc_id is not None, r.doc_id))
+    assert all([x[1:] for x in sorted(s)] == sorted((d is not None, d) for _, _, d in s) for s in by_shard.values())  # slots follow the key
+    by_shard = {}
     for r in got:
         key = (r.doc_id or 0) % 2**64
         assert (r.shard, r.grown_shard, r.law) == (jump(key, 8), jump(key, 9), "key")
@@ -59,6 +63,16 @@ def test_op4_query(spark, tmp_path):
     assert [(got[i].size, got[i].text_crc32) for i in (1, 2, 3)] == [(4, zlib.crc32("aé".encode())), (1, 0), (1, 0)]
 
 
+def test_op4_sql_equals_the_query(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(12)
+    spark.createDataFrame([(rnd.randrange(-(2**63), 2**63) if i % 2 else i, rnd.choice([None, "", "aé\u65e5😀", "x" * i])) for i in range(120)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_sharding(spark, str(tmp_path))
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(base.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.OP4_SQL})").fetchall())
+
+
 def brute_rule(host, path, rules):
     fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[2:] if fits else (None, None)
@@ -206,10 +220,24 @@ def test_archives_round_trip(spark):
     for r in got:
         assert r.payload_bytes == len(html[r.page_id]) and r.payload_digest == hashlib.sha256(html[r.page_id]).hexdigest()
         assert (r.payload is None) == (r.record_type == "revisit") and (r.payload is None or bytes(r.payload) == html[r.page_id])
+    files, root = warc.fs.FileSystem.from_uri(folder)
+    heads = [h for f in files.get_file_info(warc.fs.FileSelector(root)) for h, _ in warc.read_records(files.open_input_stream(f.path))]
+    named = {h["warc-record-id"]: h.get("warc-target-uri") for h in heads}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and all(named[h["warc-refers-to"]] == h["warc-refers-to-target-uri"] for h in revisits)  # other readers can follow them
     empty = pages.limit(0)
     assert warc.read_archives(warc.write_archives(empty, folder), folder).count() == 0
 
 
+def test_archives_are_removed(spark):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    folder = warc.archive_folder(pages)
+    warc.write_archives(pages, folder)
+    warc.remove_archives(folder)
+    files, root = warc.fs.FileSystem.from_uri(folder)
+    assert files.get_file_info(root).type == warc.fs.FileType.NotFound
+
+
 def archive(*frames, dictionary=b"0123456789" * 20):
     d = zstandard.ZstdCompressionDict(dictionary)
     return struct.pack("<II", warc.SKIPPABLE, len(dictionary)) + dictionary + b"".join(zstandard.ZstdCompressor(dict_data=d).compress(f) for f in frames)

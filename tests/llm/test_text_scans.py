@@ -207,6 +207,17 @@ def test_bpe_cuts_long_texts_where_pieces_begin(vocabulary, monkeypatch):
     assert own.encode(text) == whole
 
 
+def test_bpe_refuses_files_with_other_settings(vocabulary):
+    import json
+
+    spec = json.loads(open(vocabulary, encoding="utf-8").read())
+    bpe.refuse_other_settings(spec)
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}]
+    for change in changes:
+        with pytest.raises(ValueError):
+            bpe.refuse_other_settings({**spec, **change})
+
+
 def test_bpe_in_spark(spark, vocabulary):
     rows = [(i, t, b"x") for i, t in enumerate(TEXTS)] + [(99, None, None), (0, TEXTS[0], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, Ids binary")
