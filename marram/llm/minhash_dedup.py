@@ -6,10 +6,12 @@ signature; 32 bands of 4 minima give its buckets. At a similarity of 0.75 a pair
 
 1. every node is compared with the bucket's least node (a star: as many pairs as members, never all pairs);
 2. buckets whose members are then in one component are done. The bucket is the unit of work for those left: its members
-   are cut into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares
-   signatures, and tells which nodes have a promising partner in another component; a pair that shares several
-   buckets is met in that of its first band alone. Sets are then fetched for just these nodes, and a second task for the
-   pair of blocks confirms promising pairs on them and returns a spanning forest of its links.
+   are cut into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares the
+   low bytes of signatures, and tells which nodes have a promising partner in another component. Whole signatures and sets
+   are then fetched for just these nodes, and a second task for the pair of blocks confirms promising pairs on them and
+   returns a spanning forest of its links. A pair that shares several buckets is confirmed in that of its first band alone.
+   Low bytes may show a common band too many, so the first task takes its first BANDS_MET; that three false ones come
+   before the first true one has a chance near 1e-8.
    Blocks within one large component are not paired, so a large group of copies costs no more than its own size, and
    chains of buckets that share members by chance cost no more than their buckets.
 
@@ -35,6 +37,8 @@ HASHES = 128
 ROWS = 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Common bands, as the low bytes show them, in which a pair is met.
+BANDS_MET = 3
 #: Members of a block; two blocks with their sets are what one task holds.
 BLOCK = 512
 
@@ -108,8 +112,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_sets(part.column(1)))
             keep = pa.array([len(x) > 0 for x in sets], pa.bool_())
             sets = [x for x in sets if len(x)]
-            columns = ([f(x) for x in sets] for f in (_print, lambda x: signature(x).tobytes(), lambda x: x.tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), *(pa.array(c, pa.binary()) for c in columns)], ["node", "print", "sign", "set"])
+            signs = [signature(x) for x in sets]
+            columns = [map(_print, sets), (x.tobytes() for x in signs), (x.astype(np.uint8).tobytes() for x in signs), (x.tobytes() for x in sets)]
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), *(pa.array(list(c), pa.binary()) for c in columns)], ["node", "print", "sign", "low", "set"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -149,7 +154,8 @@ def _each_task(judge):
         def done(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
             columns = {n: table.column(n).combine_chunks() for n in table.schema.names}
             columns = {n: c if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for n, c in columns.items()}
-            columns["sign"] = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in columns["sign"]])
+            name, kind = ("sign", np.uint32) if "sign" in columns else ("low", np.uint8)
+            columns["minima"] = np.stack([np.frombuffer(x.as_buffer(), kind) for x in columns[name]])
             found = [judge(columns, tuple(columns[k][lo] for k in _KEYS), lo, hi) for lo, hi in zip(edges[:-1], edges[1:])]
             yield from (x for x in found if x is not None)
 
@@ -170,20 +176,20 @@ def _each_task(judge):
     return run
 
 
-def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, rows, best first) of the pairs of a task whose signatures agree in `least` places, that are in different
-    components and whose first common band is this bucket's."""
-    block, component, signs = columns["block"], columns["component"], columns["sign"]
+def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int, met: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows, best first) of the pairs of a task whose minima agree in `least` places, that are in different components
+    and to which this bucket's band is one of the first `met` common ones."""
+    block, component, minima = columns["block"], columns["component"], columns["minima"]
     left, right = lo + np.flatnonzero(block[lo:hi] == key[2]), lo + np.flatnonzero(block[lo:hi] == key[3])
     for i in left:
         others = right[right > i] if key[2] == key[3] else right
         others = others[component[others] != component[i]]
         if not len(others):
             continue
-        same = signs[others] == signs[i]
+        same = minima[others] == minima[i]
         agree = same.sum(1)
-        first = same.reshape(len(others), -1, ROWS).all(2).argmax(1) == key[1]
-        good = np.flatnonzero((agree >= least) & first)
+        common = same.reshape(len(others), -1, ROWS).all(2)
+        good = np.flatnonzero((agree >= least) & common[:, key[1]] & (common[:, : key[1]].sum(1) < met))
         if len(good):
             yield i, others[good[np.argsort(-agree[good], kind="stable")]]
 
@@ -193,7 +199,7 @@ def _hopeful(percent: int):
 
     def judge(columns: dict, key: tuple, lo: int, hi: int) -> pa.RecordBatch | None:
         met = np.zeros(hi - lo, bool)
-        for i, others in _promising(columns, key, lo, hi, least):
+        for i, others in _promising(columns, key, lo, hi, least, BANDS_MET):
             met[i - lo] = met[others - lo] = True
         if not met.any():
             return None
@@ -219,7 +225,7 @@ def _forest(percent: int):
 
         sets = [np.frombuffer(x.as_buffer(), U) for x in columns["set"][lo:hi]]
         nodes, out = columns["node"], []
-        for i, others in _promising(columns, key, lo, hi, least):
+        for i, others in _promising(columns, key, lo, hi, least, 1):
             for j in others:
                 x, y = find(root[i - lo]), find(root[j - lo])
                 if x != y and _linked(sets[i - lo], sets[j - lo], percent):
@@ -271,10 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = materialise(members.select("node").distinct())
     texts = source.where("doc_id is not null").join(broadcast_if_small(wanted.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
     # repeated rows are met once; of an id with several texts, each has its set
-    sets = materialise(texts.mapInArrow(_sets, "node long, print binary, sign binary, set binary").dropDuplicates(["node", "print"]).drop("print"))
+    sets = materialise(texts.mapInArrow(_sets, "node long, print binary, sign binary, low binary, set binary").dropDuplicates(["node", "print"]).drop("print"))
 
     star = members.where("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct()
-    star = star.join(sets.toDF("a", "sign_a", "set_a"), "a").join(sets.toDF("b", "sign_b", "set_b"), "b")
+    star = star.join(sets.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"), F.col("set").alias("set_b")), "b")
     links = materialise(star.mapInArrow(_confirm(percent), "a long, b long").distinct())
 
     labels = connected_components(links)
@@ -285,10 +291,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = named.select("bucket", "band").distinct()
     pairs = pairs.join(bands, "bucket")
     sides = pairs.select("bucket", "band", "i", "j", F.col("i").alias("block")).union(pairs.where("i <> j").select("bucket", "band", "i", "j", "j"))
-    tasks = placed.join(sides, ["bucket", "block"]).join(sets.select("node", "sign"), "node")
+    tasks = placed.join(sides, ["bucket", "block"]).join(sets.select("node", "low"), "node")
     in_tasks = lambda df: df.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     hopeful = in_tasks(tasks).mapInArrow(_hopeful(percent), "bucket long, band int, i long, j long, block long, component long, node long")
-    more = in_tasks(hopeful.join(sets, "node")).mapInArrow(_forest(percent), "a long, b long")
+    more = in_tasks(hopeful.join(sets.drop("low"), "node")).mapInArrow(_forest(percent), "a long, b long")
 
     final = connected_components(links.union(more)).toDF("node", "least")
     found = classes.join(final, "node", "left").select("print", F.coalesce("least", "node").alias("least"))

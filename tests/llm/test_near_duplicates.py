@@ -87,10 +87,10 @@ def test_chance_buckets_cost_no_more_than_themselves(spark):
     compared = pairs.join(sizes.withColumnsRenamed({"block": "i", "count": "n"}), ["bucket", "i"]).join(sizes.withColumnsRenamed({"block": "j", "count": "m"}), ["bucket", "j"]).selectExpr("sum(n * m)").first()[0]
     assert compared <= 4 * n, compared
     for band in range(32):
-        rows = {"bucket": [1] * 3, "band": [band] * 3, "i": [0] * 3, "j": [0] * 3, "block": [0] * 3, "component": [1, 2, 3], "node": [1, 2, 3], "sign": [signs[0].tobytes(), signs[0].tobytes(), signs[2].tobytes()]}
+        rows = {"bucket": [1] * 3, "band": [band] * 3, "i": [0] * 3, "j": [0] * 3, "block": [0] * 3, "component": [1, 2, 3], "node": [1, 2, 3], "low": [signs[i].astype(np.uint8).tobytes() for i in (0, 0, 2)]}
         for cut in (1, 3):
             met += [(cut, x) for out in minhash_dedup._hopeful(75)(iter(pa.Table.from_pydict(rows).to_batches(max_chunksize=cut))) for x in out.column("node").to_pylist()]
-    assert met == [(1, 1), (1, 2), (3, 1), (3, 2)]  # once, in the first band
+    assert met == [(1, 1), (1, 2), (3, 1), (3, 2)] * minhash_dedup.BANDS_MET  # in the first bands alone
 
 
 def test_edge_rows(spark):
