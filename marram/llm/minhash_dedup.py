@@ -7,13 +7,13 @@ signature; 32 bands of 4 minima give its buckets. At a similarity of 0.75 a pair
 1. every node is compared with the bucket's least node (a star: as many pairs as members, never all pairs);
 2. buckets whose members are then in one component are done. The bucket is the unit of work for those left: its members
    are cut into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares the
-   low bytes of signatures, and tells which nodes have a promising partner in another component. Whole signatures and sets
-   are then fetched for just these nodes, and a second task for the pair of blocks confirms promising pairs on them and
-   returns a spanning forest of its links. A pair that shares several buckets is confirmed in that of its first band alone.
-   Low bytes may show a common band too many, so the first task takes its first BANDS_MET; that three false ones come
-   before the first true one has a chance near 1e-8.
+   low bytes of signatures and ties promising pairs of different components. Low bytes may show a common band too many, so
+   a pair is met in the first BANDS_MET it seems to share; that so many false ones come before the first true one has a
+   chance near 1e-8.
+3. The promising nodes, tied into clusters, are cut into blocks again, now for each cluster once, and their sets are
+   fetched: a task confirms promising pairs on whole signatures and sets and returns a spanning forest of its links.
    Blocks within one large component are not paired, so a large group of copies costs no more than its own size, and
-   chains of buckets that share members by chance cost no more than their buckets.
+   documents that share buckets by chance are never compared by their sets.
 
 A pair whose signatures agree so rarely that a similarity of 0.75 is over 4.5 standard deviations away is skipped;
 all others are confirmed on full sets with integer arithmetic.
@@ -143,7 +143,7 @@ def _confirm(percent: int):
     return run
 
 
-_KEYS = ["bucket", "band", "i", "j"]
+_KEYS = ["bucket", "band", "i", "j"]  # of a task; after the first pass, bucket is a cluster and band is 0
 
 
 def _each_task(judge):
@@ -176,9 +176,9 @@ def _each_task(judge):
     return run
 
 
-def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int, met: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, rows, best first) of the pairs of a task whose minima agree in `least` places, that are in different components
-    and to which this bucket's band is one of the first `met` common ones."""
+def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int, met: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows, best first) of the pairs of a task whose minima agree in `least` places and that are in different
+    components; with met, only those to which this bucket's band is one of the first `met` common ones."""
     block, component, minima = columns["block"], columns["component"], columns["minima"]
     left, right = lo + np.flatnonzero(block[lo:hi] == key[2]), lo + np.flatnonzero(block[lo:hi] == key[3])
     for i in left:
@@ -188,56 +188,74 @@ def _promising(columns: dict, key: tuple, lo: int, hi: int, least: int, met: int
             continue
         same = minima[others] == minima[i]
         agree = same.sum(1)
-        common = same.reshape(len(others), -1, ROWS).all(2)
-        good = np.flatnonzero((agree >= least) & common[:, key[1]] & (common[:, : key[1]].sum(1) < met))
+        good = agree >= least
+        if met is not None and good.any():
+            common = same.reshape(len(others), -1, ROWS).all(2)
+            good &= common[:, key[1]] & (common[:, : key[1]].sum(1) < met)
+        good = np.flatnonzero(good)
         if len(good):
             yield i, others[good[np.argsort(-agree[good], kind="stable")]]
 
 
-def _hopeful(percent: int):
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+
+class _Forest:
+    """Trees over numbers from 0 on."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were in two trees, which are one now."""
+        x, y = self.find(x), self.find(y)
+        self.parent[x] = y
+        return x != y
+
+
+def _ties(percent: int):
+    """A spanning forest of a task's promising pairs."""
     least = _agreeing(percent)
 
     def judge(columns: dict, key: tuple, lo: int, hi: int) -> pa.RecordBatch | None:
-        met = np.zeros(hi - lo, bool)
+        nodes, trees, out = columns["node"], _Forest(hi - lo), []
         for i, others in _promising(columns, key, lo, hi, least, BANDS_MET):
-            met[i - lo] = met[others - lo] = True
-        if not met.any():
-            return None
-        rows = np.unique(np.stack([columns[c][lo:hi][met] for c in ("block", "component", "node")]), axis=1)
-        same = [np.full(rows.shape[1], k) for k in key]
-        return pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1].astype(np.int32)), *map(pa.array, (*same[2:], *rows))], [*_KEYS, "block", "component", "node"])
+            out += [(nodes[i], nodes[j]) for j in others if trees.join(i - lo, j - lo)]
+        return _edges(out)
 
     return _each_task(judge)
 
 
-def _forest(percent: int):
+def _links(percent: int):
+    """A spanning forest of a task's links between components."""
     least = _agreeing(percent)
 
     def judge(columns: dict, key: tuple, lo: int, hi: int) -> pa.RecordBatch | None:
         names, root = np.unique(columns["component"][lo:hi], return_inverse=True)
-        parent = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        trees = _Forest(len(names))
         sets = [np.frombuffer(x.as_buffer(), U) for x in columns["set"][lo:hi]]
         nodes, out = columns["node"], []
-        for i, others in _promising(columns, key, lo, hi, least, 1):
+        for i, others in _promising(columns, key, lo, hi, least):
             for j in others:
-                x, y = find(root[i - lo]), find(root[j - lo])
+                x, y = trees.find(root[i - lo]), trees.find(root[j - lo])
                 if x != y and _linked(sets[i - lo], sets[j - lo], percent):
-                    parent[x] = y
+                    trees.join(x, y)
                     out.append((nodes[i], nodes[j]))
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"]) if out else None
+        return _edges(out)
 
     return _each_task(judge)
 
 
 def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """members (bucket, component, node) with their block, and the pairs (bucket, i, j) of blocks to compare.
+    """members (bucket, band, component, node) with their block, and the sides (bucket, band, i, j, block) of the pairs of
+    blocks to compare.
 
     A component of over `block` members has blocks of its own; smaller ones share blocks by hash, whole."""
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -248,11 +266,12 @@ def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     )
     spread = F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("component")))
     name = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(spread, F.col("parts")))
-    placed = members.join(sizes, ["bucket", "component"]).select("bucket", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large"))
-    blocks = placed.select("bucket", "block", "large").distinct()
+    placed = members.join(sizes, ["bucket", "component"]).select("bucket", "band", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large"))
+    blocks = placed.select("bucket", "band", "block", "large").distinct()
     other = blocks.select("bucket", F.col("block").alias("j"), F.col("large").alias("large_j"))
     pairs = blocks.withColumnRenamed("block", "i").join(other, "bucket").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("large") == F.col("large_j"), F.lit(False)))
-    return placed.drop("large"), pairs.select("bucket", "i", "j")
+    pairs = pairs.select(*_KEYS)
+    return placed.drop("large", "band"), pairs.withColumn("block", F.col("i")).union(pairs.where("i <> j").withColumn("block", F.col("j")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -287,14 +306,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     named = materialise(named.join(open_, "bucket", "left_semi"))
-    placed, pairs = _block_pairs(named.select("bucket", "component", "node").distinct(), block)
-    bands = named.select("bucket", "band").distinct()
-    pairs = pairs.join(bands, "bucket")
-    sides = pairs.select("bucket", "band", "i", "j", F.col("i").alias("block")).union(pairs.where("i <> j").select("bucket", "band", "i", "j", "j"))
-    tasks = placed.join(sides, ["bucket", "block"]).join(sets.select("node", "low"), "node")
-    in_tasks = lambda df: df.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    hopeful = in_tasks(tasks).mapInArrow(_hopeful(percent), "bucket long, band int, i long, j long, block long, component long, node long")
-    more = in_tasks(hopeful.join(sets.drop("low"), "node")).mapInArrow(_forest(percent), "a long, b long")
+    in_tasks = lambda placed, sides, more: placed.join(sides, ["bucket", "block"]).join(more, "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    ties = in_tasks(*_block_pairs(named, block), sets.select("node", "low")).mapInArrow(_ties(percent), "a long, b long").distinct()
+    clusters = connected_components(ties).withColumnRenamed("component", "bucket")
+    hopeful = named.select("node", "component").distinct().join(clusters, "node").select("bucket", F.lit(0).alias("band"), "component", "node")
+    more = in_tasks(*_block_pairs(materialise(hopeful), block), sets.drop("low")).mapInArrow(_links(percent), "a long, b long")
 
     final = connected_components(links.union(more)).toDF("node", "least")
     found = classes.join(final, "node", "left").select("print", F.coalesce("least", "node").alias("least"))

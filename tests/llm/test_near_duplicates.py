@@ -80,17 +80,18 @@ def test_chance_buckets_cost_no_more_than_themselves(spark):
     for i in range(1, n):  # neighbours share one band, now the one and now the other
         signs[i, 4 * (i % 2) : 4 * (i % 2) + 4] = signs[i - 1, 4 * (i % 2) : 4 * (i % 2) + 4]
     rows = [(i, int(b), f"{b}-{signs[i, 4 * b : 4 * b + 4].tobytes().hex()}") for i in range(n) for b in (0, 1)]
-    members = spark.createDataFrame([(hash(k) % (1 << 60), i, i) for i, b, k in rows], "bucket long, component long, node long")
+    members = spark.createDataFrame([(hash(k) % (1 << 60), i, i) for i, b, k in rows], "bucket long, component long, node long").selectExpr("bucket", "0 AS band", "component", "node")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    placed, pairs = minhash_dedup._block_pairs(members.join(shared, "bucket"), 512)
+    placed, sides = minhash_dedup._block_pairs(members.join(shared, "bucket"), 512)
     sizes = placed.groupBy("bucket", "block").count()
+    pairs = sides.select("bucket", "i", "j").distinct()
     compared = pairs.join(sizes.withColumnsRenamed({"block": "i", "count": "n"}), ["bucket", "i"]).join(sizes.withColumnsRenamed({"block": "j", "count": "m"}), ["bucket", "j"]).selectExpr("sum(n * m)").first()[0]
     assert compared <= 4 * n, compared
     for band in range(32):
         rows = {"bucket": [1] * 3, "band": [band] * 3, "i": [0] * 3, "j": [0] * 3, "block": [0] * 3, "component": [1, 2, 3], "node": [1, 2, 3], "low": [signs[i].astype(np.uint8).tobytes() for i in (0, 0, 2)]}
         for cut in (1, 3):
-            met += [(cut, x) for out in minhash_dedup._hopeful(75)(iter(pa.Table.from_pydict(rows).to_batches(max_chunksize=cut))) for x in out.column("node").to_pylist()]
-    assert met == [(1, 1), (1, 2), (3, 1), (3, 2)] * minhash_dedup.BANDS_MET  # in the first bands alone
+            met += [(cut, *e.values()) for out in minhash_dedup._ties(75)(iter(pa.Table.from_pydict(rows).to_batches(max_chunksize=cut))) for e in out.to_pylist()]
+    assert met == [(1, 1, 2), (3, 1, 2)] * minhash_dedup.BANDS_MET  # in the first bands alone
 
 
 def test_edge_rows(spark):
