@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -324,15 +325,19 @@ def match_evidence(spark, sf_dir):
 @query(
     "operator_profiles",
     f"""WITH RECURSIVE {_COMPONENTS}, m AS (SELECT l.*, c.component FROM fx_listings l JOIN comp c USING (seq)),
-    best AS (SELECT component, first(operator_name ORDER BY length(operator_name) DESC, seq) AS stated FROM m WHERE operator_name IS NOT NULL GROUP BY 1)
-    SELECT component, coalesce(stated, first(property_name ORDER BY m.seq)) AS display_name, CASE WHEN stated IS NULL THEN 'UNIDENTIFIED' ELSE 'IDENTIFIED' END AS identity_status, count(*) AS listing_count,
-      min(advertised_price) AS lowest_price, max(advertised_price) AS highest_price, count(DISTINCT phone) AS n_phones, count(DISTINCT website) AS n_websites, count(DISTINCT state) AS n_states, count(DISTINCT area) AS n_areas
-    FROM m LEFT JOIN best USING (component) GROUP BY component, stated""",
+    best AS (SELECT component, first(operator_name ORDER BY length(operator_name) DESC, seq) AS stated FROM m WHERE operator_name IS NOT NULL GROUP BY 1),
+    v AS (SELECT component, 'phones' AS f, '+234' || substr(phone, 2) AS v, seq FROM m UNION ALL SELECT component, 'websites', website, seq FROM m UNION ALL SELECT component, 'states', state, seq FROM m
+      UNION ALL SELECT component, 'areas', {_AREA}, seq FROM m UNION ALL SELECT component, 'sources', source, seq FROM m UNION ALL SELECT component, 'property_types', property_type, seq FROM m),
+    u AS (SELECT component, f, v, min(seq) AS seq FROM v WHERE v <> '' GROUP BY 1, 2, 3), l AS (SELECT component, f, string_agg(v, '|' ORDER BY seq, v) AS s FROM u GROUP BY 1, 2),
+    p AS (SELECT component, {", ".join(f"coalesce(max(s) FILTER (f = '{f}'), '') AS {f}" for f in ("phones", "websites", "states", "areas", "sources", "property_types"))} FROM l GROUP BY 1)
+    SELECT m.component, coalesce(stated, first(property_name ORDER BY m.seq)) AS display_name, CASE WHEN stated IS NULL THEN 'UNIDENTIFIED' ELSE 'IDENTIFIED' END AS identity_status, count(*) AS listing_count,
+      min(advertised_price) AS lowest_price, max(advertised_price) AS highest_price, any_value(phones) AS phones, any_value(websites) AS websites, any_value(states) AS states, any_value(areas) AS areas, any_value(sources) AS sources, any_value(property_types) AS property_types
+    FROM m LEFT JOIN best USING (component) LEFT JOIN p USING (component) GROUP BY m.component, stated""",
 )
 def operator_profiles(spark, sf_dir):
     p = entities.operator_profiles(entities.resolve_operators(_full_listings(spark, sf_dir)))
-    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("phones", "websites", "states", "areas")]
-    return p.select("component", "display_name", "identity_status", "listing_count", "lowest_price", "highest_price", *sizes)
+    lists = [F.array_join(c, "|").alias(c) for c in ("phones", "websites", "states", "areas", "sources", "property_types")]
+    return p.select("component", "display_name", "identity_status", "listing_count", "lowest_price", "highest_price", *lists)
 
 
 @query(
@@ -815,6 +820,29 @@ def run_pipeline(spark, sf_dir):
     return run_listings(x, before, TODAY, "by the source").summary
 
 
+@query(
+    "run_pipeline_parts",
+    f"""WITH RECURSIVE {_LEADS}, k AS (SELECT source, source_listing_id, CASE WHEN seq % 2 = 0 THEN advertised_price ELSE advertised_price + 100 END AS p FROM fx_listings WHERE seq % 10 <> 0)
+    SELECT 'listings' AS part, count(*) AS rows, sum(advertised_price)::BIGINT AS total FROM fx_listings UNION ALL SELECT 'rejected', 0, 0 UNION ALL SELECT 'report', 1, count(*) FROM fx_listings
+    UNION ALL SELECT 'profiles', count(*), sum(n)::BIGINT FROM lead UNION ALL SELECT 'funnel', 1, count(*) FROM lead UNION ALL SELECT 'changes', count(*), sum(advertised_price)::BIGINT FROM fx_listings
+    UNION ALL SELECT 'ledger', (SELECT count(*) FROM k) + (SELECT count(*) FROM fx_listings), ((SELECT sum(p) FROM k) + (SELECT sum(advertised_price) FROM fx_listings))::BIGINT
+    UNION ALL SELECT 'leads', count(*), sum(low)::BIGINT FROM lead UNION ALL SELECT 'calls', count(*), sum(points)::BIGINT FROM score WHERE NOT blocked
+    UNION ALL SELECT 'directory', count(*), count(*) FILTER (phone IS NOT NULL OR website IS NOT NULL) FROM fx_listings""",
+)
+def run_pipeline_parts(spark, sf_dir):
+    """Every part of a whole run: its rows, and a total that needs the part's own work."""
+    x = _listings(spark, sf_dir)
+    price = F.when(F.col("seq") % 2 == 0, F.col("advertised_price")).otherwise(F.col("advertised_price") + 100)
+    before = x.where("seq % 10 <> 0").select("source", "source_listing_id", F.lit(MIDDLE).cast("date").alias("observed_on"), price.alias("advertised_price"))
+    run = run_listings(x, before, TODAY, "by the source")
+    totals = {
+        "listings": F.sum("advertised_price"), "rejected": F.count("*"), "report": F.sum("rows"), "profiles": F.sum("listing_count"), "funnel": F.sum("operators"), "changes": F.sum("advertised_price"), "ledger": F.sum("advertised_price"),
+        "leads": F.sum(F.array_min("observed_rates")), "calls": F.sum("score"), "directory": F.count_if(F.col("contact_route.kind") != "NONE"),
+    }
+    parts = [getattr(run, name).agg(F.count("*").alias("rows"), total.cast("long").alias("total")).select(F.lit(name).alias("part"), "rows", "total") for name, total in totals.items()]
+    return reduce(DataFrame.union, parts)
+
+
 @query("marketplace_metrics", """WITH b AS (SELECT l_orderkey AS id, sum(nights) AS nights, sum(nightly_rate_kobo) AS total FROM fx_charges GROUP BY 1), s AS (SELECT stay_id AS id, status FROM fx_stays),
     j AS (SELECT status, nights, total FROM b JOIN s USING (id)), n AS (SELECT sum(CAST(check_out - check_in AS INT)) AS open_nights FROM fx_stays WHERE check_out > check_in)
     SELECT sum(nights) FILTER (status = 'F')::DOUBLE / (SELECT open_nights FROM n) AS fill_rate, count(*) FILTER (status = 'F')::DOUBLE / count(*) AS paid_rate, count(*) FILTER (status = 'P')::DOUBLE / count(*) AS cancel_rate, 1.0::DOUBLE AS take_rate FROM j""")
