@@ -100,9 +100,9 @@ def distinctness(listings: DataFrame, id_col: str = "source_listing_id", url_col
 
 
 def parity_check(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that only one of two tables has, with its name: both directions, no rows if they agree."""
-    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
-    return x.join(y, keys, "left_anti").withColumn("only_in", F.lit("a")).union(y.join(x, keys, "left_anti").withColumn("only_in", F.lit("b")))
+    """Keys that only one of two tables has, with its name: both directions, no rows if they agree. Nulls are equal."""
+    x, y = a.select(*keys), b.select(*keys)
+    return x.subtract(y).withColumn("only_in", F.lit("a")).union(y.subtract(x).withColumn("only_in", F.lit("b")))
 
 
 def directory_counts(places: DataFrame) -> DataFrame:
