@@ -1,9 +1,8 @@
-"""The registered queries: a name, a function of (spark, sf_dir) and, where SQL can say it, the same in DuckDB's SQL."""
+"""Registered queries of histories, reports, entities, prices, search, calendars, leads, pages, runs and streams."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,28 +13,15 @@ from marram.functions.constants import FEE_POLICIES, LEGAL_SUFFIXES, OCCUPYING_S
 from marram.operators import availability, entities, extraction, history, leads, pricing, publish, reports, search, upserts, validation
 from marram.operators.graph import checkpoint_folder
 from marram.plans.pipeline import run_listings
+from marram.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marram.plans.views import table, view, with_views
 from marram.sources import crawl
 from marram.streaming import ledger
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 TODAY, MIDDLE = "2024-01-30", "2024-01-04"
 NOW = "2024-01-30 00:00:00"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = with_views(sql)
-        return f
-
-    return add
-
-
 def _divided(a: str, b: str) -> str:
     """Floor division in DuckDB for any sign of a and a positive b."""
     return f"(({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b})"
@@ -881,11 +867,3 @@ def stream_dedupe(spark, sf_dir):
     days = ledger.dedupe_observations(stream.select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "seq"), delay=f"{span + 1} days")
     days.select("source", "source_listing_id", "observed_on").writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", format="parquet").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

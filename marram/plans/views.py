@@ -47,10 +47,32 @@ VIEWS = {
     WHEN k % 8 = 3 THEN 'https://www.nigeriapropertycentre.com/for-rent/short-let/lagos' ELSE 'https://elsewhere.com/x' END AS url
     FROM (SELECT p_partkey AS k, concat(CAST(50 + p_partkey % 100 AS STRING), ',', lpad(CAST((p_partkey * 100) % 1000 AS STRING), 3, '0')) AS price,
       CASE p_partkey % 4 WHEN 0 THEN CAST(CASE WHEN p_partkey % 12 = 4 THEN 2000000 ELSE 1000000 END + p_partkey AS STRING) WHEN 1 THEN concat('A', lpad(CAST(p_partkey AS STRING), 7, '0')) ELSE concat('zq', lpad(CAST(p_partkey AS STRING), 6, '0')) END AS lid FROM {part}))""",
+    "fx_operator_rows": """SELECT p_partkey AS seq, concat('k', CAST(p_partkey % 301 AS STRING)) AS operator_key, CASE WHEN p_partkey % 11 <> 0 THEN concat('Name ', CAST(p_partkey % 70 AS STRING)) END AS display_name,
+  CASE WHEN p_partkey % 3 <> 0 THEN concat('+234', CAST(p_partkey AS STRING)) END AS phone, CASE WHEN p_partkey % 4 = 1 THEN concat('a', CAST(p_partkey AS STRING), '@op.ng') END AS email,
+  CASE WHEN p_partkey % 5 < 2 THEN concat('https://op', CAST(p_partkey AS STRING), '.ng') END AS website, CASE WHEN p_partkey % 7 = 0 THEN concat('stay_', CAST(p_partkey AS STRING)) END AS instagram,
+  CASE p_partkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS state, p_size AS size FROM {part}""",
+    "fx_probes": """SELECT concat('site', CAST(c_custkey AS STRING)) AS key, c_custkey AS n, CASE WHEN c_custkey % 8 < 6 THEN CAST(c_custkey % 8 AS DOUBLE) END AS crawl_delay, CASE WHEN c_custkey % 9 = 0 THEN 'missing' ELSE 'found' END AS robots,
+  CASE c_custkey % 3 WHEN 0 THEN 'DISCOVERY' WHEN 1 THEN 'SUPPLY' END AS layer, CASE c_custkey % 5 WHEN 0 THEN 'REVIEW_REQUIRED' WHEN 4 THEN NULL ELSE 'PERMITTED' END AS terms_status FROM {customer}""",
+    "fx_channels": """SELECT o_orderkey AS channel_id, CASE o_orderkey % 5 WHEN 0 THEN 'PARTNER_API' WHEN 1 THEN 'ICAL_FEED' WHEN 2 THEN 'PARTNER_DASHBOARD' WHEN 3 THEN 'AFFILIATE_PROGRAM' ELSE 'SCRAPED' END AS kind,
+  CASE o_custkey % 6 WHEN 0 THEN 'API_CREDENTIALS_ISSUED' WHEN 1 THEN 'PARTNER_PUBLISHED_FEED' WHEN 2 THEN 'AFFILIATE_PROGRAM_TERMS' WHEN 3 THEN NULL ELSE 'SIGNED_SUPPLY_AGREEMENT' END AS basis,
+  o_custkey AS partner_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner_id, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'ref' END AS reference,
+  CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS expires_at FROM {orders}""",
+    "fx_assets": """SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, l_suppkey + CASE WHEN l_orderkey % 37 = 0 THEN 1000000000 ELSE 0 END AS partner_id, l_partkey + CASE WHEN l_orderkey % 29 = 0 THEN 1000000000 ELSE 0 END AS unit_external_id,
+  l_linenumber AS position, CASE WHEN l_orderkey % 19 = 0 THEN '' ELSE 'ref' END AS licence_ref, CASE WHEN l_returnflag = 'A' THEN 'LICENSED_FEED' ELSE 'PARTNER_SUPPLIED' END AS licence,
+  CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_shipdate AS TIMESTAMP) END AS licence_expires_at, CAST(l_quantity AS INT) % 5 AS files FROM {lineitem}""",
+    "fx_photos": """SELECT l_partkey AS listing_id, concat('https://cdn.ng/', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '.jpg') AS url, l_orderkey * 10 + l_linenumber AS pos,
+  CASE WHEN l_orderkey % 17 = 0 THEN 0.0 ELSE l_quantity END AS whole_spread, CAST(l_orderkey % 40 AS DOUBLE) AS centre_spread, CASE WHEN l_orderkey % 4 = 0 THEN CAST(l_orderkey % 10 AS DOUBLE) / 10 END AS model_score,
+  CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE l_orderkey % 29 <> 0 END AS decoded FROM {lineitem}""",
+    "fx_outcomes": """SELECT concat('site', CAST(o_custkey % 40 AS STRING)) AS source, o_custkey % 8 = 1 OR o_orderkey % 50 = 0 AS error, o_custkey % 8 NOT IN (1, 2) AS found, o_custkey % 8 NOT IN (1, 2, 3) AS loaded,
+  o_custkey % 8 NOT IN (1, 2, 3, 4) AS parsed, o_custkey % 8 <> 5 AS has_rate, o_orderkey % 2 = 0 AS has_contact FROM {orders}""",
+    "fx_feed": """SELECT p_partkey AS seq, CASE WHEN p_partkey % 31 <> 0 THEN concat('p', CAST(p_partkey AS STRING)) END AS id, lower(p_brand) AS source, concat('https://feed.ng/', CAST(p_partkey AS STRING)) AS source_url,
+  CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE 'by the partner' END AS attribution, CASE WHEN p_partkey % 17 <> 0 THEN 'partner' END AS affiliate_partner, CASE WHEN p_partkey % 19 <> 0 THEN 'we earn' END AS affiliate_disclosure,
+  CASE WHEN p_partkey % 21 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'ftp://partner.ng/x' ELSE concat('https://partner.ng/', CAST(p_partkey AS STRING)) END AS affiliate_url, DATE '2024-01-01' AS first_seen_at,
+  CASE WHEN p_partkey % 37 <> 0 THEN DATE '2024-01-30' END AS last_seen_at, CASE WHEN p_partkey % 3 = 0 THEN 'DIRECTORY' ELSE 'AFFILIATE' END AS listed_as FROM {part}""",
     "fx_charges": """SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS nightly_rate_kobo, CAST(l_quantity AS INT) % 14 + 1 AS nights,
   CASE l_suppkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS state FROM {lineitem}""",
 }
-_TABLES = ["events", "part", "supplier", "orders", "lineitem"]
+_TABLES = ["events", "part", "supplier", "customer", "orders", "lineitem"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

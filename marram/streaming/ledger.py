@@ -93,7 +93,7 @@ def read_state(spark, state_path: str, below: int | None = None) -> DataFrame |
 
 def expire_holds(stream: DataFrame, minutes: int = HOLD_MINUTES, delay: str = "0 seconds") -> DataFrame:
     """Holds and their releases in time order, (hold_id, status, at): a hold that nothing converts or releases within `minutes`
-    of event time comes out EXPIRED. stream: hold_id, status (ACTIVE, CONVERTED, RELEASED), at (timestamp)."""
+    of event time comes out EXPIRED, also where a later row of it is in the same batch. stream: hold_id, status (ACTIVE, CONVERTED, RELEASED), at (timestamp)."""
     source = stream.select("hold_id", "status", "at").withWatermark("at", delay)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,14 +103,20 @@ def expire_holds(stream: DataFrame, minutes: int = HOLD_MINUTES, delay: str = "0
             yield pd.DataFrame([(*key, "EXPIRED", pd.Timestamp(end, unit="ms"))], columns=["hold_id", "status", "at"])
             return
         rows = pd.concat(list(frames)).sort_values("at")
+        known = state.getOption
+        end, out = known[0] if known else None, []
         for status, at in zip(rows["status"], rows["at"]):
-            if status == "ACTIVE":
-                end = int(at.timestamp() * 1000) + minutes * 60_000
-                state.update((end,))
-                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield rows[["hold_id", "status", "at"]].reset_index(drop=True)
+            if end is not None and at >= pd.Timestamp(end, unit="ms"):  # what comes now is too late
+                out.append((*key, "EXPIRED", pd.Timestamp(end, unit="ms")))
+                end = None
+            out.append((*key, status, at))
+            end = int(at.timestamp() * 1000) + minutes * 60_000 if status == "ACTIVE" else None
+        if end is not None:
+            state.update((end,))
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        elif known:
+            state.remove()
+        yield pd.DataFrame(out, columns=["hold_id", "status", "at"])
 
     return source.groupBy("hold_id").applyInPandasWithState(step, "hold_id string, status string, at timestamp", "end long", "append", GroupStateTimeout.EventTimeTimeout)
 

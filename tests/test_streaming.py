@@ -63,6 +63,13 @@ def test_holds_expire(spark, tmp_path):
     assert [(r.hold_id, r.at) for r in out if r.status == "EXPIRED"] == [("h1", t(15))]
 
 
+def test_late_conversion_in_the_same_batch(spark, tmp_path):
+    t = lambda m: dt.datetime(2026, 9, 1, 10, m)
+    batches = [[("h1", "ACTIVE", t(0)), ("h1", "CONVERTED", t(15)), ("h2", "ACTIVE", t(0)), ("h2", "CONVERTED", t(14)), ("h3", "ACTIVE", t(0)), ("h3", "ACTIVE", t(10))], [("h3", "RELEASED", t(24)), ("x", "ACTIVE", t(50))]]
+    out = L.run_to_table(L.expire_holds(stream(spark, tmp_path / "in", batches, "hold_id string, status string, at timestamp")), str(tmp_path / "cp")).collect()
+    assert [(r.hold_id, r.at) for r in out if r.status == "EXPIRED"] == [("h1", t(15))] and len(out) == 9
+
+
 def test_webhooks_once(spark, tmp_path):
     schema = "processor string, signature string, received_at timestamp"
     batches = [[("p", "s1", at(1)), ("p", "s1", at(1))], [("p", "s1", at(2)), ("q", "s1", at(2))]]
