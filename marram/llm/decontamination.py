@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of test items looked up in every window of the training texts.
 
 A window is 10 consecutive words of an item; an item of fewer words, but not none, is one window. Windows are hashed
-to 64 bits and broadcast as a sorted hash set when there are at most MAX_WINDOWS of them; beyond that, windows of
-texts and items meet in a shuffled join. Either way a hit counts only if the words are equal.
+to 64 bits and broadcast as a sorted hash set when their rows, one for each window and item that has it, are at most
+MAX_WINDOWS with MAX_BYTES of words and ids in all; beyond that, windows of texts and items meet in a shuffled join. Either way a hit counts only if the words are equal.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from marram.llm.common import extend, free_name, materialise, prepare
 from marram.llm.words import ALNUM, U, Words, pieces
 
 WINDOW = 10
-#: Broadcast bound. A window takes about 100 bytes, so this is some 30 MB.
+#: Broadcast bounds: rows of a window and an item that has it, and bytes of their words and ids.
 MAX_WINDOWS = 300_000
+MAX_BYTES = 64 << 20
 
 _COLUMNS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, clean_text string"
 
@@ -62,7 +63,9 @@ class _Index:
         self.items: dict[tuple[int, bytes], list[str]] = {}
         hashes: dict[int, set[int]] = {}
         for r in rows:
-            self.items[(r["length"], bytes(r["words"]))] = r["items"]
+            names = self.items.setdefault((r["length"], bytes(r["words"])), [])
+            if r["id"] is not None:
+                names.append(r["id"])
             hashes.setdefault(r["length"], set()).add(r["hash"] & (2**64 - 1))
         for k, found in hashes.items():
             found = np.array(sorted(found), U)
@@ -129,14 +132,14 @@ def _scan(index):
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(length, hash, words, items): the distinct windows of the items and the ids, as strings, that they come from."""
+    """Distinct (length, hash, words, id): the windows of the items, each with every id, as a string, that it comes from."""
     prepare(items.sparkSession)
     source = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(_windows(None, True), "id string, length int, start int, hash long, words binary")
-    return rows.groupBy("length", "hash", "words").agg(F.collect_set("id").alias("items"))
+    return rows.select("length", "hash", "words", "id").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items met, sorted as strings), spans of hit words, clean_text and contaminated.
 
     clean_text is the text without its hit spans, from the first to the last character of each; without a hit it is the
@@ -145,10 +148,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     repeated documents each get their row. Columns of docs with the new names give way to them. Empty tables of either
     kind work.
     """
-    windows = benchmark_windows(items, item_id_col, item_text_col)
-    rows = windows.limit(max_windows + 1).collect()
-    if len(rows) <= max_windows:
-        found = extend(docs, text_col, _COLUMNS, _scan(docs.sparkSession.sparkContext.broadcast(_Index(rows))))
+    windows = materialise(benchmark_windows(items, item_id_col, item_text_col))
+    size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("id"), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    if size["rows"] <= max_windows and size["bytes"] <= max_bytes:
+        found = extend(docs, text_col, _COLUMNS, _scan(docs.sparkSession.sparkContext.broadcast(_Index(windows.collect()))))
         found = found.withColumn("clean_text", F.coalesce("clean_text", F.col(f"`{text_col}`")))
     else:
         found = _by_join(docs, windows, text_col)
@@ -156,17 +159,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
-    """The same by a shuffled join of all windows, for more windows than can be broadcast."""
+    """The same by a shuffled join of all windows, for more windows than can be broadcast. Items are named from rows, so no
+    window carries a list of them; a row's own list is part of the result."""
     row = free_name(docs, "row_key")
     keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))  # read twice: row keys must not change
     source = keyed.select(F.col(row).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lengths = [r[0] for r in windows.select("length").distinct().collect()]
-    met = source.mapInArrow(_windows(lengths, False), "id long, length int, start int, hash long, words binary").join(windows, ["length", "hash", "words"])
+    met = source.mapInArrow(_windows(lengths, False), "id long, length int, start int, hash long, words binary").join(windows.drop("id").distinct(), ["length", "hash", "words"])
     words_hit = met.select("id", F.explode(F.expr("sequence(start, start + length - 1)")).alias("word")).distinct()
     word_window = Window.partitionBy("id").orderBy("word")
     runs = words_hit.withColumn("run", F.col("word") - F.row_number().over(word_window)).groupBy("id", "run").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.count("*").alias("n"))
     runs = runs.groupBy("id").agg(F.sum("n").alias("hit"), F.sort_array(F.collect_list(F.struct(F.col("a").alias("start"), (F.col("b") + 1).alias("stop")))).alias("found_spans"))
-    named = met.select("id", F.explode("items").alias("item")).groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("found_items"))
+    of_items = windows.where("id is not null").withColumnRenamed("id", "item")
+    named = met.select("id", "length", "hash", "words").distinct().join(of_items, ["length", "hash", "words"]).select("id", "item").distinct().groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("found_items"))
     per_row = runs.join(named, "id", "left").withColumnRenamed("id", row)
     base = extend(keyed, text_col, "n_words long", lambda column: [pa.array(sum((np.diff(w.bounds).tolist() for _, _, w in pieces(column, ALNUM)), []), pa.int64())])
     joined = base.join(per_row, row, "left")

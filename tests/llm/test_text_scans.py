@@ -38,8 +38,8 @@ def brute_hits(text, items):
     return len(ws), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("most", [1_000, 0])
-def test_decontamination_matches_brute_force(spark, most):
+@pytest.mark.parametrize("most, most_bytes", [(1_000, 1_000_000), (0, 1_000_000), (1_000, 100)])
+def test_decontamination_matches_brute_force(spark, most, most_bytes):
     rnd = random.Random(2)
     word = lambda: rnd.choice(["aa", "bb", "cc", "dé", "e1"])
     items = [(i, rnd.choice([" ", ", "]).join(word() for _ in range(rnd.choice([2, 5, 12, 15, 30])))) for i in range(12)] + [(None, "zz yy xx"), (50, None), (51, "..."), (3, "aa bb")]
@@ -50,7 +50,7 @@ def test_decontamination_matches_brute_force(spark, most):
             text += "; " + (items[rnd.randrange(12)][1]).upper() + " -end"
         docs.append((i, text, "keep"))
     docs += [(100, None, "n"), (101, "", "e"), (102, "ZZ yy. xx!", "s"), (5, docs[5][1], "again")]
-    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string, N_Hit string"), spark.createDataFrame(items, "item_id long, text string"), max_windows=most).collect()
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string, N_Hit string"), spark.createDataFrame(items, "item_id long, text string"), max_windows=most, max_bytes=most_bytes).collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_words, r.n_hit, list(r["items"])) == brute_hits(r.text, items), r
