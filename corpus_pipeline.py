@@ -44,7 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id.
 
-    Of rows that repeat a doc_id one stays, the one with the least text. Rows without a doc_id can't be named and stay, as do
+    Of rows that repeat a doc_id one stays, the one with the least text; a null text gives way to any other. Rows without a doc_id can't be named and stay, as do
     texts without words, which are nobody's duplicates; no rows give no rows."""
     gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
     left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -53,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return left
     repeated = broadcast_if_small(repeated)
     again = _packed(left.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    once = again.groupBy("row.doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("order"), "text", "row")).alias("first")).select("first.text", "first.row")
+    once = again.groupBy("row.doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no_text"), "text", "row")).alias("first")).select("first.text", "first.row")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(_unpacked(once, docs))
 
 
