@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that was written for one use, wherever Spark's file systems keep it; an absent one does no harm."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df computed once, with its lineage cut by a reliable checkpoint: a lost executor costs a reread, not a new run."""
     shared_dir(df.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, language_id, warc
-from marram.llm.common import materialise
+from marram.llm.common import materialise, remove_folder, shared_dir
 from marram.llm.decontamination import decontaminate
 from marram.llm.embedding_dedup import near_duplicate_vectors
 from marram.llm.html_extraction import extract_text
 from marram.llm.license_scan import COVERAGE, GRAM, NEAR, NOTICES, PHRASES, scan_licenses
 from marram.llm.minhash_dedup import near_duplicates
+from marram.llm.periodic_runs import periodic_runs
 from marram.llm.sharding import SHARDS, assign_shards
+from marram.llm.spelling import slipped_words, spelling_variants
+from marram.llm.token_cache import count_tokens
 from marram.llm.url_filter import DEFAULT, RULES, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +194,86 @@ FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN least ON least.a = e.v
 """
 
 
+def looped_tails(docs: DataFrame) -> DataFrame:
+    """docs, a tenth of them (by the CRC-32 of doc_id, null never) with a tail that repeats its own first words, three times or more."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.withColumn("h", crc).withColumn("ws", F.expr(r"CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) END"))
+    cut = cut.withColumn("n", F.when(F.size("ws") > 0, F.size("ws"))).withColumn("a", F.expr("h div 10 % n")).withColumn("p", F.expr("1 + (n - a) div (3 + h div 10 % 8)"))
+    tail = "array_join(transform(ws, (w, i) -> CASE WHEN i >= a THEN ws[int(a + (i - a) % p)] ELSE w END), ' ')"
+    return cut.select("doc_id", F.expr(f"CASE WHEN n IS NOT NULL THEN {tail} ELSE text END").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: CRC-32 in SQL: a table of 256 remainders, and a fold over the hexadecimal digits of a text in UTF-8.
+_CRC_TABLE = """steps AS (SELECT i AS byte, i::BIGINT AS c, 0 AS n FROM range(256) r(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE n = 8)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(hex(encode({text}))), 2), lambda i: ('0x' || hex(encode({text}))[i:i + 1])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT"""
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, {_crc("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents, crc),
+e AS (SELECT doc_id, ws, h % 10 = 0 AND len(ws) > 0 AS looped, (h // 10) % greatest(len(ws), 1) AS a, len(ws) AS n, h // 10 AS g FROM d),
+w AS (SELECT doc_id, n, i, CASE WHEN looped AND i >= a THEN ws[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))] ELSE ws[1 + i] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isles AS (SELECT doc_id, q, min(i) AS a, max(i) + 1 + q AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same) GROUP BY doc_id, q, isle),
+runs AS (SELECT doc_id, a, b - a AS len, min(q) AS q FROM isles WHERE b - a >= greatest(6, 4 * q) GROUP BY doc_id, a, b),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a + q, a + len)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS c FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || len || ',' || q || chr(10), '' ORDER BY a, q) AS listed, min(struct_pack(l := -len, a := a, q := q)) AS best FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, -best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * -best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(slipped_words(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each_ AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("doc_id || ':' || run")} AS h FROM each_, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cuts AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS w, b.word AS t FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cuts c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word FROM cuts c JOIN v ON v.word = c.rest),
+best AS (SELECT w, count(*) AS n_near, min(struct_pack(m := -v.n, t := t)) AS b FROM near JOIN v ON v.word = t GROUP BY w),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * v.n THEN b.t END AS form, CASE WHEN -b.m >= 2 * v.n THEN -b.m END AS form_n FROM v LEFT JOIN best ON best.w = v.word),
+walk AS (SELECT word, word AS place FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NOT NULL),
+root AS (SELECT walk.word, place AS root FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NULL)
+SELECT f.word, form, root, n::BIGINT AS n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN root USING (word)
+"""
+
+
+#: A document with more tokens than this is over the limit.
+TOKEN_LIMIT = 512
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with a cache of this call's own, so that no run profits from what another one counted."""
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    found = count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, cache)
+    found = materialise(found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")))
+    remove_folder(spark, cache)
+    return found
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -202,6 +286,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_token_counts": op13_token_counts,
     }
 
 
@@ -215,4 +302,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_html_extraction": OP7_SQL,
         "op8_warc": OP8_SQL,
         "op10_embedding_dedup": OP10_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op12_spelling_variants": OP12_SQL,
     }
