@@ -170,11 +170,12 @@ def page_lines(html: str | None) -> list[tuple[str, str]]:
     return parser.lines
 
 
-def shared_lines(a: list, b: list) -> list[int]:
-    """Places in a of a longest common subsequence with b (Hunt and Szymanski)."""
-    places: dict = {}
-    for j, line in enumerate(b):
-        places.setdefault(line, []).append(j)
+#: Lines of b whose places one integer of bits holds.
+BITS = 4096
+
+
+def _by_matches(a: list, b: list, places: dict) -> list[int]:
+    """Places in a of a longest common subsequence, visiting every pair of equal lines: for few such pairs."""
     ends: list[int] = []  # least end in b of a common subsequence by its length
     links: list[tuple] = []
     for i, line in enumerate(a):
@@ -192,6 +193,60 @@ def shared_lines(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
+def _lengths(a: list, b: list) -> list[int]:
+    """The length of the longest common subsequence of a with each start of b, from the empty one on.
+
+    A row of the table is a bit for each line of b, 0 where the length grows; a line of a takes one addition on the row. The
+    row is cut into words of BITS bits, and what an addition carries is kept for the next word."""
+    out, total = [0], 0
+    carries = [0] * len(a)
+    for at in range(0, len(b), BITS):
+        part = b[at : at + BITS]
+        masks: dict = {}
+        for j, line in enumerate(part):
+            masks[line] = masks.get(line, 0) | 1 << j
+        full = (1 << len(part)) - 1
+        row = full
+        for i, line in enumerate(a):
+            hit = row & masks.get(line, 0)
+            added = row + hit + carries[i]
+            carries[i] = added >> len(part)
+            row = (added | (row ^ hit)) & full
+        for bit in reversed(bin(full ^ row | 1 << len(part))[3:]):
+            total += bit == "1"
+            out.append(total)
+    return out
+
+
+def shared_lines(a: list, b: list) -> list[int]:
+    """Places in a of a longest common subsequence with b, in memory linear in their lines.
+
+    Common starts and ends are matched, and lines that only one side has are dropped. What is left is aligned by its pairs of equal lines where
+    these are few; else a is halved, b is cut where the halves' lengths add up to the most, and both are aligned so."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    inner = range(start, len(a) - stop)
+    in_a, in_b = set(a[start : len(a) - stop]), set(b[start : len(b) - stop])
+    where = [i for i in inner if a[i] in in_b]
+    return [*range(start), *(where[k] for k in _align([a[i] for i in where], [x for x in b[start : len(b) - stop] if x in in_a])), *range(len(a) - stop, len(a))]
+
+
+def _align(a: list, b: list) -> list[int]:
+    places: dict = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    if len(a) < 2 or sum(len(places.get(line, ())) for line in a) <= 8 * (len(a) + len(b)):
+        return _by_matches(a, b, places)
+    half = len(a) // 2
+    before, behind = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+    cut = max(range(len(b) + 1), key=lambda j: before[j] + behind[len(b) - j])
+    return [*_align(a[:half], b[:cut]), *(half + k for k in _align(a[half:], b[cut:]))]
+
+
 #: Bytes of a line's fingerprint.
 PRINT = 16
 

@@ -1,13 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads windows of WINDOW bytes from both ends, labels every position and pools the positions' probabilities
-over the document. It is trained on the driver in numpy by backpropagation through time, on the whole texts of a bounded
-sample of labelled rows: at most `per_language` rows of each language, chosen by a hash of id and text. Each training step draws
-windows from anywhere in these texts. Prediction runs in the executors over every window of every text.
+over the document. It is trained on the driver in numpy by backpropagation through time, on a bounded sample of
+labelled rows: at most `per_language` rows of each language, chosen by a hash of id and text, and of each row SNIPPETS
+pieces from anywhere in its text, drawn in the executors. Prediction runs in the executors over every window of every text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.llm.common import broadcast_if_small, extend, materialise
+from marram.llm.common import broadcast_if_small, extend, materialise, prepare
 from marram.llm.words import _offsets
 
 WINDOW = 48
 HIDDEN = 8
 #: Bound of the training sample: rows of a language.
 PER_LANGUAGE = 400
+#: What the driver gets of such a row: so many pieces of so many bytes, from which windows are drawn.
+SNIPPETS = 12
+SNIPPET = 2 * WINDOW
+#: The network has an output for each language; labels of more kinds than this are no languages.
+MOST_LANGUAGES = 1000
 STEPS = 160
 BATCH = 192
 #: What a text without a letter gets.
@@ -212,20 +218,33 @@ def pooled(model: Model, column: pa.Array) -> np.ndarray:
     return total * UNIT / np.maximum(letters, 1)[:, None]
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list:
-    """(lang, text) of the sample: of the labelled rows outside the held-out fifth, repeated ones being one, those with the
-    least hashes."""
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # a hash range wide enough for four times the sample goes into the ranking, so no task ranks a language's every row
-    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count("*")).alias("share"))
-    key = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(10**15))
-    near = labelled.join(broadcast_if_small(materialise(shares)), "lang").where(key < F.col("share") * 10**15)
-    rows = near.select("id", "lang", key.alias("key"), F.sha2("text", 256).alias("print")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", "print"))
-    chosen = materialise(rows.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank"))
-    texts = labelled.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).withColumn("print", F.sha2("text", 256))
-    found = texts.groupBy("id", "lang", "print").agg(F.first("text").alias("text")).join(F.broadcast(chosen), ["id", "lang", "print"])
-    return [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["key"], str(r["id"]), r["print"]))]
+def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, key, print and SNIPPETS pieces of at most SNIPPET bytes from places of the whole text that the row's key draws."""
+    for batch in batches:
+        found = []
+        for key, text in zip(batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+            places = np.random.default_rng(key).random(SNIPPETS) * max(len(text) - WINDOW // 2, 1)
+            found.append([text[p : p + SNIPPET] for p in places.astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.binary()))], ["lang", "key", "print", "snippets"])
+
+
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[bytes]]]:
+    """(lang, snippets) of the sample: of the labelled rows outside the held-out fifth, repeated ones being one, the per_language
+    of each language with the least hashes of id and text. A language with fewer rows gives all it has.
+
+    The driver gets SNIPPETS times SNIPPET bytes of a row, drawn from its whole text in the executors, so at most
+    per_language * SNIPPETS * SNIPPET bytes of a language, however long texts are. More than MOST_LANGUAGES languages are an error."""
+    prepare(docs.sparkSession)
+    print_ = F.sha2(F.col(text_col), 256)
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), print_), F.lit(2**62)).alias("key"), print_.alias("print"), F.col(text_col).alias("text"))
+    # the rank is bounded, so every task keeps the least rows of each language before any are shuffled
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "print"))
+    chosen = materialise(labelled.select("lang", "key", "print").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank"))
+    if chosen.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    texts = labelled.join(broadcast_if_small(chosen), ["lang", "key", "print"], "left_semi").select("lang", "key", "print", "text")
+    found = texts.mapInArrow(_snippets, "lang string, key long, print string, snippets array<binary>").dropDuplicates(["lang", "key", "print"])
+    return [(r["lang"], [bytes(x) for x in r["snippets"]]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["key"], r["print"]))]
 
 
 def held_out(id_col: str):
@@ -235,8 +254,7 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Model | None:
     """A model from the rows that are not held out; None if no such row has a text and a language."""
-    rows = [(lang, text.encode()) for lang, text in training_rows(docs, id_col, text_col, lang_col, per_language)]
-    rows = [(lang, text) for lang, text in rows if _LETTER[np.frombuffer(text, np.uint8)].any()]
+    rows = [(lang, text) for lang, snippets in training_rows(docs, id_col, text_col, lang_col, per_language) for text in snippets if _LETTER[np.frombuffer(text, np.uint8)].any()]
     return train([text for _, text in rows], [lang for lang, _ in rows], steps) if rows else None
 
 

@@ -4,7 +4,8 @@ Method. A document's set is its distinct word 5-shingles, hashed to 64 bits. 128
 signature; 32 bands of 4 minima give its buckets. At a similarity of 0.75 a pair misses all buckets with probability
 (1 - 0.75**4)**32 = 5e-6. Equal sets are one node from the start. Within a bucket,
 
-1. every node is compared with the bucket's least node (a star: as many pairs as members, never all pairs);
+1. every node is compared with the bucket's least node (a star: as many pairs as members, never all pairs), first by the low
+   bytes of their signatures, and by their sets only where these agree often enough;
 2. buckets whose members are then in one component are done. The bucket is the unit of work for those left: its members
    are cut into blocks of bounded size, blocks are paired, and each pair of blocks is one bounded task that compares the
    low bytes of signatures and ties promising pairs of different components. Low bytes may show a common band too many, so
@@ -127,6 +128,19 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _hopeful(percent: int):
+    """Of pairs (a, b, low_a, low_b) those whose low bytes agree as often as the minima of a link must."""
+    least = _agreeing(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3)]
+            keep = pa.array((low[0] == low[1]).sum(1) >= least, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _confirm(percent: int):
     least = _agreeing(percent)
 
@@ -274,6 +288,14 @@ def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return placed.drop("large", "band"), pairs.withColumn("block", F.col("i")).union(pairs.where("i <> j").withColumn("block", F.col("j")))
 
 
+def hopeful_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures allow a link, by their low bytes: chance buckets end here, before any set or
+    whole signature is shuffled. No link is lost, as equal minima have equal low bytes. sets: (node, low)."""
+    low = [sets.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
+    sided = pairs.join(low[0], "a").join(low[1], "b").select("a", "b", "low_a", "low_b")
+    return materialise(sided.mapInArrow(_hopeful(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least id reachable by links), kept (doc_id = component_id).
 
@@ -299,6 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialise(texts.mapInArrow(_sets, "node long, print binary, sign binary, low binary, set binary").dropDuplicates(["node", "print"]).drop("print"))
 
     star = members.where("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct()
+    star = hopeful_pairs(star, sets, percent)
     star = star.join(sets.select(F.col("node").alias("a"), F.col("sign").alias("sign_a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("sign").alias("sign_b"), F.col("set").alias("set_b")), "b")
     links = materialise(star.mapInArrow(_confirm(percent), "a long, b long").distinct())
 

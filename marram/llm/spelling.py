@@ -12,14 +12,20 @@ the reversed words serves the other half; every pair differs first in the second
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from os.path import commonprefix
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marram.llm.common import broadcast_if_small, materialise, prepare, shared_dir
+from marram.llm.common import broadcast_if_small, materialise, prepare, remove_folder, shared_dir
 
 #: The root node; other nodes are named by the least id of a word below them, and their depth.
 ROOT = -1
@@ -30,7 +36,7 @@ STATE = "id long, word string, half int, node long, depth int"
 FOUND = "id long, word string, pos int, node long, depth int, leaf long"
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """The length of the common prefix, in code points."""
     return pd.Series([len(commonprefix(pair)) for pair in zip(a, b)], dtype="int32")
@@ -87,16 +93,19 @@ def _edit(base: str, spark: SparkSession) -> DataFrame:
     return spark.read.schema(FOUND).parquet(f"{base}/found").where("leaf is not null").select("id", "leaf")
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, folder: str | None = None) -> DataFrame:
     """(id, near): ids of different words that differ by exactly one inserted, deleted or replaced code point, in both directions.
 
     words: (id long, word), ids and words unique and not null; no rows give no rows, and the empty word is a word. Memory is bounded
     by words, not by nodes: a node has at most one edge for each character. The number of rounds is the
-    depth of the compressed trie, at most the length of the longest prefix that two words share.
+    depth of the compressed trie, at most the length of the longest prefix that two words share. The tries and states are
+    written below folder, a new one of the shared folder by default, from which the result is read.
     """
     spark = words.sparkSession
     prepare(spark)
-    base = f"{shared_dir(spark)}/spelling-{uuid.uuid4().hex}"
+    base = folder or f"{shared_dir(spark)}/spelling-{uuid.uuid4().hex}"
+    if words.isEmpty():
+        return spark.createDataFrame([], "id long, near long")
     half = F.floor(F.char_length("word") / 2).cast("int")
     _build(words.select("id", "word", half.alias("half")), f"{base}/forward")
     _build(words.select("id", F.reverse("word").alias("word"), (F.char_length("word") - half).alias("half")), f"{base}/backward")
@@ -129,28 +138,60 @@ def spelling_variants(counts: DataFrame, least_length: int = 5, least_count: int
     spark = counts.sparkSession
     kept = counts.where("word is not null and n is not null").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
     kept = kept.where((F.char_length("word") >= least_length) & (F.col("n") >= least_count))
-    path = f"{shared_dir(spark)}/spelling-words-{uuid.uuid4().hex}"
-    kept.select(F.monotonically_increasing_id().alias("id"), "word", "n").write.parquet(path)
-    words = spark.read.schema("id long, word string, n long").parquet(path)
-    near = near_words(words.select("id", "word"))
+    folder = f"{shared_dir(spark)}/spelling-{uuid.uuid4().hex}"
+    kept.select(F.monotonically_increasing_id().alias("id"), "word", "n").write.parquet(f"{folder}/words")
+    words = spark.read.schema("id long, word string, n long").parquet(f"{folder}/words")
+    near = near_words(words.select("id", "word"), folder)
     others = words.select(F.col("id").alias("near"), F.struct((-F.col("n")).alias("minus"), "word", "id").alias("other"))
     best = near.join(others, "near").groupBy("id").agg(F.count("*").alias("n_near"), F.min("other").alias("best"))
     rows = words.join(best, "id", "left")
     is_form = -F.col("best.minus") >= ratio * F.col("n")
     rows = materialise(rows.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best")).alias("form")))
+    remove_folder(spark, folder)
     roots = _roots(rows.where("form is not null").select("id", "form.id"))
-    named = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
+    named = roots.join(rows.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
     return rows.join(named, "id", "left").select("word", F.col("form.word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", "n_near", (-F.col("form.minus")).alias("form_n"))
 
 
+#: Words in lower-cased UTF-8: ASCII letters, and U+00C0 to U+00FF, whose first byte is C3.
+_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+#: Different words that a task counts before it hands them on.
+COUNTED = 1 << 17
+
+
+def _slipped(every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if text is None:
+                    continue
+                start = None if id_ is None else zlib.crc32(f"{id_}:".encode())
+                for word, n in Counter(_RUN.findall(text.lower())).items():  # of bytes, lower() takes A-Z alone
+                    if start is not None and (h := zlib.crc32(word, start)) % every == 0:
+                        letters = word.decode()
+                        at = h % len(letters)
+                        word = (letters[:at] + letters[at + 1 :]).encode()
+                    counts[word] += n
+                if len(counts) > COUNTED:
+                    yield out()
+        yield out()
+
+    return run
+
+
 def slipped_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 97) -> DataFrame:
     """(word, n): how often each word occurs in the whole texts, after slips of the pen that are drawn by a hash.
 
     Words are maximal runs of ASCII letters and U+00C0 to U+00FF, with only A-Z lower-cased. Where `every` divides the CRC-32 of
-    `<id>:<word>`, the code point at that CRC modulo the word's length is deleted; a row without an id has no slips. Null texts have
-    no words."""
-    runs = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("run"))
-    lower = runs.select("id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
-    hashed = lower.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
-    cut = "concat(substring(run, 1, int(h % length(run))), substring(run, int(h % length(run)) + 2))"
-    return hashed.select(F.expr(f"CASE WHEN h % {every} = 0 THEN {cut} ELSE run END").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    `<id>:<word>`, the code point at that CRC modulo the word's length is deleted, which may leave the empty word; a row without an id has no
+    slips. Null texts have no words. A task counts the words of its texts before they are shuffled."""
+    prepare(docs.sparkSession)
+    source = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return source.mapInArrow(_slipped(every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -94,6 +94,19 @@ def test_chance_buckets_cost_no_more_than_themselves(spark):
     assert met == [(1, 1, 2), (3, 1, 2)] * minhash_dedup.BANDS_MET  # in the first bands alone
 
 
+def test_sets_are_fetched_for_hopeful_pairs_only(spark):
+    """Of a star of chance buckets only the pairs whose signatures allow a link go on to where sets are joined."""
+    rng = np.random.default_rng(8)
+    signs = rng.integers(0, 1 << 32, (400, minhash_dedup.HASHES), dtype=np.uint32)
+    signs[1:, :4] = signs[0, :4]  # all share a bucket with node 0
+    signs[1:4] = signs[0]
+    signs[1:4, 100:] += 1  # 100 of 128 minima agree
+    sets = spark.createDataFrame([(i, bytearray(s.astype(np.uint8).tobytes())) for i, s in enumerate(signs)], "node long, low binary")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 400)] * 2, "a long, b long")
+    assert sorted(tuple(r) for r in minhash_dedup.hopeful_pairs(pairs, sets).collect()) == [(1, 0), (2, 0), (3, 0)]
+    assert minhash_dedup.hopeful_pairs(pairs.limit(0), sets).count() == 0
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (2, "A b c d e f", None), (None, None, None)], "doc_id long, text string, Kept string")
     got = sorted(near_duplicates(df).collect(), key=str)

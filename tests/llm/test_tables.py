@@ -3,6 +3,7 @@
 import io
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -198,6 +199,63 @@ def test_longest_common_subsequence():
         assert all(a[i] in rest for i in places)
 
 
+@pytest.mark.parametrize("bits", [3, 4096])
+def test_alignment_of_pages_with_many_equal_lines(monkeypatch, bits):
+    monkeypatch.setattr(html_extraction, "BITS", bits)
+    rnd = random.Random(9)
+    for _ in range(150):
+        a, b = ([rnd.choice("aab") for _ in range(rnd.randint(0, 60))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert html_extraction._lengths(a, b) == table[-1]
+        places, rest = shared_lines(a, b), iter(b)
+        assert len(places) == table[-1][-1] and places == sorted(set(places)) and all(a[i] in rest for i in places)
+
+
+def test_alignment_of_very_many_equal_lines_is_quick():
+    rnd = random.Random(10)
+    n = 30_000
+    same = ["Reply"] * n
+    few = [[rnd.choice(["Reply", "Like", "Share", f"line {rnd.randrange(40_000)}"]) for _ in range(n)] for _ in range(2)]
+    for a, b, least in [(same, ["Top", *same, "End"], n), (["x", *same], [*same, "y"], n), (*few, n // 2)]:
+        began = time.process_time()
+        assert len(shared_lines(a, b)) >= least
+        assert time.process_time() - began < (1 if least == n else 8)
+
+
+def plain_alignment(a, b):
+    """How long a longest common subsequence is, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_given_pages_without_articles_are_told_apart_by_differencing(spark):
+    """The pages' articles become plain blocks, so that nothing but their neighbours tells main text from frame."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("html", F.regexp_replace("html", "(?i)</?(article|main)[^>]*>", "<div></div>")).checkpoint()
+    found = {r.page_id: r for r in extract_text(pages, report=True).collect()}
+    rows = {r.page_id: [x for x in page_lines(r.html)] for r in pages.collect()}
+    assert all(kind != "main" for lines in rows.values() for _, kind in lines)
+    assert sum(r.n_differenced for r in found.values()) > len(found)
+    kept = cut = 0
+    for page_id, lines in rows.items():
+        free = [t for t, kind in lines if kind == "free"]
+        left = found[page_id].text.split("\n") if found[page_id].text else []
+        rest = iter(free)
+        assert all(x in rest for x in left)  # in page order, nothing added
+        kept, cut = kept + len(left), cut + len(free) - len(left)
+        if found[page_id].n_differenced:
+            others = [[t for t, _ in x] for i, x in rows.items() if i != page_id]
+            # what went is as long as the alignment with one of the other pages
+            assert any(plain_alignment([t for t, _ in lines], other) == found[page_id].n_differenced for other in others)
+    assert kept > cut > 0
+
+
 def test_lines_keep_kinds():
     kinds = {t: k for t, k in page_lines(PAGE)}
     assert kinds["Head line"] == "main" and kinds["Nice!"] == kinds["Site"] == kinds["© me"] == "frame"

@@ -325,11 +325,29 @@ def test_training_sample_is_bounded(spark):
     rows = [(1, f"the same row of {'x' * 300}", "en")] * 400 + [(1, f"text {i} of one id", "en") for i in range(50)] + [(i, f"row {i}", "en") for i in range(2, 100)] + [(i, f"zeile {i}", "de") for i in range(2, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = language_id.training_rows(docs, "doc_id", "text", "lang", 40)
-    assert sum(lang == "en" for lang, _ in found) <= 40 and len(set(found)) == len(found)
-    assert {text for lang, text in found if lang == "de"} == {f"zeile {i}" for i in range(2, 9) if zlib.crc32(str(i).encode()) % 5}
+    assert sum(lang == "en" for lang, _ in found) == 40
+    assert {snippets[0][-1:] for lang, snippets in found if lang == "de"} == {str(i).encode() for i in range(2, 9) if zlib.crc32(str(i).encode()) % 5}
     assert found == language_id.training_rows(docs.repartition(3), "doc_id", "text", "lang", 40)
 
 
+def test_no_language_is_dropped_from_the_sample(spark):
+    """All rows of a language may share an id; long texts send no more to the driver than short ones."""
+    rows = [(9005, f"texte numéro {i} " + "mot " * 400, "fr") for i in range(6000)] + [(i, f"row {i}", "en") for i in range(600)] + [(9006, "ein einziger Satz", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.training_rows(docs, "doc_id", "text", "lang", 400)
+    assert {x: sum(lang == x for lang, _ in found) for x in ("fr", "en", "de")} == {"fr": 400, "en": 400, "de": 1}
+    assert all(len(snippets) == language_id.SNIPPETS and max(map(len, snippets)) <= language_id.SNIPPET for _, snippets in found)
+    assert language_id.fit(docs, steps=2).languages == ["de", "en", "fr"]
+    plan = docs.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.get().getConfString("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    assert int(plan) >= language_id.PER_LANGUAGE
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(9)], "doc_id long, text string, lang string"))
+
+
 def test_held_out_null_id(spark):
     assert spark.range(1).select(language_id.held_out("id").alias("x")).count() == 1
     assert spark.createDataFrame([(None,)], "id long").select(language_id.held_out("id").alias("x")).first().x is True
