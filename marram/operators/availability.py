@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marram.functions.constants import BOOKING_TRANSITIONS, HOLD_MINUTES
 from marram.functions.dates import each_night, hold_expiry
+from marram.operators.intervals import overlap_totals
 
 
 def latest_night_state(nights: DataFrame) -> DataFrame:
@@ -22,11 +23,17 @@ def active_holds(holds: DataFrame, now: Column) -> DataFrame:
 
 
 def stay_conflicts(stays: DataFrame, others: DataFrame, other_id: str, name: str) -> DataFrame:
-    """(stay_id, name): how many of the others (unit_id, check_in, check_out) overlap each stay on its unit; stays without
-    any have no row. Nights make the range join an equi-join on unit and night; the ids of a pair meet once for each."""
-    mine = stays.select("stay_id", "unit_id", F.explode(each_night("check_in", "check_out")).alias("night"))
-    theirs = others.select(F.col(other_id).alias("other_id"), "unit_id", F.explode(each_night("check_in", "check_out")).alias("night"))
-    return mine.join(theirs, ["unit_id", "night"]).where(F.col("stay_id") != F.col("other_id")).groupBy("stay_id").agg(F.count_distinct("other_id").alias(name))
+    """(stay_id, name): how many of the others (unit_id, check_in, check_out), a stay of the same id not among them, overlap each stay
+    on its unit; stays without any have no row. Repeated rows of the others count once, an id has one stay.
+
+    The counts come from a sweep over each unit's days; no stay meets another one as a row, but for its own id."""
+    theirs = others.select(F.col(other_id).alias("id"), F.col("unit_id").alias("key"), F.col("check_in").alias("begin"), F.col("check_out").alias("end")).distinct()
+    mine = stays.select(F.col("stay_id").alias("id"), F.col("unit_id").alias("key"), F.col("check_in").alias("begin"), F.col("check_out").alias("end"))
+    found = overlap_totals(mine, theirs).select(F.col("id").alias("stay_id"), "n")
+    same = mine.alias("m").join(theirs.alias("t"), F.col("m.id").cast("string") == F.col("t.id").cast("string")).where("m.key = t.key and m.begin < t.end and t.begin < m.end and m.begin < m.end and t.begin < t.end")
+    own = same.groupBy(F.col("m.id").alias("stay_id")).agg(F.count("*").alias("own"))
+    counted = found.join(own, "stay_id", "left").select("stay_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias(name))
+    return counted.where(F.col(name) > 0)
 
 
 def check_availability(stays: DataFrame, calendar: DataFrame, holds: DataFrame, bookings: DataFrame, now: Column, allow_on_request: bool = False) -> DataFrame:

@@ -26,6 +26,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that are worth a task.
+ROWS_PER_TASK = 100_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most about so many rows, in no more tasks than these are worth: else a round over few rows is mostly empty files."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(most, rows // ROWS_PER_TASK + 1)))
+
+
 def star_edges(keys: DataFrame) -> DataFrame:
     """(a, b, key): from the least member of each shared key to the others; linear in the members of a key.
 
@@ -42,13 +52,15 @@ def min_label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     label changes; it is an error, never a partial result, if max_rounds are not enough."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = checkpointed(both)
-    labels = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    n = both.count()
+    both = few_tasks(both, n)
+    labels = checkpointed(few_tasks(both.select(F.col("a").alias("node")).distinct(), n).withColumn("component", F.col("node")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = lower.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component"))
-        new = checkpointed(new)
+        new = checkpointed(few_tasks(new, n))
         labels = new.select("node", "component")
         if new.where("component <> old").isEmpty():
             return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from marram.functions.constants import TIER_ONE_STATES
 from marram.functions.money import int_div
 from marram.functions.web import best_channel
+from marram.operators.order import with_rank
 
 
-def merge_leads(leads: DataFrame, seq: str = "seq", with_rates: bool = True) -> DataFrame:
+def merge_leads(leads: DataFrame, seq: str = "seq", with_rates: bool = False) -> DataFrame:
     """One lead for each id: counts summed, systems collected in order, the first contact of each kind that any row has, the
     earliest contact made, the latest retention; other facts from the first row; rate_count and lowest_rate of its rates.
 
-    with_rates also collects observed_rates in order, an array of every rate of an id. Without it no array grows with the
-    rows of an id, and lead_rates has the rates as rows."""
+    lead_rates has the rates as rows, so no array grows with the rows of an id; with_rates also collects them in order, as
+    observed_rates."""
     contact = lambda f: F.min_by(F.col(f"contact.{f}"), F.when(F.coalesce(F.col(f"contact.{f}") != "", F.lit(False)), F.col(seq))).alias(f)
     first = lambda c: F.min_by(c, seq).alias(c)
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("observed_rates").alias("v")))), lambda x: x["v"]))
@@ -45,9 +46,15 @@ def median_rates(rates: DataFrame, keys: list[str], rate_col: str = "rate") -> D
     return counted.groupBy(*keys).agg(F.floor(F.percentile(rate_col, 0.5, F.col("n")) + 0.5).cast("long").alias("median_kobo"), F.sum("n").alias("sample_size"))
 
 
-def market_benchmark(leads: DataFrame) -> DataFrame:
-    """(state_code, area, median_kobo, sample_size) of the leads' observed rates."""
-    return median_rates(leads.select("state_code", "area", F.explode("observed_rates").alias("rate")), ["state_code", "area"])
+def market_benchmark(leads: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """(state_code, area, median_kobo, sample_size) of all rates observed by the leads of an area, not of the lowest of each.
+
+    rates: (component, rate), for leads that bear a component; else the leads' own arrays are taken."""
+    if rates is None:
+        rows = leads.select("state_code", "area", F.explode("observed_rates").alias("rate"))
+    else:
+        rows = rates.join(leads.select("component", "state_code", "area"), "component")
+    return median_rates(rows, ["state_code", "area"])
 
 
 def rate_position_bps(low: Column | str, median: Column | str) -> Column:
@@ -64,7 +71,7 @@ def assess_leads(leads: DataFrame, benchmarks: DataFrame, now: Column) -> DataFr
     channel = best_channel(f"{c}phone", f"{c}instagram", f"{c}email", f"{c}website")
     has = lambda f: F.coalesce(F.col(f) != "", F.lit(False))
     blocked = F.when(F.col("retain_until") <= now, "RETENTION_EXPIRED").when(channel == "NONE", "NO_CONTACT_CHANNEL")
-    lowest = F.array_min("observed_rates").cast("long")
+    lowest = (F.array_min("observed_rates") if "observed_rates" in leads.columns else F.col("lowest_rate")).cast("long")
     rows = rows.withColumns({"channel": channel, "blocked_reason": blocked, "lowest_rate": F.when(blocked.isNull(), lowest)})
     rows = rows.withColumn("rate_position_bps", rate_position_bps("lowest_rate", "median_kobo"))
     n, position = F.col("listing_count"), F.col("rate_position_bps")
@@ -83,6 +90,15 @@ def assess_leads(leads: DataFrame, benchmarks: DataFrame, now: Column) -> DataFr
     return rows.withColumn("tier", F.when(F.col("score") >= 70, "A").when(F.col("score") >= 45, "B").otherwise("C")).drop("median_kobo")
 
 
+def _call_order() -> list[Column]:
+    return [F.desc("score"), F.desc("listing_count"), F.col("id")]
+
+
 def call_list(assessed: DataFrame) -> DataFrame:
     """Leads that aren't blocked, the best first: by score, then by listings, then by id."""
-    return assessed.where("blocked_reason is null").orderBy(F.desc("score"), F.desc("listing_count"), "id")
+    return assessed.where("blocked_reason is null").orderBy(*_call_order())
+
+
+def ranked_calls(assessed: DataFrame) -> DataFrame:
+    """The call list with rank from 1 on; leads of one id go by component."""
+    return with_rank(assessed.where("blocked_reason is null"), *_call_order(), F.col("component"))

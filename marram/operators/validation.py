@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from marram.functions.constants import NEVER_PUBLISHED, PUBLISHABLE_FIELDS
 from marram.functions.text import blank_to_null
 from marram.functions.web import absolute_http, authority, url_path
 from marram.operators.extraction import BRAND_TOKENS
+from marram.package import ship
 
 # What a record may hold besides publishable facts, and what it never holds.
 ALLOWED_FIELDS = sorted({*PUBLISHABLE_FIELDS, *NEVER_PUBLISHED, "seq", "operator_hint", "price_basis", "source_listing_id"})
@@ -159,6 +164,27 @@ def photo_verdicts(signals: DataFrame, limit: int = 6) -> DataFrame:
     return judged.withColumn("reason", F.when(F.col("reason").isNull() & (rank > limit), "enough photographs").otherwise(F.col("reason"))).withColumn("kept", F.col("reason").isNull())
 
 
+def score_photos(signals: DataFrame, features: list[str], load: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """signals with model_score, from a model over the features; null where a feature is.
+
+    load() runs once in each Python worker's task and gives model(rows x features) -> scores, which is called for a batch of rows at a
+    time. load is sent to the executors, so it should name a file that they reach, or hold a small model. A column model_score gives way."""
+    ship(signals.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            rows = np.column_stack([x.to_numpy(dtype=float, na_value=np.nan) for x in batch])
+            whole = ~np.isnan(rows).any(axis=1)
+            out = np.full(len(rows), np.nan)
+            if whole.any():
+                out[whole] = model(rows[whole])
+            yield pd.Series(out).astype(object).where(whole, None)
+
+    return signals.withColumn("model_score", score(*[F.col(c).cast("double") for c in features]))
+
+
 def bookable_rates(rates: DataFrame) -> DataFrame:
     """rates (kind, amount_kobo) with reason: only a partner's own positive rate can be booked."""
     return rates.withColumn("reason", F.when(F.coalesce(F.col("kind") != "PARTNER_RATE", F.lit(True)), "not a partner's rate").when(F.coalesce(F.col("amount_kobo") <= 0, F.lit(True)), "no positive amount"))

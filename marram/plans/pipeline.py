@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.text import stable_id
-from marram.operators.entities import funnel, operator_profiles, profiles_to_leads, resolve_operators
+from marram.operators.entities import funnel, observed_rates, operator_profiles, profiles_to_leads, resolve_operators
 from marram.operators.extraction import extract_listings
 from marram.operators.graph import checkpointed
 from marram.operators.history import change_summary, detect_changes, listing_history
@@ -46,12 +46,12 @@ def run_listings(listings: DataFrame, ledger: DataFrame, day: str, attribution:
     listings = checkpointed(listings)
     accepted, rejected = validate_listings(listings)
     resolved = checkpointed(resolve_operators(accepted))
-    profiles = operator_profiles(resolved)
+    profiles = checkpointed(operator_profiles(resolved, with_lists=False))
     current = accepted.select("source", "source_listing_id", F.lit(day).cast("date").alias("observed_on"), "advertised_price", "seq")
     current = listing_history(current)
     changes = detect_changes(ledger, current, day)
     leads = profiles_to_leads(profiles, f"{day} 00:00:00")
-    assessed = assess_leads(leads, market_benchmark(leads), F.lit(f"{day} 00:00:00").cast("timestamp"))
+    assessed = assess_leads(leads, market_benchmark(leads, observed_rates(resolved)), F.lit(f"{day} 00:00:00").cast("timestamp"))
     return Run(
         listings=accepted.withColumn("listing_pk", stable_id("listing", "source", "source_listing_id")), rejected=rejected, report=ingest_report(listings), profiles=profiles, funnel=funnel(accepted, profiles), changes=changes,
         summary=change_summary(changes), ledger=upsert_observations(ledger, current), leads=leads, calls=call_list(assessed), directory=build_directory(accepted, day, attribution),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from marram.functions import dates, geo, money, text, web
 from marram.functions.constants import FEE_POLICIES, LEGAL_SUFFIXES, OCCUPYING_STATUSES, PRICE_BANDS
-from marram.operators import availability, entities, extraction, history, leads, pricing, publish, reports, search, upserts, validation
-from marram.operators.graph import checkpoint_folder
+from marram.operators import availability, entities, extraction, history, intervals, leads, pricing, publish, reports, search, upserts, validation
+from marram.operators.graph import checkpoint_folder, checkpointed
 from marram.plans.pipeline import run_listings
 from marram.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marram.plans.views import table, view, with_views
@@ -290,7 +290,7 @@ reach AS (SELECT seq AS a, seq AS b FROM fx_listings UNION SELECT r.a, e.y FROM
 
 def _full_listings(spark, sf_dir):
     x = view(spark, sf_dir, "fx_listings")
-    missing = ["email", "instagram", "pms_detected", "availability_hint_url"]
+    missing = ["email", "instagram", "pms_detected", "availability_hint_url", "source_url"]
     return x.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
 
 
@@ -385,13 +385,13 @@ def stay_dates(spark, sf_dir):
 
 @query(
     "email_functions",
-    """SELECT email, count(*) AS documents, bool_or(NOT regexp_matches(split_part(email, '@', 2), '(gmail|yahoo|hotmail|outlook|icloud)\\.')) AS business
-    FROM (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[a-z]{2,}', 0)) AS email FROM documents) WHERE email <> '' GROUP BY 1""",
+    r"""SELECT email, count(*) AS documents, bool_or(NOT regexp_matches(split_part(email, '@', 2), '(?i)^[a-z0-9.-]*\.(?:gmail|yahoo|hotmail|outlook|icloud)\.')) AS business FROM (
+      SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS email FROM documents)) GROUP BY 1""",
 )
 def email_functions(spark, sf_dir):
-    email = F.lower(F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", 0))
-    free = F.split_part("email", F.lit("@"), F.lit(2)).rlike(r"(gmail|yahoo|hotmail|outlook|icloud)\.")
-    return table(spark, sf_dir, "documents").select(email.alias("email")).where("email <> ''").groupBy("email").agg(F.count("*").alias("documents"), F.bool_or(~free).alias("business"))
+    """Every address of every whole text, and whether it is a business's."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)))).alias("email"))
+    return found.groupBy("email").agg(F.count("*").alias("documents"), F.bool_or(extraction.is_business_email("email")).alias("business"))
 
 
 # ---- prices -------------------------------------------------------------------------------------------------------
@@ -541,6 +541,12 @@ def overlap_counts(spark, sf_dir):
     return availability.overlap_counts(view(spark, sf_dir, "fx_stays"))
 
 
+@query("overlapping_stays", "SELECT a.stay_id AS left_id, b.stay_id AS right_id FROM fx_stays a JOIN fx_stays b ON a.unit_id = b.unit_id AND a.check_in < b.check_out AND b.check_in < a.check_out AND a.stay_id < b.stay_id")
+def overlapping_stays(spark, sf_dir):
+    stays = view(spark, sf_dir, "fx_stays").select(F.col("stay_id").alias("id"), F.col("unit_id").alias("key"), F.col("check_in").alias("begin"), F.col("check_out").alias("end"))
+    return intervals.overlapping_pairs(stays, stays).where("left_id < right_id")
+
+
 _STATUSES = {"F": "CONFIRMED", "O": "HELD", "P": "CANCELLED"}
 
 
@@ -590,46 +596,92 @@ def transition_audit(spark, sf_dir):
 
 
 def _leads(spark, sf_dir):
-    profiles = entities.operator_profiles(entities.resolve_operators(_full_listings(spark, sf_dir)))
-    return entities.profiles_to_leads(profiles, "2024-01-01 00:00:00")
+    """Leads, and the rates that they observed."""
+    resolved = checkpointed(entities.resolve_operators(_full_listings(spark, sf_dir)))
+    return entities.profiles_to_leads(entities.operator_profiles(resolved, with_lists=False), "2024-01-01 00:00:00"), entities.observed_rates(resolved)
+
+
+def _assessed(spark, sf_dir):
+    found, rates = _leads(spark, sf_dir)
+    found = checkpointed(found)
+    return leads.assess_leads(found, leads.market_benchmark(found, rates), F.lit(NOW).cast("timestamp"))
 
 
 @query(
-    "market_benchmark",
+    "median_rates",
     """SELECT state AS state_code, area, CAST(floor(quantile_cont(advertised_price, 0.5) + 0.5) AS BIGINT) AS median_kobo, count(*) AS sample_size FROM fx_listings WHERE advertised_price > 0 GROUP BY 1, 2""",
 )
-def market_benchmark(spark, sf_dir):
+def median_rates(spark, sf_dir):
     x = view(spark, sf_dir, "fx_listings").withColumnsRenamed({"state": "state_code", "advertised_price": "rate"})
     return leads.median_rates(x, ["state_code", "area"])
 
 
+# a lead's rates are the distinct prices of its listings; an area's median is over all rates of all its leads
 _LEADS = f"""{_COMPONENTS}, m AS (SELECT l.*, c.component, {_AREA} AS canonical FROM fx_listings l JOIN comp c USING (seq)),
-lead AS (SELECT component, count(*) AS n, min(advertised_price) AS low, first(state ORDER BY seq) AS state_code, first(canonical ORDER BY seq) AS area, count(phone) AS phones, count(website) AS sites FROM m GROUP BY 1),
-bench AS (SELECT state_code, area, CAST(floor(quantile_cont(low, 0.5) + 0.5) AS BIGINT) AS median FROM lead WHERE low > 0 GROUP BY 1, 2),
+lead AS (SELECT component, count(*) AS n, min(advertised_price) AS low, first(state ORDER BY seq) AS state_code, first(canonical ORDER BY seq) AS area, count(phone) AS phones, count(website) AS sites,
+  coalesce(first(operator_name ORDER BY length(operator_name) DESC, seq) FILTER (operator_name IS NOT NULL), first(property_name ORDER BY seq)) AS display_name FROM m GROUP BY 1),
+rate AS (SELECT DISTINCT component, advertised_price AS rate FROM m WHERE advertised_price > 0),
+bench AS (SELECT state_code, area, CAST(floor(quantile_cont(rate, 0.5) + 0.5) AS BIGINT) AS median, count(*) AS sample_size FROM rate JOIN lead USING (component) GROUP BY 1, 2),
 pos AS (SELECT lead.*, {_divided('(low - median) * 20000 + median', '2 * median')} AS position FROM lead LEFT JOIN bench USING (state_code, area)),
 score AS (SELECT *, phones = 0 AND sites = 0 AS blocked, CASE WHEN n >= 10 THEN 30 WHEN n >= 4 THEN 22 WHEN n >= 2 THEN 12 ELSE 4 END + CASE WHEN sites > 0 THEN 10 ELSE 0 END + CASE WHEN state_code IN ('LA', 'FC') THEN 10 ELSE 0 END
-  + CASE WHEN position IS NULL THEN 0 WHEN position <= -2000 THEN 15 WHEN position >= 2500 THEN 10 ELSE 6 END AS points FROM pos)"""
+  + CASE WHEN position IS NULL THEN 0 WHEN position <= -2000 THEN 15 WHEN position >= 2500 THEN 10 ELSE 6 END AS points,
+  concat(lower(state_code), ':', replace(lower(area), ' ', '-'), ':', replace({_name('display_name')}, ' ', '-')) AS id FROM pos)"""
+
+
+@query("market_benchmark", f"WITH RECURSIVE {_LEADS} SELECT state_code, area, median AS median_kobo, sample_size FROM bench")
+def market_benchmark(spark, sf_dir):
+    found, rates = _leads(spark, sf_dir)
+    return leads.market_benchmark(found, rates)
+
+
+@query("lead_rates", f"WITH RECURSIVE {_LEADS} SELECT component, string_agg(rate, '|' ORDER BY rate) AS rates, any_value(low) AS lowest_rate FROM lead JOIN rate USING (component) GROUP BY 1")
+def lead_rates(spark, sf_dir):
+    resolved = checkpointed(entities.resolve_operators(_full_listings(spark, sf_dir)))
+    found = entities.profiles_to_leads(entities.operator_profiles(resolved, with_lists=False), "2024-01-01 00:00:00", entities.observed_rates(resolved))
+    return found.where("size(observed_rates) > 0").select("component", F.array_join(F.col("observed_rates").cast("array<string>"), "|").alias("rates"), "lowest_rate")
 
 
 @query(
     "assess_leads",
-    f"""WITH RECURSIVE {_LEADS} SELECT CASE WHEN blocked THEN 0 ELSE points END AS score, CASE WHEN blocked THEN 'NO_CONTACT_CHANNEL' END AS blocked_reason, CASE WHEN phones > 0 THEN 'PHONE' WHEN sites > 0 THEN 'EMAIL' ELSE 'NONE' END AS channel,
-    count(*) AS leads, sum(n)::BIGINT AS listings, sum(CASE WHEN NOT blocked THEN position END)::BIGINT AS positions FROM score GROUP BY 1, 2, 3""",
+    f"""WITH RECURSIVE {_LEADS} SELECT component, CASE WHEN blocked THEN 0 ELSE points END AS score, CASE WHEN blocked THEN 'NO_CONTACT_CHANNEL' END AS blocked_reason, CASE WHEN phones > 0 THEN 'PHONE' WHEN sites > 0 THEN 'EMAIL' ELSE 'NONE' END AS channel,
+    n AS listing_count, CASE WHEN NOT blocked THEN position END AS rate_position_bps, CASE WHEN blocked OR points < 45 THEN 'C' WHEN points < 70 THEN 'B' ELSE 'A' END AS tier FROM score""",
 )
 def assess_leads(spark, sf_dir):
-    found = _leads(spark, sf_dir)
-    assessed = leads.assess_leads(found, leads.market_benchmark(found), F.lit(NOW).cast("timestamp"))
-    return assessed.groupBy("score", "blocked_reason", "channel").agg(F.count("*").alias("leads"), F.sum("listing_count").alias("listings"), F.sum("rate_position_bps").alias("positions"))
+    return _assessed(spark, sf_dir).select("component", "score", "blocked_reason", "channel", F.col("listing_count").cast("long").alias("listing_count"), "rate_position_bps", "tier")
+
+
+@query("call_list", f"WITH RECURSIVE {_LEADS} SELECT component, points AS score, row_number() OVER (ORDER BY points DESC, n DESC, id, component) AS rank FROM score WHERE NOT blocked")
+def call_list(spark, sf_dir):
+    return leads.ranked_calls(_assessed(spark, sf_dir)).select("component", "score", "rank")
+
+
+@query("ranked_profiles", f"WITH RECURSIVE {_COMPONENTS} SELECT component, count(*) AS listing_count, row_number() OVER (ORDER BY count(*) DESC, component) AS rank FROM comp GROUP BY component")
+def ranked_profiles(spark, sf_dir):
+    profiles = entities.operator_profiles(entities.resolve_operators(_full_listings(spark, sf_dir)), with_lists=False)
+    return entities.ranked_profiles(profiles).select("component", "listing_count", "rank")
 
 
 @query(
-    "call_list",
-    f"""WITH RECURSIVE {_LEADS} SELECT count(*) AS leads, min(points) AS least, max(points) AS most FROM score WHERE NOT blocked""",
+    "profile_values",
+    f"""WITH RECURSIVE {_COMPONENTS}, m AS (SELECT l.*, c.component FROM fx_listings l JOIN comp c USING (seq))
+    SELECT component, field, value, min(seq) AS seq FROM (SELECT component, seq, 'phones' AS field, '+234' || substr(phone, 2) AS value FROM m UNION ALL SELECT component, seq, 'websites', website FROM m UNION ALL SELECT component, seq, 'states', state FROM m
+      UNION ALL SELECT component, seq, 'areas', {_AREA} FROM m UNION ALL SELECT component, seq, 'sources', source FROM m UNION ALL SELECT component, seq, 'property_types', property_type FROM m) WHERE value <> '' GROUP BY 1, 2, 3""",
 )
-def call_list(spark, sf_dir):
-    found = _leads(spark, sf_dir)
-    ranked = leads.call_list(leads.assess_leads(found, leads.market_benchmark(found), F.lit(NOW).cast("timestamp")))
-    return ranked.agg(F.count("*").alias("leads"), F.min("score").alias("least"), F.max("score").alias("most"))
+def profile_values(spark, sf_dir):
+    return entities.profile_values(entities.resolve_operators(_full_listings(spark, sf_dir)))
+
+
+@query(
+    "profile_evidence",
+    f"""WITH RECURSIVE {_COMPONENTS}, s AS (SELECT k, seq, min(seq) OVER (PARTITION BY k) AS a FROM keys),
+    e AS (SELECT *, row_number() OVER (ORDER BY weak, a, place, value, b) AS o FROM (SELECT DISTINCT k LIKE 'name:%' AS weak, split_part(k, ':', 1) AS signal, CASE split_part(k, ':', 1) WHEN 'phone' THEN 1 WHEN 'domain' THEN 3 ELSE 4 END AS place,
+      substr(k, strpos(k, ':') + 1) AS value, a, seq AS b FROM s WHERE seq <> a)),
+    -- an edge joins two sets unless earlier edges lead from one of its ends to the other
+    walk AS (SELECT o, a AS at FROM e UNION SELECT w.o, CASE WHEN f.a = w.at THEN f.b ELSE f.a END FROM walk w JOIN e f ON f.o < w.o AND (f.a = w.at OR f.b = w.at))
+    SELECT component, CASE WHEN weak THEN 'WEAK' ELSE 'STRONG' END AS kind, signal, value, a, b FROM e JOIN comp ON comp.seq = e.a WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.o = e.o AND w.at = e.b)""",
+)
+def profile_evidence(spark, sf_dir):
+    return entities.profile_evidence(checkpointed(entities.resolve_operators(_full_listings(spark, sf_dir))))
 
 
 @query(
@@ -774,25 +826,47 @@ def place_rows(spark, sf_dir):
     return x.select(F.concat_ws(":", "source", "source_listing_id").alias("id"), publish.place_descriptor("bedrooms", "property_type").alias("descriptor"), publish.place_location("area", "city", "state").alias("location"))
 
 
-@query(
-    "search_batch",
-    f"""WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS q_state, CAST(6350 + s_suppkey % 200 AS DOUBLE) / 1000 AS q_lat,
+_BATCH = f"""q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 5 WHEN 0 THEN 'LA' WHEN 1 THEN 'FC' WHEN 2 THEN 'OY' WHEN 3 THEN 'IM' ELSE 'AK' END AS q_state, CAST(6350 + s_suppkey % 200 AS DOUBLE) / 1000 AS q_lat,
       CAST(3400 + s_suppkey % 173 AS DOUBLE) / 1000 AS q_lng, CASE WHEN s_suppkey % 2 = 0 THEN 5.0 END AS q_radius, 2 + s_suppkey % 3 AS q_guests FROM supplier),
-    m AS (SELECT query_id, unit_id FROM q JOIN fx_units u ON state = q_state AND max_guests >= q_guests AND min_nights <= 3 AND max_nights >= 3 AND partner_id IN (SELECT s_suppkey FROM supplier)
-      WHERE q_radius IS NULL OR ({_BOX} AND {_KM} <= q_radius))
-    SELECT query_id, count(*) AS results, min(unit_id) AS least_unit FROM m GROUP BY 1""",
-)
-def search_batch(spark, sf_dir):
+    m AS (SELECT query_id, unit_id, nightly_rate_kobo, cleaning_fee_kobo, state, 3 AS nights, CASE WHEN q_radius IS NOT NULL THEN {_KM} END AS distance_km FROM q JOIN fx_units u ON state = q_state AND max_guests >= q_guests AND min_nights <= 3 AND max_nights >= 3
+      AND partner_id IN (SELECT s_suppkey FROM supplier) WHERE q_radius IS NULL OR ({_BOX} AND {_KM} <= q_radius))"""
+_BATCH_FOUND = f"WITH {_BATCH} SELECT query_id, count(*) AS results, min(unit_id) AS least_unit FROM m GROUP BY 1"
+
+
+def _batch(spark, sf_dir):
+    """Units, partners, policies and a query for each supplier, half of them with a radius."""
     k = F.col("s_suppkey")
     state = F.element_at(F.array(*[F.lit(s) for s in ("LA", "FC", "OY", "IM", "AK")]), (k % 5 + 1).cast("int"))
     queries_ = table(spark, sf_dir, "supplier").select(
         k.alias("query_id"), state.alias("q_state"), F.lit(None).cast("string").alias("q_area"), (2 + k % 3).cast("int").alias("q_guests"), F.lit(0).alias("q_bedrooms"), ((6350 + k % 200).cast("double") / 1000).alias("q_lat"),
         ((3400 + k % 173).cast("double") / 1000).alias("q_lng"), F.when(k % 2 == 0, 5.0).alias("q_radius"), F.lit(3).alias("nights"),
     )
-    found = search.search_batch(_units(spark, sf_dir), _partners(spark, sf_dir), pricing.default_fee_policies(spark), queries_, with_excluded=False)
+    return _units(spark, sf_dir), _partners(spark, sf_dir), pricing.default_fee_policies(spark), queries_
+
+
+@query("search_batch", _BATCH_FOUND)
+def search_batch(spark, sf_dir):
+    return search.search_batch_facets(*_batch(spark, sf_dir)).select("query_id", "results", "least_unit")
+
+
+@query("search_batch_rows", _BATCH_FOUND)
+def search_batch_rows(spark, sf_dir):
+    """The same counted from the rows of every result."""
+    found = search.search_batch(*_batch(spark, sf_dir), with_excluded=False)
     return found.where(F.size("reasons") == 0).groupBy("query_id").agg(F.count("*").alias("results"), F.min("unit_id").alias("least_unit"))
 
 
+@query(
+    "search_batch_top",
+    f"""WITH {_BATCH}, {_quote_sql('m', 'query_id, unit_id, distance_km', 'nightly_rate_kobo', 'nights')}, t AS (SELECT query_id, unit_id, distance_km, (room - discount + fee + vat_kobo)::BIGINT + cleaning_fee_kobo AS total_kobo FROM q4 JOIN fx_units USING (unit_id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY total_kobo, unit_id) AS rank, unit_id, total_kobo, CAST(floor(distance_km * 1000) AS BIGINT) AS metres FROM t QUALIFY rank <= 10""",
+)
+def search_batch_top(spark, sf_dir):
+    """The ten cheapest results of each query."""
+    found = search.search_batch_top(*_batch(spark, sf_dir), limit=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "unit_id", "total_kobo", F.floor(F.col("distance_km") * 1000).alias("metres"))
+
+
 @query(
     "run_pipeline",
     f"""WITH l AS (SELECT source, source_listing_id, advertised_price AS p FROM fx_listings), k AS (SELECT source, source_listing_id, CASE WHEN seq % 2 = 0 THEN advertised_price ELSE advertised_price + 100 END AS p FROM fx_listings WHERE seq % 10 <> 0)
@@ -823,7 +897,7 @@ def run_pipeline_parts(spark, sf_dir):
     run = run_listings(x, before, TODAY, "by the source")
     totals = {
         "listings": F.sum("advertised_price"), "rejected": F.count("*"), "report": F.sum("rows"), "profiles": F.sum("listing_count"), "funnel": F.sum("operators"), "changes": F.sum("advertised_price"), "ledger": F.sum("advertised_price"),
-        "leads": F.sum(F.array_min("observed_rates")), "calls": F.sum("score"), "directory": F.count_if(F.col("contact_route.kind") != "NONE"),
+        "leads": F.sum("lowest_rate"), "calls": F.sum("score"), "directory": F.count_if(F.col("contact_route.kind") != "NONE"),
     }
     parts = [getattr(run, name).agg(F.count("*").alias("rows"), total.cast("long").alias("total")).select(F.lit(name).alias("part"), "rows", "total") for name, total in totals.items()]
     return reduce(DataFrame.union, parts)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions import dates, money, web
 from marram.functions.text import stable_id
 from marram.operators import availability, history, publish, reports, search, upserts, validation
-from marram.operators.graph import checkpoint_folder
+from marram.operators.graph import checkpoint_folder, checkpointed
 from marram.plans import queries as base
 from marram.plans.registry import query
 from marram.plans.views import table, view
-from marram.sources import crawl, feeds
+from marram.sources import connectors, crawl, feeds, files
 from marram.streaming import ledger
 
 NOW, TODAY = base.NOW, base.TODAY
@@ -167,6 +169,27 @@ def photo_verdicts(spark, sf_dir):
     return validation.photo_verdicts(view(spark, sf_dir, "fx_photos")).select("listing_id", "pos", "reason", "kept")
 
 
+#: A small logistic model of a photograph's spreads.
+_WEIGHTS, _BIAS = (-0.11, 0.17), -0.6
+
+
+def _load_model():
+    weights = np.array(_WEIGHTS)
+    return lambda rows: 1 / (1 + np.exp(-(rows @ weights + _BIAS)))
+
+
+@query(
+    "photo_verdicts_by_model",
+    f"""WITH p AS (SELECT listing_id, pos, decoded, whole_spread, centre_spread, whole_spread * {_WEIGHTS[0]} + centre_spread * {_WEIGHTS[1]} + {_BIAS} AS x FROM fx_photos),
+    j AS (SELECT *, CASE WHEN decoded IS NOT TRUE THEN 'could not be read' WHEN x >= 0 THEN 'model sees a mark' WHEN x IS NULL AND (whole_spread = 0 OR centre_spread / whole_spread >= 0.6) THEN 'centre may hold a mark' END AS r FROM p),
+    k AS (SELECT *, count(*) FILTER (r IS NULL) OVER (PARTITION BY listing_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS rank FROM j)
+    SELECT listing_id, pos, CAST(round(1000 / (1 + exp(-x))) AS BIGINT) AS score_milli, CASE WHEN r IS NULL AND rank > 6 THEN 'enough photographs' ELSE r END AS reason FROM k""",
+)
+def photo_verdicts_by_model(spark, sf_dir):
+    scored = validation.score_photos(view(spark, sf_dir, "fx_photos"), ["whole_spread", "centre_spread"], _load_model)
+    return validation.photo_verdicts(scored).select("listing_id", "pos", F.round(F.col("model_score") * 1000).cast("long").alias("score_milli"), "reason")
+
+
 @query(
     "bookable_rates",
     """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 OR l_orderkey % 10 = 1 THEN 'not a partner''s rate' WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN 'no positive amount' END AS reason FROM fx_charges""",
@@ -411,6 +434,53 @@ def calendar_nights(spark, sf_dir):
     return _calendars(spark, sf_dir)[0]
 
 
+def _calendar_files(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The stays as calendars (part, value), a hundred or so in a file, and a new folder for them."""
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    s = view(spark, sf_dir, "fx_stays")
+    end = F.when(F.col("stay_id") % 50 == 0, F.lit("soon")).otherwise(day("check_out"))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\nX-WR-CALNAME:"), F.col("stay_id").cast("string"), F.lit("\nBEGIN:VEVENT\nDTSTART;VALUE=DATE:"), day("check_in"), F.lit("\nDTEND;VALUE=DATE:"), end, F.lit("\nEND:VEVENT\nEND:VCALENDAR"))
+    return s.select((F.col("stay_id") % 3).cast("int").alias("part"), body.alias("value")), f"{checkpoint_folder(spark)}/calendars-{uuid.uuid4().hex}"
+
+
+def _write_calendars(rows: DataFrame, folder: str) -> None:
+    """As text files below a new folder, which are then named as calendars."""
+    spark = rows.sparkSession
+    rows.write.text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(at(folder)):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(f.getPath(), at(f"{folder}/{name[:-4]}.ics"))
+
+
+_NIGHTS = """SELECT CAST(stay_id AS VARCHAR) AS unit_id, CAST(unnest(range(check_in, check_out, INTERVAL 1 DAY)) AS DATE) AS night, NULL::VARCHAR AS reason FROM fx_stays WHERE stay_id % 50 <> 0
+    UNION ALL SELECT CAST(stay_id AS VARCHAR), NULL, 'malformed date' FROM fx_stays WHERE stay_id % 50 = 0"""
+
+
+@query("calendar_source", _NIGHTS)
+def calendar_source(spark, sf_dir):
+    """The stays' calendars written as files and read by their own format."""
+    rows, folder = _calendar_files(spark, sf_dir)
+    _write_calendars(rows.select("value"), folder)
+    connectors.register(spark)
+    return spark.read.format("marram_calendars").load(folder)
+
+
+@query("calendar_stream", _NIGHTS)
+def calendar_stream(spark, sf_dir):
+    """The same as a stream: files come in three runs, each from the checkpoint of the one before."""
+    rows, folder = _calendar_files(spark, sf_dir)
+    rows = checkpointed(rows)
+    connectors.register(spark)
+    for part in range(3):
+        _write_calendars(rows.where(F.col("part") == part).select("value"), f"{folder}/in/{part}")
+        stream = spark.readStream.format("marram_calendars").load(f"{folder}/in")
+        stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", format="parquet").awaitTermination()
+    return spark.read.schema("unit_id string, night date, reason string").parquet(f"{folder}/out")
+
+
 @query("calendar_rejects", "SELECT stay_id AS unit_id, 'malformed date' AS reason FROM fx_stays WHERE stay_id % 50 = 0")
 def calendar_rejects(spark, sf_dir):
     return _calendars(spark, sf_dir)[1]
@@ -489,46 +559,170 @@ def _run(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
+#: Runs that a table is dealt to by time; a quarter of each run's rows come one run late.
+_RUNS = 4
+
+
+def _dealt(rows: DataFrame, time: str, key: str) -> tuple[DataFrame, int, object]:
+    """rows with the run that they come in, the seconds of delay within which all of them are, and their greatest time."""
+    first, last = rows.agg(F.min(F.unix_seconds(F.col(time).cast("timestamp"))), F.max(F.unix_seconds(F.col(time).cast("timestamp")))).first()
+    first, last = first or 0, last or 0
+    era = F.floor((F.unix_seconds(F.col(time).cast("timestamp")) - first) * _RUNS / (last - first + 1))
+    late = (F.pmod(F.xxhash64(key), F.lit(4)) == 0).cast("int")
+    return rows.withColumn("run", (era + late).cast("int")), (last - first) * 2 // _RUNS + 86_400, last
+
+
+def _in_runs(dealt: DataFrame, start) -> str:
+    """Gives each run's rows to the stream in a run of its own, from the checkpoint of the run before; start(stream, folder) begins one."""
+    spark = dealt.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = checkpointed(dealt)
+    for n in range(_RUNS + 1):
+        part = rows.where(F.col("run") == n).drop("run")
+        part.write.parquet(f"{folder}/in/run-{n}")
+        start(spark.readStream.schema(part.schema).parquet(f"{folder}/in/run-*"), folder).awaitTermination()
+    return folder
+
+
+def _to_files(make, **trigger):
+    """start of _in_runs for a stream whose rows are appended to files."""
+    return lambda stream, folder: make(stream).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start(f"{folder}/out", format="parquet")
+
+
+def _with_beats(dealt: DataFrame, beat: list) -> DataFrame:
+    """dealt with a row in the last run that ends all times: without newer events a stream judges nothing."""
+    return dealt.unionByName(dealt.sparkSession.createDataFrame([beat], dealt.schema))
+
+
+_STEPS = """h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_listing_id, observed_on ORDER BY seq DESC) AS r FROM fx_observations WHERE observed_on IS NOT NULL) WHERE r = 1),
+    c AS (SELECT *, lag(advertised_price) OVER w AS previous, lead(observed_on) OVER w AS next_day, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY source, source_listing_id ORDER BY observed_on)), k AS (SELECT *, advertised_price <> previous AS moved FROM c)"""
+_JUDGED = """SELECT source, source_listing_id, observed_on, CASE WHEN n = 1 THEN 'new_listing' WHEN moved THEN 'price_change' ELSE 'unchanged' END AS change, CASE WHEN n > 1 AND moved THEN previous END AS previous, advertised_price AS current FROM k"""
+
+
 @query(
     "stream_changes",
-    """WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_listing_id, observed_on ORDER BY seq DESC) AS r FROM fx_observations WHERE observed_on IS NOT NULL) WHERE r = 1),
-    c AS (SELECT *, lag(advertised_price) OVER w AS previous, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY source, source_listing_id ORDER BY observed_on)), k AS (SELECT *, advertised_price <> previous AS moved FROM c)
-    SELECT source, source_listing_id, observed_on, CASE WHEN n = 1 THEN 'new_listing' WHEN moved THEN 'price_change' ELSE 'unchanged' END AS change, CASE WHEN n > 1 AND moved THEN previous END AS previous, advertised_price AS current FROM k
-    UNION ALL SELECT source, source_listing_id, max(observed_on), 'delisted', NULL, arg_max(struct_pack(p := advertised_price), observed_on).p FROM h GROUP BY 1, 2 HAVING (SELECT max(observed_on) FROM h) - max(observed_on) > 8""",
+    f"""WITH {_STEPS} {_JUDGED}
+    UNION ALL SELECT source, source_listing_id, observed_on, 'delisted', NULL, advertised_price FROM k WHERE coalesce(next_day, (SELECT max(observed_on) + 1 FROM h)) - observed_on > 8""",
 )
 def stream_changes(spark, sf_dir):
-    """A listing is delisted once the watermark, the start of the last day, is past the end of the grace after its own last day."""
-    days = base._history(spark, sf_dir).select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "advertised_price")
-    stream, folder = _as_stream(days)
-    return _run(ledger.detect_changes_stream(stream), folder)
+    """The raw observations in five runs of a stream, each from the checkpoint of the one before and a quarter of each a run late. A listing is
+    delisted where a day after its grace ends without it. A beat behind the last day lets the stream judge that day."""
+    o = view(spark, sf_dir, "fx_observations").where("observed_on is not null").select("source", "source_listing_id", F.col("observed_on").cast("timestamp").alias("observed_at"), "advertised_price", "seq")
+    dealt, delay, last = _dealt(o, "observed_at", "seq")
+    beat = dt.datetime.fromtimestamp(last + 86_400 + delay + 1, dt.UTC)
+    folder = _in_runs(_with_beats(dealt, ["beat", "beat", beat, None, -1, _RUNS]), _to_files(lambda x: ledger.detect_changes_stream(x, delay=f"{delay} seconds")))
+    return spark.read.schema(ledger.CHANGES).parquet(f"{folder}/out").where("source <> 'beat'")
+
+
+@query("stream_rebuild", f"WITH {_STEPS} {_JUDGED}")
+def stream_rebuild(spark, sf_dir):
+    """Histories and changes kept by a stream whose rows come late, by more than its delay too: the touched histories are made anew."""
+    o = view(spark, sf_dir, "fx_observations").where("observed_on is not null").select("source", "source_listing_id", "observed_on", "advertised_price", "seq")
+    dealt, _, _ = _dealt(o, "observed_on", "seq")
+    folder = _in_runs(dealt, lambda stream, folder: ledger.stream_history(stream, f"{folder}/state", f"{folder}/checkpoint"))
+    return ledger.read_changes(spark, f"{folder}/state")
 
 
 @query(
     "stream_holds",
-    """WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 5 MINUTE WHEN event_id % 3 = 1 THEN ts + INTERVAL 40 MINUTE END AS ended FROM events),
-    w AS (SELECT max(greatest(ts, coalesce(ended, ts))) AS w FROM e)
+    """WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 5 MINUTE WHEN event_id % 3 = 1 THEN ts + INTERVAL 40 MINUTE END AS ended FROM events)
     SELECT event_id AS hold_id, 'ACTIVE' AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM e UNION ALL SELECT event_id, 'CONVERTED', strftime(ended, '%Y-%m-%d %H:%M:%S') FROM e WHERE ended IS NOT NULL
-    UNION ALL SELECT event_id, 'EXPIRED', strftime(ts + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') FROM e WHERE event_id % 3 = 1 OR (event_id % 3 = 2 AND ts + INTERVAL 15 MINUTE < (SELECT w FROM w))""",
+    UNION ALL SELECT event_id, 'EXPIRED', strftime(ts + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') FROM e WHERE event_id % 3 > 0""",
 )
 def stream_holds(spark, sf_dir):
-    """Every event begins a hold; a third of them are converted in time, a third too late and a third never."""
+    """Every event begins a hold; a third of them are converted in time, a third too late and a third never. The rows come in five
+    runs, out of order, so that many a conversion is there before its hold; a beat lets the last of them run out."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     ended = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 5 minutes")).when(F.col("event_id") % 3 == 1, F.col("ts") + F.expr("interval 40 minutes"))
     rows = e.select(F.col("event_id").cast("string").alias("hold_id"), F.lit("ACTIVE").alias("status"), F.col("ts").alias("at")).union(e.select(F.col("event_id").cast("string"), F.lit("CONVERTED"), ended).where(ended.isNotNull()))
-    stream, folder = _as_stream(rows)
-    return _run(ledger.expire_holds(stream), folder).select(F.col("hold_id").cast("long").alias("hold_id"), "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    dealt, delay, last = _dealt(rows.withColumn("key", F.concat("hold_id", "status")), "at", "key")
+    beat = dt.datetime.fromtimestamp(last + 86_400 + delay, dt.UTC)
+    folder = _in_runs(_with_beats(dealt.drop("key"), ["beat", "RELEASED", beat, _RUNS]), _to_files(lambda x: ledger.expire_holds(x, delay=f"{delay} seconds")))
+    found = spark.read.schema(ledger.HOLDS).parquet(f"{folder}/out").where("hold_id <> 'beat'")
+    return found.select(F.col("hold_id").cast("long").alias("hold_id"), "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
 
+_WEBHOOKS = "SELECT DISTINCT event_type AS processor, CAST(user_id AS VARCHAR) AS signature FROM events"
 
-@query("stream_webhooks", "SELECT DISTINCT event_type AS processor, CAST(user_id AS VARCHAR) AS signature FROM events")
+
+@query("stream_webhooks", _WEBHOOKS)
 def stream_webhooks(spark, sf_dir):
     """The events as webhooks, each user's of a type being replays; the delay is longer than the time that the table spans."""
-    e = table(spark, sf_dir, "events")
-    span = e.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
-    stream, folder = _as_stream(e.select(F.col("event_type").alias("processor"), F.col("user_id").cast("string").alias("signature"), F.col("ts").cast("timestamp").alias("received_at")))
-    return _run(ledger.dedupe_webhooks(stream, delay=f"{span + 1} days").select("processor", "signature"), folder)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("processor"), F.col("user_id").cast("string").alias("signature"), F.col("ts").cast("timestamp").alias("received_at"))
+    span = e.agg(F.datediff(F.max("received_at"), F.min("received_at"))).first()[0] or 0
+    dealt, _, _ = _dealt(e, "received_at", "event_id")
+    folder = _in_runs(dealt.drop("event_id"), _to_files(lambda x: ledger.dedupe_webhooks(x, delay=f"{span + 1} days").select("processor", "signature")))
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("stream_webhooks_by_clock", _WEBHOOKS)
+def stream_webhooks_by_clock(spark, sf_dir):
+    """The same of events without a time of their own: what was seen is forgotten a week later by the clock."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("processor"), F.col("user_id").cast("string").alias("signature"), F.col("ts").cast("timestamp").alias("received_at"))
+    dealt, _, _ = _dealt(e, "received_at", "event_id")
+    folder = _in_runs(dealt.select("processor", "signature", "run"), _to_files(ledger.dedupe_webhooks_by_clock, once=True))
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("stream_late", f"SELECT event_id FROM events WHERE CAST(ts AS DATE) <= DATE '{base.MIDDLE}'")
 def stream_late(spark, sf_dir):
     stream, folder = _as_stream(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("observed_at")))
     return _run(ledger.late_observations(stream, base.MIDDLE).select("event_id"), folder)
+
+
+# ---- files that are written and read back -------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_DIRECTORY = """SELECT concat(source, ':', source_listing_id) AS id, source, CASE WHEN advertised_price BETWEEN 100000 AND 2000000000 THEN advertised_price END AS advertised_price,
+    CASE WHEN phone IS NOT NULL THEN 'PHONE' WHEN website IS NOT NULL THEN 'WEBSITE' ELSE 'NONE' END AS kind FROM fx_listings"""
+
+
+@query("directory_document", _DIRECTORY)
+def directory_document(spark, sf_dir):
+    """The public directory as one document, read back."""
+    path = _folder(spark, "directory") + ".json"
+    files.write_document(publish.build_directory(base._listings(spark, sf_dir), TODAY, "by the source"), path)
+    return files.read_document(spark, path).select("id", "source", "advertised_price", F.col("contact_route.kind").alias("kind"))
+
+
+@query("directory_files", _DIRECTORY)
+def directory_files(spark, sf_dir):
+    """The same as JSON lines beside their counts."""
+    path = _folder(spark, "directory")
+    files.write_directory(publish.build_directory(base._listings(spark, sf_dir), TODAY, "by the source"), path)
+    places, there = files.read_directory(spark, f"{path}/places")
+    return places.where(F.lit(there)).select("id", "source", "advertised_price", F.col("contact_route.kind").alias("kind"))
+
+
+_LEDGER = """h AS (SELECT *, row_number() OVER (PARTITION BY source, source_listing_id, observed_on ORDER BY seq DESC) AS r FROM fx_observations WHERE observed_on IS NOT NULL)"""
+
+
+@query("ledger_files", f"WITH {_LEDGER} SELECT source, source_listing_id, observed_on, advertised_price, row_number() OVER (ORDER BY observed_on, source, source_listing_id) AS rank FROM h WHERE r = 1")
+def ledger_files(spark, sf_dir):
+    """Observations appended in two runs, the second of them twice, and read back in the ledger's order."""
+    path = _folder(spark, "ledger")
+    o = view(spark, sf_dir, "fx_observations").where("observed_on is not null").select("source", "source_listing_id", "observed_on", "advertised_price", "seq")
+    for run in (0, 1, 1):
+        files.append_ledger(o.where(F.col("seq") % 2 == run), path, f"run-{run}")
+    return files.ordered_ledger(files.read_ledger(spark, path)).select("source", "source_listing_id", "observed_on", "advertised_price", F.col("rank").cast("long").alias("rank"))
+
+
+@query("listing_records", "SELECT source, source_listing_id, property_name, advertised_price FROM fx_listings WHERE seq % 9 <> 0")
+def listing_records(spark, sf_dir):
+    """Listings written as JSON lines, with an id that holds their source, and read back; every ninth has no URL and can't be used."""
+    path = _folder(spark, "records")
+    x = base._listings(spark, sf_dir)
+    url = F.when(F.col("seq") % 9 != 0, F.concat(F.lit("https://x.ng/"), F.col("seq").cast("string")))
+    x.select(F.concat("source", F.lit(":"), "source_listing_id").alias("id"), url.alias("source_url"), "property_name", "advertised_price").write.json(path)
+    return files.read_listing_records(spark, path)[0].select("source", "source_listing_id", "property_name", "advertised_price")
+
+
+@query("lead_files", f"WITH RECURSIVE {base._LEADS} SELECT component, n AS listing_count, low AS lowest_rate FROM lead")
+def lead_files(spark, sf_dir):
+    path = _folder(spark, "leads")
+    files.write_leads(base._leads(spark, sf_dir)[0], path)
+    return spark.read.schema("component long, listing_count long, lowest_rate long").json(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.facts import describe_factually
 from marram.functions.text import blank_to_null
 from marram.operators.history import listing_history
+from marram.operators.order import with_rank
 from marram.operators.reports import directory_counts
 from marram.schemas import LISTING, OBSERVATION, PLACE, REGISTRY, names
 
@@ -56,9 +59,18 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return listing_history(rows)
 
 
-def append_ledger(observations: DataFrame, path: str) -> None:
-    """Adds observations to a ledger, a folder of JSON lines for each day."""
-    observations.write.mode("append").partitionBy("observed_on").json(path)
+def append_ledger(observations: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds observations to a ledger, a folder of JSON lines for each day. With a run's name it has a folder for each run, and a run
+    that is written again replaces what it wrote before."""
+    if run is None:
+        observations.write.mode("append").partitionBy("observed_on").json(path)
+    else:
+        observations.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "observed_on").json(path)
+
+
+def ordered_ledger(history: DataFrame) -> DataFrame:
+    """A history in the ledger's order, with rank from 1 on: by day, source and listing."""
+    return with_rank(history, F.col("observed_on"), F.col("source"), F.col("source_listing_id"))
 
 
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
@@ -104,5 +116,45 @@ def write_directory(places: DataFrame, path: str) -> None:
     directory_counts(places).write.mode("overwrite").json(f"{path}/counts")
 
 
+def write_document(places: DataFrame, path: str) -> None:
+    """places and their counts as one JSON document, a line for each place: the same places give the same bytes, however they are
+    partitioned.
+
+    Places are sorted and written in parallel, as ranges; then their files are put together in order, between the document's head and tail, in a
+    hidden file that takes the document's place by one rename. The driver passes the bytes on in small pieces and holds none of them."""
+    spark = places.sparkSession
+    counts = directory_counts(places).select(F.to_json(F.struct("*")).alias("c")).first().c
+    ranked = with_rank(places.select(*names(PLACE)), F.col("contact_route.kind") == "NONE", F.col("id"))
+    line = F.concat(F.when(F.col("rank") == 1, " ").otherwise(","), F.to_json(F.struct(*names(PLACE))))
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    ranked.select(line.alias("value")).write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    files, target = at(path).getFileSystem(conf), at(path)
+    hidden = at(target.getParent(), f"_{target.getName()}.{uuid.uuid4().hex}")
+    out = files.create(hidden, True)
+    try:
+        out.write(bytearray(f'{{"counts":{counts},"places":[\n'.encode()))
+        for f in sorted((f.getPath() for f in files.listStatus(at(parts))), key=lambda p: p.getName()):
+            if f.getName().startswith("part-"):
+                source = files.open(f)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                source.close()
+        out.write(bytearray(b"]}\n"))
+    finally:
+        out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    context.rename(files.makeQualified(hidden), files.makeQualified(target), overwrite)
+    files.delete(at(parts), True)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The places of a document of write_document; its lines are read in parallel."""
+    lines = spark.read.text(path).where(F.substring("value", 1, 2).isin(" {", ",{"))
+    return lines.select(F.from_json(F.substr("value", F.lit(2)), PLACE).alias("p")).select("p.*")
+
+
 def write_leads(leads: DataFrame, path: str) -> None:
     leads.write.mode("overwrite").json(path)

@@ -6,13 +6,19 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from marram.functions.constants import DELIST_GRACE_DAYS, HOLD_MINUTES
+from marram.operators.graph import checkpointed
+from marram.operators.history import KEY, listing_history
 from marram.operators.upserts import merge
+from marram.package import ship
+from marram.streaming.tables import BucketTable
+
+DAY_MS = 86_400_000
 
 CHANGES = "source string, source_listing_id string, observed_on date, change string, previous long, current long"
 
@@ -29,96 +35,243 @@ def late_observations(stream: DataFrame, history_end: str) -> DataFrame:
     return stream.where(F.to_date("observed_at") <= F.lit(history_end).cast("date"))
 
 
+def _ready(spark: SparkSession) -> None:
+    """State by name with timers needs this provider, whose state may outgrow memory; its Python runs in the executors."""
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _frame(rows: list[tuple], columns: str) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
+
+
+class _Changes(StatefulProcessor):
+    """State of a listing: `days`, observations of days that the watermark hasn't passed, and `last`, the last day that was closed.
+
+    A timer for the end of each open day, and one for the end of the grace."""
+
+    def __init__(self, grace_days: int) -> None:
+        self.grace = grace_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day long", "seq long, price long")
+        self.last = handle.getValueState("last", "day long, price long, gone boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            newest = frame.sort_values("seq").drop_duplicates("day", keep="last")
+            for day, seq, price in zip(newest["day"].tolist(), newest["seq"].tolist(), newest["price"].tolist()):
+                if not self.days.containsKey((day,)):
+                    self.handle.registerTimer((day + 1) * DAY_MS)
+                elif self.days.getValue((day,))[0] >= seq:
+                    continue
+                self.days.updateValue((day,), (seq, None if pd.isna(price) else int(price)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        closed = sorted((k[0], v[1]) for k, v in self.days.iterator() if (k[0] + 1) * DAY_MS <= now)
+        last = self.last.get() if self.last.exists() else None
+
+        def silent_until(day: int) -> bool:
+            return last is not None and not last[2] and day > last[0] + self.grace + 1
+
+        def gone() -> tuple:
+            return (*key, as_day(last[0]), "delisted", None, last[1])
+
+        for day, price in closed:
+            if silent_until(day):
+                out.append(gone())
+            moved = last is not None and last[1] is not None and price is not None and last[1] != price
+            change = "new_listing" if last is None else "price_change" if moved else "unchanged"
+            out.append((*key, as_day(day), change, last[1] if moved else None, price))
+            last = (day, price, False)
+            self.days.removeKey((day,))
+        if silent_until(now // DAY_MS):
+            out.append(gone())
+            last = (last[0], last[1], True)
+        elif closed:
+            self.handle.registerTimer((last[0] + self.grace + 2) * DAY_MS)
+        if last is not None:
+            self.last.update(last)
+        yield from _frame(out, CHANGES)
+
+
+def as_day(day: int):
+    return pd.Timestamp(day, unit="D").date()
+
+
 def detect_changes_stream(stream: DataFrame, grace_days: int = DELIST_GRACE_DAYS, delay: str = "0 seconds") -> DataFrame:
-    """Each observation as new_listing, price_change or unchanged, and delisted when a listing has been silent for more than
-    grace_days of event time. stream: observed_at (timestamp), source, source_listing_id, advertised_price.
-
-    State is the last day and price of a listing. The timer fires when the watermark moves past the day after the grace, so a
-    feed without any newer event, of whichever listing, delists nothing. Within a batch a listing's rows go by time."""
-    source = stream.select("source", "source_listing_id", "observed_at", F.col("advertised_price").cast("long").alias("price")).withWatermark("observed_at", delay)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            day, price, has_price = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, pd.Timestamp(day, unit="D").date(), "delisted", None, price if has_price else None)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-            return
-        rows = pd.concat(list(frames)).sort_values("observed_at")
-        out, known = [], state.getOption
-        for at, price in zip(rows["observed_at"], rows["price"]):
-            day = (at.normalize() - pd.Timestamp(0)).days
-            price = None if pd.isna(price) else int(price)
-            if known is None:
-                change, previous = "new_listing", None
-            else:
-                previous = known[1] if known[2] and day > known[0] else None
-                change = "price_change" if previous is not None and price is not None and previous != price else "unchanged"
-            out.append((*key, at.date(), change, previous if change == "price_change" else None, price))
-            if known is None or day >= known[0]:
-                known = (day, price if price is not None else 0, price is not None)
-        state.update(known)
-        # strictly more than the grace: the end of the last allowed day
-        end = (known[0] + grace_days + 1) * 86_400_000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    return source.groupBy("source", "source_listing_id").applyInPandasWithState(step, CHANGES, "day long, price long, has_price boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_upsert(stream: DataFrame, state_path: str, keys: list[str], checkpoint: str, coalesced: list[str] | None = None) -> StreamingQuery:
-    """Merges each micro-batch into a table of Parquet versions below state_path, replay-safe: a batch writes a version named by
-    its id, and the pointer file moves once the version is whole. Run a batch again and the same version is written."""
+    """The observation of each listing and day as new_listing, price_change or unchanged, and delisted after grace_days and
+    a day without one. stream: observed_at (timestamp), source, source_listing_id, advertised_price, and seq, which decides between several of
+    a day (without it the later time does).
+
+    A day is judged when the watermark, `delay` behind the newest time, has passed its end, so rows may come in any order
+    within the delay and the result is the batch history's. What comes later than that is dropped here without a trace; see
+    stream_history, which writes it aside and mends the histories that it touches. A feed without any newer event, of
+    whichever listing, closes no day. A delisted listing that is seen again goes on with its last price."""
+    _ready(stream.sparkSession)
+    seq = F.col("seq").cast("long") if "seq" in stream.columns else F.unix_micros("observed_at")
+    rows = stream.select("source", "source_listing_id", F.unix_date(F.to_date("observed_at")).cast("long").alias("day"), seq.alias("seq"), F.col("advertised_price").cast("double").alias("price"), "observed_at").withWatermark("observed_at", delay)
+    return rows.groupBy("source", "source_listing_id").transformWithStateInPandas(_Changes(grace_days), CHANGES, "Append", "EventTime")
+
+
+def stream_upsert(stream: DataFrame, state_path: str, keys: list[str], checkpoint: str, coalesced: list[str] | None = None, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Merges each micro-batch into a BucketTable at state_path: only the buckets that a batch's keys lie in are read and rewritten, and a batch
+    that runs again changes nothing."""
+    table = BucketTable(stream.sparkSession, state_path, keys, buckets, keep)
+
+    def change(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return merge(batch.limit(0).drop("seq") if before is None else before, batch, keys, coalesced=coalesced or [])
+
+    return stream.writeStream.foreachBatch(lambda batch, n: table.update(n, batch, change) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_state(spark: SparkSession, state_path: str, below: int | None = None) -> DataFrame | None:
+    """The table that stream_upsert keeps, or as it was before a batch; None before the first."""
+    return BucketTable(spark, state_path, []).read(below)
+
+
+def history_changes(history: DataFrame) -> DataFrame:
+    """Every observation of a history as new_listing, price_change or unchanged, as CHANGES."""
+    order = Window.partitionBy(*KEY).orderBy("observed_on")
+    seen = history.select(*KEY, "observed_on", F.col("advertised_price").alias("current"), F.lag("advertised_price").over(order).alias("before"), F.row_number().over(order).alias("nth"))
+    moved = F.coalesce(F.col("before") != F.col("current"), F.lit(False))
+    change = F.when(F.col("nth") == 1, "new_listing").when(moved, "price_change").otherwise("unchanged")
+    return seen.select(*KEY, "observed_on", change.alias("change"), F.when(moved, F.col("before")).alias("previous"), "current")
+
+
+def stream_history(stream: DataFrame, base: str, checkpoint: str, delay_days: int = 2, buckets: int = 64) -> StreamingQuery:
+    """Keeps histories and changes right for any arrival order. stream: source, source_listing_id, observed_on, advertised_price, seq.
+
+    Each batch is merged into the histories (base/observations), and the changes of just the listings that it touches are made anew from them
+    (base/changes). Rows of a day more than delay_days before the newest day of earlier batches are also written to base/late. Rows
+    without a day are left out. Both tables are BucketTables, so a batch costs the buckets that it touches, and a batch that runs again, after a crash
+    between the tables too, gives the same state."""
     spark = stream.sparkSession
+    seen = BucketTable(spark, f"{base}/observations", KEY, buckets)
+    found = BucketTable(spark, f"{base}/changes", KEY, buckets)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = read_state(spark, state_path, below=batch_id)
-        new = merge(before, batch, keys, coalesced=coalesced or []) if before is not None else merge(batch.limit(0).drop("seq"), batch, keys, coalesced=coalesced or [])
-        new.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}/data")
-        spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode("overwrite").json(f"{state_path}/version={batch_id}/done")
+    def history(before: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return listing_history(rows if before is None else before.unionByName(rows))
+
+    def write(batch: DataFrame, n: int) -> None:
+        if found.done(n):
+            return
+        rows = checkpointed(batch.select(*KEY, "observed_on", "advertised_price", F.col("seq").cast("long").alias("seq")).where("observed_on is not null"))
+        last = found.snapshot(below=n)
+        newest = last.facts["newest"] if last else None
+        if newest is not None:
+            rows.where(F.col("observed_on") < F.date_sub(F.lit(newest).cast("date"), delay_days)).write.mode("overwrite").parquet(f"{base}/late/batch={n}")
+        seen.update(n, rows, history)
+        keys = rows.select(*KEY).distinct()
+        touched = found.touched(rows)
+        before = found.read(below=n, only=touched)
+        anew = history_changes(seen.read(below=n + 1, only=touched).join(keys, KEY, "left_semi"))
+        if before is not None:
+            anew = before.join(keys, KEY, "left_anti").unionByName(anew)
+        high = rows.agg(F.max("observed_on").cast("string")).first()[0]
+        found.commit(n, anew, touched, {"newest": max(filter(None, [newest, high]), default=None)})
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_state(spark, state_path: str, below: int | None = None) -> DataFrame | None:
-    """The last whole version of a table that stream_upsert keeps, or the last below a batch; None before the first."""
-    try:
-        done = spark.read.schema("batch_id long").json(f"{state_path}/version=*/done")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    rows = done.where(F.lit(True) if below is None else F.col("batch_id") < below).agg(F.max("batch_id").alias("v")).first()
-    return None if rows.v is None else spark.read.parquet(f"{state_path}/version={rows.v}/data")
+def read_changes(spark: SparkSession, base: str) -> DataFrame | None:
+    """The changes that stream_history keeps; None before its first batch."""
+    return BucketTable(spark, f"{base}/changes", KEY).read()
+
+
+def read_late(spark: SparkSession, base: str) -> DataFrame:
+    """(source, source_listing_id, observed_on, advertised_price, seq, batch): the rows that came behind the watermark."""
+    schema = "source string, source_listing_id string, observed_on date, advertised_price long, seq long, batch int"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/late")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{base}/late")
+
+
+HOLDS = "hold_id string, status string, at timestamp"
+
+
+class _Holds(StatefulProcessor):
+    """State of a hold: `rows`, what the watermark hasn't passed with how often it came, and `end`, when the hold that was last
+    opened runs out. A timer for each of these times."""
+
+    def __init__(self, minutes: int) -> None:
+        self.lasts = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "at long, status string", "n int")
+        self.end = handle.getValueState("end", "end long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for ms, status in zip(frame["ms"].tolist(), frame["status"].tolist()):
+                place = (int(ms), status)
+                n = self.rows.getValue(place)[0] if self.rows.containsKey(place) else 0
+                self.rows.updateValue(place, (n + 1,))
+                self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        known = self.end.get()[0] if self.end.exists() else None
+        end = known
+        for (ms, status), (n,) in sorted((k, v) for k, v in self.rows.iterator() if k[0] <= now):
+            for _ in range(n):
+                if end is not None and ms >= end:  # what comes now is too late
+                    out.append((*key, "EXPIRED", pd.Timestamp(end, unit="ms")))
+                    end = None
+                out.append((*key, status, pd.Timestamp(ms, unit="ms")))
+                end = ms + self.lasts if status == "ACTIVE" else None
+            self.rows.removeKey((ms, status))
+        if end is not None and end <= now:
+            out.append((*key, "EXPIRED", pd.Timestamp(end, unit="ms")))
+            end = None
+        if end is not None:
+            self.handle.registerTimer(end)
+            self.end.update((end,))
+        elif known is not None:
+            self.end.clear()
+        yield from _frame(out, HOLDS)
 
 
 def expire_holds(stream: DataFrame, minutes: int = HOLD_MINUTES, delay: str = "0 seconds") -> DataFrame:
     """Holds and their releases in time order, (hold_id, status, at): a hold that nothing converts or releases within `minutes`
-    of event time comes out EXPIRED, also where a later row of it is in the same batch. stream: hold_id, status (ACTIVE, CONVERTED, RELEASED), at (timestamp)."""
-    source = stream.select("hold_id", "status", "at").withWatermark("at", delay)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (end,) = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "EXPIRED", pd.Timestamp(end, unit="ms"))], columns=["hold_id", "status", "at"])
-            return
-        rows = pd.concat(list(frames)).sort_values("at")
-        known = state.getOption
-        end, out = known[0] if known else None, []
-        for status, at in zip(rows["status"], rows["at"]):
-            if end is not None and at >= pd.Timestamp(end, unit="ms"):  # what comes now is too late
-                out.append((*key, "EXPIRED", pd.Timestamp(end, unit="ms")))
-                end = None
-            out.append((*key, status, at))
-            end = int(at.timestamp() * 1000) + minutes * 60_000 if status == "ACTIVE" else None
-        if end is not None:
-            state.update((end,))
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        elif known:
-            state.remove()
-        yield pd.DataFrame(out, columns=["hold_id", "status", "at"])
+    of event time comes out EXPIRED, also before a later row of it. stream: hold_id, status (ACTIVE, CONVERTED, RELEASED), at (timestamp).
+
+    A row is judged when the watermark, `delay` behind the newest time, has reached it, so rows may come in any order within the
+    delay; at one time a hold is opened before it ends. Later rows are dropped without a trace. Times are in milliseconds."""
+    _ready(stream.sparkSession)
+    rows = stream.select("hold_id", "status", F.unix_millis("at").alias("ms"), "at").where("status is not null").withWatermark("at", delay)
+    return rows.groupBy("hold_id").transformWithStateInPandas(_Holds(minutes), HOLDS, "Append", "EventTime")
+
+
+class _Once(StatefulProcessor):
+    """The first row of a key; that it was seen is forgotten after a time by the clock."""
+
+    def __init__(self, days: int, columns: list[str]) -> None:
+        self.lasts, self.columns = days * DAY_MS, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.lasts)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = next((f for f in rows if len(f)), None)
+        if first is not None and not self.seen.exists():
+            self.seen.update((True,))
+            yield first[self.columns].head(1)
+
 
-    return source.groupBy("hold_id").applyInPandasWithState(step, "hold_id string, status string, at timestamp", "end long", "append", GroupStateTimeout.EventTimeTimeout)
+def dedupe_webhooks_by_clock(stream: DataFrame, days: int = 7) -> DataFrame:
+    """One event of each processor and signature where events bear no time of their own: state has a time to live of so many days by
+    the clock of the stream. Columns of stream pass through. A stream with such state always has a next batch, so run it by time or once: with
+    availableNow it doesn't end."""
+    _ready(stream.sparkSession)
+    return stream.groupBy("processor", "signature").transformWithStateInPandas(_Once(days, stream.columns), stream.schema, "Append", "ProcessingTime")
 
 
 def dedupe_webhooks(stream: DataFrame, delay: str = "7 days") -> DataFrame:

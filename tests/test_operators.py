@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marram.operators import availability, entities, history, leads, pricing, publish, reports, search, upserts, validation
+from marram.operators import availability, entities, history, intervals, leads, pricing, publish, reports, search, upserts, validation
 from marram.operators.graph import min_label_components
+from marram.operators.order import with_rank
 from marram.plans.pipeline import run_listings
 from marram.schemas import LISTING, PLACE, names
 
@@ -88,6 +89,87 @@ def test_transitive_operator_and_funnel(spark):
     assert entities.operator_profiles(entities.resolve_operators(empty)).count() == 0
 
 
+def sequential_evidence(edges):
+    """Edges (kind, signal, value, a, b) taken one after another; those that join two sets."""
+    parent, out = {}, set()
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    places = ["phone", "email", "domain", "name"]
+    for e in sorted(edges, key=lambda e: (e[0] == "WEAK", e[3], places.index(e[1]), e[2], e[4])):
+        if find(e[3]) != find(e[4]):
+            parent[find(e[4])] = find(e[3])
+            out.add(e)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evidence_is_what_joins_two_sets(spark, seed):
+    rnd = random.Random(seed)
+    rows = [
+        {
+            "phone": rnd.choice([None, f"0803000{rnd.randrange(12):04}"]),
+            "email": rnd.choice([None, None, f"a@site{rnd.randrange(9)}.ng", f"b@site{rnd.randrange(9)}.ng"]),
+            "website": rnd.choice([None, None, f"https://site{rnd.randrange(12)}.ng/x"]),
+            "operator_name": rnd.choice([None, None, f"Name {rnd.randrange(9)}"]),
+            "state": "LA",
+            "area": "lekki",
+        }
+        for _ in range(60)
+    ]
+    table = listings(spark, rows)
+    resolved = entities.resolve_operators(table).checkpoint()
+    got = {tuple(r) for r in entities.joining_evidence(table).collect()}
+    assert got == sequential_evidence({tuple(r) for r in entities.match_evidence(table).collect()})
+    sizes = {r.component: r["count"] for r in resolved.groupBy("component").count().collect()}
+    held = {r.component: r["count"] for r in entities.profile_evidence(resolved).groupBy("component").count().collect()}
+    assert held == {c: n - 1 for c, n in sizes.items() if n > 1}
+    assert entities.joining_evidence(table.limit(0)).count() == 0
+
+
+def test_evidence_of_a_chain(spark):
+    rows = [{"phone": f"0803000{i // 2:04}", "website": f"https://s{(i + 1) // 2}.ng"} for i in range(60)]
+    assert entities.joining_evidence(listings(spark, rows)).count() == 59
+
+
+def test_leads_bear_every_rate(spark):
+    rows = [
+        {"phone": "08030000001", "state": "LA", "area": "lekki", "advertised_price": 100},
+        {"phone": "08030000001", "state": "LA", "area": "lekki", "advertised_price": 300},
+        {"phone": "08030000001", "state": "LA", "area": "lekki", "advertised_price": 300},
+        {"phone": "08030000002", "state": "LA", "area": "lekki", "advertised_price": 500},
+        {"phone": "08030000003", "state": "LA", "area": "lekki", "advertised_price": None},
+        {"phone": "08030000004", "state": "OY", "area": "ibadan", "advertised_price": 0},
+    ]
+    resolved = entities.resolve_operators(listings(spark, rows)).checkpoint()
+    profiles, rates = entities.operator_profiles(resolved, with_lists=False), entities.observed_rates(resolved)
+    assert sorted(tuple(r) for r in rates.collect()) == [(0, 100), (0, 300), (3, 500)]
+    found = entities.profiles_to_leads(profiles, "2026-01-01 00:00:00")
+    assert "observed_rates" not in found.columns and {r.component: r.lowest_rate for r in found.collect()} == {0: 100, 3: 500, 4: None, 5: None}
+    # the median of all rates, 100 300 500; of the lowest ones it would be 300 of two
+    assert [tuple(r) for r in leads.market_benchmark(found, rates).collect()] == [("LA", "Lekki Phase 1", 300, 3)]
+    whole = entities.profiles_to_leads(profiles, "2026-01-01 00:00:00", rates)
+    assert {r.component: r.observed_rates for r in whole.collect()} == {0: [100, 300], 3: [500], 4: [], 5: []}
+    assert [tuple(r) for r in leads.market_benchmark(whole).collect()] == [("LA", "Lekki Phase 1", 300, 3)]
+    position = lambda x: {r.component: r.rate_position_bps for r in leads.assess_leads(x, leads.market_benchmark(found, rates), F.lit("2026-01-02").cast("timestamp")).collect()}
+    assert position(found) == position(whole) == {0: -6_667, 3: 6_667, 4: None, 5: None}
+
+
+def test_ranks(spark):
+    rnd = random.Random(7)
+    rows = [(i, rnd.randrange(20)) for i in range(500)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "id long, x int").repartition(parts)
+        got = {r.id: r.rank for r in with_rank(df, F.desc("x"), F.col("id")).collect()}
+        assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert with_rank(df.limit(0), F.col("id")).count() == 0
+    profiles = entities.operator_profiles(entities.resolve_operators(listings(spark, [{"phone": "08030000001"}, {"phone": "08030000002"}, {"phone": "08030000002"}])))
+    assert [(r.component, r["rank"]) for r in entities.ranked_profiles(profiles).orderBy("rank").collect()] == [(1, 1), (0, 2)]
+
+
 def quoted(spark, nights, rate, state="LA", **extra):
     rows = spark.createDataFrame([(1, nights, rate, state, *extra.values())], ", ".join(["booking_id long", "nights int", "rate long", "state string", *(f"{k} long" for k in extra)]))
     return pricing.compute_quotes(pricing.resolve_fee_policy(rows, pricing.default_fee_policies(spark), partner_col=None), "rate", **{k: k for k in extra})
@@ -181,6 +263,72 @@ def test_radius_edge(spark):
     assert search.radius_join(points, centre(0.0)).count() == 0
 
 
+def test_crowded_cells_are_cut(spark):
+    """Most points lie in one small town, many at one spot: the same pairs, and no leaf of more than its share."""
+    from marram.functions.geo import haversine_km
+
+    rnd = random.Random(6)
+    rows = [(i, 6.45 + rnd.random() / 500, 3.47 + rnd.random() / 500) for i in range(400)] + [(400 + i, 6.45, 3.47) for i in range(150)] + [(600 + i, 6 + rnd.random(), 3 + rnd.random()) for i in range(200)] + [(900, None, 3.0), (901, 95.0, 3.0), (902, -6.3, -3.2)]
+    points = spark.createDataFrame(rows, "unit_id long, lat double, lng double").repartition(5)
+    centres = spark.createDataFrame([(i, 6 + rnd.random(), 3 + rnd.random(), rnd.choice([0.05, 2.0, 40.0])) for i in range(25)] + [(50, 6.45, 3.47, 0.01), (51, 6.451, 3.471, 0.1), (52, -6.3, -3.2, 1.0), (53, None, 3.0, 1.0)], "c long, q_lat double, q_lng double, q_radius double")
+    want = {(r.c, r.unit_id) for r in points.crossJoin(centres).where(haversine_km("q_lat", "q_lng", "lat", "lng") <= F.col("q_radius")).where("lat < 90").collect()}
+    for most in (10, 100, 20_000):
+        got = search.radius_join(points, centres, leaf_points=most).collect()
+        assert {(r.c, r.unit_id) for r in got} == want and len(got) == len(want)
+        assert sorted(got[0].asDict()) == ["c", "distance_km", "lat", "lng", "q_lat", "q_lng", "q_radius", "unit_id"]
+    step = 25.0 / search.KM_PER_DEGREE
+    cells = points.where("lat < 90").selectExpr("unit_id", f"floor(lat / {step}) AS cell_lat", f"floor(lng / {step}) AS cell_lng", f"int(floor((lat / {step} - floor(lat / {step})) * 256)) AS fine_lat", f"int(floor((lng / {step} - floor(lng / {step})) * 256)) AS fine_lng")
+    leaves = search._leaves(cells, step, 100).collect()
+    assert sum(r.n for r in leaves) == 751 and all(r.n <= 100 or r.depth == search.CUTS for r in leaves) and max(r.depth for r in leaves) > 3
+
+
+def test_the_cheapest_of_each_query(spark):
+    rnd = random.Random(8)
+    one = lambda i: (f"u{i:03}", rnd.choice(["p", "p", "q", None]), rnd.choice([2, 4, None]), rnd.choice([0, 1, 3]), rnd.choice([1, 2]), rnd.choice([2, 30, None]), rnd.choice([0, 5_000_000, 9_000_000, 7_000_000]), rnd.choice([0, 10_000]), rnd.choice(["LA", "FC"]), rnd.choice(["Lekki", "Ikeja", None]), rnd.choice([None, 6.45, 6.46]), 3.47, "C_OF_O", rnd.choice(["LISTED", "LISTED", "DRAFT"]))
+    units = spark.createDataFrame([one(i) for i in range(150)], UNITS)
+    rows = [(i, rnd.choice(["LA", "FC"]), rnd.choice([None, "Lekki"]), rnd.choice([1, 3]), rnd.choice([0, 2]), *rnd.choice([(None, None, None), (6.45, 3.47, 0.5), (6.45, 3.47, 9.0)]), rnd.choice([0, 1, 2, 5])) for i in range(30)]
+    queries = spark.createDataFrame(rows, "query_id int, q_state string, q_area string, q_guests int, q_bedrooms int, q_lat double, q_lng double, q_radius double, nights int")
+    rest = (spark.createDataFrame([("p",), ("p",)], "partner_id string"), pricing.default_fee_policies(spark), queries)
+    every = [r for r in search.search_batch(units, *rest).collect() if not r.reasons]
+    for limit in (1, 3, 1000):
+        want = []
+        for q in {r.query_id for r in every}:
+            own = sorted((r for r in every if r.query_id == q), key=lambda r: (r.total_kobo, r.unit_id))[:limit]
+            want += [(q, n, r.unit_id, r.total_kobo, r.distance_km) for n, r in enumerate(own, 1)]
+        assert sorted(tuple(r) for r in search.search_batch_top(units, *rest, limit=limit).collect()) == sorted(want)
+    facets = {(r.query_id, r.results, r.least_unit, r.least_kobo, r.most_kobo) for r in search.search_batch_facets(units, *rest).collect()}
+    of = lambda q: [r for r in every if r.query_id == q]
+    assert facets == {(q, len(of(q)), min(r.unit_id for r in of(q)), min(r.total_kobo for r in of(q)), max(r.total_kobo for r in of(q))) for q in {r.query_id for r in every}}
+
+
+def spans(spark, rows, name="id"):
+    return spark.createDataFrame([(i, u, a and dt.date(2026, 1, 1) + dt.timedelta(a), b and dt.date(2026, 1, 1) + dt.timedelta(b)) for i, u, a, b in rows], f"{name} long, key string, begin date, end date")
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 64])
+def test_overlaps_match_all_pairs(spark, bucket):
+    rnd = random.Random(bucket)
+    make = lambda first: [(first + i, rnd.choice(["u", "v", "w", None]), a := rnd.randrange(1, 90), a + rnd.choice([0, 1, 1, 2, 5, 40, -3])) for i in range(120)]
+    left, right = make(0), [*make(1000), (2000, "u", None, 5), (2001, "u", 5, None)]
+    meet = lambda x, y: x[1] is not None and x[1] == y[1] and None not in (*x[2:], *y[2:]) and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]
+    want = sorted((x[0], y[0]) for x in left for y in right if meet(x, y))
+    a, b = spans(spark, left), spans(spark, right)
+    assert sorted(tuple(r) for r in intervals.overlapping_pairs(a, b, bucket).collect()) == want
+    counts = {x: sum(w[0] == x for w in want) for x in {w[0] for w in want}}
+    assert {r.id: r.n for r in intervals.overlap_totals(a, b, bucket).collect()} == counts
+    assert intervals.overlap_totals(a.limit(0), b).count() == intervals.overlapping_pairs(a, b.limit(0)).count() == 0
+
+
+def test_conflicts_of_a_hot_unit(spark):
+    """A hundred thousand stays of one unit: each overlaps its two neighbours, and nothing is made of the nights they last."""
+    n = 100_000
+    stays = spark.range(n).selectExpr("id AS stay_id", "'u' AS unit_id", "date_add(date'1900-01-01', int(id * 30 % 3000000)) AS check_in", "date_add(date'1900-01-01', int(id * 30 % 3000000) + 31) AS check_out")
+    found = availability.stay_conflicts(stays, stays.withColumnRenamed("stay_id", "other"), "other", "n")
+    assert found.groupBy("n").count().orderBy("n").collect() == [(1, 2), (2, n - 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Generate" not in plan
+
+
 def test_availability(spark):
     stays = spark.createDataFrame([("s", "u", dt.date(2026, 4, 10), dt.date(2026, 4, 13)), ("t", "v", dt.date(2026, 4, 10), dt.date(2026, 4, 13))], "stay_id string, unit_id string, check_in date, check_out date")
     nights = [("u", dt.date(2026, 4, d), state, rate, n) for n, (d, state, rate) in enumerate([(10, "CLOSED", None), (10, "OPEN", 500), (11, "CLOSED", None), (12, "OPEN", None)])] + [("v", dt.date(2026, 4, 10), "OPEN", None, 9)]
@@ -203,14 +351,14 @@ def test_merged_leads_hold_no_array_of_all_rows(spark):
     contact = ("p", None, None, None)
     rows = [(i, None if i % 2 else "a", "A", "Lekki", "LA", "IDENTIFIED", contact, 1, [100 - i, None, 7 + i], ["smoobu", f"s{i // 40 % 3}"] if i else None, None, dt.datetime(2027, 1, 1)) for i in range(200)]
     source = spark.createDataFrame(rows, LEAD)
-    merged = leads.merge_leads(source, with_rates=False)
+    merged = leads.merge_leads(source)
     assert "observed_rates" not in merged.columns
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and re.search(r"collect_list\(struct\(at, at#\d+, system", plan)
     got = {r.id: (r.listing_count, r.rate_count, r.lowest_rate, r.pms_fingerprints) for r in merged.collect()}
     assert got == {"a": (100, 300, -98, ["smoobu", "s0", "s1", "s2"]), None: (100, 300, -99, ["smoobu", "s0", "s1", "s2"])}
     rates = [r.rate for r in leads.lead_rates(source).where("id = 'a'").orderBy("seq", "place").collect()]
-    assert rates == leads.merge_leads(source).where("id = 'a'").first().observed_rates and len(rates) == 300
+    assert rates == leads.merge_leads(source, with_rates=True).where("id = 'a'").first().observed_rates and len(rates) == 300
 
 
 def test_leads(spark):
@@ -223,7 +371,7 @@ def test_leads(spark):
         (3, "c", "C", "Lekki", "LA", "IDENTIFIED", ("p", None, None, None), 1, [200], [], None, past),
         (4, "d", "D", "Wuse", "OY", "IDENTIFIED", ("p", None, None, "i"), 12, [200], [], None, until),
     ]
-    merged = leads.merge_leads(spark.createDataFrame(rows, LEAD))
+    merged = leads.merge_leads(spark.createDataFrame(rows, LEAD), with_rates=True)
     a = merged.where("id = 'a'").first()
     assert (a.listing_count, a.observed_rates, a.pms_fingerprints, a.display_name) == (7, [100, 50, 60], ["smoobu", "beds24"], "A")
     assert tuple(a.contact) == ("p", "e", "w", None) and a.retain_until == dt.datetime(2027, 2, 1)

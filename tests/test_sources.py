@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
-from marram.operators import history, publish, reports
-from marram.sources import crawl, feeds, files
+from marram.operators import history, publish, reports, validation
+from marram.sources import connectors, crawl, feeds, files
 from marram.schemas import PLACE, names
 from tests.test_operators import listings
 
@@ -107,3 +108,107 @@ def test_geography(spark):
     got = crawl.geography_dim(spark, [("LA", "Lagos", 1, ["Lekki", "Ikoyi"]), ("KN", "Kano", 9, [])]).collect()
     assert sorted((r.state, r.area, r.demand_rank, r.status) for r in got if r.area) == [("LA", "Ikoyi", 20, "LIVE"), ("LA", "Lekki", 10, "LIVE")]
     assert F is not None
+
+
+ICS = "BEGIN:VCALENDAR\r\nX-WR-CALNAME:{name}\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:{a}\r\nDTEND;VALUE=DATE:{b}\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
+
+
+def test_calendars_by_their_own_format(spark, tmp_path):
+    folder = tmp_path / "calendars"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "two.ics").write_text(ICS.format(name="u1", a="20260410", b="20260413") + ICS.format(name="u2", a="20260410", b="soon"))
+    (folder / "deep" / "u3.ICS").write_text("BEGIN:VCALENDAR\nBEGIN:VEVENT\nDTSTA\n RT:20260420T120000Z\nDTEND:20260421\nEND:VEVENT\nBEGIN:VEVENT\nDTSTART:20260420\nDTEND:20260422\nEND:VEVENT\nBEGIN:VEVENT\nDTSTART:20260420\nEND:VEVENT\nEND:VCALENDAR")
+    (folder / "u4.ics").write_text("")
+    (folder / ".hidden.ics").write_text(ICS.format(name="x", a="20260410", b="20260413"))
+    (folder / "notes.txt").write_text(ICS.format(name="x", a="20260410", b="20260413"))
+    connectors.register(spark)
+    got = sorted((r.unit_id, r.night and r.night.day, r.reason) for r in spark.read.format("marram_calendars").load(str(folder)).collect())
+    assert got == [("u1", 10, None), ("u1", 11, None), ("u1", 12, None), ("u2", None, "malformed date"), ("u3", 20, None), ("u3", 21, None)]
+    # the same as the SQL form of the parser
+    feeds_in = spark.createDataFrame([("u1", ICS.format(name="u1", a="20260410", b="20260413")), ("u2", ICS.format(name="u2", a="20260410", b="soon"))], "unit_id string, body string")
+    nights, bad = feeds.ical_to_nights(feeds_in)
+    assert sorted(r.night.day for r in nights.collect()) == [10, 11, 12] and [r.unit_id for r in bad.collect()] == ["u2"]
+    many = spark.read.format("marram_calendars").option("partBytes", 1).load(str(folder))
+    assert many.rdd.getNumPartitions() == 3 and many.count() == len(got)
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("marram_calendars").load(str(tmp_path / "none")).count() == 0
+
+
+def test_calendars_as_a_stream_come_once(spark, tmp_path):
+    connectors.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        stream = spark.readStream.format("marram_calendars").load(str(folder))
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+        return sorted(r.unit_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for n in range(3):
+        (folder / f"{9 - n}.ics").write_text(ICS.format(name=f"u{n}", a="20260410", b="20260411"))
+        os.utime(folder / f"{9 - n}.ics", (1000 + n // 2, 1000 + n // 2))  # two files of one time
+        if n:
+            assert run() == [f"u{i}" for i in range(n + 1)]
+    assert run() == ["u0", "u1", "u2"]  # nothing new
+
+
+def test_pages_by_their_own_format(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "a.html").write_text("<link href='https://x.ng/1' rel=canonical><p>one")
+    (folder / "b.htm").write_text("<p>two é")
+    connectors.register(spark)
+    got = {r.url: r.html for r in spark.read.format("marram_pages").load(f"file://{folder}").collect()}
+    assert got == {"https://x.ng/1": "<link href='https://x.ng/1' rel=canonical><p>one", f"file://{folder}/b.htm": "<p>two é"}
+
+
+def test_a_document_has_the_same_bytes_however_it_is_partitioned(spark, tmp_path):
+    base = dict.fromkeys(names(PLACE))
+    rows = [tuple({**base, "id": f"s:{i:03}", "source": "s", "source_url": f"https://s.ng/{i}", "area": "é \"x\"\nb", "advertised_price": i * 1000, "currency": "NGN", "contact_route": ("NONE" if i % 3 else "PHONE", "tel:1"), "first_seen_at": dt.date(2026, 1, 1)}.values()) for i in range(120)]
+    places = spark.createDataFrame(rows, PLACE)
+    found = set()
+    for parts in (1, 7, 200):
+        path = tmp_path / f"d{parts}.json"
+        path.write_text("old")
+        files.write_document(places.repartition(parts), str(path))
+        found.add(path.read_bytes())
+    assert len(found) == 1 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["d1.json", "d200.json", "d7.json"]
+    said = json.loads(found.pop())
+    assert [p["id"] for p in said["places"]] == [f"s:{i:03}" for i in sorted(range(120), key=lambda i: (i % 3 > 0, i))] and said["counts"]["places"] == 120
+    assert sorted(map(str, files.read_document(spark, str(path)).collect())) == sorted(map(str, places.collect()))
+    listed, counts = files.read_listing_records(spark, str(path), "places")
+    assert listed.count() == 120 and counts.first().unusable == 0
+    files.write_document(places.limit(0), str(path))
+    assert json.loads(path.read_text())["places"] == [] and files.read_document(spark, str(path)).count() == 0
+
+
+def test_a_run_that_is_written_again_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "a", dt.date(2026, 9, d), d, d) for d in (1, 2)], "source string, source_listing_id string, observed_on date, advertised_price long, seq long")
+    for run in ("r1", "r2", "r2"):
+        files.append_ledger(rows, str(tmp_path / "ledger"), run)
+    assert spark.read.json(str(tmp_path / "ledger")).count() == 4
+    assert [(r.observed_on.day, r["rank"]) for r in files.ordered_ledger(files.read_ledger(spark, str(tmp_path / "ledger"))).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_a_model_is_loaded_once_a_task_and_sees_batches(spark, tmp_path):
+    rows = [(i, float(i), None if i % 7 == 0 else 2.0) for i in range(500)]
+    calls = str(tmp_path)
+
+    def load():
+        import uuid
+
+        with open(f"{calls}/load-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def model(x):
+            with open(f"{calls}/call-{uuid.uuid4().hex}", "w"):
+                pass
+            return x[:, 0] * 10 + x[:, 1]
+
+        return model
+
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(2)
+    got = {r.id: r.model_score for r in validation.score_photos(df, ["a", "b"], load).collect()}
+    assert got == {i: None if b is None else a * 10 + b for i, a, b in rows}
+    names_ = os.listdir(calls)
+    assert sum(n.startswith("load") for n in names_) == 2 and sum(n.startswith("call") for n in names_) <= 4

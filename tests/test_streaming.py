@@ -1,12 +1,16 @@
 """Streams give what the batch operators give on the same rows, whatever the batches are."""
 
 import datetime as dt
+import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marram.operators import history
+from marram.operators.upserts import merge
 from marram.streaming import ledger as L
+from marram.streaming.tables import BucketTable
 
 OBS = "source string, source_listing_id string, observed_at timestamp, advertised_price long, seq long"
 at = lambda d, h=12: dt.datetime(2026, 9, d, h)
@@ -38,36 +42,164 @@ def test_upsert_equals_batch_history(spark, tmp_path):
     assert got == sorted(map(tuple, L.read_state(spark, state).select(*keys, "advertised_price").collect()))
 
 
-def test_changes_and_silence(spark, tmp_path):
-    batches = [
+def in_runs(spark, tmp_path, parts, schema, make, columns, **trigger):
+    """The rows that a stream gives when each part comes in a run of its own, from the checkpoint of the run before."""
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in" / f"b{n}"))
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "b*"))
+        make(source).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(**(trigger or {"availableNow": True})).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    return sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()), key=str)
+
+
+def plain_changes(rows, closed, grace=7):
+    """rows (source, listing, time, price, seq), any order, in a plain loop; days before `closed` are over."""
+    out, days = [], {}
+    for s, k, t, price, seq in rows:
+        if (s, k, t.date()) not in days or days[s, k, t.date()][1] < seq:
+            days[s, k, t.date()] = (price, seq)
+    for key in {(s, k) for s, k, _ in days}:
+        last = None
+        for day in sorted(d for s, k, d in days if (s, k) == key and d < closed):
+            price = days[(*key, day)][0]
+            if last and (day - last[0]).days > grace + 1:
+                out.append((*key, last[0], "delisted", None, last[1]))
+            moved = last is not None and None not in (last[1], price) and last[1] != price
+            out.append((*key, day, "price_change" if moved else "unchanged" if last else "new_listing", last[1] if moved else None, price))
+            last = (day, price)
+        if last and (closed - last[0]).days > grace + 1:
+            out.append((*key, last[0], "delisted", None, last[1]))
+    return sorted(out, key=str)
+
+
+CHANGED = ["source", "source_listing_id", "observed_on", "change", "previous", "current"]
+
+
+def test_changes_of_batches_out_of_order_over_restarts(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [("s", rnd.choice("abcdefg"), at(rnd.randrange(1, 29), rnd.randrange(24)), rnd.choice([None, 5, 5, 6]), n) for n in range(60)]
+    rows += [("s", "a", at(1, 3), 7, 100), ("s", "h", at(2), 5, 101), ("s", "h", at(20), 6, 102), ("s", "i", at(1), 5, 103)]
+    dealt = rnd.sample(rows, len(rows))
+    parts = [dealt[i::3] for i in range(3)]  # each over all days
+    beat = [[("s", "beat", dt.datetime(2026, 10, 29), 1, 900)], [("s", "beat", dt.datetime(2026, 10, 29, 1), 1, 901)]]
+    got = in_runs(spark, tmp_path, [*parts, *beat], OBS, lambda x: L.detect_changes_stream(x, delay="30 days"), CHANGED)
+    assert [r for r in got if r[1] != "beat"] == plain_changes(rows, dt.date(2026, 9, 29))
+
+
+def test_changes_are_told_while_the_watermark_moves(spark, tmp_path):
+    parts = [
         [("s", "a", at(1), 5, 0), ("s", "b", at(1), 5, 1)],
-        [("s", "a", at(2), 6, 2), ("s", "c", at(2), None, 3)],
-        [("s", "a", at(3), None, 4)],
-        [("s", "a", at(4), 7, 5)],
-        [("s", "z", at(9, 23), 1, 6)],
-        [("s", "z", at(10, 1), 1, 7)],
-        [("s", "z", at(10, 2), 1, 8)],
+        [("s", "a", at(3), 6, 3), ("s", "z", at(4), 1, 4)],
+        [("s", "a", at(2, 13), 9, 2), ("s", "a", at(3), 7, 9)],  # a day late, and a second one of a day
+        [("s", "z", at(14), 1, 6)],
+        [("s", "z", at(15), 1, 7), ("s", "b", at(15), 8, 8)],
+        [("s", "z", at(19), 1, 10)],
+        [("s", "z", at(19, 13), 1, 11)],
     ]
-    out = L.run_to_table(L.detect_changes_stream(stream(spark, tmp_path / "in", batches, OBS)), str(tmp_path / "cp")).collect()
-    got = sorted((r.source_listing_id, r.observed_on.day, r.change, r.previous) for r in out if r.source_listing_id != "z")
-    assert ("a", 1, "new_listing", None) in got and ("a", 2, "price_change", 5) in got and ("a", 3, "unchanged", None) in got and ("a", 4, "unchanged", None) in got
-    gone = [(k, d) for k, d, c, _ in got if c == "delisted"]
-    assert gone == [("b", 1), ("c", 2)]  # silent for more than seven days by the last watermark
+    got = in_runs(spark, tmp_path, parts, OBS, lambda x: L.detect_changes_stream(x, delay="2 days"), CHANGED)
+    day = lambda d: dt.date(2026, 9, d)
+    assert [r[1:] for r in got if r[1] != "z"] == [
+        ("a", day(1), "new_listing", None, 5),
+        ("a", day(2), "price_change", 5, 9),
+        ("a", day(3), "delisted", None, 7),
+        ("a", day(3), "price_change", 9, 7),
+        ("b", day(1), "delisted", None, 5),
+        ("b", day(1), "new_listing", None, 5),
+        ("b", day(15), "price_change", 5, 8),
+    ]
+
+
+HOLD = "hold_id string, status string, at timestamp"
 
 
 def test_holds_expire(spark, tmp_path):
-    schema = "hold_id string, status string, at timestamp"
     t = lambda m: dt.datetime(2026, 9, 1, 10, m)
-    batches = [[("h1", "ACTIVE", t(0)), ("h2", "ACTIVE", t(0))], [("h2", "CONVERTED", t(5))], [("x", "ACTIVE", t(20))], [("x", "RELEASED", t(21))]]
-    out = L.run_to_table(L.expire_holds(stream(spark, tmp_path / "in", batches, schema)), str(tmp_path / "cp")).collect()
-    assert [(r.hold_id, r.at) for r in out if r.status == "EXPIRED"] == [("h1", t(15))]
+    parts = [[("h1", "ACTIVE", t(0)), ("h2", "CONVERTED", t(5))], [("h2", "ACTIVE", t(0)), ("h4", "RELEASED", t(9)), ("x", "ACTIVE", t(9))], [("x", "RELEASED", t(30))], [("x", "ACTIVE", t(45))], [("x", "RELEASED", t(46))]]
+    got = in_runs(spark, tmp_path, parts, HOLD, lambda x: L.expire_holds(x, delay="10 minutes"), ["hold_id", "status", "at"])
+    assert [r for r in got if r[0] != "x"] == sorted([("h1", "ACTIVE", t(0)), ("h1", "EXPIRED", t(15)), ("h2", "ACTIVE", t(0)), ("h2", "CONVERTED", t(5)), ("h4", "RELEASED", t(9))], key=str)
+    assert ("x", "EXPIRED", t(24)) in got
 
 
 def test_late_conversion_in_the_same_batch(spark, tmp_path):
     t = lambda m: dt.datetime(2026, 9, 1, 10, m)
-    batches = [[("h1", "ACTIVE", t(0)), ("h1", "CONVERTED", t(15)), ("h2", "ACTIVE", t(0)), ("h2", "CONVERTED", t(14)), ("h3", "ACTIVE", t(0)), ("h3", "ACTIVE", t(10))], [("h3", "RELEASED", t(24)), ("x", "ACTIVE", t(50))]]
-    out = L.run_to_table(L.expire_holds(stream(spark, tmp_path / "in", batches, "hold_id string, status string, at timestamp")), str(tmp_path / "cp")).collect()
-    assert [(r.hold_id, r.at) for r in out if r.status == "EXPIRED"] == [("h1", t(15))] and len(out) == 9
+    parts = [
+        [("h1", "ACTIVE", t(0)), ("h1", "CONVERTED", t(15)), ("h2", "ACTIVE", t(0)), ("h2", "CONVERTED", t(14)), ("h3", "ACTIVE", t(0)), ("h3", "ACTIVE", t(10)), ("h3", "ACTIVE", t(10))],
+        [("h3", "RELEASED", t(24)), ("x", "ACTIVE", t(50))],
+        [("x", "ACTIVE", t(51))],
+    ]
+    got = in_runs(spark, tmp_path, parts, HOLD, L.expire_holds, ["hold_id", "status", "at"])
+    assert [(r[0], r[2]) for r in got if r[1] == "EXPIRED"] == [("h1", t(15))] and len([r for r in got if r[0] != "x"]) == 9
+
+
+def test_webhooks_without_a_time_once(spark, tmp_path):
+    parts = [[("p", "s1", 1), ("p", "s1", 1)], [("p", "s1", 1), ("q", "s1", 2)]]
+    got = in_runs(spark, tmp_path, parts, "processor string, signature string, amount int", L.dedupe_webhooks_by_clock, ["processor", "signature", "amount"], once=True)
+    assert got == [("p", "s1", 1), ("q", "s1", 2)]
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.read_bytes() for f in pathlib.Path(path).rglob("*") if f.is_file()}
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=32, keep=2)
+    rows = lambda ks, v: spark.createDataFrame([(k, v, v) for k in ks], "k long, v long, seq long")
+    change = lambda before, batch: merge(batch.limit(0).drop("seq") if before is None else before, batch, ["k"])
+    assert table.read() is None
+    table.update(0, rows(range(1000), 0), change)
+    first = table.snapshot()
+    touched = table.update(1, rows(range(10), 1), change)
+    second = table.snapshot()
+    assert 0 < len(touched) <= 10 and {b for b, v in second.buckets.items() if v == 1} == set(touched)
+    assert {b: v for b, v in second.buckets.items() if b not in touched} == {b: v for b, v in first.buckets.items() if b not in touched}
+    assert {r.k: r.v for r in table.read().collect()} == {k: int(k < 10) for k in range(1000)}
+    assert {r.k: r.v for r in table.read(below=1).collect()} == dict.fromkeys(range(1000), 0)
+    before = files_of(tmp_path / "t")
+    assert table.update(1, rows(range(10), 77), change) == [] and files_of(tmp_path / "t") == before  # a replay
+    # a crash between data and pointer: the old state stands, and the batch runs again
+    broken = BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=32)
+    broken._publish = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        broken.update(2, rows([3], 2), change)
+    assert {r.v for r in table.read().where("k = 3").collect()} == {1}
+    table.update(2, rows([3], 2), change)
+    table.update(3, rows([4], 3), change)
+    assert {r.k: r.v for r in table.read().where("k < 6").collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 1}
+    # expired: only the last two snapshots are left, and no data but what they name
+    assert sorted(f for f in files_of(tmp_path / "t") if f.startswith("snapshots/") and not f.endswith(".crc")) == ["snapshots/2.json", "snapshots/3.json"]
+    named = {f"data/v={v}/bucket={b}" for n in (3, 4) for b, v in table.snapshot(below=n).buckets.items()}
+    assert {f.rpartition("/")[0] for f in files_of(tmp_path / "t") if f.endswith(".parquet")} == named
+
+
+def test_buckets_that_become_empty(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    rows = spark.createDataFrame([(k,) for k in range(40)], "k long")
+    table.update(0, rows, lambda before, batch: batch)
+    table.update(1, rows.where("k < 40"), lambda before, batch: before.limit(0))
+    assert table.read().count() == 0 and table.read().columns == ["k"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_and_rebuild_equal_the_batch_in_any_order(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    rows = [("s", rnd.choice("abcde"), dt.date(2026, 9, rnd.randrange(1, 20)), rnd.choice([None, 5, 6, 7]), n) for n in range(40)] + [("s", "n", None, 5, 99)]
+    rnd.shuffle(rows)
+    schema = "source string, source_listing_id string, observed_on date, advertised_price long, seq long"
+    base = str(tmp_path / "base")
+    assert L.read_changes(spark, base) is None and L.read_late(spark, base).count() == 0
+    for n in range(4):
+        spark.createDataFrame(rows[n::4], schema).coalesce(1).write.json(str(tmp_path / "in" / f"b{n}"))
+        source = spark.readStream.schema(schema).json(str(tmp_path / "in" / "b*"))
+        L.stream_history(source, base, str(tmp_path / "cp"), delay_days=2, buckets=8).awaitTermination()
+    all_ = spark.createDataFrame(rows, schema)
+    want = sorted((tuple(r) for r in L.history_changes(history.listing_history(all_)).select(*CHANGED).collect()), key=str)
+    assert sorted((tuple(r) for r in L.read_changes(spark, base).select(*CHANGED).collect()), key=str) == want
+    times = [(r[0], r[1], dt.datetime.combine(r[2], dt.time(1)), r[3], r[4]) for r in rows if r[2]]
+    assert want == plain_changes(times, dt.date(2027, 1, 1), grace=10_000)
+    late, newest = set(), None
+    for n in range(4):
+        late |= {r[4] for r in rows[n::4] if newest and r[2] and (newest - r[2]).days > 2}
+        newest = max([r[2] for r in rows[n::4] if r[2]] + ([newest] if newest else []))
+    assert {r.seq for r in L.read_late(spark, base).collect()} == late and late
 
 
 def test_webhooks_once(spark, tmp_path):
