@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marram.functions.constants import RETENTION_DAYS
 from marram.functions.text import canonical_area, normalise_operator_name, normalise_phone, operator_key, phone_dedupe_key
 from marram.functions.web import domain_of
-from marram.operators.graph import checkpointed, few_tasks, min_label_components, star_edges
+from marram.operators.graph import few_tasks, min_label_components, star_edges, stored
 from marram.operators.order import with_rank
 
 
@@ -54,13 +54,13 @@ def joining_evidence(listings: DataFrame, max_rounds: int = 40) -> DataFrame:
     strong = F.when(F.col("kind") == "STRONG", 0).otherwise(1)
     place = F.array_position(F.array(*map(F.lit, _PLACES)), F.col("signal"))
     order = F.struct(strong.alias("k"), "a", place.alias("p"), "value", "b")
-    open_ = checkpointed(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), order.alias("o")))
+    open_ = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), order.alias("o")))
     n = open_.count()
     forest = None
     for _ in range(max_rounds):
         open_ = few_tasks(open_, n)
         ends = open_.select("x", F.struct("o", F.col("y").alias("to")).alias("e")).union(open_.select("y", F.struct("o", F.col("x").alias("to"))))
-        best = checkpointed(few_tasks(ends.groupBy("x").agg(F.min("e").alias("e")).select("x", "e.to", "e.o"), n))
+        best = stored(few_tasks(ends.groupBy("x").agg(F.min("e").alias("e")).select("x", "e.to", "e.o"), n))
         if best.isEmpty():
             break
         chosen = few_tasks(best.select("o").distinct(), n)
@@ -69,7 +69,7 @@ def joining_evidence(listings: DataFrame, max_rounds: int = 40) -> DataFrame:
         left = open_.join(roots.toDF("x", "rx"), "x").join(roots.toDF("y", "ry"), "y").where("rx <> ry")
         # of several edges between two sets only the least can be taken
         left = left.select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"), "o").groupBy("x", "y").agg(F.min("o").alias("o"))
-        open_ = checkpointed(few_tasks(left, n))
+        open_ = stored(few_tasks(left, n))
     else:
         raise RuntimeError(f"sets did not settle in {max_rounds} rounds")
     if forest is None:
@@ -82,10 +82,10 @@ def _ends_of_walks(steps: DataFrame, n: int) -> DataFrame:
     """(x, root) for steps (x, to), one from each x, that run into pairs which point at each other: the lesser of the pair."""
     back = steps.select(F.col("x").alias("to"), F.col("to").alias("again"))
     ahead = steps.join(back, "to").select("x", F.when((F.col("again") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("to"))
-    ahead = checkpointed(few_tasks(ahead, n))
+    ahead = stored(few_tasks(ahead, n))
     while True:
         further = ahead.select(F.col("x").alias("to"), F.col("to").alias("next"))
-        joined = checkpointed(few_tasks(ahead.join(further, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), n))
+        joined = stored(few_tasks(ahead.join(further, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), n))
         ahead = joined.select("x", "to")
         if joined.where("moved").isEmpty():
             return ahead.toDF("x", "root")
