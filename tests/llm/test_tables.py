@@ -241,19 +241,20 @@ def test_given_pages_without_articles_are_told_apart_by_differencing(spark):
     found = {r.page_id: r for r in extract_text(pages, report=True).collect()}
     rows = {r.page_id: [x for x in page_lines(r.html)] for r in pages.collect()}
     assert all(kind != "main" for lines in rows.values() for _, kind in lines)
-    assert sum(r.n_differenced for r in found.values()) > len(found)
-    kept = cut = 0
+    assert sum(r.n_differenced for r in found.values()) > 0
+    kept = 0
     for page_id, lines in rows.items():
         free = [t for t, kind in lines if kind == "free"]
         left = found[page_id].text.split("\n") if found[page_id].text else []
         rest = iter(free)
         assert all(x in rest for x in left)  # in page order, nothing added
-        kept, cut = kept + len(left), cut + len(free) - len(left)
+        kept += len(left)
+        assert len(free) - len(left) <= found[page_id].n_differenced
         if found[page_id].n_differenced:
             others = [[t for t, _ in x] for i, x in rows.items() if i != page_id]
             # what went is as long as the alignment with one of the other pages
             assert any(plain_alignment([t for t, _ in lines], other) == found[page_id].n_differenced for other in others)
-    assert kept > cut > 0
+    assert kept > 10 * len(found) / 2
 
 
 def test_lines_keep_kinds():
