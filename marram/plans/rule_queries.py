@@ -9,9 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.functions import dates, money, web
+from marram.functions import dates, facts, geo, money, text, web
+from marram.functions.constants import AREA_CENTROIDS
+from marram.functions.facts import TITLE_DOCUMENTS
 from marram.functions.text import stable_id
-from marram.operators import availability, history, publish, reports, search, upserts, validation
+from marram.operators import availability, extraction, history, pricing, publish, reports, search, upserts, validation
 from marram.operators.graph import checkpoint_folder, checkpointed
 from marram.plans import queries as base
 from marram.plans.registry import query
@@ -726,3 +728,79 @@ def lead_files(spark, sf_dir):
     path = _folder(spark, "leads")
     files.write_leads(base._leads(spark, sf_dir)[0], path)
     return spark.read.schema("component long, listing_count long, lowest_rate long").json(path)
+
+
+# ---- single functions over whole tables ---------------------------------------------------------------------------
+
+
+@query(
+    "instants",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS instant,
+    CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) END AS day FROM events""",
+)
+def instants(spark, sf_dir):
+    """Times without an offset, with one, with a Z and with none that can be read; dates among other strings."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    said = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    k = F.col("event_id") % 4
+    written = F.when(k == 0, said).when(k == 1, F.concat(said, F.lit("+01:00"))).when(k == 2, F.concat(F.replace(said, F.lit(" "), F.lit("T")), F.lit("Z"))).otherwise(F.concat(F.lit("on "), said))
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, said).otherwise(F.lit("2024-02-30"))
+    return e.select("event_id", F.date_format(dates.to_utc(written), "yyyy-MM-dd HH:mm:ss").alias("instant"), dates.iso_date(day).alias("day"))
+
+
+_CENTROIDS = ", ".join(f"({i}, '{name}', {lat}, {lng})" for i, (name, lat, lng) in enumerate(AREA_CENTROIDS))
+_TITLES = ", ".join(f"({i}, '{key}', '{risk}')" for i, (key, _, risk) in enumerate(TITLE_DOCUMENTS))
+
+
+@query(
+    "facts_of_places",
+    f"""SELECT p_partkey AS seq, CAST(c.lat AS DOUBLE) AS lat, CAST(c.lng AS DOUBLE) AS lng, t.risk, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE -p_size END AS n
+    FROM part LEFT JOIN (VALUES {_CENTROIDS}) c(i, name, lat, lng) ON c.i = p_partkey % {len(AREA_CENTROIDS) + 3} LEFT JOIN (VALUES {_TITLES}) t(i, key, risk) ON t.i = p_partkey % {len(TITLE_DOCUMENTS) + 2}""",
+)
+def facts_of_places(spark, sf_dir):
+    """Centroids of areas, risks of title documents and integers of JSON documents, with unknown ones among them."""
+    k = F.col("p_partkey")
+    area = F.element_at(F.array(*[F.lit(f" {name.upper()} ") for name, _, _ in AREA_CENTROIDS], *[F.lit("nowhere")] * 3), (k % (len(AREA_CENTROIDS) + 3) + 1).cast("int"))
+    title = F.element_at(F.array(*[F.lit(key) for key, _, _ in TITLE_DOCUMENTS], F.lit("OTHER"), F.lit(None).cast("string")), (k % (len(TITLE_DOCUMENTS) + 2) + 1).cast("int"))
+    n = F.when(k % 5 == 0, F.col("p_size").cast("string")).when(k % 5 == 1, F.lit('""')).when(k % 5 == 2, F.lit('"many"')).when(k % 5 == 3, F.lit("null")).otherwise(F.concat(F.lit('"-'), F.col("p_size").cast("string"), F.lit('"')))
+    rows = table(spark, sf_dir, "part").select(k.alias("seq"), geo.centroid_for_area(area).alias("c"), facts.title_risk(title).alias("risk"), text.json_int(F.concat(F.lit('{"n": '), n, F.lit("}")), "n").alias("n"))
+    return rows.select("seq", "c.lat", "c.lng", "risk", "n")
+
+
+@query("operator_count", "SELECT count(DISTINCT partner_id) AS operators FROM fx_units WHERE state = 'LA'")
+def operator_count(spark, sf_dir):
+    return reports.operator_count(view(spark, sf_dir, "fx_units").where("state = 'LA'"))
+
+
+@query("split_percent", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN nightly_rate_kobo * 100 // (nightly_rate_kobo + nights * 100000) END AS percent FROM fx_charges")
+def split_percent(spark, sf_dir):
+    total = F.when(F.col("l_orderkey") % 9 == 0, F.lit(0).cast("long")).otherwise(F.col("nightly_rate_kobo") + F.col("nights") * 100_000)
+    return view(spark, sf_dir, "fx_charges").select("l_orderkey", "l_linenumber", pricing.split_percent("nightly_rate_kobo", total).alias("percent"))
+
+
+@query(
+    "geography_dim",
+    """SELECT n_name AS state, n_nationkey % 3 AS launch_order, CASE WHEN n_nationkey % 3 <= 1 THEN 'LIVE' ELSE 'PLANNED' END AS status, CASE WHEN n_nationkey % 4 > 0 THEN 'area ' || i END AS area, CASE WHEN n_nationkey % 4 > 0 THEN i * 10 END AS demand_rank, customers
+    FROM nation JOIN (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1) ON c_nationkey = n_nationkey, unnest(range(1, greatest(2, n_nationkey % 4 + 1))) r(i)""",
+)
+def geography_dim(spark, sf_dir):
+    """Nations as states with up to three areas, each with the number of its customers."""
+    states = [(r.n_name, r.n_name.title(), r.n_nationkey % 3, [f"area {i}" for i in range(1, r.n_nationkey % 4 + 1)]) for r in table(spark, sf_dir, "nation").collect()]  # 25 rows
+    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return crawl.geography_dim(spark, states).join(customers.select(F.col("n_name").alias("state"), "customers"), "state").select("state", "launch_order", "status", "area", "demand_rank", "customers")
+
+
+@query(
+    "image_rules",
+    """SELECT l_orderkey, l_linenumber, l_orderkey % 7 IN (1, 2, 3) AS watermark, l_orderkey % 7 IN (4, 5) AS proxied, l_orderkey % 7 = 6 AND l_linenumber > 1 AS other_listing FROM lineitem""",
+)
+def image_rules(spark, sf_dir):
+    """Addresses of images: plain, with a mark in the name, of a brand's host or path, proxied in two ways, and of a listing that may be another."""
+    k, n = F.col("l_orderkey") % 7, F.col("l_linenumber")
+    name = F.concat(F.col("l_partkey").cast("string"), F.lit(".jpg"))
+    at = lambda left, right="": F.concat(F.lit(left), name, F.lit(right))
+    own = F.lit(1_000_000) + F.col("l_orderkey")
+    url = F.when(k == 1, at("https://cdn.pics.ng/watermark_")).when(k == 2, at("https://img.propertypro.ng/")).when(k == 3, at("https://cdn.pics.ng/jiji/")).when(k == 4, at("https://wsrv.nl/?w=200&x=")).when(k == 5, at("https://cdn.pics.ng/get?url=a/"))
+    url = url.when(k == 6, F.concat(F.lit("https://cdn.pics.ng/"), F.when(n > 1, own + n).otherwise(own).cast("string"), F.lit("/"), name)).otherwise(at("https://cdn.pics.ng/"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", url.alias("url"), own.cast("string").alias("own"))
+    return rows.select("l_orderkey", "l_linenumber", extraction.has_watermark("url").alias("watermark"), extraction.is_hotlinkable("url").alias("proxied"), extraction.is_other_listing("url", "own").alias("other_listing"))
