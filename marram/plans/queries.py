@@ -12,6 +12,7 @@ from marram.functions import dates, geo, money, text, web
 from marram.functions.constants import FEE_POLICIES, LEGAL_SUFFIXES, OCCUPYING_STATUSES, PRICE_BANDS
 from marram.operators import availability, entities, extraction, history, intervals, leads, pricing, publish, reports, search, upserts, validation
 from marram.operators.graph import checkpoint_folder, checkpointed
+from marram.plans import pipeline
 from marram.plans.pipeline import run_listings
 from marram.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marram.plans.views import table, view, with_views
@@ -903,6 +904,29 @@ def run_pipeline_parts(spark, sf_dir):
     return reduce(DataFrame.union, parts)
 
 
+@query(
+    "run_pipeline_pages",
+    f"""WITH {_PAGE_FACTS}, acc AS (SELECT * FROM extracted WHERE seq % 40 <> 1), old AS (SELECT source, source_listing_id, CASE WHEN seq % 2 = 0 THEN advertised_price ELSE advertised_price + 100 END AS p FROM acc WHERE seq % 10 <> 0),
+    both_ AS (SELECT acc.*, old.p, old.source IS NOT NULL AS known FROM acc LEFT JOIN old USING (source, source_listing_id))
+    SELECT 'listings' AS part, count(*) AS rows, sum(advertised_price)::BIGINT AS total FROM acc UNION ALL SELECT 'rejected', count(*), sum(advertised_price)::BIGINT FROM extracted WHERE seq % 40 = 1
+    UNION ALL SELECT 'report', 2, count(*) FROM extracted UNION ALL SELECT 'new_listing', count(*) FILTER (NOT known), sum(advertised_price) FILTER (NOT known)::BIGINT FROM both_
+    UNION ALL SELECT 'price_change', count(*) FILTER (known AND p <> advertised_price), sum(p) FILTER (known AND p <> advertised_price)::BIGINT FROM both_
+    UNION ALL SELECT 'unchanged', count(*) FILTER (known AND (p <> advertised_price) IS NOT TRUE), sum(advertised_price) FILTER (known AND (p <> advertised_price) IS NOT TRUE)::BIGINT FROM both_
+    UNION ALL SELECT 'ledger', (SELECT count(*) FROM old) + (SELECT count(*) FROM acc), ((SELECT sum(p) FROM old) + (SELECT sum(advertised_price) FROM acc))::BIGINT""",
+)
+def run_pipeline_pages(spark, sf_dir):
+    """A whole run from pages. Every tenth page of one source has an address that isn't HTTP's, so its listing is rejected."""
+    pages = view(spark, sf_dir, "fx_pages").withColumn("url", F.when(F.col("seq") % 40 == 1, F.regexp_replace("url", "^https:", "ftp:")).otherwise(F.col("url")))
+    pages = checkpointed(pages)
+    x = checkpointed(extraction.extract_listings(pages))
+    price = F.when(F.col("seq") % 2 == 0, F.col("advertised_price")).otherwise(F.col("advertised_price") + 100)
+    before = x.where("seq % 10 <> 0 and seq % 40 <> 1").select("source", "source_listing_id", F.lit(MIDDLE).cast("date").alias("observed_on"), price.alias("advertised_price"))
+    run = pipeline.run_pipeline(pages, before, TODAY, "by the source")
+    parts = [("listings", run.listings, "advertised_price"), ("rejected", run.rejected, "advertised_price"), ("report", run.report, "rows"), ("ledger", run.ledger, "advertised_price")]
+    parts += [(kind, run.changes.where(F.col("change") == kind), "previous" if kind == "price_change" else "advertised_price") for kind in ("new_listing", "price_change", "unchanged")]
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("rows"), F.sum(total).cast("long").alias("total")).select(F.lit(name).alias("part"), "rows", "total") for name, df, total in parts])
+
+
 @query("marketplace_metrics", """WITH b AS (SELECT l_orderkey AS id, sum(nights) AS nights, sum(nightly_rate_kobo) AS total FROM fx_charges GROUP BY 1), s AS (SELECT stay_id AS id, status FROM fx_stays),
     j AS (SELECT status, nights, total FROM b JOIN s USING (id)), n AS (SELECT sum(CAST(check_out - check_in AS INT)) AS open_nights FROM fx_stays WHERE check_out > check_in)
     SELECT sum(nights) FILTER (status = 'F')::DOUBLE / (SELECT open_nights FROM n) AS fill_rate, count(*) FILTER (status = 'F')::DOUBLE / count(*) AS paid_rate, count(*) FILTER (status = 'P')::DOUBLE / count(*) AS cancel_rate, 1.0::DOUBLE AS take_rate FROM j""")
