@@ -101,6 +101,26 @@ def test_url_rules_match_brute_force(spark):
     assert {r.verdict for r in filter_urls(pages, spark.createDataFrame([], "verdict string, host string, path string")).collect()} == {"allow"}
 
 
+def test_op5_rules_are_the_contracts(spark, tmp_path):
+    """Each rule's word is written out here, not read from RULES, for the query and for its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://a.com/en/7": ("com/en/", "block"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "http://w.example.com/en/77": ("example.com/en/7", "allow"),
+        "http://net/de/": ("net/de/", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://w.example.net/de/8/x": ("example.net/de/8", "block"),
+        "http://org/es/": ("org/es/", "block"), "http://a.org/es/9": ("org/es/", "block"),
+        "http://com/de/": (None, "allow"), "http://net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = [(i, *r) for i, r in enumerate(want.values())]
+    got = queries.op5_url_filter(spark, str(tmp_path)).select("page_id", "rule", "verdict")
+    assert sorted(map(tuple, got.collect())) == rows
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(base.sql(f"SELECT page_id, rule, verdict FROM ({queries.OP5_SQL})").fetchall()) == rows
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";x()</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">A</a><li>B</ul></nav><!-- ad --><div class="ad-box">Buy</div>
 <article><h1>Head&nbsp;line</h1><p><b>First   line<br>goes on<p>Second &lt;b&gt; &eacute;<ul><li>one<li>two</ul><aside>Side</aside><form>F</form>
