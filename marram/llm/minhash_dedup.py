@@ -280,12 +280,11 @@ def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     )
     spread = F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("component")))
     name = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(spread, F.col("parts")))
-    placed = members.join(sizes, ["bucket", "component"]).select("bucket", "band", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large"))
+    placed = materialise(members.join(sizes, ["bucket", "component"]).select("bucket", "band", "component", "node", F.xxhash64(F.when(F.col("own"), F.col("component")), name).alias("block"), F.when(F.col("own"), F.col("component")).alias("large")))  # read three times: a plan with all of it three times over takes the driver's memory
     blocks = placed.select("bucket", "band", "block", "large").distinct()
     other = blocks.select("bucket", F.col("block").alias("j"), F.col("large").alias("large_j"))
     pairs = blocks.withColumnRenamed("block", "i").join(other, "bucket").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("large") == F.col("large_j"), F.lit(False)))
-    pairs = pairs.select(*_KEYS)
-    return placed.drop("large", "band"), pairs.withColumn("block", F.col("i")).union(pairs.where("i <> j").withColumn("block", F.col("j")))
+    return placed.drop("large", "band"), pairs.select(*_KEYS, F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
 
 def hopeful_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -148,3 +148,49 @@ def test_components(spark, shape):
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert [tuple(r) for r in connected_components(spark.createDataFrame([(3, 3)], "a long, b long")).collect()] == [(3, 3)]
+
+
+def jobs_of(spark, name, run):
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(key, None)
+    return len(context.statusTracker().getJobIdsForGroup(name))
+
+
+def test_components_run_their_input_once_and_few_jobs(spark):
+    """Each shuffle or broadcast is a job and a thread of the driver, whose memory many rounds of them use up."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 120, 3)], "a long, b long").mapInArrow(counted, "a long, b long")
+    found = []
+    jobs = jobs_of(spark, "components", lambda: found.extend(connected_components(edges).collect()))
+    assert sorted(map(tuple, found)) == sorted((n, i) for i in range(0, 120, 3) for n in (i, i + 1))
+    assert made.value == 40
+    assert jobs <= 12, jobs
+
+
+def test_components_of_several_tasks(spark, monkeypatch):
+    """Rounds by joins give what rounds in one task give."""
+    rnd = random.Random(9)
+    edges = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(7, 7), (999, 999), (None, 3), (3, None)], "a long, b long")
+    one = sorted(map(tuple, connected_components(edges).collect()))
+    monkeypatch.setattr("marram.llm.components.EDGES_PER_TASK", 40)
+    assert sorted(map(tuple, connected_components(edges).collect())) == one
+    assert (999, 999) in one and not any(None in r for r in one)
+
+
+def test_plans_of_near_duplicates_are_small(spark):
+    """What is compared in blocks is read from one stored table, not planned anew for each of its uses."""
+    members = spark.createDataFrame([(1, 0, i, i) for i in range(9)], "bucket long, band int, component long, node long")
+    placed, sides = minhash_dedup._block_pairs(members, 4)
+    plan = placed.join(sides, ["bucket", "block"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 9, plan
