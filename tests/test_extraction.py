@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import extraction as X
 from marram.operators.extraction import extract_listings
+from marram.plans import queries
 
 LISTING = """<html><head><link rel="canonical" href="https://www.nigeriapropertycentre.com/for-rent/short-let/lagos/ikeja/bright-3-bedroom-flat-1043552">
 <meta property="og:title" content="Bright 3 Bedroom Flat &amp; Terrace"><title>Other | Site</title><script src="https://app.smoobu.com/w.js"></script>
@@ -83,3 +84,19 @@ def test_places(spark):
     crumb = value(spark, X.location_from_breadcrumb(F.lit('<a href="/region,1">Lagos</a><a href="/region,2">Lekki</a><a href="/region,3">Lekki Phase 1</a>')))
     assert (crumb.city, crumb.area) == ("Lagos", "Lekki Phase 1")
     assert value(spark, X.clean_title(F.lit("Nice flat in Lekki (AB12CD) | Portal"))) == "Nice flat"
+
+
+def _pages_of_headings(spark, monkeypatch, headings):
+    rows = [(n, f"https://www.example.com/en/{n}", f"<html><title>x</title><h1>{h}</h1></html>") for n, h in enumerate(headings)]
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+HEADINGS = ["a&amp;&amp", "a &amp;lt; b", "&lt;b&gt;&quot;", "&amp &lt x", "plain & all"]
+NAMES = ["a&&amp", "a &lt; b", "<b>\"", "&amp &lt x", "plain & all"]
+
+
+def test_page_names_leave_references_without_an_end(spark, monkeypatch):
+    _pages_of_headings(spark, monkeypatch, HEADINGS)
+    got = {r.page_id: r.name for r in queries.queries()["page_names"](spark, "").collect()}
+    assert [got[n] for n in range(len(HEADINGS))] == NAMES
+    assert [value(spark, X.unescape(F.lit(t), unclosed=False)) for t in ("&#65;&#65", "&#x41;&#x41", "&copy;&copy")] == ["A&#65", "A&#x41", "©&copy"]
