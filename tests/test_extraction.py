@@ -100,3 +100,9 @@ def test_page_names_leave_references_without_an_end(spark, monkeypatch):
     got = {r.page_id: r.name for r in queries.queries()["page_names"](spark, "").collect()}
     assert [got[n] for n in range(len(HEADINGS))] == NAMES
     assert [value(spark, X.unescape(F.lit(t), unclosed=False)) for t in ("&#65;&#65", "&#x41;&#x41", "&copy;&copy")] == ["A&#65", "A&#x41", "©&copy"]
+
+
+def test_listings_of_the_query_leave_references_without_an_end(spark, monkeypatch):
+    _pages_of_headings(spark, monkeypatch, HEADINGS)
+    got = {r.seq: r.property_name for r in queries.queries()["extract_listings"](spark, "").collect()}
+    assert [got[n] for n in range(len(HEADINGS))] == NAMES
