@@ -41,9 +41,9 @@ def _listed(uri: str, suffixes: tuple[str, ...]) -> list[tuple[int, str, int]]:
 
 def _dealt(found: list[tuple[int, str, int]], most: int) -> list[Files]:
     parts: list[Files] = []
-    size = most
+    size = 0
     for _, path, n in found:
-        if size + n > most:
+        if not parts or size + n > most:  # the first file may be empty
             parts.append(Files([]))
             size = 0
         parts[-1].paths.append(path)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from marram.operators import history, publish, reports, validation
@@ -152,6 +153,22 @@ def test_calendars_as_a_stream_come_once(spark, tmp_path):
     assert run() == ["u0", "u1", "u2"]  # nothing new
 
 
+@pytest.mark.parametrize("sizes", [[0], [0, 0, 90], [0, 90, 0, 90]])
+def test_files_are_dealt_though_the_first_is_empty(sizes):
+    parts = connectors._dealt([(n, f"f{n}", size) for n, size in enumerate(sizes)], 100)
+    assert [p for part in parts for p in part.paths] == [f"f{n}" for n in range(len(sizes))] and all(part.paths for part in parts)
+
+
+def test_calendars_whose_first_file_is_empty(spark, tmp_path):
+    """As Spark's writer leaves one for an empty partition."""
+    (tmp_path / "in").mkdir()
+    for n, text in enumerate(["", ICS.format(name="u1", a="20260410", b="20260412"), ""]):
+        (tmp_path / "in" / f"{n}.ics").write_text(text)
+        os.utime(tmp_path / "in" / f"{n}.ics", (1000 + n, 1000 + n))
+    connectors.register(spark)
+    assert spark.read.format("marram_calendars").load(str(tmp_path / "in")).count() == 2
+
+
 def test_pages_by_their_own_format(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
