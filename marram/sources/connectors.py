@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -172,7 +174,9 @@ class PageSource(_FolderSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to a session."""
+    """Makes both formats known to a session. Spark plans their batches in Python of its own beside the driver, which gets nothing that
+    was sent to executors, so the sources travel with their code."""
     ship(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     for source in (CalendarSource, PageSource):
         spark.dataSource.register(source)

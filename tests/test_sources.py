@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +171,40 @@ def test_calendars_whose_first_file_is_empty(spark, tmp_path):
     assert spark.read.format("marram_calendars").load(str(tmp_path / "in")).count() == 2
 
 
+def test_a_stream_of_calendars_whose_first_file_is_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, text in enumerate(["", ICS.format(name="u1", a="20260410", b="20260412")]):
+        (tmp_path / "in" / f"{n}.ics").write_text(text)
+        os.utime(tmp_path / "in" / f"{n}.ics", (1000 + n, 1000 + n))
+    connectors.register(spark)
+    stream = spark.readStream.format("marram_calendars").load(str(tmp_path / "in"))
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_calendars_where_only_the_driver_finds_the_package(tmp_path):
+    """Python that Spark starts beside the driver to plan a source's batches doesn't get what was sent to executors."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "u1.ics").write_text(ICS.format(name="u1", a="20260410", b="20260412"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from marram.sources import connectors
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+connectors.register(spark)
+folder = {str(tmp_path)!r}
+assert spark.read.format("marram_calendars").load(folder + "/in").count() == 2
+stream = spark.readStream.format("marram_calendars").load(folder + "/in")
+stream.writeStream.option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start(folder + "/out", format="parquet").awaitTermination()
+assert spark.read.parquet(folder + "/out").count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 def test_pages_by_their_own_format(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
