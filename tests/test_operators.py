@@ -500,3 +500,22 @@ def test_frontier_and_small_reports(spark):
     assert publish.places_for_ids(places, places.select("id").limit(1)).count() == 1
     link = spark.range(1).select(publish.affiliate_deep_link(F.lit("https://p/x?a=1"), F.lit("2026-01-01"), F.lit("2026-01-03"), F.lit(2)).alias("l")).first().l
     assert link == "https://p/x?a=1&checkin=2026-01-01&checkout=2026-01-03&guests=2"
+
+
+def test_a_merge_of_constant_days_is_no_comparison_of_all_rows(spark):
+    day = lambda d: F.lit(d).cast("date").alias("observed_on")
+    rows = spark.range(3).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_listing_id"), F.col("id").alias("advertised_price"))
+    state = rows.select("source", "source_listing_id", day("2024-01-01"), "advertised_price")
+    for today, want in (("2024-01-02", 6), ("2024-01-01", 3)):
+        merged = upserts.upsert_observations(state, rows.select("source", "source_listing_id", day(today), (F.col("advertised_price") + 10).alias("advertised_price"), F.lit(1).alias("seq")))
+        assert merged.columns == state.columns and merged.count() == want
+        assert "NestedLoop" not in merged._jdf.queryExecution().toString()
+        assert sorted(r.advertised_price for r in merged.collect()) == ([0, 1, 2] if want == 6 else []) + [10, 11, 12]
+
+
+def test_a_merge_keeps_keys_with_nulls_apart(spark):
+    state = spark.createDataFrame([("a", None, 1), (None, "x", 2), ("a", "x", 3)], "k string, l string, v int")
+    batch = spark.createDataFrame([("a", None, 4, 1), ("a", "x", 5, 1)], "k string, l string, v int, seq int")
+    assert sorted(map(tuple, upserts.merge(state, batch, ["k", "l"]).collect()), key=str) == sorted([("a", None, 1), (None, "x", 2), ("a", "x", 5), ("a", None, 4)], key=str)
+    wide = spark.createDataFrame([(1, 4, 1), (2, 5, 1)], "k long, v int, seq int")
+    assert sorted(map(tuple, upserts.merge(spark.createDataFrame([(1, 3)], "k int, v int"), wide, ["k"]).collect())) == [(1, 4), (2, 5)]
