@@ -519,3 +519,19 @@ def test_a_merge_keeps_keys_with_nulls_apart(spark):
     assert sorted(map(tuple, upserts.merge(state, batch, ["k", "l"]).collect()), key=str) == sorted([("a", None, 1), (None, "x", 2), ("a", "x", 5), ("a", None, 4)], key=str)
     wide = spark.createDataFrame([(1, 4, 1), (2, 5, 1)], "k long, v int, seq int")
     assert sorted(map(tuple, upserts.merge(spark.createDataFrame([(1, 3)], "k int, v int"), wide, ["k"]).collect())) == [(1, 4), (2, 5)]
+
+
+def test_a_run_from_pages_extracts_them_once(spark, monkeypatch):
+    from marram.operators import extraction
+    from marram.plans import pipeline, queries
+
+    calls, real = [], extraction.extract_listings
+
+    def counted(pages, *rest):
+        calls.append(pages.rdd.getNumPartitions())
+        return real(pages, *rest)
+
+    monkeypatch.setattr(extraction, "extract_listings", counted)
+    monkeypatch.setattr(pipeline, "extract_listings", counted)
+    queries.queries()["run_pipeline_pages"](spark, "/root/testdata/sf0.001")
+    assert calls == [spark.sparkContext.defaultParallelism]  # and pages are rendered by all cores
