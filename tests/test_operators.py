@@ -535,3 +535,20 @@ def test_a_run_from_pages_extracts_them_once(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "extract_listings", counted)
     queries.queries()["run_pipeline_pages"](spark, "/root/testdata/sf0.001")
     assert calls == [spark.sparkContext.defaultParallelism]  # and pages are rendered by all cores
+
+
+def _crowd(spark):
+    """120 units at two points, six queries of which three with a radius ask the same."""
+    one = lambda i: (f"u{i:03}", "p", 4 - i % 2, 2, 1, 30, 5_000_000 + i % 50 * 1_000_000, 0, "LA", f"area {i % 7}", 6.45 + i % 2 / 50, 3.47, "C_OF_O", "LISTED")
+    rows = [(i, "LA", None, 4 if i == 3 else 2, 0, 6.45, 3.47, 0.5 if i < 4 else 9.0, 2) for i in range(5)] + [(9, "LA", "area 1", 3, 0, None, None, None, 2)]
+    queries = spark.createDataFrame(rows, "query_id int, q_state string, q_area string, q_guests int, q_bedrooms int, q_lat double, q_lng double, q_radius double, nights int")
+    return spark.createDataFrame([one(i) for i in range(120)], UNITS), spark.createDataFrame([("p",)], "partner_id string"), pricing.default_fee_policies(spark), queries
+
+
+def test_results_of_a_batch_are_quoted_once(spark):
+    args = _crowd(spark)
+    got, want = search.search_batch(*args, with_excluded=False), search.search_batch(*args).where("size(reasons) = 0")
+    assert "rate_bps" not in got._jdf.queryExecution().toString()  # pairs carry no fee policy, and no quote is made of them
+    assert sorted(got.columns) == sorted(want.columns) and got.count() == want.count() > 100
+    columns = [c for c in sorted(want.columns) if c != "reasons"]
+    assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and want.select(columns).exceptAll(got.select(columns)).isEmpty()
