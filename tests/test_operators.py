@@ -552,3 +552,18 @@ def test_results_of_a_batch_are_quoted_once(spark):
     assert sorted(got.columns) == sorted(want.columns) and got.count() == want.count() > 100
     columns = [c for c in sorted(want.columns) if c != "reasons"]
     assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and want.select(columns).exceptAll(got.select(columns)).isEmpty()
+
+
+def test_facets_meet_points_and_not_units(spark, monkeypatch):
+    met, real = [], search.radius_join
+
+    def counted(points, centres, **rest):
+        met.append((points.count(), centres.count()))
+        return real(points, centres, **rest)
+
+    monkeypatch.setattr(search, "radius_join", counted)
+    args = _crowd(spark)
+    got = {r.query_id: r.results for r in search.search_batch_facets(*args).collect()}
+    assert met == [(2, 3)]
+    every = search.search_batch(*args).where("size(reasons) = 0").groupBy("query_id").count().collect()
+    assert got == {r.query_id: r["count"] for r in every}
