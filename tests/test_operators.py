@@ -567,3 +567,25 @@ def test_facets_meet_points_and_not_units(spark, monkeypatch):
     assert met == [(2, 3)]
     every = search.search_batch(*args).where("size(reasons) = 0").groupBy("query_id").count().collect()
     assert got == {r.query_id: r["count"] for r in every}
+
+
+def test_the_cheapest_near_in_rounds(spark, monkeypatch):
+    met, real = [], search.radius_join
+
+    def counted(points, centres, **rest):
+        met.append((points.count(), centres.count()))
+        return real(points, centres, **rest)
+
+    monkeypatch.setattr(search, "radius_join", counted)
+    monkeypatch.setattr(search, "FIRST_STAYS", 8, raising=False)
+    monkeypatch.setattr(search, "MORE_STAYS", 4, raising=False)
+    args = _crowd(spark)
+    every = [r for r in search.search_batch(*args).collect() if not r.reasons]
+    met.clear()
+    for limit in (2, 30, 1000):
+        want = []
+        for q in {r.query_id for r in every}:
+            own = sorted((r for r in every if r.query_id == q), key=lambda r: (r.total_kobo, r.unit_id))[:limit]
+            want += [(q, n, r.unit_id, r.total_kobo, r.distance_km) for n, r in enumerate(own, 1)]
+        assert sorted(tuple(r) for r in search.search_batch_top(*args, limit=limit).collect()) == sorted(want)
+    assert met[:2] == [(8, 5), (8, 5)] and met[-3:] == [(8, 5), (32, 5), (120, 5)]
