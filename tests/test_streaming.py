@@ -4,6 +4,7 @@ import datetime as dt
 import pathlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,68 @@ def test_webhooks_once(spark, tmp_path):
 def test_late_rows(spark, end, want):
     rows = spark.createDataFrame([("s", "a", at(1), 5, 0), ("s", "a", at(2), 5, 1)], OBS)
     assert L.late_observations(rows, end).count() == want
+
+
+class Counted:
+    """A bucket's state and timers in memory, that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getListState(self, name, schema):
+        return self.State(self)
+
+    getValueState = getMapState = getListState
+
+    class State:
+        def __init__(self, handle):
+            self.handle, self.rows = handle, []
+
+        def _counted(self, rows):
+            self.handle.calls += 1
+            self.rows = rows
+
+        def appendList(self, rows):
+            self._counted(self.rows + rows)
+
+        def put(self, rows):
+            self._counted(list(rows))
+
+        def update(self, row):
+            self._counted(row)
+
+        def clear(self):
+            self._counted([])
+
+        def exists(self):
+            self._counted(self.rows)
+            return bool(self.rows)
+
+        def get(self):
+            self._counted(self.rows)
+            return self.rows if isinstance(self.rows, tuple) else iter(self.rows)
+
+
+def judged(processor, frames, watermarks):
+    """What a processor gives for one bucket's frames, each followed by a watermark, and how much it asked of its state."""
+    handle, out = Counted(), []
+    processor.init(handle)
+    for frame, now in zip(frames, watermarks):
+        out += processor.handleInputRows((0,), iter([frame]), None)
+        for ms in sorted(t for t in handle.timers if t <= now):
+            handle.timers.discard(ms)
+            at_ = type("T", (), {"getCurrentWatermarkInMs": lambda self: now, "getExpiryTimeInMs": lambda self: ms})()  # noqa: B023
+            out += processor.handleExpiredTimer((0,), at_, at_)
+    return [tuple(r) for f in out for r in f.astype(object).itertuples(index=False)], handle.calls
+
+
+def test_the_state_of_many_holds_is_asked_a_few_times():
+    rows = pd.DataFrame([(f"h{i}", i * 1000, "ACTIVE") for i in range(1000)], columns=["hold_id", "ms", "status"])
+    ended = pd.DataFrame([(f"h{i}", i * 1000 + 60_000, "CONVERTED") for i in range(0, 1000, 2)], columns=["hold_id", "ms", "status"])
+    got, calls = judged(L._Holds(15), [ended, rows], [-1, 10_000_000])
+    assert sorted((h, s) for h, s, _ in got) == sorted((f"h{i}", s) for i in range(1000) for s in ("ACTIVE", "EXPIRED" if i % 2 else "CONVERTED"))
+    assert calls < 30
