@@ -279,3 +279,14 @@ def test_the_state_of_many_holds_is_asked_a_few_times():
     got, calls = judged(L._Holds(15), [ended, rows], [-1, 10_000_000])
     assert sorted((h, s) for h, s, _ in got) == sorted((f"h{i}", s) for i in range(1000) for s in ("ACTIVE", "EXPIRED" if i % 2 else "CONVERTED"))
     assert calls < 30
+
+
+def test_the_state_of_many_listings_is_asked_a_few_times():
+    rnd = random.Random(3)
+    rows = [("s", f"l{i}", dt.datetime(2026, 9, 1) + dt.timedelta(rnd.randrange(25)), rnd.choice([None, 5, 6, (1 << 53) + 1]), n) for n, i in enumerate(rnd.randrange(200) for _ in range(3000))]
+    day = lambda d: (d.date() - dt.date(1970, 1, 1)).days
+    frame = lambda part: pd.DataFrame({"source": [r[0] for r in part], "source_listing_id": [r[1] for r in part], "day": [day(r[2]) for r in part], "seq": [r[4] for r in part], "price": pd.Series([r[3] for r in part], dtype=object)})
+    ends = [-1, L.DAY_MS * day(dt.datetime(2026, 10, 20))]
+    got, calls = judged(L._Changes(7), [frame(rows[::2]), frame(rows[1::2])], ends)
+    got = [tuple(None if v is pd.NA else v for v in r) for r in got]
+    assert sorted(got, key=str) == plain_changes(rows, dt.date(2026, 10, 20)) and calls < 30
